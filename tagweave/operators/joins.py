@@ -1,0 +1,34 @@
+"""Join helpers: broadcast only behind a size check."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BROADCAST_CONF = "tagweave.broadcast.maxBytes"
+DEFAULT_BROADCAST_BYTES = 64 << 20
+
+
+def plan_size_bytes(df: DataFrame) -> int | None:
+    """Catalyst's size estimate of ``df`` (file sizes for scans, scaled by
+    projections and filters); ``None`` when it cannot be read."""
+    try:
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # pragma: no cover - e.g. a Connect session
+        return None
+
+
+def broadcast_if_small(df: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Hint a broadcast when the planner's size estimate is under the bound.
+
+    Beyond the bound the frame is returned as is: the join is planned as a
+    shuffle join and AQE may still turn it into a broadcast join once the
+    real size of the shuffled side is known (a measured bound), or split
+    skewed partitions of the big side.
+    """
+    if max_bytes is None:
+        max_bytes = int(df.sparkSession.conf.get(BROADCAST_CONF, str(DEFAULT_BROADCAST_BYTES)))
+    size = plan_size_bytes(df)
+    if size is not None and size <= max_bytes:
+        return F.broadcast(df)
+    return df
