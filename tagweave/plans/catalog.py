@@ -180,3 +180,59 @@ def q_tag_category(spark, sf):
 def q_sanitize(spark, sf):
     return dic.sanitize(fx.plain_captions(spark, sf), fx.dictionary(spark, sf),
                         dic.alias_map(fx.alias_rows(spark, sf)))
+
+
+# ------------------------------------------------------------- merge family
+from ..operators import merge as mg  # noqa: E402
+from ..operators import posts as po  # noqa: E402
+
+TRIGGER = "der"
+
+
+@query("merge_captions")
+def q_merge_captions(spark, sf):
+    return mg.merge_captions(fx.source_captions(spark, sf))
+
+
+@query("all_names")
+def q_all_names(spark, sf):
+    return mg.all_names(fx.source_captions(spark, sf))
+
+
+@query("merge_priority")
+def q_merge_priority(spark, sf):
+    s = fx.source_captions(spark, sf).where(F.col("source_ord") <= 2)
+    return mg.merge_priority(s, fx.dictionary(spark, sf))
+
+
+@query("save_order")
+def q_save_order(spark, sf):
+    c = fx.captions(spark, sf)
+    t = c.select("name", F.posexplode_outer(tx.comma_pieces("text")).alias("pos", "tag"))
+    return mg.save_order(dic.with_category_code(t, fx.dictionary(spark, sf)))
+
+
+@query("keep_only_character")
+def q_keep_only_character(spark, sf):
+    return mg.keep_only_character(fx.captions(spark, sf), fx.dictionary(spark, sf), TRIGGER)
+
+
+# -------------------------------------------------------------------- posts
+
+@query("inject_posts")
+def q_inject_posts(spark, sf):
+    return po.inject_posts(fx.posts(spark, sf), fx.captions(spark, sf))
+
+
+@query("inject_posts_summary")
+def q_inject_posts_summary(spark, sf):
+    return po.inject_posts_summary(fx.posts(spark, sf), fx.captions(spark, sf))
+
+
+@query("src_post_meta")
+def q_src_post_meta(spark, sf):
+    p = fx.posts(spark, sf)
+    body = F.to_json(F.struct("artist", F.col("year").cast("int").alias("year"), "filename"))
+    js = p.select(F.concat(F.lit('{"'), F.col("post_id").cast("string"), F.lit('": '), body,
+                           F.lit(', "scraper": "v2", "n": 1}')).alias("text"))
+    return po.parse_post_meta(js)

@@ -267,3 +267,88 @@ kept AS (
   GROUP BY c.name, c.canon)
 SELECT p.name, coalesce(string_agg(k.canon, ', ' ORDER BY k.pos), '') AS text
 FROM plain_captions p LEFT JOIN kept k ON p.name = k.name GROUP BY p.name"""
+
+# ------------------------------------------------------------- merge family
+CTE["src_words"] = f"""src_words AS (SELECT doc_id, lang, {image_name('doc_id')} AS name, {WORDS} AS w FROM documents)"""
+CTE["source_captions"] = """source_captions AS (
+  SELECT concat('tagger', source_ord) AS source, source_ord, name,
+         concat(array_to_string(tags, ', '), CASE WHEN source_ord = 2 THEN ' <|eot_id|>' || chr(10) ELSE '' END) AS text
+  FROM (SELECT name, 1 AS source_ord, list_filter(w, lambda x: length(x) <= 6) AS tags FROM src_words
+        UNION ALL SELECT name, 2, list_filter(w, lambda x: length(x) >= 5) FROM src_words WHERE lang <> 'de'
+        UNION ALL SELECT name, 3, list_filter(w, lambda x: contains(x, 'e')) FROM src_words WHERE lang <> 'es'))"""
+DEPS["source_captions"] = ["src_words"]
+
+
+def save_rank_sql(code: str) -> str:
+    return (f"CASE {code} WHEN 'char' THEN 0 WHEN 'spec' THEN 1 WHEN 'inv' THEN 2 WHEN 'art' THEN 3 "
+            f"WHEN 'year' THEN 4 WHEN 'gen' THEN 5 WHEN 'meta' THEN 6 WHEN 'rate' THEN 7 END")
+
+
+SQL["merge_captions"] = with_("source_captions") + f""", mt AS (
+  SELECT s.name, s.source_ord, u.tag, u.pos
+  FROM (SELECT name, source_ord, {split_caption('text')} AS tags FROM source_captions) s,
+       unnest(s.tags) WITH ORDINALITY AS u(tag, pos)),
+mf AS (SELECT name, tag, min(CAST(source_ord AS BIGINT) * 1000000000 + pos) AS k FROM mt GROUP BY name, tag)
+SELECT name, string_agg(tag, ', ' ORDER BY k) AS text FROM mf GROUP BY name"""
+
+SQL["all_names"] = with_("source_captions") + "SELECT DISTINCT name FROM source_captions"
+
+_pieces_sp = f"list_filter(list_transform(string_split(text, ', '), lambda p: {strip('p')}), lambda p: p <> '')"
+SQL["merge_priority"] = with_("source_captions", "live") + f""", mp AS (
+  SELECT s.name, s.source_ord, u.tag, u.pos
+  FROM (SELECT name, source_ord, {_pieces_sp} AS tags FROM source_captions WHERE source_ord <= 2) s,
+       unnest(s.tags) WITH ORDINALITY AS u(tag, pos)),
+mpf AS (SELECT name, tag, min(CAST(source_ord AS BIGINT) * 1000000000 + pos) AS k FROM mp GROUP BY name, tag),
+mpc AS (SELECT f.name, f.tag, f.k, {code_sql('f.tag', 'l.category')} AS code
+        FROM mpf f LEFT JOIN live l ON lower({strip('f.tag')}) = l.name)
+SELECT n.name, coalesce(string_agg(mpc.tag, ', ' ORDER BY mpc.code, mpc.k), '') AS text
+FROM (SELECT DISTINCT name FROM source_captions WHERE source_ord <= 2) n LEFT JOIN mpc ON n.name = mpc.name GROUP BY n.name"""
+
+
+def _comma_tag_rows(src: str, alias: str) -> str:
+    return f"""{alias} AS (
+  SELECT c.name, u.tag, u.pos FROM (SELECT name, {comma_pieces('text')} AS tags FROM {src}) c,
+       unnest(c.tags) WITH ORDINALITY AS u(tag, pos))"""
+
+
+SQL["save_order"] = with_("captions", "live") + ", " + _comma_tag_rows("captions", "so") + f""",
+sof AS (SELECT name, tag, min(pos) AS pos FROM so GROUP BY name, tag),
+soc AS (SELECT f.name, f.tag, f.pos, {code_sql('f.tag', 'l.category')} AS code
+        FROM sof f LEFT JOIN live l ON lower({strip('f.tag')}) = l.name)
+SELECT c.name, coalesce(string_agg(soc.tag, ', ' ORDER BY {save_rank_sql('soc.code')}, soc.pos), '') AS text
+FROM captions c LEFT JOIN soc ON c.name = soc.name GROUP BY c.name"""
+
+SQL["keep_only_character"] = with_("captions", "live") + ", " + _comma_tag_rows("captions", "kc") + f""",
+kcc AS (SELECT k.name, k.tag, k.pos, {code_sql('k.tag', 'l.category')} AS code
+        FROM kc k LEFT JOIN live l ON lower({strip('k.tag')}) = l.name)
+SELECT c.name, coalesce(string_agg(kcc.tag, ', ' ORDER BY CASE WHEN kcc.code = 'char' THEN 0 ELSE 1 END, kcc.pos)
+                        FILTER (WHERE kcc.code <> 'char' OR lower(kcc.tag) = 'der'), '') AS text
+FROM captions c LEFT JOIN kcc ON c.name = kcc.name GROUP BY c.name"""
+
+# -------------------------------------------------------------------- posts
+_VALID_POST = f"{strip('artist')} <> '' AND {strip('year')} <> '' AND {strip('filename')} <> ''"
+CTE["folded_posts"] = f"""vp AS (
+  SELECT post_id, lower({strip('artist')}) AS a, lower({strip('year')}) AS y, {strip('filename')} AS filename
+  FROM posts WHERE {_VALID_POST}),
+vpr AS (SELECT *, row_number() OVER (PARTITION BY filename ORDER BY post_id) AS rn
+        FROM (SELECT filename, a, y, min(post_id) AS post_id FROM vp GROUP BY filename, a, y)),
+s0 AS (SELECT c.name, c.text AS t0, p1.a AS a1, p1.y AS y1, p2.a AS a2, p2.y AS y2, p3.a AS a3, p3.y AS y3
+       FROM captions c LEFT JOIN vpr p1 ON p1.filename = c.name AND p1.rn = 1
+                       LEFT JOIN vpr p2 ON p2.filename = c.name AND p2.rn = 2
+                       LEFT JOIN vpr p3 ON p3.filename = c.name AND p3.rn = 3),
+s1 AS (SELECT *, CASE WHEN a1 IS NULL THEN t0 ELSE {inject_sql('t0', 'a1', 'y1')} END AS t1 FROM s0),
+s2 AS (SELECT *, CASE WHEN a2 IS NULL THEN t1 ELSE {inject_sql('t1', 'a2', 'y2')} END AS t2 FROM s1),
+folded_posts AS (SELECT *, CASE WHEN a3 IS NULL THEN t2 ELSE {inject_sql('t2', 'a3', 'y3')} END AS t3 FROM s2)"""
+DEPS["folded_posts"] = ["captions", "posts"]
+
+SQL["inject_posts"] = with_("folded_posts") + """SELECT name, t3 AS text,
+  CAST(CAST(t1 <> t0 AS INTEGER) + CAST(t2 <> t1 AS INTEGER) + CAST(t3 <> t2 AS INTEGER) AS BIGINT) AS n_modified
+FROM folded_posts"""
+
+SQL["inject_posts_summary"] = with_("folded_posts") + f"""SELECT
+  CAST((SELECT coalesce(sum(CAST(t1 <> t0 AS INTEGER) + CAST(t2 <> t1 AS INTEGER) + CAST(t3 <> t2 AS INTEGER)), 0)
+        FROM folded_posts) AS BIGINT) AS modified,
+  CAST((SELECT count(*) FROM vp WHERE filename NOT IN (SELECT name FROM captions)) AS BIGINT) AS missing,
+  CAST((SELECT count(*) FROM posts WHERE NOT ({_VALID_POST})) AS BIGINT) AS skipped"""
+
+SQL["src_post_meta"] = with_("posts") + "SELECT CAST(post_id AS VARCHAR) AS post_key, artist, year, filename FROM posts"
