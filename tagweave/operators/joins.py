@@ -13,7 +13,7 @@ def plan_size_bytes(df: DataFrame) -> int | None:
     """Catalyst's size estimate of ``df`` (file sizes for scans, scaled by
     projections and filters); ``None`` when it cannot be read."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except Exception:  # pragma: no cover - e.g. a Connect session
         return None
 

@@ -236,3 +236,138 @@ def q_src_post_meta(spark, sf):
     js = p.select(F.concat(F.lit('{"'), F.col("post_id").cast("string"), F.lit('": '), body,
                            F.lit(', "scraper": "v2", "n": 1}')).alias("text"))
     return po.parse_post_meta(js)
+
+
+# ------------------------------------------------------------------- scores
+from ..operators import heat as ht  # noqa: E402
+from ..operators import scores as sc  # noqa: E402
+
+# Query parameters: the operators default to the reference's k = 250 and
+# threshold 0.2; the fixture models have 40 labels and scores in
+# [0.24, 0.73], so the top-k query cuts at 25 and the thresholds sit at 0.5.
+K_CUT = 25
+THR = 0.5
+THR_RETHRESHOLD = 0.55
+
+
+def _slices(spark, sf):
+    s = sc.model_slices(fx.table(spark, sf, "embeddings"), fx.SCORE_MODELS)
+    return s.select("image", "model", "model_ord", sc.micro_scores(F.col("raw")).alias("scores"))
+
+
+@query("topk_scores")
+def q_topk_scores(spark, sf):
+    t = _slices(spark, sf).select("image", "model", F.posexplode(sc.topk(F.col("scores"), K_CUT)).alias("rank", "x"))
+    return t.select("image", "model", F.col("rank").cast("bigint").alias("rank"),
+                    F.col("x.idx").cast("bigint").alias("idx"), F.col("x.score").alias("score"))
+
+
+@query("score_labels")
+def q_score_labels(spark, sf):
+    r = _slices(spark, sf).select("image", "model", sc.topk(F.col("scores")).alias("top"))
+    r = sc.attach_labels(r, fx.vocabulary(spark, sf))
+    e = r.select("image", "model", F.explode(sc.dedup_labels("top")).alias("x"))
+    return e.select("image", "model", "x.tag", "x.score", F.col("x.rank").cast("bigint").alias("rank"))
+
+
+@query("batch_tag")
+def q_batch_tag(spark, sf):
+    return sc.batch_tag(_slices(spark, sf), fx.vocabulary(spark, sf), THR)
+
+
+@query("tag_string")
+def q_tag_string(spark, sf):
+    return sc.batch_tag(_slices(spark, sf), fx.vocabulary(spark, sf), 0.0)
+
+
+def _ensemble(spark, sf):
+    return sc.ensemble(_slices(spark, sf), fx.vocabulary(spark, sf))
+
+
+@query("ensemble_scores")
+def q_ensemble_scores(spark, sf):
+    e = _ensemble(spark, sf)
+    return e.where(sc.above(F.col("sum_micro"), F.col("n_models"), THR)).select("image", "tag", "sum_micro", "n_models")
+
+
+@query("ensemble_tag_string")
+def q_ensemble_tag_string(spark, sf):
+    return sc.ensemble_tag_string(_ensemble(spark, sf), THR)
+
+
+@query("score_threshold")
+def q_score_threshold(spark, sf):
+    e = _ensemble(spark, sf)
+    return e.where(sc.above(F.col("sum_micro"), F.col("n_models"), THR_RETHRESHOLD)).select(
+        "image", "tag", "sum_micro", "n_models")
+
+
+@query("label_index")
+def q_label_index(spark, sf):
+    e = _ensemble(spark, sf).where(sc.above(F.col("sum_micro"), F.col("n_models"), THR))
+    models = F.array(*[F.lit(m) for m, _, _ in fx.SCORE_MODELS])
+    req = e.select("image", "tag", F.explode(models).alias("model"))
+    return sc.label_index(fx.vocabulary(spark, sf), req).select(
+        "image", "model", "tag", F.col("idx").cast("bigint").alias("idx"))
+
+
+@query("labels_padded")
+def q_labels_padded(spark, sf):
+    nc = fx.small_table(spark, [("m1", 43), ("m2", 40)], ["model", "num_classes"])
+    return sc.pad_labels(fx.vocabulary(spark, sf), nc)
+
+
+def _head_scores(spark, sf, head, n_labels):
+    e = fx.table(spark, sf, "embeddings")
+    s = sc.dense_scores(e, fx.head_weights(spark, n_labels), head=head)
+    x = s.select("image", F.posexplode("scores").alias("l", "s"))
+    return x.select(F.col("image").alias("vec_id"), F.col("l").cast("bigint").alias("l"),
+                    F.floor(F.col("s") * sc.MICRO).cast("bigint").alias("micro"))
+
+
+@query("linear_scores")
+def q_linear_scores(spark, sf):
+    return _head_scores(spark, sf, "linear", 20)
+
+
+@query("gated_scores")
+def q_gated_scores(spark, sf):
+    return _head_scores(spark, sf, "gated", 20)
+
+
+@query("auto_sigmoid")
+def q_auto_sigmoid(spark, sf):
+    s = sc.model_slices(fx.table(spark, sf, "embeddings"), fx.SCORE_MODELS)
+    prob = F.transform("raw", lambda v: (v.cast("double") + 1) / 2)
+    both = s.select("image", "model", F.explode(F.array(
+        F.struct(F.lit("logit").alias("kind"), sc.auto_sigmoid(F.col("raw")).alias("p")),
+        F.struct(F.lit("prob").alias("kind"), sc.auto_sigmoid(prob).alias("p")))).alias("x"))
+    x = both.select("image", "model", "x.kind", F.posexplode("x.p").alias("idx", "p"))
+    return x.select("image", "model", "kind", F.col("idx").cast("bigint").alias("idx"),
+                    F.floor(F.col("p") * sc.MICRO).cast("bigint").alias("micro"))
+
+
+# --------------------------------------------------------------------- heat
+
+@query("grid_layout")
+def q_grid_layout(spark, sf):
+    p = fx.table(spark, sf, "pages").select("page_id", F.length("html").alias("n"))
+    g = p.select("page_id", F.col("n").cast("bigint").alias("n"), ht.grid_layout(F.col("n")).alias("g"))
+    return g.select("page_id", "n", F.col("g.h").cast("bigint").alias("h"), F.col("g.w").cast("bigint").alias("w"))
+
+
+@query("heat_fuse")
+def q_heat_fuse(spark, sf):
+    return ht.heat_fuse(fx.heat_cells(spark, sf))
+
+
+@query("heat_mask")
+def q_heat_mask(spark, sf):
+    f = ht.heat_fuse(fx.heat_cells(spark, sf))
+    return f.select("image", "tag", "cell", ht.heat_mask(F.col("num"), F.col("den"), 0.35, 0.6).alias("mask"))
+
+
+@query("patch_saliency")
+def q_patch_saliency(spark, sf):
+    a, g = fx.patch_values(spark, sf)
+    return ht.patch_saliency(a, g)

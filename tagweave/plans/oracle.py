@@ -352,3 +352,130 @@ SQL["inject_posts_summary"] = with_("folded_posts") + f"""SELECT
   CAST((SELECT count(*) FROM posts WHERE NOT ({_VALID_POST})) AS BIGINT) AS skipped"""
 
 SQL["src_post_meta"] = with_("posts") + "SELECT CAST(post_id AS VARCHAR) AS post_key, artist, year, filename FROM posts"
+
+# ------------------------------------------------------------------- scores
+_MODELS = "(VALUES ('m1', 0, 0, 39), ('m2', 1, 24, 63)) AS m(model, model_ord, lo, hi)"
+CTE["emb_cells"] = """emb_cells AS (
+  SELECT e.vec_id, e.label, CAST(u.pos - 1 AS BIGINT) AS pos, CAST(u.v AS DOUBLE) AS v
+  FROM embeddings e, unnest(e.embedding) WITH ORDINALITY AS u(v, pos))"""
+CTE["slices"] = f"""slices AS (
+  SELECT c.vec_id AS image, m.model, m.model_ord, c.pos - m.lo AS idx,
+         CAST(floor((c.v + 1) * 500000) AS BIGINT) AS score
+  FROM emb_cells c, {_MODELS} WHERE c.pos BETWEEN m.lo AND m.hi)"""
+CTE["vocab"] = f"""vocab AS (
+  SELECT model, g - lo AS idx, CASE WHEN g % 13 = 0 THEN 'dup tag' ELSE concat('tag_', g) END AS tag
+  FROM (SELECT model, lo, unnest(range(lo, hi + 1)) AS g FROM {_MODELS})
+  WHERE g IN (SELECT DISTINCT pos FROM emb_cells))"""
+DEPS["slices"] = ["emb_cells"]
+DEPS["vocab"] = ["emb_cells"]
+
+
+def _labeled(k: int) -> str:
+    return f"""ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY image, model ORDER BY score DESC, idx) - 1 AS rnk FROM slices),
+labeled AS (SELECT r.image, r.model, r.model_ord, r.rnk, r.score, v.tag
+            FROM ranked r JOIN vocab v ON r.model = v.model AND r.idx = v.idx WHERE r.rnk < {k}),
+dedup AS (SELECT image, model, model_ord, tag, min(score) AS score, min(rnk) AS first_rnk
+          FROM labeled GROUP BY image, model, model_ord, tag)"""
+
+
+SQL["topk_scores"] = with_("slices") + """SELECT image, model, rnk AS rank, idx, score FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY image, model ORDER BY score DESC, idx) - 1 AS BIGINT) AS rnk
+  FROM slices) WHERE rnk < 25"""
+
+SQL["score_labels"] = with_("slices", "vocab") + ", " + _labeled(250) + """
+SELECT image, model, tag, score,
+       CAST(row_number() OVER (PARTITION BY image, model ORDER BY first_rnk) - 1 AS BIGINT) AS rank FROM dedup"""
+
+
+def _batch_tag_sql(thr_micro: int) -> str:
+    return with_("slices", "vocab") + ", " + _labeled(250) + f"""
+SELECT image, model, coalesce(string_agg(tag, ', ' ORDER BY first_rnk) FILTER (WHERE score > {thr_micro}), '') AS text
+FROM dedup GROUP BY image, model"""
+
+
+SQL["batch_tag"] = _batch_tag_sql(500000)
+SQL["tag_string"] = _batch_tag_sql(0)
+
+_ENS = ", " + _labeled(250) + """,
+ens AS (SELECT image, tag, CAST(sum(score) AS BIGINT) AS sum_micro, CAST(count(*) AS BIGINT) AS n_models,
+               arg_min(first_rnk, model_ord) AS first_rank, min(model_ord) AS first_model
+        FROM dedup GROUP BY image, tag)"""
+SQL["ensemble_scores"] = with_("slices", "vocab") + _ENS + """
+SELECT image, tag, sum_micro, n_models FROM ens WHERE sum_micro > 500000 * n_models"""
+SQL["score_threshold"] = with_("slices", "vocab") + _ENS + """
+SELECT image, tag, sum_micro, n_models FROM ens WHERE sum_micro > 550000 * n_models"""
+SQL["ensemble_tag_string"] = with_("slices", "vocab") + _ENS + """
+SELECT image, coalesce(string_agg(tag, ', ' ORDER BY first_model, first_rank) FILTER (WHERE sum_micro > 500000 * n_models), '') AS text
+FROM ens GROUP BY image"""
+SQL["label_index"] = with_("slices", "vocab") + _ENS + """,
+req AS (SELECT e.image, e.tag, m.model FROM ens e, (VALUES ('m1'), ('m2')) AS m(model) WHERE e.sum_micro > 500000 * e.n_models),
+last AS (SELECT model, tag, max(idx) AS idx FROM vocab GROUP BY model, tag)
+SELECT r.image, r.model, r.tag, CAST(l.idx AS BIGINT) AS idx FROM req r JOIN last l ON r.model = l.model AND r.tag = l.tag"""
+SQL["labels_padded"] = with_("vocab") + """, nc AS (SELECT * FROM (VALUES ('m1', 43), ('m2', 40)) AS t(model, num_classes)),
+sizes AS (SELECT model, count(*) AS n FROM vocab GROUP BY model)
+SELECT model, CAST(idx AS INTEGER) AS idx, tag FROM vocab
+UNION ALL
+SELECT s.model, CAST(s.n + i AS INTEGER), concat('placeholder', i)
+FROM sizes s JOIN nc ON s.model = nc.model, range(3) AS r(i) WHERE s.n + 3 = nc.num_classes"""
+
+
+def _head_sql(n_labels: int, gated: bool) -> str:
+    z = f"""z AS (
+  SELECT c.vec_id, w.l, sum(c.v * w.w) AS z FROM emb_cells c
+  JOIN (SELECT l, e, ((l * 31 + e * 17) % 21 - 10) / 10.0 AS w FROM range({n_labels}) AS a(l), range(64) AS b(e)) w
+    ON c.pos = w.e GROUP BY c.vec_id, w.l)"""
+    if not gated:
+        return with_("emb_cells") + ", " + z + """
+SELECT vec_id, CAST(l AS BIGINT) AS l, CAST(floor(1.0 / (1.0 + exp(-z)) * 1000000) AS BIGINT) AS micro FROM z"""
+    c = n_labels // 2
+    return with_("emb_cells") + ", " + z + f"""
+SELECT a.vec_id, CAST(a.l AS BIGINT) AS l,
+       CAST(floor((1.0 / (1.0 + exp(-a.z))) * (1.0 / (1.0 + exp(-g.z))) * 1000000) AS BIGINT) AS micro
+FROM z a JOIN z g ON a.vec_id = g.vec_id AND g.l = a.l + {c} WHERE a.l < {c}"""
+
+
+SQL["linear_scores"] = _head_sql(20, False)
+SQL["gated_scores"] = _head_sql(20, True)
+
+SQL["auto_sigmoid"] = with_("emb_cells") + f""", s AS (
+  SELECT c.vec_id AS image, m.model, c.pos - m.lo AS idx, c.v AS logit, (c.v + 1) / 2 AS prob
+  FROM emb_cells c, {_MODELS} WHERE c.pos BETWEEN m.lo AND m.hi),
+b AS (SELECT image, model, min(logit) AS mn_l, max(logit) AS mx_l, min(prob) AS mn_p, max(prob) AS mx_p
+      FROM s GROUP BY image, model)
+SELECT s.image, s.model, 'logit' AS kind, CAST(s.idx AS BIGINT) AS idx,
+       CAST(floor(CASE WHEN mn_l >= 0 AND mx_l <= 1 THEN logit ELSE 1.0 / (1.0 + exp(-logit)) END * 1000000) AS BIGINT) AS micro
+FROM s JOIN b ON s.image = b.image AND s.model = b.model
+UNION ALL
+SELECT s.image, s.model, 'prob', CAST(s.idx AS BIGINT),
+       CAST(floor(CASE WHEN mn_p >= 0 AND mx_p <= 1 THEN prob ELSE 1.0 / (1.0 + exp(-prob)) END * 1000000) AS BIGINT)
+FROM s JOIN b ON s.image = b.image AND s.model = b.model"""
+
+# --------------------------------------------------------------------- heat
+SQL["grid_layout"] = """SELECT page_id, n, h, CAST(n // h AS BIGINT) AS w FROM (
+  SELECT page_id, CAST(length(html) AS BIGINT) AS n,
+         CAST(list_max(list_filter(range(1, greatest(CAST(floor(sqrt(length(html))) AS BIGINT), 1) + 1),
+                                   lambda h: length(html) % h = 0)) AS BIGINT) AS h
+  FROM pages)"""
+
+CTE["fused"] = """fused AS (
+  SELECT image, tag, cell, n_models, s - min(s) OVER (PARTITION BY image, tag) AS num,
+         max(s) OVER (PARTITION BY image, tag) - min(s) OVER (PARTITION BY image, tag) AS den
+  FROM (SELECT vec_id AS image, concat('tag_', label) AS tag, CAST(pos % 16 AS INTEGER) AS cell,
+               CAST(sum(CAST(floor((v + 1) * 500000) AS BIGINT)) AS BIGINT) AS s, CAST(count(*) AS BIGINT) AS n_models
+        FROM emb_cells GROUP BY vec_id, label, pos % 16))"""
+DEPS["fused"] = ["emb_cells"]
+SQL["heat_fuse"] = with_("fused") + "SELECT image, tag, cell, n_models, num, den FROM fused"
+SQL["heat_mask"] = with_("fused") + f"""SELECT image, tag, cell,
+  CASE WHEN num * 1000000 >= {int(round(0.35 * 1_000_000))} * den THEN {int(0.6 * 255)} ELSE 0 END AS mask FROM fused"""
+SQL["patch_saliency"] = with_("emb_cells") + """, q AS (
+  SELECT vec_id // 4 AS image, CAST(vec_id % 4 AS INTEGER) AS patch, pos, CAST(floor(v * 10000) AS BIGINT) AS q FROM emb_cells),
+wts AS (SELECT image, pos - 32 AS e, sum(q) AS wt FROM q WHERE pos >= 32 GROUP BY image, pos - 32),
+v AS (SELECT a.image, a.patch, CAST(greatest(sum(a.q * w.wt), 0) AS BIGINT) AS v
+      FROM q a JOIN wts w ON a.image = w.image AND a.pos = w.e WHERE a.pos < 32 GROUP BY a.image, a.patch),
+g AS (SELECT image, count(*) AS n FROM v GROUP BY image),
+gh AS (SELECT image, n, list_max(list_filter(range(1, greatest(CAST(floor(sqrt(n)) AS BIGINT), 1) + 1), lambda h: n % h = 0)) AS h FROM g)
+SELECT v.image, v.patch, CAST(v.patch // (gh.n // gh.h) AS INTEGER) AS row, CAST(v.patch % (gh.n // gh.h) AS INTEGER) AS col,
+       v.v - min(v.v) OVER (PARTITION BY v.image) AS num,
+       max(v.v) OVER (PARTITION BY v.image) - min(v.v) OVER (PARTITION BY v.image) AS den
+FROM v JOIN gh ON v.image = gh.image"""

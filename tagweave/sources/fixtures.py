@@ -17,6 +17,14 @@ from pyspark.sql import functions as F
 WORD_RX = "[a-z]{3,}"
 
 
+def small_table(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
+    """A few rows of job configuration as a literal table.  Built from a
+    literal array (not ``createDataFrame``) so that the planner knows its
+    size and a broadcast size check can succeed."""
+    structs = [F.struct(*[F.lit(v).alias(n) for v, n in zip(r, names)]) for r in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -63,7 +71,8 @@ def dictionary(spark, sf_dir) -> DataFrame:
     dic = w.groupBy("name").agg((F.count(F.lit(1)) - 1).alias("post_count"))
     dic = dic.select("name", ((F.length("name") + F.ascii("name")) % 9).cast("int").alias("category"),
                      F.col("post_count").cast("bigint").alias("post_count"))
-    extra = spark.createDataFrame([("2014", 0, 1), ("4leg", 0, 1)], "name string, category int, post_count bigint")
+    extra = small_table(spark, [("2014", 0, 1), ("4leg", 0, 1)], ["name", "category", "post_count"])
+    extra = extra.select("name", F.col("category").cast("int"), F.col("post_count").cast("bigint"))
     return dic.unionByName(extra)
 
 
@@ -184,7 +193,7 @@ SCORE_MODELS = [("m1", 0, 39), ("m2", 24, 63)]
 
 
 def score_models(spark) -> DataFrame:
-    return spark.createDataFrame(SCORE_MODELS, "model string, lo int, hi int")
+    return small_table(spark, SCORE_MODELS, ["model", "lo", "hi"])
 
 
 def micro(v: Column) -> Column:
@@ -192,9 +201,45 @@ def micro(v: Column) -> Column:
     return F.floor((v.cast("double") + 1) * 500000).cast("bigint")
 
 
-def vocabulary(spark) -> DataFrame:
-    """F11 ``(model, idx, tag)``: one label per dimension in each model's
-    range; every 13th label has the same text (a repeated label)."""
-    lab = score_models(spark).select("model", F.explode(F.sequence("lo", "hi")).alias("idx"))
-    tag = F.when(F.col("idx") % 13 == 0, F.lit("dup tag")).otherwise(F.concat(F.lit("tag_"), F.col("idx").cast("string")))
-    return lab.select("model", F.col("idx").cast("int").alias("idx"), tag.alias("tag"))
+def vocabulary(spark, sf_dir) -> DataFrame:
+    """F11 ``(model, idx, tag)``: one label per vector dimension present in
+    the data that falls in the model's range; ``idx`` is the position in
+    the model's output, the text names the dimension, and every 13th
+    dimension has the same text (a repeated label)."""
+    e = table(spark, sf_dir, "embeddings")
+    dims = e.select(F.posexplode("embedding").alias("g", "_v")).select("g").distinct()
+    lab = score_models(spark).select("model", "lo", F.explode(F.sequence("lo", "hi")).alias("g"))
+    lab = lab.join(dims, "g", "left_semi")
+    tag = F.when(F.col("g") % 13 == 0, F.lit("dup tag")).otherwise(F.concat(F.lit("tag_"), F.col("g").cast("string")))
+    return lab.select("model", (F.col("g") - F.col("lo")).cast("int").alias("idx"), tag.alias("tag"))
+
+
+def head_weights(spark, n_labels: int, n_dims: int = 64) -> DataFrame:
+    """F12 ``(l, e, w)``: head weights from a rule, ``w`` in [-1, 1]."""
+    r = spark.range(n_labels * n_dims)
+    l = (F.col("id") / n_dims).cast("int")
+    e = (F.col("id") % n_dims).cast("int")
+    return r.select(l.alias("l"), e.alias("e"), (((l * 31 + e * 17) % 21 - 10) / 10.0).alias("w"))
+
+
+def heat_cells(spark, sf_dir) -> DataFrame:
+    """F13 ``(image, tag, model, cell, v)``: each vector as 4 models' maps
+    of 16 cells, values in integer micro-units."""
+    e = table(spark, sf_dir, "embeddings")
+    x = e.select("vec_id", "label", F.posexplode("embedding").alias("pos", "v"))
+    return x.select(F.col("vec_id").alias("image"), F.concat(F.lit("tag_"), F.col("label").cast("string")).alias("tag"),
+                    (F.col("pos") / 16).cast("int").alias("model"), (F.col("pos") % 16).cast("int").alias("cell"),
+                    micro(F.col("v")).alias("v"))
+
+
+def patch_values(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """F16 stored activations ``(image, patch, e, a)`` and gradients
+    ``(image, patch, e, g)``: four vectors make one image of 4 patches;
+    dims 0-31 are activations, 32-63 gradients, as ``floor(v * 10000)``."""
+    e = table(spark, sf_dir, "embeddings")
+    x = e.select((F.col("vec_id") / 4).cast("long").alias("image"), (F.col("vec_id") % 4).cast("int").alias("patch"),
+                 F.posexplode("embedding").alias("pos", "v"))
+    x = x.withColumn("q", F.floor(F.col("v").cast("double") * 10000).cast("bigint"))
+    acts = x.where(F.col("pos") < 32).select("image", "patch", F.col("pos").alias("e"), F.col("q").alias("a"))
+    grads = x.where(F.col("pos") >= 32).select("image", "patch", (F.col("pos") - 32).alias("e"), F.col("q").alias("g"))
+    return acts, grads
