@@ -371,3 +371,91 @@ def q_heat_mask(spark, sf):
 def q_patch_saliency(spark, sf):
     a, g = fx.patch_values(spark, sf)
     return ht.patch_saliency(a, g)
+
+
+# -------------------------------------------------------------- files, review
+from ..operators import files as fl  # noqa: E402
+from ..operators import review as rv  # noqa: E402
+
+STAGE_MODELS = ["vendor/alpha", "lab/beta"]
+
+
+def _own_images(spark, sf):
+    """Images already in a caption folder: a ``.bmp`` copy for German
+    documents."""
+    d = fx.table(spark, sf, "documents").where(F.col("lang") == "de")
+    return d.select(F.concat(fx.image_name(F.col("doc_id")), F.lit(".bmp")).alias("file"))
+
+
+@query("src_images")
+def q_src_images(spark, sf):
+    im = fl.image_files(fx.image_files(spark, sf))
+    return im.select("file", F.length("content").cast("bigint").alias("n_bytes"))
+
+
+@query("dedup_groups")
+def q_dedup_groups(spark, sf):
+    return fl.dedup_groups(fl.image_files(fx.image_files(spark, sf)))
+
+
+@query("dedup_keep_move")
+def q_dedup_keep_move(spark, sf):
+    return fl.dedup_keep_move(fl.image_files(fx.image_files(spark, sf)))
+
+
+@query("pair_files")
+def q_pair_files(spark, sf):
+    return fl.pair_files(fx.captions(spark, sf), fx.image_files(spark, sf))
+
+
+@query("ensure_images")
+def q_ensure_images(spark, sf):
+    return fl.ensure_images(fx.captions(spark, sf), _own_images(spark, sf), fx.image_files(spark, sf))
+
+
+def _model_captions(spark, sf):
+    s = fx.source_captions(spark, sf)
+    return s.select(F.col("source").alias("model"), "name", "text")
+
+
+@query("review_union")
+def q_review_union(spark, sf):
+    r = rv.review_items(fx.image_files(spark, sf), _model_captions(spark, sf))
+    return _tagrows(r, F.col("union"), "image")
+
+
+@query("review_by_model")
+def q_review_by_model(spark, sf):
+    r = rv.review_items(fx.image_files(spark, sf), _model_captions(spark, sf))
+    e = r.select("image", F.explode("by_model").alias("model", "tags"))
+    return e.select("image", "model", F.array_join("tags", " | ").alias("tags"))
+
+
+@query("review_items")
+def q_review_items(spark, sf):
+    """Review set when no model output exists: union from the merged
+    captions."""
+    merged = mg.merge_captions(fx.source_captions(spark, sf))
+    r = rv.review_items(fx.image_files(spark, sf), None, merged)
+    return r.select("image", F.size("union").cast("bigint").alias("n_tags"), F.array_join("union", " | ").alias("tags"),
+                    F.size("by_model").cast("bigint").alias("n_models"))
+
+
+@query("apply_edits")
+def q_apply_edits(spark, sf):
+    stored = fx.captions(spark, sf).select("name", "text")
+    d = fx.table(spark, sf, "documents").where(F.col("lang") == "fr")
+    edits = d.select(fx.image_name(F.col("doc_id")).alias("name"), F.concat(F.lit("edited, "), "source").alias("text"))
+    return rv.apply_edits(stored, edits)
+
+
+@query("finalize")
+def q_finalize(spark, sf):
+    merged = mg.merge_captions(fx.source_captions(spark, sf))
+    return rv.finalize(merged, fx.image_files(spark, sf), "abo")
+
+
+@query("work_list")
+def q_work_list(spark, sf):
+    im = fl.image_files(fx.image_files(spark, sf), fl.MODEL_IMAGE_EXTS)
+    return rv.work_list(im, STAGE_MODELS)

@@ -479,3 +479,72 @@ SELECT v.image, v.patch, CAST(v.patch // (gh.n // gh.h) AS INTEGER) AS row, CAST
        v.v - min(v.v) OVER (PARTITION BY v.image) AS num,
        max(v.v) OVER (PARTITION BY v.image) - min(v.v) OVER (PARTITION BY v.image) AS den
 FROM v JOIN gh ON v.image = gh.image"""
+
+# -------------------------------------------------------------- files, review
+CTE["image_inv"] = f"""image_inv AS (
+  SELECT doc_id, concat({image_name('doc_id')}, CASE doc_id % 5 WHEN 0 THEN '.png' WHEN 1 THEN '.JPG' WHEN 2 THEN '.webp'
+                                                       WHEN 3 THEN '.gif' ELSE '.pdf' END) AS file,
+         text AS content, {image_name('doc_id')} AS stem,
+         CASE doc_id % 5 WHEN 0 THEN '.png' WHEN 1 THEN '.JPG' WHEN 2 THEN '.webp' WHEN 3 THEN '.gif' ELSE '.pdf' END AS ext
+  FROM documents)"""
+_DEDUP_EXTS = "('.png', '.jpg', '.jpeg', '.webp', '.bmp', '.gif')"
+_MODEL_EXTS = "('.png', '.jpg', '.jpeg', '.webp', '.bmp', '.tif', '.tiff')"
+
+
+def _rank(ext: str, exts: list[str]) -> str:
+    return "CASE " + " ".join(f"WHEN {ext} = '{e}' THEN {i}" for i, e in enumerate(exts)) + " END"
+
+
+SQL["src_images"] = with_("image_inv") + f"""SELECT file, CAST(strlen(content) AS BIGINT) AS n_bytes
+FROM image_inv WHERE lower(ext) IN {_DEDUP_EXTS}"""
+SQL["dedup_groups"] = with_("image_inv") + f"""SELECT md5(content) AS h, min(file) AS keep, CAST(count(*) - 1 AS BIGINT) AS extra
+FROM image_inv WHERE lower(ext) IN {_DEDUP_EXTS} GROUP BY md5(content)"""
+SQL["dedup_keep_move"] = with_("image_inv") + f"""SELECT file, h, CASE WHEN rn = 1 THEN 'keep' ELSE 'move' END AS action
+FROM (SELECT file, md5(content) AS h, row_number() OVER (PARTITION BY md5(content) ORDER BY file) AS rn
+      FROM image_inv WHERE lower(ext) IN {_DEDUP_EXTS})"""
+SQL["pair_files"] = with_("captions", "image_inv") + f"""SELECT concat(c.name, '.txt') AS txt, arg_min(i.file, {_rank('i.ext', ['.png', '.jpg', '.jpeg', '.webp'])}) AS image
+FROM captions c JOIN image_inv i ON c.name = i.stem
+WHERE i.ext IN ('.png', '.jpg', '.jpeg', '.webp') GROUP BY c.name"""
+_MODEL_LIST = ['.png', '.jpg', '.jpeg', '.webp', '.bmp', '.tif', '.tiff']
+SQL["ensure_images"] = with_("captions", "image_inv") + f""", own AS (
+  SELECT {image_name('doc_id')} AS stem, concat({image_name('doc_id')}, '.bmp') AS file FROM documents WHERE lang = 'de'),
+raw AS (SELECT stem, arg_min(file, {_rank('ext', _MODEL_LIST)}) AS file FROM image_inv
+        WHERE ext IN {_MODEL_EXTS} GROUP BY stem)
+SELECT c.name AS stem, coalesce(own.file, raw.file) AS image,
+       CASE WHEN own.file IS NOT NULL THEN 'own' WHEN raw.file IS NOT NULL THEN 'raw' END AS origin
+FROM captions c LEFT JOIN own ON c.name = own.stem LEFT JOIN raw ON c.name = raw.stem"""
+
+CTE["review_rows"] = f"""review_rows AS (
+  SELECT i.file AS image, s.source AS model, {comma_pieces('s.text')} AS tags
+  FROM image_inv i LEFT JOIN source_captions s ON i.stem = s.name WHERE lower(i.ext) IN {_MODEL_EXTS})"""
+DEPS["review_rows"] = ["image_inv", "source_captions"]
+SQL["review_union"] = with_("review_rows") + """, u AS (
+  SELECT image, list_sort(list_distinct(flatten(list(tags) FILTER (WHERE tags IS NOT NULL)))) AS l
+  FROM review_rows GROUP BY image)
+SELECT image, CAST(len(l) AS BIGINT) AS n_tags, array_to_string(l, ' | ') AS tags FROM u"""
+SQL["review_by_model"] = with_("review_rows") + """SELECT image, model, array_to_string(tags, ' | ') AS tags
+FROM review_rows WHERE model IS NOT NULL"""
+SQL["review_items"] = with_("image_inv", "source_captions") + f""", mt AS (
+  SELECT s.name, s.source_ord, u.tag, u.pos
+  FROM (SELECT name, source_ord, {split_caption('text')} AS tags FROM source_captions) s,
+       unnest(s.tags) WITH ORDINALITY AS u(tag, pos)),
+mf AS (SELECT name, tag, min(CAST(source_ord AS BIGINT) * 1000000000 + pos) AS k FROM mt GROUP BY name, tag),
+merged AS (SELECT name, string_agg(tag, ', ' ORDER BY k) AS text FROM mf GROUP BY name),
+u AS (SELECT i.file AS image, list_sort(list_distinct(flatten(list({comma_pieces('m.text')}) FILTER (WHERE m.text IS NOT NULL)))) AS l
+      FROM image_inv i LEFT JOIN merged m ON i.stem = m.name WHERE lower(i.ext) IN {_MODEL_EXTS} GROUP BY i.file)
+SELECT image, CAST(len(l) AS BIGINT) AS n_tags, array_to_string(l, ' | ') AS tags, CAST(0 AS BIGINT) AS n_models FROM u"""
+SQL["apply_edits"] = with_("captions") + f""", edits AS (
+  SELECT {image_name('doc_id')} AS name, concat('edited, ', source) AS text FROM documents WHERE lang = 'fr')
+SELECT name, text FROM captions WHERE name NOT IN (SELECT name FROM edits)
+UNION ALL SELECT name, text FROM edits"""
+SQL["finalize"] = with_("image_inv", "source_captions") + f""", mt AS (
+  SELECT s.name, s.source_ord, u.tag, u.pos
+  FROM (SELECT name, source_ord, {split_caption('text')} AS tags FROM source_captions) s,
+       unnest(s.tags) WITH ORDINALITY AS u(tag, pos)),
+mf AS (SELECT name, tag, min(CAST(source_ord AS BIGINT) * 1000000000 + pos) AS k FROM mt GROUP BY name, tag),
+merged AS (SELECT name, string_agg(tag, ', ' ORDER BY k) AS text FROM mf GROUP BY name),
+c AS (SELECT name AS stem, CASE WHEN starts_with(text, 'abo') THEN text ELSE concat('abo, ', text) END AS text FROM merged),
+im AS (SELECT stem, file AS image FROM image_inv WHERE lower(ext) IN {_MODEL_EXTS})
+SELECT coalesce(c.stem, im.stem) AS stem, c.text, im.image FROM c FULL OUTER JOIN im ON c.stem = im.stem"""
+SQL["work_list"] = with_("image_inv") + f"""SELECT file AS image, m.model FROM image_inv, (VALUES ('vendor/alpha'), ('lab/beta')) AS m(model)
+WHERE lower(ext) IN {_MODEL_EXTS}"""

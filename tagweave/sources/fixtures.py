@@ -79,20 +79,20 @@ def dictionary(spark, sf_dir) -> DataFrame:
 def alias_rows(spark, sf_dir) -> DataFrame:
     """F3 ``(antecedent_name, consequent_name, kind, row_no)`` as the alias
     (kind 1) and implication (kind 2) exports would hold them.  Some alias
-    antecedents get a second, later row so that "last row wins" shows."""
-    dic = dictionary(spark, sf_dir).select("name")
+    antecedents get a second, later row so that "last row wins" shows.
+    One pass over the dictionary."""
     n = F.col("name")
-    last = F.substring(n, -1, 1)
-    alias1 = dic.where((F.length(n) >= 6) & (F.ascii(last) % 2 == 0)).select(
-        n.alias("antecedent_name"), F.expr("substring(name, 1, length(name) - 1)").alias("consequent_name"),
-        F.lit(1).alias("kind"), F.lit(1).cast("bigint").alias("row_no"))
-    alias2 = dic.where((F.length(n) >= 7) & (F.ascii(last) % 4 == 0)).select(
-        n.alias("antecedent_name"), F.expr("substring(name, 1, length(name) - 2)").alias("consequent_name"),
-        F.lit(1).alias("kind"), F.lit(2).cast("bigint").alias("row_no"))
-    impl = dic.where((F.length(n) >= 8) & (F.ascii(n) % 4 == 1)).select(
-        n.alias("antecedent_name"), F.substring(n, 1, 3).alias("consequent_name"),
-        F.lit(2).alias("kind"), F.lit(1).cast("bigint").alias("row_no"))
-    return alias1.unionByName(alias2).unionByName(impl)
+    last = F.ascii(F.substring(n, -1, 1))
+    cand = F.array(
+        F.when((F.length(n) >= 6) & (last % 2 == 0),
+               F.struct(F.expr("substring(name, 1, length(name) - 1)").alias("c"), F.lit(1).alias("k"), F.lit(1).alias("r"))),
+        F.when((F.length(n) >= 7) & (last % 4 == 0),
+               F.struct(F.expr("substring(name, 1, length(name) - 2)").alias("c"), F.lit(1).alias("k"), F.lit(2).alias("r"))),
+        F.when((F.length(n) >= 8) & (F.ascii(n) % 4 == 1),
+               F.struct(F.substring(n, 1, 3).alias("c"), F.lit(2).alias("k"), F.lit(1).alias("r"))))
+    x = dictionary(spark, sf_dir).select(n.alias("antecedent_name"), F.explode(cand).alias("x")).where(F.col("x").isNotNull())
+    return x.select("antecedent_name", F.col("x.c").alias("consequent_name"), F.col("x.k").alias("kind"),
+                    F.col("x.r").cast("bigint").alias("row_no"))
 
 
 def posts(spark, sf_dir) -> DataFrame:
