@@ -81,7 +81,7 @@ def pair_files(captions: DataFrame, images: DataFrame, name: str = "name", file:
     return c.join(best, "stem", "inner").select(F.concat("stem", F.lit(".txt")).alias("txt"), "image")
 
 
-def ensure_images(captions: DataFrame, own_images: DataFrame, raw_images: DataFrame,
+def ensure_images(captions: DataFrame, own_images: DataFrame | None, raw_images: DataFrame,
                   name: str = "name", file: str = "file", exts=MODEL_IMAGE_EXTS) -> DataFrame:
     """Every caption stem with the image it ends up with: its own image
     when the folder has one (any extension of the set, exact), else the
@@ -91,6 +91,10 @@ def ensure_images(captions: DataFrame, own_images: DataFrame, raw_images: DataFr
         d = d.withColumn("_r", ext_rank(F.col("ext"), exts)).where(F.col("_r").isNotNull())
         return d.groupBy("stem").agg(F.min_by("file", "_r").alias(tag))
     c = captions.select(F.col(name).alias("stem"))
-    j = c.join(best(own_images, "own"), "stem", "left").join(best(raw_images, "raw"), "stem", "left")
+    if own_images is None:
+        c = c.withColumn("own", F.lit(None).cast("string"))
+    else:
+        c = c.join(best(own_images, "own"), "stem", "left")
+    j = c.join(best(raw_images, "raw"), "stem", "left")
     origin = F.when(F.col("own").isNotNull(), "own").when(F.col("raw").isNotNull(), "raw")
     return j.select("stem", F.coalesce("own", "raw").alias("image"), origin.alias("origin"))

@@ -459,3 +459,164 @@ def q_finalize(spark, sf):
 def q_work_list(spark, sf):
     im = fl.image_files(fx.image_files(spark, sf), fl.MODEL_IMAGE_EXTS)
     return rv.work_list(im, STAGE_MODELS)
+
+
+# ------------------------------------------------- prompts, replies, stages
+from ..functions import prompts as pr  # noqa: E402
+from ..functions import replies as rp  # noqa: E402
+from ..operators import hooks as hk  # noqa: E402
+from ..operators import prune as pn  # noqa: E402
+from ..sources.scrape import ingest_scrape  # noqa: E402
+from . import curation as cu  # noqa: E402
+from . import stubs  # noqa: E402
+
+CAPTION_TYPES = list(pr.CAPTION_TYPE_MAP)
+PRUNE_MODELS = [{"model": "team/gamma"}, {"model": "lab/delta"}]
+CAPTION_MODELS = [{"model": m} for m in STAGE_MODELS]
+
+
+@query("caption_prompts")
+def q_caption_prompts(spark, sf):
+    d = fx.table(spark, sf, "documents")
+    ctype = F.element_at(F.array(*[F.lit(t) for t in CAPTION_TYPES]), (F.col("doc_id") % len(CAPTION_TYPES) + 1).cast("int"))
+    length = (F.when(F.col("doc_id") % 3 == 0, F.lit("any"))
+               .when(F.col("doc_id") % 3 == 1, F.size(fx.words(F.col("text"))).cast("string"))
+               .when(F.col("n_chars") > 5000, F.lit("very long")).otherwise(F.lit("short")))
+    extras = F.when(F.col("lang") == "en", F.array(F.lit(pr.NAME_OPTION))).otherwise(F.array().cast("array<string>"))
+    name = F.when(F.col("source").isin("src1", "src2"), F.lit("")).otherwise(F.concat(F.lit("Char_"), "source"))
+    req = d.select(fx.image_name(F.col("doc_id")).alias("key"), ctype.alias("caption_type"),
+                   length.alias("caption_length"), extras.alias("extras"), name.alias("name"))
+    return pr.caption_prompts(req, pr.caption_templates(spark)).withColumnRenamed("key", "name")
+
+
+ARTIST_TEMPLATE = "Artists behind the post of <UPLOADER> (<POSTER>):\n<BODY>"
+
+
+@query("artist_prompts")
+def q_artist_prompts(spark, sf):
+    r = fx.raw_posts(spark, sf).join(fx.table(spark, sf, "events").select("event_id", "event_type"), "event_id")
+    hb = r.select("event_id", "event_type", tx.post_header_body("raw").alias("p"))
+    instr = F.when(F.col("event_type") == "click", F.lit(ARTIST_TEMPLATE)).otherwise(F.lit(pr.ARTIST_DEFAULT_INSTR))
+    return hb.select("event_id", pr.artist_prompt(instr, F.col("p.uploader"), F.col("p.body")).alias("prompt"))
+
+
+def _filter_items(spark, sf):
+    im = fl.image_files(fx.image_files(spark, sf), fl.MODEL_IMAGE_EXTS).select(
+        "file", fl.stem_of(F.col("file")).alias("stem"))
+    d = fx.table(spark, sf, "documents").where(F.col("lang") != "es")
+    caps = fx.captions(spark, sf).join(d.select("doc_id"), "doc_id", "left_semi").select(
+        F.col("name").alias("stem"), F.col("text").alias("tag_text"))
+    return im.join(caps, "stem", "left").select(F.col("file").alias("image"), "tag_text")
+
+
+@query("chat_requests")
+def q_chat_requests(spark, sf):
+    r = pr.chat_requests(_filter_items(spark, sf), cu.FILTER, "Keep it short.")
+    return r.select("image", "user_text", "request", "error")
+
+
+@query("parse_prune_reply")
+def q_parse_prune_reply(spark, sf):
+    r = fx.replies(spark, sf)
+    t = r.select("conv_id", "turn", rp.parse_prune_reply(F.col("reply")).alias("t"))
+    return _tagrows(t.select(F.struct("conv_id", "turn").alias("k"), "t"), F.col("t"), "k").select(
+        "k.conv_id", "k.turn", "n_tags", "tags")
+
+
+def _artist_replies(spark, sf):
+    c = fx.table(spark, sf, "conversations").where(F.col("role") == "assistant")
+    w = fx.words(F.col("text"))
+    reply = F.concat(F.lit("prompt "), F.col("conv_id").cast("string"), F.lit("\n<|output|>\n"),
+                     F.array_join(w, ", "), F.lit(", "), F.coalesce(F.get(w, 0), F.lit("")))
+    return c.select("conv_id", "turn", reply.alias("reply"))
+
+
+@query("parse_artist_reply")
+def q_parse_artist_reply(spark, sf):
+    return _artist_replies(spark, sf).select("conv_id", "turn", rp.parse_artist_reply(F.col("reply")).alias("text"))
+
+
+@query("parse_tag_reply")
+def q_parse_tag_reply(spark, sf):
+    return fx.replies(spark, sf).select("conv_id", "turn", rp.parse_tag_reply(F.col("reply")).alias("text"))
+
+
+def _proposals(spark, sf):
+    """Prune replies paired with the caption of the document with the
+    same id."""
+    r = fx.replies(spark, sf).select("conv_id", "turn", rp.parse_prune_reply(F.col("reply")).alias("proposed"))
+    c = fx.captions(spark, sf).select(F.col("doc_id").alias("conv_id"), pn.caption_pieces(F.col("text")).alias("tags"))
+    c = c.withColumn("tags_lower", F.transform("tags", F.lower))
+    return r.join(c, "conv_id", "inner")
+
+
+@query("guard_proposals")
+def q_guard_proposals(spark, sf):
+    g = _proposals(spark, sf).select("conv_id", "turn", pn.guard(F.col("proposed"), F.col("tags_lower")).alias("k"))
+    return g.select("conv_id", "turn", F.size("k").cast("bigint").alias("n_kept"), F.array_join("k", " | ").alias("kept"))
+
+
+@query("prune_tags")
+def q_prune_tags(spark, sf):
+    p = _proposals(spark, sf)
+    p = p.withColumn("removed", pn.guard(F.col("proposed"), F.col("tags_lower")))
+    return p.select("conv_id", "turn", tx.join_tags(pn.remove_tags(F.col("tags"), F.col("removed"))).alias("text"))
+
+
+def _prune_replies(spark, sf):
+    c = fx.captions(spark, sf)
+    prompts = c.select("name", pr.prune_prompt(F.col("text")).alias("prompt"))
+    return hk.model_hook(prompts, stubs.prune_stub, "prompt", keep=["name"])
+
+
+@query("model_hook")
+def q_model_hook(spark, sf):
+    return _prune_replies(spark, sf).select("name", "reply", "error")
+
+
+@query("prune_captions")
+def q_prune_captions(spark, sf):
+    r = _prune_replies(spark, sf).select("name", "reply")
+    return pn.prune_captions(fx.captions(spark, sf), r, fx.dictionary(spark, sf))
+
+
+@query("artist_tags")
+def q_artist_tags(spark, sf):
+    return cu.artist_tags(fx.raw_posts(spark, sf), stubs.artist_stub).select("event_id", "text")
+
+
+@query("apply_transform")
+def q_apply_transform(spark, sf):
+    return hk.apply_transform(fx.captions(spark, sf).select("name", "text"), str.upper)
+
+
+@query("ingest_scrape")
+def q_ingest_scrape(spark, sf):
+    return ingest_scrape(fx.scrape_files(spark, sf)).select("stem", "image", "caption", "origin")
+
+
+@query("quarantine")
+def q_quarantine(spark, sf):
+    _, bad = hk.split_quarantine(ingest_scrape(fx.scrape_files(spark, sf)))
+    return bad.select("stem", "error")
+
+
+def _stage(spark, sf):
+    im = fl.image_files(fx.image_files(spark, sf), fl.MODEL_IMAGE_EXTS)
+    items = im.select(F.col("file").alias("image"), F.lit(None).cast("string").alias("tag_text"))
+    return cu.model_stage(items, CAPTION_MODELS, cu.GENERATE, "", stubs.chat_stub)
+
+
+@query("multi_model_stage")
+def q_multi_model_stage(spark, sf):
+    return _stage(spark, sf).select("model", "model_key", "image", "stem", "text", "error")
+
+
+@query("batch_summary")
+def q_batch_summary(spark, sf):
+    return cu.batch_summary(_stage(spark, sf))
+
+
+@query("curation_run")
+def q_curation_run(spark, sf):
+    return cu.curation_run(spark, fx.scrape_files(spark, sf), [], "", PRUNE_MODELS, "", "abo", stubs.chat_stub)

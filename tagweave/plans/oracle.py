@@ -548,3 +548,177 @@ im AS (SELECT stem, file AS image FROM image_inv WHERE lower(ext) IN {_MODEL_EXT
 SELECT coalesce(c.stem, im.stem) AS stem, c.text, im.image FROM c FULL OUTER JOIN im ON c.stem = im.stem"""
 SQL["work_list"] = with_("image_inv") + f"""SELECT file AS image, m.model FROM image_inv, (VALUES ('vendor/alpha'), ('lab/beta')) AS m(model)
 WHERE lower(ext) IN {_MODEL_EXTS}"""
+
+# ------------------------------------------------- prompts, replies, stages
+from ..functions import prompts as _pr  # noqa: E402
+
+
+def sql_str(s: str) -> str:
+    """A Python string as a DuckDB expression (quotes doubled, line breaks
+    as chr(10))."""
+    parts = [("'" + p.replace("'", "''") + "'") for p in s.split("\n")]
+    return " || chr(10) || ".join(parts)
+
+
+def ordered_distinct_join(list_expr: str, sep: str, key_cols: str, src: str, alias: str) -> str:
+    """CTE pieces: ordered de-dup of a list per key, joined by ``sep``."""
+    return f"""{alias}_u AS (SELECT {key_cols}, u.t, u.pos FROM (SELECT {key_cols}, {list_expr} AS l FROM {src}) s,
+                           unnest(s.l) WITH ORDINALITY AS u(t, pos)),
+{alias}_f AS (SELECT {key_cols}, t, min(pos) AS pos FROM {alias}_u GROUP BY {key_cols}, t),
+{alias} AS (SELECT k.*, coalesce((SELECT string_agg(t, '{sep}' ORDER BY pos) FROM {alias}_f f
+                                   WHERE {' AND '.join(f'f.{c.strip()} = k.{c.strip()}' for c in key_cols.split(','))}), '') AS text
+            FROM (SELECT DISTINCT {key_cols} FROM {src}) k)"""
+
+
+_TEMPLATES = "(VALUES " + ", ".join(
+    f"({sql_str(t)}, {i}, {sql_str(s)})" for t, tpl in _pr.CAPTION_TYPE_MAP.items() for i, s in enumerate(tpl)
+) + ") AS tp(caption_type, slot, template)"
+_TYPES = "[" + ", ".join(sql_str(t) for t in _pr.CAPTION_TYPE_MAP) + "]"
+SQL["caption_prompts"] = f"""WITH req AS (
+  SELECT {image_name('doc_id')} AS name, {_TYPES}[doc_id % {len(_pr.CAPTION_TYPE_MAP)} + 1] AS caption_type,
+         CASE doc_id % 3 WHEN 0 THEN 'any' WHEN 1 THEN CAST(len({WORDS}) AS VARCHAR)
+              ELSE CASE WHEN n_chars > 5000 THEN 'very long' ELSE 'short' END END AS caption_length,
+         CASE WHEN lang = 'en' THEN {sql_str(_pr.NAME_OPTION)} END AS extra,
+         CASE WHEN source IN ('src1', 'src2') THEN '{{NAME}}' ELSE concat('Char_', source) END AS nm
+  FROM documents),
+r AS (SELECT *, CASE WHEN caption_length = 'any' THEN 0 WHEN regexp_matches(caption_length, '^[0-9]+$') THEN 1 ELSE 2 END AS slot
+      FROM req)
+SELECT r.name, replace(replace(replace(CASE WHEN extra IS NULL THEN template ELSE concat(template, ' ', extra) END,
+                                       '{{word_count}}', caption_length), '{{length}}', caption_length), '{{name}}', nm) AS prompt
+FROM r JOIN {_TEMPLATES} ON r.caption_type = tp.caption_type AND r.slot = tp.slot"""
+
+CTE["header_body"] = f"""header_body AS (
+  SELECT event_id, CASE WHEN yi > 1 THEN replace(lower(parts[yi - 1]), ' ', '_') ELSE '' END AS uploader,
+         {strip(_hb_body)} AS body
+  FROM (SELECT event_id, parts, coalesce(list_position(list_transform(parts, lambda p: regexp_matches(p, '^\\d{{4}}$')), true), 0) AS yi
+        FROM (SELECT event_id, list_filter(list_transform(string_split({_hb_header}, ', '), lambda p: {strip('p')}), lambda p: p <> '') AS parts
+              FROM raw_posts)))"""
+DEPS["header_body"] = ["raw_posts"]
+_ARTIST_TEMPLATE = "Artists behind the post of <UPLOADER> (<POSTER>):\n<BODY>"
+SQL["artist_prompts"] = with_("header_body") + f"""SELECT h.event_id,
+  CASE WHEN e.event_type = 'click'
+       THEN replace(replace(replace({sql_str(_ARTIST_TEMPLATE)}, '<UPLOADER>', h.uploader), '<POSTER>', h.uploader), '<BODY>', h.body)
+       ELSE concat({sql_str(_pr.ARTIST_DEFAULT_INSTR)}, chr(10) || '### Uploader:' || chr(10), h.uploader,
+                   chr(10) || '### Body:' || chr(10), h.body, chr(10) || '<|output|>' || chr(10)) END AS prompt
+FROM header_body h JOIN events e ON h.event_id = e.event_id"""
+
+CTE["filter_items"] = f"""filter_items AS (
+  SELECT i.file AS image, c.text AS tag_text
+  FROM image_inv i LEFT JOIN (SELECT name, text FROM captions WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang <> 'es')) c
+    ON i.stem = c.name
+  WHERE lower(i.ext) IN {_MODEL_EXTS})"""
+DEPS["filter_items"] = ["image_inv", "captions"]
+_UT = f"concat('Keep it short.' || chr(10) || chr(10), {normalize_delimiters('tag_text')})"
+SQL["chat_requests"] = with_("filter_items") + f"""SELECT image,
+  CASE WHEN tag_text IS NOT NULL THEN {_UT} END AS user_text,
+  CASE WHEN tag_text IS NOT NULL THEN
+    '[{{"role":"system","content":[{{"type":"text","text":' || to_json({sql_str(_pr.SYSTEM_PROMPT_BASE)}) ||
+    '}}]}},{{"role":"user","content":[{{"type":"text","text":' || to_json({_UT}) ||
+    '}},{{"type":"image_url","image_url":{{"url":' || to_json(image) || '}}}}]}}]' END AS request,
+  CASE WHEN tag_text IS NULL THEN {sql_str(_pr.FILTER_NEEDS_TAGS)} END AS error
+FROM filter_items"""
+
+_FENCED = "(?s)```(?:\\w*\\n)?(.+?)```"
+_REMOVED = "(?is)removed\\s*(?:are|:)\\s*(.+)"
+
+
+def prune_reply_pieces(reply: str) -> str:
+    head = f"strpos(lower({reply}), '**output:**')"
+    parts = f"string_split(substr({reply}, {head} + 11), '```')"
+    after_head = f"CASE WHEN {head} > 0 AND len({parts}) >= 2 THEN {strip(parts + '[2]')} ELSE '' END"
+    block = (f"CASE WHEN regexp_matches({reply}, '{_FENCED}') THEN {strip(f'regexp_extract({reply}, {chr(39)}{_FENCED}{chr(39)}, 1)')} "
+             f"ELSE '' END")
+    removed = (f"CASE WHEN regexp_matches({reply}, '{_REMOVED}') THEN {strip(f'regexp_extract({reply}, {chr(39)}{_REMOVED}{chr(39)}, 1)')} "
+               f"ELSE {strip(reply)} END")
+    chosen = f"CASE WHEN {after_head} <> '' THEN {after_head} WHEN {block} <> '' THEN {block} ELSE {strip(removed)} END"
+    bullets = "^[-*•\\t\\n\\x0B\\f\\r\\x{85}\\p{Z}]+"
+    return comma_pieces(f"regexp_replace({chosen}, '{bullets}', '')")
+
+
+SQL["parse_prune_reply"] = with_("replies") + f"""SELECT conv_id, turn, CAST(len(t) AS BIGINT) AS n_tags, array_to_string(t, ' | ') AS tags
+FROM (SELECT conv_id, turn, {prune_reply_pieces('reply')} AS t FROM replies)"""
+
+CTE["artist_replies"] = f"""artist_replies AS (
+  SELECT conv_id, turn, concat('prompt ', conv_id, chr(10) || '<|output|>' || chr(10), array_to_string({WORDS}, ', '), ', ',
+                               coalesce({WORDS}[1], '')) AS reply
+  FROM conversations WHERE role = 'assistant')"""
+SQL["parse_artist_reply"] = with_("artist_replies") + ", " + ordered_distinct_join(
+    comma_pieces(strip("string_split(reply, '<|output|>')[-1]")), ", ", "conv_id, turn", "artist_replies", "par") + """
+SELECT conv_id, turn, text FROM par"""
+
+_LINE_END = "[^\\n\\r\\x0B\\f\\x1C\\x1D\\x1E\\x{85}\\x{2028}\\x{2029}]"
+_first = strip(f"regexp_extract(reply, '^({_LINE_END}*)', 1)")
+SQL["parse_tag_reply"] = with_("replies") + f"""SELECT conv_id, turn,
+  CASE WHEN reply <> '' THEN {strip(f"CASE WHEN starts_with({_first}, '-') THEN substr({_first}, 2) ELSE {_first} END")} END AS text
+FROM replies"""
+
+CTE["proposals"] = f"""proposals AS (
+  SELECT r.conv_id, r.turn, {prune_reply_pieces('r.reply')} AS proposed, {comma_pieces('c.text')} AS tags,
+         list_transform({comma_pieces('c.text')}, lambda x: lower(x)) AS tags_lower
+  FROM replies r JOIN captions c ON r.conv_id = c.doc_id)"""
+DEPS["proposals"] = ["replies", "captions"]
+SQL["guard_proposals"] = with_("proposals") + """SELECT conv_id, turn, CAST(len(k) AS BIGINT) AS n_kept, array_to_string(k, ' | ') AS kept
+FROM (SELECT conv_id, turn, list_filter(proposed, lambda t: list_contains(tags_lower, lower(t))) AS k FROM proposals)"""
+SQL["prune_tags"] = with_("proposals") + """, pr AS (
+  SELECT conv_id, turn, list_filter(tags, lambda t: NOT list_contains(
+           list_filter(proposed, lambda p: list_contains(tags_lower, lower(p))), t)) AS kept FROM proposals),
+""" + ordered_distinct_join("kept", ", ", "conv_id, turn", "pr", "pt") + """
+SELECT conv_id, turn, text FROM pt"""
+
+_STUB_TAGS = f"list_filter(list_transform(string_split({strip('text')}, ','), lambda t: {strip('t')}), lambda t: length(t) >= 9)"
+_STUB_REPLY = (f"'Sure.' || chr(10) || '**Output:**' || chr(10) || '```' || chr(10) || '- ' || "
+               f"array_to_string(list_append({_STUB_TAGS}, 'zz_not_there'), ', ') || chr(10) || '```' || chr(10) || 'Done'")
+SQL["model_hook"] = with_("captions") + f"SELECT name, {_STUB_REPLY} AS reply, CAST(NULL AS VARCHAR) AS error FROM captions"
+SQL["prune_captions"] = with_("captions", "live") + f""", pc AS (
+  SELECT name, {comma_pieces('text')} AS tags, {_STUB_TAGS} AS proposed FROM captions),
+pl AS (SELECT name, tags, proposed, list_transform(tags, lambda x: lower(x)) AS tags_lower FROM pc),
+pr AS (SELECT name, tags, list_filter(list_append(proposed, 'zz_not_there'), lambda p: list_contains(tags_lower, lower(p))) AS removed
+       FROM pl),
+pk AS (SELECT name, list_filter(tags, lambda t: NOT list_contains(removed, t)) AS kept FROM pr),
+pu AS (SELECT k.name, u.tag, u.pos FROM pk k, unnest(k.kept) WITH ORDINALITY AS u(tag, pos)),
+pf AS (SELECT name, tag, min(pos) AS pos FROM pu GROUP BY name, tag),
+pcd AS (SELECT f.name, f.tag, f.pos, {code_sql('f.tag', 'l.category')} AS code FROM pf f LEFT JOIN live l ON lower({strip('f.tag')}) = l.name)
+SELECT c.name, coalesce(string_agg(pcd.tag, ', ' ORDER BY {save_rank_sql('pcd.code')}, pcd.pos), '') AS text
+FROM captions c LEFT JOIN pcd ON c.name = pcd.name GROUP BY c.name"""
+
+SQL["artist_tags"] = with_("header_body") + """SELECT event_id,
+  CASE WHEN uploader = '' THEN concat('guest_', length(body)) ELSE concat(uploader, ', guest_', length(body)) END AS text
+FROM header_body"""
+
+SQL["apply_transform"] = with_("captions") + "SELECT name, upper(text) AS text FROM captions"
+
+CTE["scrape"] = """scrape AS (
+  SELECT page_id, concat('page_', lpad(CAST(page_id AS VARCHAR), 8, '0')) AS stem, url,
+         regexp_extract_all(lower(regexp_extract(html, '<title>(.*?)</title>', 1)), '[a-z]{3,}') AS w
+  FROM pages)"""
+CTE["ingested"] = """ingested AS (
+  SELECT stem, concat(stem, CASE WHEN page_id % 2 = 0 THEN '.png' ELSE '.jpg' END) AS image,
+    CASE page_id % 5 WHEN 0 THEN array_to_string(w, ', ') WHEN 1 THEN array_to_string(w, ', ')
+                     WHEN 2 THEN concat('k_', page_id) WHEN 3 THEN NULL
+                     ELSE CASE WHEN page_id % 2 = 0 THEN url END END AS caption,
+    CASE WHEN page_id % 5 <> 4 THEN 'json' WHEN page_id % 2 = 0 THEN 'txt' END AS origin,
+    CASE WHEN page_id % 5 = 3 THEN 'JSONDecodeError: invalid JSON' END AS error
+  FROM scrape)"""
+DEPS["ingested"] = ["scrape"]
+SQL["ingest_scrape"] = with_("ingested") + "SELECT stem, image, caption, origin FROM ingested"
+SQL["quarantine"] = with_("ingested") + "SELECT stem, error FROM ingested WHERE error IS NOT NULL"
+
+CTE["stage"] = f"""stage AS (
+  SELECT m.model, m.model_key, i.file AS image, i.stem,
+         CASE WHEN NOT ends_with(i.stem, '7') THEN concat(m.model_key, '_', i.stem, ', solo') END AS text,
+         CASE WHEN ends_with(i.stem, '7') THEN 'IndexError: list index out of range' END AS error
+  FROM image_inv i, (VALUES ('vendor/alpha', 'alpha'), ('lab/beta', 'beta')) AS m(model, model_key)
+  WHERE lower(i.ext) IN {_MODEL_EXTS})"""
+DEPS["stage"] = ["image_inv"]
+SQL["multi_model_stage"] = with_("stage") + "SELECT model, model_key, image, stem, text, error FROM stage"
+SQL["batch_summary"] = with_("stage") + """SELECT model, CAST(count(*) FILTER (WHERE error IS NULL) AS BIGINT) AS processed,
+  CAST(count(*) FILTER (WHERE error IS NOT NULL) AS BIGINT) AS failed,
+  coalesce(string_agg(concat(image, ': ', error), chr(10) ORDER BY image) FILTER (WHERE error IS NOT NULL AND rn <= 20), '') AS first_failures
+FROM (SELECT *, row_number() OVER (PARTITION BY model, error IS NULL ORDER BY image) AS rn FROM stage) GROUP BY model"""
+
+SQL["curation_run"] = with_("ingested") + f""", rc AS (SELECT stem AS name, caption AS text FROM ingested WHERE caption IS NOT NULL),
+""" + ordered_distinct_join(split_caption("text"), ", ", "name", "rc", "merged") + f""",
+pruned AS (SELECT m.name, array_to_string({comma_pieces('m.text')}[3:], ', ') AS text
+           FROM merged m JOIN ingested i ON m.name = i.stem WHERE NOT ends_with(m.name, '7')),
+""" + ordered_distinct_join(split_caption(strip("text")), ", ", "name", "pruned", "review") + """
+SELECT name, CASE WHEN starts_with(text, 'abo') THEN text ELSE concat('abo, ', text) END AS text FROM review"""

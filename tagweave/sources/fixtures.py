@@ -243,3 +243,26 @@ def patch_values(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     acts = x.where(F.col("pos") < 32).select("image", "patch", F.col("pos").alias("e"), F.col("q").alias("a"))
     grads = x.where(F.col("pos") >= 32).select("image", "patch", (F.col("pos") - 32).alias("e"), F.col("q").alias("g"))
     return acts, grads
+
+
+def scrape_files(spark, sf_dir) -> DataFrame:
+    """A scrape folder ``(file, text)`` from ``pages``: one image per page
+    (``.png`` for even ids, ``.jpg`` for odd), a JSON sidecar for four pages
+    in five (tags as a list, keywords as a string, an empty tag list with
+    keywords, or broken JSON), and a text sidecar (the URL) for even ids."""
+    p = table(spark, sf_dir, "pages")
+    stem = F.concat(F.lit("page_"), F.lpad(F.col("page_id").cast("string"), 8, "0"))
+    w = words(F.regexp_extract("html", "<title>(.*?)</title>", 1))
+    tag_list = F.when(F.size(w) == 0, F.lit("[]")).otherwise(F.concat(F.lit('["'), F.array_join(w, '", "'), F.lit('"]')))
+    m = F.col("page_id") % 5
+    js = (F.when(m == 0, F.concat(F.lit('{"tags": '), tag_list, F.lit("}")))
+           .when(m == 1, F.concat(F.lit('{"keywords": "'), F.array_join(w, " ,"), F.lit('"}')))
+           .when(m == 2, F.concat(F.lit('{"tags": [], "keywords": ["k_'), F.col("page_id").cast("string"), F.lit('"]}')))
+           .when(m == 3, F.lit('{"tags": [')))
+    img = F.concat(stem, F.when(F.col("page_id") % 2 == 0, F.lit(".png")).otherwise(F.lit(".jpg")))
+    cand = F.array(
+        F.struct(img.alias("file"), F.lit(None).cast("string").alias("text")),
+        F.when(js.isNotNull(), F.struct(F.concat(stem, F.lit(".json")).alias("file"), js.alias("text"))),
+        F.when(F.col("page_id") % 2 == 0, F.struct(F.concat(stem, F.lit(".txt")).alias("file"), F.col("url").alias("text"))))
+    x = p.select(F.explode(cand).alias("f")).where(F.col("f").isNotNull())
+    return x.select("f.file", "f.text")
