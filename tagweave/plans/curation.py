@@ -41,11 +41,13 @@ def parse_model_list(text_col) -> "F.Column":
     """S13 as a column: a JSON list of objects with a non-empty ``model``
     (``prompt`` optional), else a comma / newline separated list of ids;
     ``array<struct<model, prompt>>`` in the given order."""
-    js = F.from_json(text_col, "array<struct<model:string,prompt:string>>")
+    elems = F.from_json(text_col, "array<string>")  # objects come back as their JSON text
+    objs = F.filter(elems, lambda e: F.regexp_like(e, F.lit(r"^\s*\{")))
+    js = F.transform(objs, lambda e: F.from_json(e, "struct<model:string,prompt:string>"))
     from_json = F.filter(js, lambda c: F.coalesce(c["model"], F.lit("")) != "")
     ids = tx.comma_pieces(F.regexp_replace(text_col, "\n", ","))
     from_text = F.transform(ids, lambda m: F.struct(m.alias("model"), F.lit(None).cast("string").alias("prompt")))
-    is_list = F.regexp_like(text_col, F.lit(r"^\s*\[")) & js.isNotNull()
+    is_list = F.regexp_like(text_col, F.lit(r"^\s*\[")) & elems.isNotNull()
     return F.when(tx.strip_ws(text_col) == "", F.array().cast("array<struct<model:string,prompt:string>>")) \
             .when(is_list, from_json).otherwise(from_text)
 
