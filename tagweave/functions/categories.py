@@ -28,7 +28,7 @@ def category_code(tag, category_id) -> Column:
     expr = None
     for k, v in CATEGORY_ID_CODES.items():
         expr = F.when(cid == k, v) if expr is None else expr.when(cid == k, v)
-    return (expr.when(t.rlike(r"(?U)^\d{4}$"), "meta")
+    return (expr.when((F.length(t) == 4) & t.rlike(r"(?U)^\d{4}$"), "meta")
                 .when(t.startswith("meta:"), "meta")
                 .when(t.startswith("rating:"), "rate")
                 .otherwise("gen"))

@@ -19,20 +19,61 @@ TIMESTAMP_RX = r"\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}"
 YEAR_PIECE_RX = r"^\d{4}$"
 
 _WS_EDGES = r"(?U)^\s+|\s+$"
+# The Unicode White_Space characters (what Python's
+# ``str.strip`` and Java's ``(?U)\s`` remove).
+WHITE_SPACE = ["\t", "\n", "\x0b", "\x0c", "\r", " ", "\x85", "\xa0", "\u1680", "\u2000", "\u2001", "\u2002",
+               "\u2003", "\u2004", "\u2005", "\u2006", "\u2007", "\u2008", "\u2009", "\u200a", "\u2028", "\u2029",
+               "\u202f", "\u205f", "\u3000"]
+
+
+def _first_is_ws(c: Column) -> Column:
+    return F.substring(c, 1, 1).isin(*WHITE_SPACE)
+
+
+def _last_is_ws(c: Column) -> Column:
+    return F.substring(c, -1, 1).isin(*WHITE_SPACE)
 
 
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def with_array(df, name: str, expr: Column):
+    """Add ``expr`` as column ``name``, computed once per row.
+
+    Catalyst collapses adjacent projections and would copy ``expr`` into
+    any lambda that refers to ``name``, re-evaluating it for every array
+    element.  A one-element explode is a Generate node, which projections
+    are not collapsed through, so the lambda reads the value instead."""
+    return df.select("*", F.explode(F.array(expr)).alias(name))
+
+
+def first_per_key(items: Column, key: str) -> Column:
+    """One element per ``key`` from an array of structs whose first field is
+    ``key``: the smallest struct of each key (by the remaining fields).
+
+    Sort-based, O(n log n): ``array_distinct`` on structs compares pairs
+    (structs have no hash equality), which is quadratic in the array size.
+    The sorted array is zipped with itself shifted by one; both are
+    arguments, so no lambda refers to a computed array."""
+    srt = F.array_sort(items)
+    pairs = F.zip_with(srt, F.concat(F.slice(srt, 1, 1), srt),
+                       lambda c, p: F.struct(c.alias("c"), p[key].alias("pk")))
+    firsts = F.filter(pairs, lambda x, i: x["c"].isNotNull() & ((i == 0) | (x["pk"] != x["c"][key])))
+    return F.transform(firsts, lambda x: x["c"])
+
+
 def strip_ws(c) -> Column:
-    """Python ``str.strip()``."""
-    return F.regexp_replace(col(c), _WS_EDGES, "")
+    """Python ``str.strip()``.  The regex only runs when an end character
+    is white space (a hash lookup), which is rare for tags."""
+    c = col(c)
+    return F.when(_first_is_ws(c) | _last_is_ws(c), F.regexp_replace(c, _WS_EDGES, "")).otherwise(c)
 
 
 def rstrip_ws(c) -> Column:
     """Python ``str.rstrip()``."""
-    return F.regexp_replace(col(c), r"(?U)\s+$", "")
+    c = col(c)
+    return F.when(_last_is_ws(c), F.regexp_replace(c, r"(?U)\s+$", "")).otherwise(c)
 
 
 def lstrip_ws(c) -> Column:

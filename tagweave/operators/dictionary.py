@@ -53,11 +53,14 @@ def drop_categories(df: DataFrame, category: str = "category") -> DataFrame:
     return df.where(c.isNull() | ~c.isin(*UNWANTED_CATEGORY_IDS))
 
 
-def with_category_code(df: DataFrame, dictionary: DataFrame, tag: str = "tag", out: str = "code") -> DataFrame:
+def with_category_code(df: DataFrame, dictionary: DataFrame, tag: str = "tag", out: str = "code",
+                       stripped: bool = False) -> DataFrame:
     """Add the category code of each tag (dictionary lookup on the
-    lower-cased, stripped tag, then the text heuristics)."""
+    lower-cased, stripped tag, then the text heuristics).  ``stripped``
+    says the tags are already stripped (saves a pass per tag)."""
     cats = broadcast_if_small(live_tags(dictionary).select(F.col("name").alias("_k"), F.col("category").alias("_cat")))
-    j = df.join(cats, lookup_key(F.col(tag)) == F.col("_k"), "left")
+    key = F.lower(F.col(tag)) if stripped else lookup_key(F.col(tag))
+    j = df.join(cats, key == F.col("_k"), "left")
     return j.withColumn(out, category_code(F.col(tag), F.col("_cat"))).drop("_k", "_cat")
 
 

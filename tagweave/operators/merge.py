@@ -36,12 +36,13 @@ def merge_priority(sources: DataFrame, dictionary: DataFrame, name: str = "name"
     pieces = F.filter(F.transform(F.split(F.col(text), tx.DELIM, -1), tx.strip_ws), lambda t: t != "")
     t = sources.select(F.col(name).alias("name"), F.col(source_ord).alias("o"),
                        F.posexplode_outer(pieces).alias("pos", "tag"))
-    t = with_category_code(t, dictionary, "tag", "code")
-    item = F.when(F.col("tag").isNotNull(), F.struct("o", "pos", "tag", "code"))
-    g = t.groupBy("name").agg(F.array_sort(F.collect_list(item)).alias("s"))
-    firsts = F.array_distinct(F.transform("s", lambda x: F.struct(x["tag"].alias("tag"), x["code"].alias("code"))))
-    keyed = F.transform(firsts, lambda x, i: F.struct(x["code"].alias("code"), i.alias("i"), x["tag"].alias("tag")))
-    ordered = F.transform(F.array_sort(keyed), lambda x: x["tag"])
+    t = with_category_code(t, dictionary, "tag", "code", stripped=True)
+    item = F.when(F.col("tag").isNotNull(), F.struct("tag", "o", "pos", "code"))
+    g = t.groupBy("name").agg(F.collect_list(item).alias("s"))
+    firsts = tx.first_per_key(F.col("s"), "tag")  # first occurrence of each tag
+    ordered = F.transform(F.array_sort(F.transform(firsts, lambda x: F.struct(x["code"].alias("code"), x["o"].alias("o"),
+                                                                                x["pos"].alias("pos"), x["tag"].alias("tag")))),
+                          lambda x: x["tag"])
     return g.select(F.col("name").alias(name), tx.join_tags(ordered).alias(text))
 
 
@@ -49,10 +50,11 @@ def save_order(tagged: DataFrame, name: str = "name") -> DataFrame:
     """G1 on exploded rows ``(name, pos, tag, code)``: tags of a name in
     save order (char, spec, inv, art, year, gen, meta, rate), stable inside
     a bucket, repeats removed keeping the first."""
-    item = F.when(F.col("tag").isNotNull(), F.struct("pos", "tag", "code"))
-    g = tagged.groupBy(name).agg(F.array_sort(F.collect_list(item)).alias("s"))
-    firsts = F.array_distinct(F.transform("s", lambda x: F.struct(x["tag"].alias("tag"), x["code"].alias("code"))))
-    keyed = F.transform(firsts, lambda x, i: F.struct(save_rank(x["code"]).alias("r"), i.alias("i"), x["tag"].alias("tag")))
+    item = F.when(F.col("tag").isNotNull(), F.struct("tag", "pos", "code"))
+    g = tagged.groupBy(name).agg(F.collect_list(item).alias("s"))
+    firsts = tx.first_per_key(F.col("s"), "tag")
+    keyed = F.transform(firsts, lambda x: F.struct(save_rank(x["code"]).alias("r"), x["pos"].alias("pos"),
+                                                   x["tag"].alias("tag")))
     return g.select(name, tx.join_tags(F.transform(F.array_sort(keyed), lambda x: x["tag"])).alias("text"))
 
 
@@ -65,7 +67,7 @@ def keep_only_character(captions: DataFrame, dictionary: DataFrame, trigger: str
     if not trig:
         raise ValueError("no trigger tag provided")
     t = captions.select(F.col(name).alias("name"), F.posexplode_outer(tx.comma_pieces(F.col(text))).alias("pos", "tag"))
-    t = with_category_code(t, dictionary, "tag", "code")
+    t = with_category_code(t, dictionary, "tag", "code", stripped=True)
     is_char = F.col("code") == "char"
     is_trig = is_char & (F.lower("tag") == trig)
     keep = F.col("tag").isNotNull() & (~is_char | is_trig)

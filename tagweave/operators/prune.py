@@ -18,12 +18,18 @@ def caption_pieces(text: Column) -> Column:
     return tx.comma_pieces(text)
 
 
-def guard(proposals: Column, caption_lower: Column) -> Column:
+def guard(df: DataFrame, proposals: str, caption_lower: str, out: str) -> DataFrame:
     """Proposals that really occur in the caption, ignoring case;
     the proposal's spelling and order are kept, repeats too.
-    ``caption_lower`` must be a plain column (lower-cased caption tags),
-    not an expression, so the membership test stays O(1) per lookup."""
-    return F.filter(proposals, lambda t: F.array_contains(caption_lower, F.lower(t)))
+
+    The proposals missing from the caption are found with one hash pass
+    (``array_except``) and held in their own column; each proposal is then
+    checked against that short list, so the cost is O(proposals + tags)
+    rather than their product."""
+    missing = F.array_except(F.array_distinct(F.transform(proposals, F.lower)), F.col(caption_lower))
+    d = tx.with_array(df, "_missing", missing)
+    return d.withColumn(out, F.filter(proposals, lambda t: ~F.array_contains(F.col("_missing"), F.lower(t)))) \
+            .drop("_missing")
 
 
 def remove_tags(tags: Column, drop: Column) -> Column:
@@ -46,7 +52,7 @@ def prune_captions(captions: DataFrame, replies: DataFrame, dictionary: DataFram
     c = captions.select(F.col(name).alias("name"), caption_pieces(F.col(text)).alias("tags"))
     c = c.withColumn("tags_lower", F.transform("tags", F.lower))
     r = replies.select(F.col(name).alias("name"), parse_prune_reply(F.col(reply)).alias("proposed"))
-    j = c.join(r, "name", "left")
-    j = j.withColumn("removed", guard(F.coalesce("proposed", F.array().cast("array<string>")), F.col("tags_lower")))
+    j = c.join(r, "name", "left").withColumn("proposed", F.coalesce("proposed", F.array().cast("array<string>")))
+    j = guard(j, "proposed", "tags_lower", "removed")
     kept = j.select("name", F.posexplode_outer(remove_tags(F.col("tags"), F.col("removed"))).alias("pos", "tag"))
-    return save_order(with_category_code(kept, dictionary))
+    return save_order(with_category_code(kept, dictionary, stripped=True))

@@ -209,7 +209,7 @@ def q_merge_priority(spark, sf):
 def q_save_order(spark, sf):
     c = fx.captions(spark, sf)
     t = c.select("name", F.posexplode_outer(tx.comma_pieces("text")).alias("pos", "tag"))
-    return mg.save_order(dic.with_category_code(t, fx.dictionary(spark, sf)))
+    return mg.save_order(dic.with_category_code(t, fx.dictionary(spark, sf), stripped=True))
 
 
 @query("keep_only_character")
@@ -552,14 +552,13 @@ def _proposals(spark, sf):
 
 @query("guard_proposals")
 def q_guard_proposals(spark, sf):
-    g = _proposals(spark, sf).select("conv_id", "turn", pn.guard(F.col("proposed"), F.col("tags_lower")).alias("k"))
+    g = pn.guard(_proposals(spark, sf), "proposed", "tags_lower", "k")
     return g.select("conv_id", "turn", F.size("k").cast("bigint").alias("n_kept"), F.array_join("k", " | ").alias("kept"))
 
 
 @query("prune_tags")
 def q_prune_tags(spark, sf):
-    p = _proposals(spark, sf)
-    p = p.withColumn("removed", pn.guard(F.col("proposed"), F.col("tags_lower")))
+    p = pn.guard(_proposals(spark, sf), "proposed", "tags_lower", "removed")
     return p.select("conv_id", "turn", tx.join_tags(pn.remove_tags(F.col("tags"), F.col("removed"))).alias("text"))
 
 

@@ -186,7 +186,7 @@ def test_guard_and_remove(spark):
     df = spark.createDataFrame([(["Cat", "dog", "cat", "ghost"], ["cat", "Dog", "cat", "x"])],
                                "proposed array<string>, tags array<string>")
     df = df.withColumn("tl", F.transform("tags", F.lower))
-    r = df.select(pn.guard(F.col("proposed"), F.col("tl")).alias("g")).first()["g"]
+    r = pn.guard(df, "proposed", "tl", "g").first()["g"]
     assert r == ["Cat", "dog", "cat"]
     kept = df.select(pn.remove_tags(F.col("tags"), F.array(F.lit("cat"))).alias("k")).first()["k"]
     assert kept == ["Dog", "x"]
