@@ -124,6 +124,20 @@ def q_prepend_trigger(spark, sf):
     return c.select("name", tx.prepend_trigger("text", "abo").alias("text"))
 
 
+# ---------------------------------------------------------- caption files
+from ..sources import files as rd  # noqa: E402
+
+
+@query("src_captions")
+def q_src_captions(spark, sf):
+    return rd.decode_captions(fx.caption_bytes(spark, sf)).select("file", "name", "text")
+
+
+@query("src_captions_recursive")
+def q_src_captions_recursive(spark, sf):
+    return rd.decode_captions(fx.caption_bytes(spark, sf), lenient=True).select("file", "name", "text")
+
+
 # ---------------------------------------------------------- dictionary jobs
 
 @query("live_tags")

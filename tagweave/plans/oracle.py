@@ -228,6 +228,10 @@ FROM (SELECT event_id, parts, coalesce(list_position(list_transform(parts, lambd
 SQL["prepend_trigger"] = with_("captions") + ", " + basic_clean_sql("captions") + """
 SELECT name, CASE WHEN starts_with(text, 'abo') THEN text ELSE concat('abo, ', text) END AS text FROM basic_clean"""
 
+# ---------------------------------------------------------- caption files
+SQL["src_captions"] = with_("captions") + """SELECT concat(name, '.txt') AS file, name, text FROM captions WHERE doc_id % 7 <> 0"""
+SQL["src_captions_recursive"] = with_("captions") + """SELECT concat(name, '.txt') AS file, name, text FROM captions"""
+
 # ---------------------------------------------------------- dictionary jobs
 SQL["live_tags"] = with_("dictionary") + "SELECT name, category, post_count FROM dictionary WHERE post_count > 0"
 

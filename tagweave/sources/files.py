@@ -20,26 +20,29 @@ def _file_name(path_col):
     return F.regexp_extract(path_col, r"([^/]*)$", 1)
 
 
-def read_captions(spark: SparkSession, folder: str, recursive: bool = False, lenient: bool = False) -> DataFrame:
-    """Every ``.txt`` (suffix compared without case) of a folder ->
-    ``(file, name, text, path)``.
-
-    Strict mode (S1) keeps only files that are valid UTF-8 (the original
-    skips a file it cannot decode); lenient mode (S2, used by the delimiter
-    repair over a whole tree) drops the undecodable bytes instead.  Reading
-    through ``binaryFile`` keeps one row per file, and the glob keeps images
-    out of the scan."""
-    r = (spark.read.format("binaryFile").option("pathGlobFilter", "*.[tT][xX][tT]")
-         .option("recursiveFileLookup", str(recursive).lower()).load(folder))
-    r = r.select("path", "content").withColumn("file", _file_name(F.col("path")))
-    r = r.where(F.lower("file").endswith(".txt"))
-    raw = F.col("content").cast("string")
+def decode_captions(files: DataFrame, lenient: bool = False, file: str = "file", content: str = "content") -> DataFrame:
+    """Caption bytes -> text.  Strict mode (S1) keeps only valid UTF-8 (the
+    original skips a file it cannot decode); lenient mode (S2) drops the
+    undecodable bytes instead."""
+    raw = F.col(content).cast("string")
     if lenient:
         text = F.replace(F.make_valid_utf8(raw), F.lit(REPLACEMENT_CHAR), F.lit(""))
+        out = files
     else:
-        r = r.where(F.is_valid_utf8(raw))
         text = raw
-    return r.select("file", stem_of(F.col("file")).alias("name"), text.alias("text"), "path")
+        out = files.where(F.is_valid_utf8(raw))
+    return out.select(F.col(file).alias("file"), stem_of(F.col(file)).alias("name"), text.alias("text"))
+
+
+def read_captions(spark: SparkSession, folder: str, recursive: bool = False, lenient: bool = False) -> DataFrame:
+    """Every ``.txt`` (suffix compared without case) of a folder ->
+    ``(file, name, text)``, decoded by ``decode_captions``.  Reading through
+    ``binaryFile`` keeps one row per file, and the glob keeps images out of
+    the scan."""
+    r = (spark.read.format("binaryFile").option("pathGlobFilter", "*.[tT][xX][tT]")
+         .option("recursiveFileLookup", str(recursive).lower()).load(folder))
+    r = r.select("content", _file_name(F.col("path")).alias("file"))
+    return decode_captions(r.where(F.lower("file").endswith(".txt")), lenient)
 
 
 def read_caption_sources(spark: SparkSession, folders: list[str]) -> DataFrame:

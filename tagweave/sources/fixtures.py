@@ -266,3 +266,15 @@ def scrape_files(spark, sf_dir) -> DataFrame:
         F.when(F.col("page_id") % 2 == 0, F.struct(F.concat(stem, F.lit(".txt")).alias("file"), F.col("url").alias("text"))))
     x = p.select(F.explode(cand).alias("f")).where(F.col("f").isNotNull())
     return x.select("f.file", "f.text")
+
+
+def caption_bytes(spark, sf_dir) -> DataFrame:
+    """Caption files as bytes ``(file, content)``: the F1 captions encoded as
+    UTF-8; every seventh file gets an invalid byte sequence spliced in after
+    its first tag (an encoding accident)."""
+    c = captions(spark, sf_dir)
+    first = F.substring_index("text", ", ", 1)
+    rest = F.expr("substring(text, length(substring_index(text, ', ', 1)) + 1)")
+    bad = F.concat(F.encode(first, "UTF-8"), F.unhex(F.lit("FFFE")), F.encode(rest, "UTF-8"))
+    content = F.when(F.col("doc_id") % 7 == 0, bad).otherwise(F.encode("text", "UTF-8"))
+    return c.select(F.concat("name", F.lit(".txt")).alias("file"), content.alias("content"))

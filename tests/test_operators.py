@@ -201,3 +201,17 @@ def test_review_and_edits(spark):
     stored = spark.createDataFrame([("a", "old"), ("b", "keep")], "name string, text string")
     edits = spark.createDataFrame([("a", "new"), ("c", "added")], "name string, text string")
     assert sorted(tuple(x) for x in rv.apply_edits(stored, edits).collect()) == [("a", "new"), ("b", "keep"), ("c", "added")]
+
+
+def test_sanitize_on_bucketed_captions_needs_no_regroup_shuffle(spark, tmpdir_run):
+    import os
+    caps = spark.createDataFrame([(f"n{i}", "cat, dog, kitty") for i in range(20)], "name string, text string")
+    caps.write.bucketBy(4, "name").option("path", os.path.join(tmpdir_run, "caps")).saveAsTable("caps_bucketed_t")
+    d = small_table(spark, [tuple(r) for r in _dictionary(spark).collect()], ["name", "category", "post_count"])
+    a = small_table(spark, [tuple(r) for r in _aliases(spark).collect()],
+                    ["antecedent_name", "consequent_name", "kind", "row_no"])
+    out = dic.sanitize(spark.table("caps_bucketed_t"), d, dic.alias_map(a))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.split("BroadcastHashJoin")[0]
+    assert {r["text"] for r in out.collect()} == {"felid, dog"}
+    spark.sql("DROP TABLE caps_bucketed_t")
