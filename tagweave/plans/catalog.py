@@ -633,3 +633,20 @@ def q_batch_summary(spark, sf):
 @query("curation_run")
 def q_curation_run(spark, sf):
     return cu.curation_run(spark, fx.scrape_files(spark, sf), [], "", PRUNE_MODELS, "", "abo", stubs.chat_stub)
+
+
+@query("model_configs")
+def q_model_configs(spark, sf):
+    """S13 over model-list texts written per event: a JSON list (with an
+    entry without a model, which is dropped), a comma / newline list, or
+    nothing."""
+    e = fx.table(spark, sf, "events")
+    m = F.col("event_id") % 3
+    text = (F.when(m == 0, F.concat(F.lit('[{"model": "vendor/'), F.col("event_type"), F.lit('", "prompt": "p'),
+                                    F.col("user_id").cast("string"), F.lit('"}, {"model": ""}, {"model": "lab/'),
+                                    F.col("user_id").cast("string"), F.lit('"}]')))
+             .when(m == 1, F.concat(F.lit("vendor/"), F.col("event_type"), F.lit(", lab/u"),
+                                    F.col("user_id").cast("string"), F.lit("\n team/z ,")))
+             .otherwise(F.lit("  ")))
+    cfg = e.select("event_id", F.posexplode(cu.parse_model_list(text)).alias("model_ord", "c"))
+    return cfg.select("event_id", F.col("model_ord").cast("bigint").alias("model_ord"), "c.model", "c.prompt")

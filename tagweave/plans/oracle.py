@@ -726,3 +726,10 @@ pruned AS (SELECT m.name, array_to_string({comma_pieces('m.text')}[3:], ', ') AS
            FROM merged m JOIN ingested i ON m.name = i.stem WHERE NOT ends_with(m.name, '7')),
 """ + ordered_distinct_join(split_caption(strip("text")), ", ", "name", "pruned", "review") + """
 SELECT name, CASE WHEN starts_with(text, 'abo') THEN text ELSE concat('abo, ', text) END AS text FROM review"""
+
+SQL["model_configs"] = """SELECT event_id, CAST(0 AS BIGINT) AS model_ord, concat('vendor/', event_type) AS model,
+       concat('p', user_id) AS prompt FROM events WHERE event_id % 3 = 0
+UNION ALL SELECT event_id, 1, concat('lab/', user_id), NULL FROM events WHERE event_id % 3 = 0
+UNION ALL SELECT event_id, 0, concat('vendor/', event_type), NULL FROM events WHERE event_id % 3 = 1
+UNION ALL SELECT event_id, 1, concat('lab/u', user_id), NULL FROM events WHERE event_id % 3 = 1
+UNION ALL SELECT event_id, 2, 'team/z', NULL FROM events WHERE event_id % 3 = 1"""
