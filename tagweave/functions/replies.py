@@ -47,10 +47,11 @@ def parse_artist_reply(reply: Column) -> Column:
 
 
 def parse_tag_reply(reply: Column) -> Column:
-    """First line, stripped, one leading ``-`` removed, stripped again.
-    NULL for an empty reply (a failed record: the reference's
-    ``splitlines()[0]`` raises)."""
-    first = F.regexp_extract(reply, r"^([^\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]*)", 1)
+    """The reply as the chat client returns it (stripped), then its
+    first line, stripped, one leading ``-`` removed, stripped again.  NULL
+    for an empty reply (a failed record: ``splitlines()[0]`` raises)."""
+    r = tx.strip_ws(reply)
+    first = F.regexp_extract(r, r"^([^\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]*)", 1)
     s = tx.strip_ws(first)
     cleaned = tx.strip_ws(F.when(s.startswith("-"), F.substring(s, 2, F.length(s) + 1)).otherwise(s))
-    return F.when(F.coalesce(reply, F.lit("")) != "", cleaned)
+    return F.when(F.coalesce(r, F.lit("")) != "", cleaned)

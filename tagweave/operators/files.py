@@ -98,3 +98,17 @@ def ensure_images(captions: DataFrame, own_images: DataFrame | None, raw_images:
     j = c.join(best(raw_images, "raw"), "stem", "left")
     origin = F.when(F.col("own").isNotNull(), "own").when(F.col("raw").isNotNull(), "raw")
     return j.select("stem", F.coalesce("own", "raw").alias("image"), origin.alias("origin"))
+
+
+def restore_names(files: DataFrame, exts=None, file: str = "file") -> DataFrame:
+    """T8 as a copy plan: every file (optionally only these lower-cased
+    extensions) with its restored name.  Several files can restore to the
+    same name; the copy that lands last wins, made explicit here as the
+    greatest source name.  Returns ``(restored, source)``, one row per
+    restored name."""
+    from ..functions.text import restored_stem
+    f = files.select(F.col(file).alias("source"))
+    if exts is not None:
+        f = f.where(F.lower(ext_of(F.col("source"))).isin(*exts))
+    f = f.select(F.concat(restored_stem(stem_of(F.col("source"))), ext_of(F.col("source"))).alias("restored"), "source")
+    return f.groupBy("restored").agg(F.max("source").alias("source"))

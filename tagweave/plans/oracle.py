@@ -651,9 +651,9 @@ SQL["parse_artist_reply"] = with_("artist_replies") + ", " + ordered_distinct_jo
 SELECT conv_id, turn, text FROM par"""
 
 _LINE_END = "[^\\n\\r\\x0B\\f\\x1C\\x1D\\x1E\\x{85}\\x{2028}\\x{2029}]"
-_first = strip(f"regexp_extract(reply, '^({_LINE_END}*)', 1)")
+_first = strip(f"regexp_extract({strip('reply')}, '^({_LINE_END}*)', 1)")
 SQL["parse_tag_reply"] = with_("replies") + f"""SELECT conv_id, turn,
-  CASE WHEN reply <> '' THEN {strip(f"CASE WHEN starts_with({_first}, '-') THEN substr({_first}, 2) ELSE {_first} END")} END AS text
+  CASE WHEN {strip('reply')} <> '' THEN {strip(f"CASE WHEN starts_with({_first}, '-') THEN substr({_first}, 2) ELSE {_first} END")} END AS text
 FROM replies"""
 
 CTE["proposals"] = f"""proposals AS (

@@ -215,3 +215,12 @@ def test_sanitize_on_bucketed_captions_needs_no_regroup_shuffle(spark, tmpdir_ru
     assert "Exchange" not in plan.split("BroadcastHashJoin")[0]
     assert {r["text"] for r in out.collect()} == {"felid, dog"}
     spark.sql("DROP TABLE caps_bucketed_t")
+
+
+def test_restore_names_collisions(spark):
+    files = spark.createDataFrame([("clip_frame_1-up.png",), ("clip_frame_1-down.png",), ("a=1-x.TXT",), ("plain.jpg",)],
+                                  "file string")
+    got = {r["restored"]: r["source"] for r in fl.restore_names(files).collect()}
+    assert got == {"clip_frame_1.png": "clip_frame_1-up.png", "a=1.TXT": "a=1-x.TXT", "plain.jpg": "plain.jpg"}
+    only = {r["restored"] for r in fl.restore_names(files, exts=(".png",)).collect()}
+    assert only == {"clip_frame_1.png"}
