@@ -30,38 +30,58 @@ def apply_transform(df: DataFrame, fn, col: str = "text", out: str | None = None
     return df.withColumn(out, _udf(F.col(col)))
 
 
-def model_hook(df: DataFrame, call: Callable[[list[str]], list[str]], prompt: str = "prompt",
-               keep: Iterable[str] = ()) -> DataFrame:
+def _call_isolated(call, prompts):
+    """Replies and errors for one batch; a failing batch is retried record
+    by record so that one bad record only fails itself."""
+    try:
+        return list(call(prompts)), [None] * len(prompts)
+    except Exception:
+        replies, errors = [], []
+        for p in prompts:
+            try:
+                replies.append(call([p])[0])
+                errors.append(None)
+            except Exception as e:  # isolate the record
+                replies.append(None)
+                errors.append(f"{type(e).__name__}: {e}")
+        return replies, errors
+
+
+def model_hook(df: DataFrame, call, prompt: str = "prompt", keep: Iterable[str] = (),
+               by: str | None = None) -> DataFrame:
     """X2 + X3: send every prompt to a caller's batch function
     (``list[str] -> list[str]``) inside ``mapInPandas``; returns the kept
-    columns with ``reply`` and ``error``.  When a batch call fails, the
-    batch is retried record by record so that one bad record only fails
-    itself; its error text lands in ``error`` and the job goes on."""
+    columns with ``reply`` and ``error``.  With ``by``, ``call`` is a
+    factory ``key -> batch function`` and each row goes to the function of
+    its ``by`` value (one pass for many models).  Failures are isolated per
+    record: the error text lands in ``error`` and the job goes on."""
     keep = list(keep)
     fields = [f for f in df.schema.fields if f.name in keep]
     schema = T.StructType(fields + [T.StructField("reply", T.StringType()), T.StructField("error", T.StringType())])
+    cols = list(dict.fromkeys(keep + ([by] if by else []) + [prompt]))
 
     def run(batches):
+        funcs = {}
         for pdf in batches:
-            prompts = pdf[prompt].tolist()
-            try:
-                replies = list(call(prompts))
-                errors = [None] * len(prompts)
-            except Exception:
-                replies, errors = [], []
-                for p in prompts:
-                    try:
-                        replies.append(call([p])[0])
-                        errors.append(None)
-                    except Exception as e:  # isolate the record
-                        replies.append(None)
-                        errors.append(f"{type(e).__name__}: {e}")
+            replies = pd.Series([None] * len(pdf), index=pdf.index, dtype=object)
+            errors = pd.Series([None] * len(pdf), index=pdf.index, dtype=object)
+            groups = [(None, pdf)] if by is None else pdf.groupby(by, sort=False)
+            for key, part in groups:
+                if by is None:
+                    fn = call
+                elif key in funcs:
+                    fn = funcs[key]
+                else:
+                    fn = funcs[key] = call(key)
+                r, e = _call_isolated(fn, part[prompt].tolist())
+                replies.loc[part.index] = r
+                errors.loc[part.index] = e
             out = pdf[keep].copy() if keep else pd.DataFrame(index=pdf.index)
-            out["reply"] = replies
-            out["error"] = errors
+            out["reply"] = replies.to_numpy()
+            out["error"] = errors.to_numpy()
             yield out
 
-    return df.select(*keep, prompt).mapInPandas(run, schema)
+    return df.select(*cols).mapInPandas(run, schema)
 
 
 def split_quarantine(df: DataFrame, error: str = "error") -> tuple[DataFrame, DataFrame]:

@@ -14,7 +14,7 @@ from ..functions.replies import parse_artist_reply, parse_tag_reply
 from ..operators import files as fl
 from ..operators import hooks as hk
 from ..operators import merge as mg
-from ..session import cut_lineage
+from ..session import cut_lineage, materialize
 from ..sources.scrape import ingest_scrape
 
 GENERATE = "Generate Tags from Image (Image ➔ Tags)"
@@ -56,32 +56,35 @@ def model_stage(items: DataFrame, cfgs: list[dict], mode: str, prompt_fallback:
                 call_for: Callable[[str], Callable[[list[str]], list[str]]]) -> DataFrame:
     """C4: every configured model over every image of ``items(image,
     tag_text)``: request (T15) -> model (X2) -> first-line parse (T18).
-    Returns ``(model, model_key, image, stem, text, error)``; a row with an
-    error is a failed record (no caption written), the rest go on."""
-    out = None
-    for cfg in cfgs:
-        m = cfg.get("model")
-        if not m:
-            continue
-        req = pr.chat_requests(items, mode, cfg.get("prompt", prompt_fallback) or "")
-        ok, bad = req.where(F.col("error").isNull()), req.where(F.col("error").isNotNull())
-        r = hk.model_hook(ok.select("image", F.col("request").alias("prompt")), call_for(m), "prompt", keep=["image"])
-        parsed = r.select("image", parse_tag_reply(F.col("reply")).alias("text"), "error")
-        parsed = parsed.withColumn("error", F.coalesce("error", F.when(F.col("text").isNull(), F.lit(EMPTY_REPLY))))
-        part = parsed.unionByName(bad.select("image", F.lit(None).cast("string").alias("text"), "error"))
-        part = part.select(F.lit(m).alias("model"), F.lit(model_key(m)).alias("model_key"), "image",
-                           fl.stem_of(F.col("image")).alias("stem"), F.when(F.col("error").isNull(), F.col("text"))
-                           .alias("text"), "error")
-        out = part if out is None else out.unionByName(part)
-    return out
+    One pass: the image x model work list (J12) is expanded row-locally and
+    one ``mapInPandas`` sends each row to its model.  Returns ``(model,
+    model_key, image, stem, text, error)``; a row with an error is a failed
+    record (no caption written), the rest go on."""
+    runs = [(c["model"], c.get("prompt", prompt_fallback) or "") for c in cfgs if c.get("model")]
+    if not runs:
+        return None
+    cfg = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(p).alias("extra")) for m, p in runs])
+    work = items.select("image", "tag_text", F.explode(cfg).alias("r")).select("image", "tag_text", "r.model", "r.extra")
+    req = pr.chat_requests(work, mode, F.col("extra"), keep=("model",))
+    ok, bad = req.where(F.col("error").isNull()), req.where(F.col("error").isNotNull())
+    r = hk.model_hook(ok.select("model", "image", F.col("request").alias("prompt")), call_for, "prompt",
+                      keep=["model", "image"], by="model")
+    parsed = r.select("model", "image", parse_tag_reply(F.col("reply")).alias("text"), "error")
+    parsed = parsed.withColumn("error", F.coalesce("error", F.when(F.col("text").isNull(), F.lit(EMPTY_REPLY))))
+    allr = parsed.unionByName(bad.select("model", "image", F.lit(None).cast("string").alias("text"), "error"))
+    return allr.select("model", F.regexp_extract("model", r"([^/]*)$", 1).alias("model_key"), "image",
+                       fl.stem_of(F.col("image")).alias("stem"),
+                       F.when(F.col("error").isNull(), F.col("text")).alias("text"), "error")
 
 
 def batch_summary(stage: DataFrame, n_failures: int = 20) -> DataFrame:
     """Per model, processed and failed counts and the first failures
-    (``"<image>: <error>"``, by image name).  The first-n cut is a window
+    (``"<image>: <error>"``, by image name).  The stage is materialised
+    once, since both parts read it.  The first-n cut is a window
     with a row limit, which Spark plans as a partial top-n before the
     shuffle, so a model with many failures still sends only n rows."""
     from pyspark.sql import Window
+    stage = materialize(stage)  # the counts and the failure list must not call the models twice
     counts = stage.groupBy("model").agg(F.count_if(F.col("error").isNull()).cast("bigint").alias("processed"),
                                         F.count_if(F.col("error").isNotNull()).cast("bigint").alias("failed"))
     w = Window.partitionBy("model").orderBy("image")

@@ -56,3 +56,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         return df
     df.sparkSession.sparkContext.setCheckpointDir(checkpoint_dir(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once for several consumers: a reliable checkpoint in
+    the cluster's checkpoint folder when one is configured, else a
+    memory-and-disk persist (lost blocks are recomputed from lineage)."""
+    if checkpoint_dir(df.sparkSession) is not None:
+        return cut_lineage(df)
+    from pyspark import StorageLevel
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
