@@ -71,12 +71,14 @@ def sanitize(captions: DataFrame, dictionary: DataFrame, amap: DataFrame,
     canonicalisation.  Every input name stays; a caption that loses all its
     tags becomes ``""``.
 
-    Plan: outer posexplode -> two (size-checked) broadcast left joins ->
-    the dropped tags turn NULL -> one regroup by name.  ``collect_list``
-    combines map-side, so the shuffle carries about one row per caption.
+    Plan: repeats dropped row-locally (a repeated tag maps to the same
+    canonical tag, and only first occurrences count) -> outer posexplode ->
+    two (size-checked) broadcast left joins -> the dropped tags turn NULL ->
+    one regroup by name.  ``collect_list`` combines map-side, so the shuffle
+    carries about one row per caption.
     """
-    t = captions.select(F.col(name).alias("name"),
-                        F.posexplode_outer(tx.split_caption(F.col(text))).alias("pos", "tag"))
+    tags = F.array_distinct(tx.split_caption(F.col(text)))
+    t = captions.select(F.col(name).alias("name"), F.posexplode_outer(tags).alias("pos", "tag"))
     t = canonicalize(t, amap, "tag", "canon")
     cats = broadcast_if_small(live_tags(dictionary).select(F.col("name").alias("_k"), F.col("category").alias("_cat")))
     t = t.join(cats, F.col("canon") == F.col("_k"), "left")

@@ -33,7 +33,7 @@ def merge_priority(sources: DataFrame, dictionary: DataFrame, name: str = "name"
     """A2 + G2: raw text split on ``", "`` (no marker strip), pieces
     stripped, empties dropped, repeats removed keeping the first, then
     sorted by the category code as text and the first position."""
-    pieces = tx.stripped_pieces(F.col(text), tx.DELIM)
+    pieces = F.array_distinct(tx.stripped_pieces(F.col(text), tx.DELIM))  # only first occurrences count
     t = sources.select(F.col(name).alias("name"), F.col(source_ord).alias("o"),
                        F.posexplode_outer(pieces).alias("pos", "tag"))
     t = with_category_code(t, dictionary, "tag", "code", stripped=True)

@@ -222,7 +222,7 @@ def q_merge_priority(spark, sf):
 @query("save_order")
 def q_save_order(spark, sf):
     c = fx.captions(spark, sf)
-    t = c.select("name", F.posexplode_outer(tx.comma_pieces("text")).alias("pos", "tag"))
+    t = c.select("name", F.posexplode_outer(F.array_distinct(tx.comma_pieces("text"))).alias("pos", "tag"))
     return mg.save_order(dic.with_category_code(t, fx.dictionary(spark, sf), stripped=True))
 
 
