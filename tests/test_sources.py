@@ -176,3 +176,16 @@ def test_batch_equals_stream(spark, tmpdir_run):
     time.sleep(0.5)
     got_san = {r["name"]: r["text"] for r in spark.read.parquet(out).collect()}
     assert got_san == want_san
+
+
+def test_model_hook_dispatches_by_model(spark):
+    df = spark.createDataFrame([("m1", "a"), ("m2", "b"), ("m1", "c"), ("m2", "bad")], "model string, prompt string")
+
+    def factory(model):
+        def call(prompts):
+            if "bad" in prompts:
+                raise ValueError("no")
+            return [f"{model}:{p}" for p in prompts]
+        return call
+    r = {(x["model"], x["reply"], x["error"] is not None) for x in hk.model_hook(df, factory, keep=["model"], by="model").collect()}
+    assert r == {("m1", "m1:a", False), ("m2", "m2:b", False), ("m1", "m1:c", False), ("m2", None, True)}
