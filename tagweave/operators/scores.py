@@ -142,6 +142,19 @@ def topk(scores: Column, k: int = TOP_K) -> Column:
     return F.slice(F.array_sort(keyed), 1, F.least(F.lit(k), F.size(scores)))
 
 
+def topk_rows(scores: DataFrame, k: int = TOP_K, keys=("image", "model"), score: str = "score",
+              idx: str = "idx") -> DataFrame:
+    """W1 for scores stored as rows ``(image, model, idx, score)``: the best
+    ``k`` per (image, model), ties by label index, with ``rank`` from 0.
+    Planned as a partial top-k before the shuffle (WindowGroupLimit), so a
+    partition sends at most k rows per key; a key holds one image's labels
+    (bounded by the vocabulary)."""
+    from pyspark.sql import Window
+    w = Window.partitionBy(*keys).orderBy(F.col(score).desc(), F.col(idx))
+    r = scores.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)  # a filter on row_number itself
+    return r.withColumn("rank", F.col("_rn") - 1).drop("_rn")
+
+
 def label_arrays(vocab: DataFrame, model: str = "model", idx: str = "idx", tag: str = "tag") -> DataFrame:
     """Vocabulary ``(model, idx, tag)`` -> ``(model, labels array<string>)``
     with ``labels[idx]`` the tag (indices are dense per model)."""

@@ -224,3 +224,23 @@ def test_restore_names_collisions(spark):
     assert got == {"clip_frame_1.png": "clip_frame_1-up.png", "a=1.TXT": "a=1-x.TXT", "plain.jpg": "plain.jpg"}
     only = {r["restored"] for r in fl.restore_names(files, exts=(".png",)).collect()}
     assert only == {"clip_frame_1.png"}
+
+
+def test_topk_rows_uses_a_partial_limit(spark):
+    rows = [(i // 10, "m", i % 10, float((i * 7) % 10)) for i in range(40)]
+    df = spark.createDataFrame(rows, "image long, model string, idx int, score double")
+    out = sc.topk_rows(df, 3)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+    got = sorted((r["image"], r["rank"], r["idx"]) for r in out.collect() if r["image"] == 0)
+    assert got == [(0, 0, 7), (0, 1, 4), (0, 2, 1)]
+
+
+def test_row_local_rules_have_no_exchange_or_python(spark):
+    import __spark_entry__ as E
+    from tests.conftest import SF_SMALL
+    for key in ["strip_eot", "split_tags", "dedup_order", "basic_clean", "pad_only", "fix_delimiters", "keyword_clean",
+                "restore_names", "uploader_year", "post_header_body", "prepend_trigger", "parse_prune_reply",
+                "parse_artist_reply", "parse_tag_reply", "topk_scores", "auto_sigmoid", "grid_layout"]:
+        plan = E.queries()[key](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Python" not in plan and "MapInPandas" not in plan, key
