@@ -58,7 +58,7 @@ def first_per_key(items: Column, key: str) -> Column:
     (structs have no hash equality), which is quadratic in the array size.
     The sorted array is zipped with itself shifted by one; both are
     arguments, so no lambda refers to a computed array."""
-    srt = F.array_sort(items)
+    srt = F.sort_array(items)
     pairs = F.zip_with(srt, F.concat(F.slice(srt, 1, 1), srt),
                        lambda c, p: F.struct(c.alias("c"), p[key].alias("pk")))
     firsts = F.filter(pairs, lambda x, i: x["c"].isNotNull() & ((i == 0) | (x["pk"] != x["c"][key])))

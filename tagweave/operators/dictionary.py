@@ -85,6 +85,6 @@ def sanitize(captions: DataFrame, dictionary: DataFrame, amap: DataFrame,
     year = is_year_like(F.col("canon")) if year_rule == "observed" else is_year_pattern(F.col("canon"))
     keep = F.col("_k").isNotNull() & ~year & ~F.col("_cat").isin(*UNWANTED_CATEGORY_IDS)
     kept = F.when(keep, F.struct(F.col("pos"), F.col("canon")))
-    g = t.groupBy("name").agg(F.array_sort(F.collect_list(kept)).alias("_k"))
+    g = t.groupBy("name").agg(F.sort_array(F.collect_list(kept)).alias("_k"))
     out = tx.join_tags(F.array_distinct(F.transform("_k", lambda s: s["canon"])))
     return g.select(F.col("name").alias(name), out.alias(text))

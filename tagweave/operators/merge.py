@@ -18,7 +18,7 @@ def merge_captions(sources: DataFrame, name: str = "name", text: str = "text",
     N-way outer join); the list of a name is bounded by its sources."""
     t = sources.select(F.col(name).alias("name"),
                        F.struct(F.col(source_ord).alias("o"), tx.split_caption(F.col(text)).alias("tags")).alias("s"))
-    g = t.groupBy("name").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    g = t.groupBy("name").agg(F.sort_array(F.collect_list("s")).alias("s"))
     merged = F.array_distinct(F.flatten(F.transform("s", lambda x: x["tags"])))
     return g.select(F.col("name").alias(name), tx.join_tags(merged).alias(text))
 
@@ -40,7 +40,7 @@ def merge_priority(sources: DataFrame, dictionary: DataFrame, name: str = "name"
     item = F.when(F.col("tag").isNotNull(), F.struct("tag", "o", "pos", "code"))
     g = t.groupBy("name").agg(F.collect_list(item).alias("s"))
     firsts = tx.first_per_key(F.col("s"), "tag")  # first occurrence of each tag
-    ordered = F.transform(F.array_sort(F.transform(firsts, lambda x: F.struct(x["code"].alias("code"), x["o"].alias("o"),
+    ordered = F.transform(F.sort_array(F.transform(firsts, lambda x: F.struct(x["code"].alias("code"), x["o"].alias("o"),
                                                                                 x["pos"].alias("pos"), x["tag"].alias("tag")))),
                           lambda x: x["tag"])
     return g.select(F.col("name").alias(name), tx.join_tags(ordered).alias(text))
@@ -55,7 +55,7 @@ def save_order(tagged: DataFrame, name: str = "name") -> DataFrame:
     firsts = tx.first_per_key(F.col("s"), "tag")
     keyed = F.transform(firsts, lambda x: F.struct(save_rank(x["code"]).alias("r"), x["pos"].alias("pos"),
                                                    x["tag"].alias("tag")))
-    return g.select(name, tx.join_tags(F.transform(F.array_sort(keyed), lambda x: x["tag"])).alias("text"))
+    return g.select(name, tx.join_tags(F.transform(F.sort_array(keyed), lambda x: x["tag"])).alias("text"))
 
 
 def keep_only_character(captions: DataFrame, dictionary: DataFrame, trigger: str,
@@ -72,5 +72,5 @@ def keep_only_character(captions: DataFrame, dictionary: DataFrame, trigger: str
     is_trig = is_char & (F.lower("tag") == trig)
     keep = F.col("tag").isNotNull() & (~is_char | is_trig)
     item = F.when(keep, F.struct(F.when(is_trig, 0).otherwise(1).alias("g"), "pos", "tag"))
-    g = t.groupBy("name").agg(F.array_sort(F.collect_list(item)).alias("s"))
+    g = t.groupBy("name").agg(F.sort_array(F.collect_list(item)).alias("s"))
     return g.select(F.col("name").alias(name), tx.join_tags(F.transform("s", lambda x: x["tag"])).alias(text))

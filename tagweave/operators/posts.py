@@ -47,7 +47,7 @@ def inject_posts(posts: DataFrame, captions: DataFrame, name: str = "name", text
     v = _valid(posts).where(_ok())
     v = v.select("post_id", "filename", F.lower("artist").alias("a"), F.lower("year").alias("y"))
     v = v.groupBy("filename", "a", "y").agg(F.min("post_id").alias("post_id"))
-    per_caption = v.groupBy("filename").agg(F.array_sort(F.collect_list(F.struct("post_id", "a", "y"))).alias("ps"))
+    per_caption = v.groupBy("filename").agg(F.sort_array(F.collect_list(F.struct("post_id", "a", "y"))).alias("ps"))
     c = captions.select(F.col(name).alias("name"), F.col(text).alias("text"))
     j = c.join(per_caption, c.name == per_caption.filename, "left")
 

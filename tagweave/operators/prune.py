@@ -39,20 +39,20 @@ def remove_tags(tags: Column, drop: Column) -> Column:
     return F.array_except(tags, F.coalesce(drop, F.array().cast("array<string>")))
 
 
-def prune_captions(captions: DataFrame, replies: DataFrame, dictionary: DataFrame,
-                   name: str = "name", text: str = "text", reply: str = "reply") -> DataFrame:
+def prune_captions(replied: DataFrame, dictionary: DataFrame, name: str = "name", text: str = "text",
+                   reply: str = "reply") -> DataFrame:
     """Reply -> proposed tags -> guard -> remove -> save order.
 
-    ``captions(name, text)`` and ``replies(name, reply)`` (the model's
-    answer for that caption).  Every proposal that passes the guard is
-    removed (the review step starts with all of them selected).  The save
-    order needs the category of every kept tag: one explode, a broadcast
-    dictionary join and one regroup by name.
+    ``replied(name, text, reply)`` holds each caption with the model's
+    answer for it (the model hook keeps the caption on the row, so no join
+    is needed).  Every proposal that passes the guard is removed (the review
+    step starts with all of them selected).  The save order needs the
+    category of every kept tag: one explode, a broadcast dictionary join
+    and one regroup by name.
     """
-    c = captions.select(F.col(name).alias("name"), caption_pieces(F.col(text)).alias("tags"))
-    c = c.withColumn("tags_lower", F.transform("tags", F.lower))
-    r = replies.select(F.col(name).alias("name"), parse_prune_reply(F.col(reply)).alias("proposed"))
-    j = c.join(r, "name", "left").withColumn("proposed", F.coalesce("proposed", F.array().cast("array<string>")))
-    j = guard(j, "proposed", "tags_lower", "removed")
-    kept = j.select("name", F.posexplode_outer(remove_tags(F.col("tags"), F.col("removed"))).alias("pos", "tag"))
+    c = replied.select(F.col(name).alias("name"), caption_pieces(F.col(text)).alias("tags"),
+                       F.coalesce(parse_prune_reply(F.col(reply)), F.array().cast("array<string>")).alias("proposed"))
+    c = tx.with_array(c, "tags_lower", F.transform("tags", F.lower))
+    g = guard(c, "proposed", "tags_lower", "removed")
+    kept = g.select("name", F.posexplode_outer(remove_tags(F.col("tags"), F.col("removed"))).alias("pos", "tag"))
     return save_order(with_category_code(kept, dictionary, stripped=True))

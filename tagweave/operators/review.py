@@ -27,8 +27,8 @@ def review_items(images: DataFrame, model_captions: DataFrame | None, merged: Da
     j = im.join(caps, "stem", "left")
     item = F.when(F.col("model").isNotNull(), F.struct("model", "tags"))
     g = j.groupBy("file").agg(F.collect_list("tags").alias("_all"), F.collect_list(item).alias("_bm"))
-    union = F.array_sort(F.array_distinct(F.flatten("_all")))
-    by_model = F.map_from_entries(F.array_sort("_bm"))
+    union = F.sort_array(F.array_distinct(F.flatten("_all")))
+    by_model = F.map_from_entries(F.sort_array("_bm"))
     return g.select(F.col("file").alias("image"), union.alias("union"), by_model.alias("by_model"))
 
 

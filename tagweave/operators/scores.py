@@ -100,7 +100,7 @@ def dense_scores(embeddings: DataFrame, weights: DataFrame, head: str = "linear"
         u = parts[0]
         for p in parts[1:]:
             u = u.unionByName(p)
-        g = u.groupBy("image").agg(F.array_sort(F.collect_list(F.struct("_b", "scores"))).alias("s"))
+        g = u.groupBy("image").agg(F.sort_array(F.collect_list(F.struct("_b", "scores"))).alias("s"))
         out = g.select("image", F.flatten(F.transform("s", lambda x: x["scores"])).alias("scores"))
         if head == "gated":
             half = F.size("scores") / 2
@@ -139,7 +139,7 @@ def topk(scores: Column, k: int = TOP_K) -> Column:
     """The ``min(k, size)`` best ``struct(neg, idx, score)`` of a score
     vector, best first, ties broken by label index (row-local sort)."""
     keyed = F.transform(scores, lambda s, i: F.struct((-s).alias("neg"), i.alias("idx"), s.alias("score")))
-    return F.slice(F.array_sort(keyed), 1, F.least(F.lit(k), F.size(scores)))
+    return F.slice(F.sort_array(keyed), 1, F.least(F.lit(k), F.size(scores)))
 
 
 def topk_rows(scores: DataFrame, k: int = TOP_K, keys=("image", "model"), score: str = "score",
@@ -159,7 +159,7 @@ def label_arrays(vocab: DataFrame, model: str = "model", idx: str = "idx", tag:
     """Vocabulary ``(model, idx, tag)`` -> ``(model, labels array<string>)``
     with ``labels[idx]`` the tag (indices are dense per model)."""
     g = vocab.groupBy(F.col(model).alias("model")).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(idx).alias("i"), F.col(tag).alias("t")))).alias("s"))
+        F.sort_array(F.collect_list(F.struct(F.col(idx).alias("i"), F.col(tag).alias("t")))).alias("s"))
     return g.select("model", F.transform("s", lambda x: x["t"]).alias("labels"))
 
 
@@ -191,17 +191,17 @@ def dedup_labels(top) -> Column:
     top = F.col(top) if isinstance(top, str) else top
     ranked = F.transform(top, lambda x, i: F.struct(x["tag"].alias("tag"), x["score"].cast("bigint").alias("score"),
                                                     i.alias("rank")))
-    by_tag = F.array_sort(ranked)  # tag, then lowest score first
+    by_tag = F.sort_array(ranked)  # tag, then lowest score first
     prev = F.concat(F.array(F.lit(None).cast(_RANKED)), by_tag)
     marked = F.zip_with(by_tag, prev, lambda c, p: F.struct(
         c["tag"].alias("tag"), c["score"].alias("score"),
         (c["tag"].isNotNull() & (p.isNull() | (p["tag"] != c["tag"]))).alias("first")))
     lowest = F.filter(marked, lambda x: x["first"])
-    first_rank = F.array_sort(F.transform(F.array_distinct(F.transform(ranked, lambda x: x["tag"])),
+    first_rank = F.sort_array(F.transform(F.array_distinct(F.transform(ranked, lambda x: x["tag"])),
                                           lambda t, r: F.struct(t.alias("tag"), r.alias("rank"))))
     joined = F.zip_with(first_rank, lowest, lambda o, lo: F.struct(o["rank"].alias("rank"), o["tag"].alias("tag"),
                                                                   lo["score"].alias("score")))
-    return F.transform(F.array_sort(joined), lambda x: F.struct(x["tag"].alias("tag"), x["score"].alias("score"),
+    return F.transform(F.sort_array(joined), lambda x: F.struct(x["tag"].alias("tag"), x["score"].alias("score"),
                                                                x["rank"].alias("rank")))
 
 
@@ -244,7 +244,7 @@ def ensemble_tag_string(ens: DataFrame, threshold: float = DEFAULT_THRESHOLD) ->
     """Visible tags per image, first model's rank order, then tags new
     in later models."""
     vis = ens.where(above(F.col("sum_micro"), F.col("n_models"), threshold))
-    g = vis.groupBy("image").agg(F.array_sort(F.collect_list(F.struct("first", "tag"))).alias("s"))
+    g = vis.groupBy("image").agg(F.sort_array(F.collect_list(F.struct("first", "tag"))).alias("s"))
     return g.select("image", F.array_join(F.transform("s", lambda x: x["tag"]), ", ").alias("text"))
 
 

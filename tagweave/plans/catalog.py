@@ -576,10 +576,10 @@ def q_prune_tags(spark, sf):
     return p.select("conv_id", "turn", tx.join_tags(pn.remove_tags(F.col("tags"), F.col("removed"))).alias("text"))
 
 
-def _prune_replies(spark, sf):
+def _prune_replies(spark, sf, keep=("name",)):
     c = fx.captions(spark, sf)
-    prompts = c.select("name", pr.prune_prompt(F.col("text")).alias("prompt"))
-    return hk.model_hook(prompts, stubs.prune_stub, "prompt", keep=["name"])
+    prompts = c.select("name", "text", pr.prune_prompt(F.col("text")).alias("prompt"))
+    return hk.model_hook(prompts, stubs.prune_stub, "prompt", keep=list(keep))
 
 
 @query("model_hook")
@@ -589,8 +589,8 @@ def q_model_hook(spark, sf):
 
 @query("prune_captions")
 def q_prune_captions(spark, sf):
-    r = _prune_replies(spark, sf).select("name", "reply")
-    return pn.prune_captions(fx.captions(spark, sf), r, fx.dictionary(spark, sf))
+    r = _prune_replies(spark, sf, keep=("name", "text"))
+    return pn.prune_captions(r, fx.dictionary(spark, sf))
 
 
 @query("artist_tags")

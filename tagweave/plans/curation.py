@@ -90,7 +90,7 @@ def batch_summary(stage: DataFrame, n_failures: int = 20) -> DataFrame:
     w = Window.partitionBy("model").orderBy("image")
     first = (stage.where(F.col("error").isNotNull()).withColumn("_rn", F.row_number().over(w))
              .where(F.col("_rn") <= n_failures)
-             .groupBy("model").agg(F.array_sort(F.collect_list(F.struct("_rn", F.concat("image", F.lit(": "), "error")
+             .groupBy("model").agg(F.sort_array(F.collect_list(F.struct("_rn", F.concat("image", F.lit(": "), "error")
                                                                           .alias("line")))).alias("_f")))
     j = counts.join(first, "model", "left")
     return j.select("model", "processed", "failed",
