@@ -7,7 +7,7 @@ from __future__ import annotations
 import datetime as dt
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_ws
@@ -160,8 +160,8 @@ def read_label_file(spark: SparkSession, path: str, model: str, column: int = 0,
         rows_lst = rows_lst.select("idx", F.replace("tag", F.lit("_"), F.lit(" ")).alias("tag"))
         out = dense.unionByName(rows_lst)
     elif lower.endswith(".csv"):
-        raw = spark.read.option("header", "false").csv(path).withColumn("_rid", F.monotonically_increasing_id())
-        header = raw.orderBy("_rid").first()
+        raw = row_numbers(spark.read.option("header", "false").csv(path), "_rid")
+        header = raw.where(F.col("_rid") == 0).first()
         cols = [c for c in raw.columns if c != "_rid"]
         hdr = [header[c] for c in cols] if header is not None else []
         names = [h.lower() if h is not None else "" for h in hdr]
@@ -169,21 +169,37 @@ def read_label_file(spark: SparkSession, path: str, model: str, column: int = 0,
         if not skip_first_line:
             if any(n in {"name", "tag", "tags"} for n in names) and column == 0:
                 use, skip = next(i for i, n in enumerate(names) if n in {"name", "tag", "tags"}), True
-        body = raw if not skip else raw.where(F.col("_rid") != F.lit(raw.agg(F.min("_rid")).first()[0]))
+        body = raw.where(F.col("_rid") > 0) if skip else raw
         if use >= len(cols):
             body = body.where(F.lit(False))
             label = F.lit("")
         else:
-            body = body.where(F.col(cols[use]).isNotNull())
             label = F.col(cols[use])
-        out = body.select(F.row_number().over(Window.orderBy("_rid")).alias("idx"),
-                          F.replace(strip_ws(label), F.lit("_"), F.lit(" ")).alias("tag"))
-        out = out.select((F.col("idx") - 1).alias("idx"), "tag")
+        # rows too short for the label column are skipped, and later labels move up
+        body = row_numbers(body.where(label.isNotNull()).drop("_rid"), "idx")
+        out = body.select("idx", F.replace(strip_ws(label), F.lit("_"), F.lit(" ")).alias("tag"))
     else:
         raise ValueError(f"unknown tag file type: {path}")
     return out.select(F.lit(model).alias("model"), F.col("idx").cast("int").alias("idx"), "tag")
 
 
+def row_numbers(df: DataFrame, out: str) -> DataFrame:
+    """Number rows 0.. in reading order without moving them to one task.
+
+    ``monotonically_increasing_id`` holds the partition index in its high
+    bits and the row's place inside the partition in the low 33 bits; the
+    per-partition counts (one small row per partition) give each partition
+    its offset."""
+    d = df.withColumn("_mid", F.monotonically_increasing_id())
+    d = d.withColumn("_p", F.shiftright("_mid", 33)).withColumn("_i", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)))
+    counts = d.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    from pyspark.sql import Window
+    offs = counts.select("_p", (F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)))
+                         .alias("_off"))
+    j = d.join(F.broadcast(offs), "_p")
+    return j.withColumn(out, (F.coalesce("_off", F.lit(0)) + F.col("_i")).cast("long")).drop("_mid", "_p", "_i", "_off")
+
+
 REGISTRY_STRUCT = ("struct<repo:string,subfolder:string,filename:string,timm_id:string,num_classes:int,"
                    "tags_file:string,head_type:string,supports_cam:boolean,backend:string,"
                    "use_column_number:int,skip_first_line:boolean>")

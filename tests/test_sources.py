@@ -189,3 +189,11 @@ def test_model_hook_dispatches_by_model(spark):
         return call
     r = {(x["model"], x["reply"], x["error"] is not None) for x in hk.model_hook(df, factory, keep=["model"], by="model").collect()}
     assert r == {("m1", "m1:a", False), ("m2", "m2:b", False), ("m1", "m1:c", False), ("m2", None, True)}
+
+
+def test_row_numbers_across_partitions(spark):
+    df = spark.range(0, 1000, 1, 7)
+    got = [(r["id"], r["n"]) for r in rd.row_numbers(df, "n").collect()]
+    assert sorted(got) == [(i, i) for i in range(1000)]
+    plan = rd.row_numbers(df, "n")._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan.split("BroadcastExchange")[0]  # rows never gather in one task
