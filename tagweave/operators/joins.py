@@ -32,3 +32,14 @@ def broadcast_if_small(df: DataFrame, max_bytes: int | None = None) -> DataFrame
     if size is not None and size <= max_bytes:
         return F.broadcast(df)
     return df
+
+
+def broadcast_within(df: DataFrame, bound_bytes: int | None, max_bytes: int | None = None) -> DataFrame:
+    """Hint a broadcast when an upper bound of ``df``'s size, derived from
+    its inputs by the caller, is under the limit (the planner's own
+    estimate of a derived table can be far above its real size)."""
+    if max_bytes is None:
+        max_bytes = int(df.sparkSession.conf.get(BROADCAST_CONF, str(DEFAULT_BROADCAST_BYTES)))
+    if bound_bytes is not None and bound_bytes <= max_bytes:
+        return F.broadcast(df)
+    return broadcast_if_small(df, max_bytes)
