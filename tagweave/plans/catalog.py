@@ -533,8 +533,7 @@ def q_chat_requests(spark, sf):
 def q_parse_prune_reply(spark, sf):
     r = fx.replies(spark, sf)
     t = r.select("conv_id", "turn", rp.parse_prune_reply(F.col("reply")).alias("t"))
-    return _tagrows(t.select(F.struct("conv_id", "turn").alias("k"), "t"), F.col("t"), "k").select(
-        "k.conv_id", "k.turn", "n_tags", "tags")
+    return t.select("conv_id", "turn", F.size("t").cast("bigint").alias("n_tags"), F.array_join("t", " | ").alias("tags"))
 
 
 def _artist_replies(spark, sf):
