@@ -127,11 +127,13 @@ def pad_only(c) -> Column:
 
 def stripped_pieces(c, delim: str) -> Column:
     """``[p.strip() for p in c.split(delim) if p.strip()]`` without a
-    lambda: the text is stripped once, the split pattern takes the white
-    space around each delimiter with it, and empty pieces are removed with
-    ``array_remove`` (all built-in, no per-element interpreted function)."""
-    rx = r"(?U)\s*" + re.escape(delim).replace(r"\ ", " ") + r"\s*"
-    return F.array_remove(F.split(strip_ws(c), rx, -1), "")
+    lambda: the split pattern takes the white space around each delimiter,
+    and the white space at both ends of the text, with it; empty pieces are
+    removed with ``array_remove`` (all built-in, no per-element
+    interpreted function)."""
+    d = re.escape(delim).replace(r"\ ", " ")
+    rx = r"(?U)^\s+|\s*" + d + r"\s*|\s+$"
+    return F.array_remove(F.split(col(c), rx, -1), "")
 
 
 def comma_pieces(c) -> Column:
