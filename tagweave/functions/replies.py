@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 from . import text as tx
 
 # The markers the parsers look for.
-OUTPUT_HEAD_RX = r"(?i)\*\*Output:\*\*"
-FENCE = "```"
+AFTER_HEAD_RX = r"(?is)\*\*Output:\*\*.*?```(.*?)(?:```|\z)"
 FENCED_BLOCK_RX = r"(?s)(?U)```(?:\w*\n)?(.+?)```"
 REMOVED_RX = r"(?is)(?U)removed\s*(?:are|:)\s*(.+)"
 BULLETS_RX = r"(?U)^[\-\*•\s]+"
@@ -22,15 +21,11 @@ def prune_reply_text(reply: Column) -> Column:
     block after ``**Output:**``, else the first fenced block, else the text
     after "removed are"/"removed:", else the whole reply; leading bullets
     and white space dropped."""
-    head = F.regexp_instr(reply, F.lit(OUTPUT_HEAD_RX))
-    seg = F.substring(reply, head + len("**Output:**"), F.length(reply) + 1)
-    parts = F.split(seg, FENCE, 3)
-    after_head = F.when((head > 0) & (F.size(parts) >= 2), tx.strip_ws(F.get(parts, 1))).otherwise(F.lit(""))
-    block = F.when(F.regexp_like(reply, F.lit(FENCED_BLOCK_RX)),
-                   tx.strip_ws(F.regexp_extract(reply, FENCED_BLOCK_RX, 1))).otherwise(F.lit(""))
-    removed = F.when(F.regexp_like(reply, F.lit(REMOVED_RX)), tx.strip_ws(F.regexp_extract(reply, REMOVED_RX, 1))) \
-               .otherwise(tx.strip_ws(reply))
-    chosen = F.when(after_head != "", after_head).when(block != "", block).otherwise(tx.strip_ws(removed))
+    # after the head: what stands between the next two fences (or after the only one)
+    after_head = tx.strip_ws(F.regexp_extract(reply, AFTER_HEAD_RX, 1))
+    block = tx.strip_ws(F.regexp_extract(reply, FENCED_BLOCK_RX, 1))
+    removed = tx.strip_ws(F.regexp_extract(reply, REMOVED_RX, 1))
+    chosen = F.coalesce(*[F.nullif(x, F.lit("")) for x in (after_head, block, removed)], tx.strip_ws(reply))
     return F.regexp_replace(chosen, BULLETS_RX, "")
 
 
@@ -52,6 +47,5 @@ def parse_tag_reply(reply: Column) -> Column:
     for an empty reply (a failed record: ``splitlines()[0]`` raises)."""
     r = tx.strip_ws(reply)
     first = F.regexp_extract(r, r"^([^\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]*)", 1)
-    s = tx.strip_ws(first)
-    cleaned = tx.strip_ws(F.when(s.startswith("-"), F.substring(s, 2, F.length(s) + 1)).otherwise(s))
+    cleaned = tx.strip_ws(F.regexp_replace(tx.strip_ws(first), "^-", ""))
     return F.when(F.coalesce(r, F.lit("")) != "", cleaned)

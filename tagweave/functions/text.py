@@ -2,8 +2,9 @@
 
 Python's ``str.strip``/``split``/``\\s``/``\\d`` are Unicode aware; Java's
 regex classes are ASCII unless ``(?U)`` is given, so every pattern here
-carries it.  ``trim()`` only removes blanks, so white space is stripped with
-a regex instead.
+carries it.  White space is stripped with the built-in ``trim`` over the
+Unicode white-space set: one expression node that names its argument once,
+so nested rules stay small.
 """
 
 from __future__ import annotations
@@ -18,9 +19,7 @@ from pyspark.sql import functions as F
 EOT_MARKER_RX = r"<\|eot_id\|>"
 DELIM = ", "
 TIMESTAMP_RX = r"\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}"
-YEAR_PIECE_RX = r"^\d{4}$"
 
-_WS_EDGES = r"(?U)^\s+|\s+$"
 # The Unicode White_Space characters (what Python's
 # ``str.strip`` and Java's ``(?U)\s`` remove).
 WHITE_SPACE = ["\t", "\n", "\x0b", "\x0c", "\r", " ", "\x85", "\xa0", "\u1680", "\u2000", "\u2001", "\u2002",
@@ -28,14 +27,6 @@ WHITE_SPACE = ["\t", "\n", "\x0b", "\x0c", "\r", " ", "\x85", "\xa0", "\u1680",
                "\u202f", "\u205f", "\u3000"]
 
 
-def _first_is_ws(c: Column) -> Column:
-    return F.substring(c, 1, 1).isin(*WHITE_SPACE)
-
-
-def _last_is_ws(c: Column) -> Column:
-    return F.substring(c, -1, 1).isin(*WHITE_SPACE)
-
-
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -66,20 +57,13 @@ def first_per_key(items: Column, key: str) -> Column:
 
 
 def strip_ws(c) -> Column:
-    """Python ``str.strip()``.  The regex only runs when an end character
-    is white space (a hash lookup), which is rare for tags."""
-    c = col(c)
-    return F.when(_first_is_ws(c) | _last_is_ws(c), F.regexp_replace(c, _WS_EDGES, "")).otherwise(c)
+    """Python ``str.strip()``."""
+    return F.trim(col(c), F.lit("".join(WHITE_SPACE)))
 
 
 def rstrip_ws(c) -> Column:
     """Python ``str.rstrip()``."""
-    c = col(c)
-    return F.when(_last_is_ws(c), F.regexp_replace(c, r"(?U)\s+$", "")).otherwise(c)
-
-
-def lstrip_ws(c) -> Column:
-    return F.regexp_replace(col(c), r"(?U)^\s+", "")
+    return F.rtrim(col(c), F.lit("".join(WHITE_SPACE)))
 
 
 def strip_eot(c) -> Column:
@@ -183,10 +167,11 @@ def restored_stem(stem) -> Column:
 
 
 def _whole_word_rx(word: Column) -> Column:
-    """``(?iu)\\b<literal>\\b``; ``\\E`` inside the word is split out so the
-    quoting cannot be closed early."""
+    """``(?iuU)\\b<literal>\\b`` (Unicode word boundaries on every Java
+    version); ``\\E`` inside the word is split out so the quoting cannot be
+    closed early."""
     quoted = F.concat(F.lit(r"\Q"), F.replace(word, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
-    return F.concat(F.lit(r"(?iu)\b"), quoted, F.lit(r"\b"))
+    return F.concat(F.lit(r"(?iuU)\b"), quoted, F.lit(r"\b"))
 
 
 def contains_word(text, word) -> Column:
@@ -210,23 +195,30 @@ def inject_artist_year(text, artist, year) -> Column:
     return F.when(has_both, t).otherwise(spliced)
 
 
-def _first_year_index(parts: Column) -> Column:
-    """1-based position of the first 4-digit piece, 0 when none."""
-    return F.array_position(F.transform(parts, lambda p: p.rlike("(?U)" + YEAR_PIECE_RX)), True)
+# The first 4-digit piece of ``", "``-joined pieces: what stands before it,
+# the year itself, and what stands after it.
+YEAR_SPLIT_RX = r"(?sU)^(?:(.*?), )?(\d{4})(?:, (.*))?$"
+
+
+def _around_year(pieces: Column, group: int) -> Column:
+    """Group 1 (before), 2 (the year) or 3 (after) of the first 4-digit
+    piece; ``""`` when there is none."""
+    return F.regexp_extract(join_tags(pieces), YEAR_SPLIT_RX, group)
+
+
+def _as_uploader(before: Column) -> Column:
+    """The last piece before the year, in lower case with ``_`` for blanks."""
+    return F.replace(F.lower(F.substring_index(before, DELIM, -1)), F.lit(" "), F.lit("_"))
 
 
 def uploader_year(raw) -> Column:
     """``"<uploader>, <year>"`` from a raw post, NULL when the record
     is skipped (fewer than 3 pieces or no piece before the year)."""
-    r = col(raw)
-    after = F.when(F.instr(r, ",") > 0, F.regexp_replace(r, r"^[^,]*,[, \t\n]*", "")) \
-             .otherwise(F.regexp_replace(r, r"^[ \t\n]+", ""))
-    parts = F.filter(F.transform(F.split(after, DELIM, -1), strip_ws), lambda p: p != "")
-    yi = _first_year_index(parts)
-    uploader = F.replace(F.lower(F.get(parts, (yi - 2).cast("int"))), F.lit(" "), F.lit("_"))
-    year = F.get(parts, (yi - 1).cast("int"))
-    ok = (F.size(parts) >= 3) & (yi > 1)
-    return F.when(ok, F.concat(uploader, F.lit(DELIM), year))
+    after = F.regexp_replace(col(raw), r"^(?:[^,]*,[, \t\n]*|[ \t\n]+(?=[^,]*$))", "")
+    parts = stripped_pieces(after, DELIM)
+    before = _around_year(parts, 1)
+    return F.when((F.size(parts) >= 3) & (before != ""),
+                  F.concat(_as_uploader(before), F.lit(DELIM), _around_year(parts, 2)))
 
 
 def post_header_body(raw) -> Column:
@@ -237,18 +229,10 @@ def post_header_body(raw) -> Column:
     first 4-digit piece (``""`` when there is none); body is the text after
     the year up to the timestamp, with ``", "`` and white space stripped.
     """
-    r = col(raw)
-    fc = F.locate(",", r)
-    rest = F.substring(r, fc + 1, F.length(r) + 1)  # fc = 0 -> whole text
-    rest = F.regexp_replace(rest, r"(?U)^[,\s]+", "")
-    header = F.regexp_replace(rest, "(?s)" + TIMESTAMP_RX + ".*$", "")
-    parts = F.filter(F.transform(F.split(header, DELIM, -1), strip_ws), lambda p: p != "")
-    yi = _first_year_index(parts)
-    uploader = F.when(yi > 1, F.replace(F.lower(F.get(parts, (yi - 2).cast("int"))), F.lit(" "), F.lit("_"))) \
-                .otherwise(F.lit(""))
-    after = F.when(yi > 0, join_tags(F.slice(parts, (yi + 1).cast("int"), F.size(parts) + 1))).otherwise(F.lit(""))
-    body = strip_ws(F.regexp_replace(after, r"^[, ]+|[, ]+$", ""))
-    return F.struct(uploader.alias("uploader"), body.alias("body"))
+    header = F.regexp_extract(col(raw), r"(?sU)^(?:[^,]*,)?[,\s]*+(.*?)(?:" + TIMESTAMP_RX + r".*)?$", 1)
+    parts = stripped_pieces(header, DELIM)
+    body = strip_ws(F.trim(_around_year(parts, 3), F.lit(DELIM)))
+    return F.struct(_as_uploader(_around_year(parts, 1)).alias("uploader"), body.alias("body"))
 
 
 def prepend_trigger(text, trigger: str) -> Column:
