@@ -45,10 +45,12 @@ def heat_fuse(cells: DataFrame) -> DataFrame:
 def heat_mask(num: Column, den: Column, threshold: float, alpha: float) -> Column:
     """M7: ``alpha * 255`` (as uint8) where the normalised value is at or
     above the threshold, else 0.  ``num / den >= thr`` is tested exactly as
-    ``num * 10^6 >= thr_micro * den``."""
+    ``num * 10^6 >= thr_micro * den``; a flat map (``den = 0``) has the
+    value 0 everywhere."""
     a = int(alpha * 255)
     thr = int(round(threshold * 1_000_000))
-    return F.when(num * 1_000_000 >= F.lit(thr) * den, F.lit(a)).otherwise(F.lit(0))
+    hot = F.when(den == 0, F.lit(thr <= 0)).otherwise(num * 1_000_000 >= F.lit(thr) * den)
+    return F.when(hot, F.lit(a)).otherwise(F.lit(0))
 
 
 def patch_saliency(acts: DataFrame, grads: DataFrame) -> DataFrame:
