@@ -142,7 +142,9 @@ The user will send **one line of comma-separated tags**. Perform the following s
 
 # ---------------------------------------------------------------------------
 
-FILTER_NEEDS_TAGS = "In Filter mode you must provide a tag file."
+# Modes of a chat request, and the error code of a record without tags.
+GENERATE, FILTER = "generate", "filter"
+FILTER_NEEDS_TAGS = "filter_needs_tags"
 
 
 def caption_templates(spark) -> DataFrame:
@@ -197,11 +199,11 @@ def prune_prompt(caption: Column) -> Column:
 
 def chat_user_text(mode: str, extra, tag_text: Column) -> Column:
     """T15 user text: the stripped extra prompt and a blank line when there
-    is one, then the normalised tags (Filter mode) or the fixed line.
+    is one, then the normalised tags (filter mode) or the fixed line.
     ``extra`` is a string or a column (one extra prompt per model)."""
     ex = tx.strip_ws(F.lit(extra) if isinstance(extra, str) else extra)
     lead = F.when(ex != "", F.concat(ex, F.lit("\n\n"))).otherwise(F.lit(""))
-    body = tx.normalize_delimiters(tag_text) if mode.startswith("Filter") else F.lit(LOOK_AT_IMAGE)
+    body = tx.normalize_delimiters(tag_text) if mode == FILTER else F.lit(LOOK_AT_IMAGE)
     return F.concat(lead, body)
 
 
@@ -225,10 +227,10 @@ def chat_messages(user_text: Column, image_ref: Column) -> Column:
 def chat_requests(items: DataFrame, mode: str, extra, image: str = "image", tags: str = "tag_text",
                   keep: tuple[str, ...] = ()) -> DataFrame:
     """T15 over ``items(image, tag_text)`` (``tag_text`` NULL when the image
-    has no tag file): ``(image, user_text, request, error)``; in Filter mode
+    has no tag file): ``(image, user_text, request, error)``; in filter mode
     an image without tags gets the error and no request."""
     ut = chat_user_text(mode, extra, F.col(tags))
-    bad = F.lit(mode.startswith("Filter")) & F.col(tags).isNull()
+    bad = F.lit(mode == FILTER) & F.col(tags).isNull()
     return items.select(
         *keep, image,
         F.when(~bad, ut).alias("user_text"),

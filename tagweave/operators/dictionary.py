@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.categories import UNWANTED_CATEGORY_IDS, category_code, is_year_like, is_year_pattern, lookup_key
-from .joins import broadcast_if_small, broadcast_within, plan_size_bytes
 
 
 def live_tags(dictionary: DataFrame) -> DataFrame:
@@ -29,15 +28,14 @@ def alias_map(alias_rows: DataFrame) -> DataFrame:
 
 def canonicalize(df: DataFrame, amap: DataFrame, tag: str = "tag", out: str = "canon") -> DataFrame:
     """Replace a tag by its consequent, one hop only."""
-    m = broadcast_if_small(amap.select(F.col("antecedent_name").alias("_ante"),
-                                       F.col("consequent_name").alias("_cons")))
+    m = amap.select(F.col("antecedent_name").alias("_ante"), F.col("consequent_name").alias("_cons"))
     return (df.join(m, F.col(tag) == F.col("_ante"), "left")
               .withColumn(out, F.coalesce("_cons", F.col(tag))).drop("_ante", "_cons"))
 
 
 def known_tags(df: DataFrame, dictionary: DataFrame, tag: str = "tag") -> DataFrame:
     """P2/J2 alone: rows whose tag is a live dictionary name (semi join)."""
-    live = broadcast_if_small(live_tags(dictionary).select(F.col("name").alias("_name")))
+    live = live_tags(dictionary).select(F.col("name").alias("_name"))
     return df.join(live, F.col(tag) == F.col("_name"), "left_semi")
 
 
@@ -58,28 +56,12 @@ def with_category_code(df: DataFrame, dictionary: DataFrame, tag: str = "tag", o
     """Add the category code of each tag (dictionary lookup on the
     lower-cased, stripped tag, then the text heuristics).  ``stripped``
     says the tags are already stripped (saves a pass per tag)."""
-    cats = broadcast_if_small(live_tags(dictionary).select(F.col("name").alias("_k"), F.col("category").alias("_cat")))
+    cats = live_tags(dictionary).select(F.col("name").alias("_k"), F.col("category").alias("_cat"))
     key = F.lower(F.col(tag)) if stripped else lookup_key(F.col(tag))
     j = df.join(cats, key == F.col("_k"), "left")
     return j.withColumn(out, category_code(F.col(tag), F.col("_cat"))).drop("_k", "_cat")
 
 
-def tag_lookup(dictionary: DataFrame, amap: DataFrame) -> DataFrame:
-    """The alias map and the live dictionary joined once into one lookup
-    keyed by the raw tag: ``(tag, canon, known, category)``.  An
-    antecedent maps to its consequent (one hop) with the consequent's
-    dictionary entry; any other live name maps to itself.  Both inputs are
-    small tables, so this costs nothing next to the caption rows, and the
-    caption rows then need a single join instead of two."""
-    live = live_tags(dictionary).select(F.col("name").alias("_n"), F.col("category").alias("_c"))
-    ante = amap.select(F.col("antecedent_name").alias("tag"), F.col("consequent_name").alias("canon"))
-    via_alias = ante.join(live, ante.canon == live._n, "left").select(
-        "tag", "canon", F.col("_n").isNotNull().alias("known"), F.col("_c").alias("category"))
-    own = live.join(ante, live._n == ante.tag, "left_anti").select(
-        F.col("_n").alias("tag"), F.col("_n").alias("canon"), F.lit(True).alias("known"), F.col("_c").alias("category"))
-    return via_alias.unionByName(own)
-
-
 def sanitize(captions: DataFrame, dictionary: DataFrame, amap: DataFrame,
              name: str = "name", text: str = "text", year_rule: str = "observed") -> DataFrame:
     """Canonicalise (one hop), drop unknown, year-like and unwanted
@@ -89,24 +71,20 @@ def sanitize(captions: DataFrame, dictionary: DataFrame, amap: DataFrame,
 
     Plan: repeats dropped row-locally (a repeated tag maps to the same
     canonical tag, and only first occurrences count) -> outer posexplode ->
-    one (size-checked) broadcast left join with the combined tag lookup ->
-    the dropped tags turn NULL -> one regroup by name.  ``collect_list``
-    combines map-side, so the shuffle carries about one row per caption.
+    the alias map and the live dictionary, each read once, by two left
+    joins -> the dropped tags turn NULL -> one regroup by name.
+    ``collect_list`` combines map-side, so the shuffle carries about one row
+    per caption.  The joins carry no hint: adaptive execution broadcasts a
+    side once its measured size allows it, and splits a hot tag otherwise.
     """
     tags = F.array_distinct(tx.split_caption(F.col(text)))
     t = captions.select(F.col(name).alias("name"), F.posexplode_outer(tags).alias("pos", "tag"))
-    # the lookup has at most one row per antecedent plus one per live name,
-    # none wider than an alias row plus a dictionary row
-    sizes = [plan_size_bytes(amap), plan_size_bytes(live_tags(dictionary))]
-    bound = None if None in sizes else 2 * sum(sizes)
-    lk = broadcast_within(tag_lookup(dictionary, amap).select(
-        F.col("tag").alias("_t"), F.col("canon").alias("_canon"), F.col("known").alias("_known"),
-        F.col("category").alias("_cat")), bound)
-    t = t.join(lk, F.col("tag") == F.col("_t"), "left")
-    canon = F.col("_canon")
+    t = canonicalize(t, amap)
+    live = live_tags(dictionary).select(F.col("name").alias("_name"), F.col("category").alias("_cat"))
+    t = t.join(live, F.col("canon") == F.col("_name"), "left")
+    canon = F.col("canon")
     year = is_year_like(canon) if year_rule == "observed" else is_year_pattern(canon)
-    keep = F.coalesce(F.col("_known"), F.lit(False)) & ~year & \
-        (F.col("_cat").isNull() | ~F.col("_cat").isin(*UNWANTED_CATEGORY_IDS))
+    keep = F.col("_name").isNotNull() & ~year & (F.col("_cat").isNull() | ~F.col("_cat").isin(*UNWANTED_CATEGORY_IDS))
     kept = F.when(keep, F.struct(F.col("pos"), canon.alias("canon")))
     g = t.groupBy("name").agg(F.sort_array(F.collect_list(kept)).alias("_k"))
     out = tx.join_tags(F.array_distinct(F.transform("_k", lambda s: s["canon"])))

@@ -11,35 +11,40 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def apply_transform(df: DataFrame, fn, col: str = "text", out: str | None = None) -> DataFrame:
-    """Apply a caller's caption transform.  A ``Column -> Column``
-    function runs inside the JVM; a plain ``str -> str`` Python function
-    runs as a vectorised pandas UDF (Arrow batches)."""
-    out = out or col
-    try:
-        expr = fn(F.col(col))
-        if isinstance(expr, Column):
-            return df.withColumn(out, expr)
-    except Exception:  # a Python string function applied to a Column
-        pass
+def apply_transform(df: DataFrame, fn: Callable[[Column], Column], col: str = "text", out: str | None = None) -> DataFrame:
+    """A caller's caption transform written on columns (runs in the JVM)."""
+    return df.withColumn(out or col, fn(F.col(col)))
+
 
+def apply_python_transform(df: DataFrame, fn: Callable[[str], str], col: str = "text", out: str | None = None) -> DataFrame:
+    """A caller's ``str -> str`` Python function, as a vectorised pandas
+    UDF (Arrow batches); NULL stays NULL."""
     @F.pandas_udf(T.StringType())
     def _udf(s: pd.Series) -> pd.Series:
         return s.map(lambda v: None if v is None else fn(v))
 
-    return df.withColumn(out, _udf(F.col(col)))
+    return df.withColumn(out or col, _udf(F.col(col)))
+
+
+def _replies(call, prompts):
+    out = list(call(prompts))
+    if len(out) != len(prompts):
+        raise ValueError(f"{len(out)} replies to {len(prompts)} prompts")
+    return out
 
 
 def _call_isolated(call, prompts):
-    """Replies and errors for one batch; a failing batch is retried record
-    by record so that one bad record only fails itself."""
+    """Replies and errors for one batch.  A batch that fails, or answers
+    with another number of replies than prompts, is retried record by
+    record, so that one bad record only fails itself (the records of that
+    batch are sent a second time)."""
     try:
-        return list(call(prompts)), [None] * len(prompts)
+        return _replies(call, prompts), [None] * len(prompts)
     except Exception:
         replies, errors = [], []
         for p in prompts:
             try:
-                replies.append(call([p])[0])
+                replies += _replies(call, [p])
                 errors.append(None)
             except Exception as e:  # isolate the record
                 replies.append(None)

@@ -24,8 +24,8 @@ def guard(df: DataFrame, proposals: str, caption_lower: str, out: str) -> DataFr
 
     The proposals missing from the caption are found with one hash pass
     (``array_except``) and held in their own column; each proposal is then
-    checked against that short list, so the cost is O(proposals + tags)
-    rather than their product."""
+    checked against that list, so the cost is tags + proposals x missing
+    (a model seldom proposes many tags that are not there)."""
     missing = F.array_except(F.array_distinct(F.transform(proposals, F.lower)), F.col(caption_lower))
     d = tx.with_array(df, "_missing", missing)
     return d.withColumn(out, F.filter(proposals, lambda t: ~F.array_contains(F.col("_missing"), F.lower(t)))) \

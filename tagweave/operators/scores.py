@@ -15,8 +15,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .joins import DEFAULT_BROADCAST_BYTES, broadcast_if_small, plan_size_bytes
-
 # Labels kept per image and model, and the default threshold.
 TOP_K = 250
 DEFAULT_THRESHOLD = 0.2
@@ -57,79 +55,69 @@ def auto_sigmoid(vec: Column) -> Column:
 
 # -------------------------------------------------------------------- heads
 
-def head_matrix(weights: DataFrame, max_bytes: int = DEFAULT_BROADCAST_BYTES,
-                label: str = "l", dim: str = "e", w: str = "w") -> np.ndarray:
-    """Load a head's weights ``(label, dim, w)`` as a dense matrix.
-
-    The weights are model parameters (labels x dims), not data; they are
-    fetched only after the planner's size estimate shows they fit the bound.
-    Larger heads are scored in label blocks (``dense_scores(block=..)``).
-    """
-    size = plan_size_bytes(weights)
-    if size is None or size > max_bytes:
-        raise ValueError(f"head weights too large to broadcast ({size} bytes > {max_bytes}); use label blocks")
-    pdf = weights.select(F.col(label).alias("l"), F.col(dim).alias("e"), F.col(w).cast("double").alias("w")).toPandas()
-    n_l, n_e = int(pdf.l.max()) + 1, int(pdf.e.max()) + 1
-    mat = np.zeros((n_l, n_e), dtype=np.float64)
-    mat[pdf.l.to_numpy(), pdf.e.to_numpy()] = pdf.w.to_numpy()
-    return mat
+HEAD_BLOCK = 1024  # labels scored per pass: bounds the broadcast block
+
+
+def head_blocks(weights: DataFrame, block: int = HEAD_BLOCK, label: str = "l", dim: str = "e",
+                w: str = "w") -> tuple[int, list[np.ndarray]]:
+    """A head's weights ``(label, dim, w)`` as dense blocks of ``block``
+    labels; labels without weight rows are zero rows.  One block is fetched
+    at a time (block x dims doubles), so no step holds more than the head
+    itself, which is a model parameter and not data."""
+    top = weights.agg(F.max(label), F.max(dim)).first()
+    if top[0] is None:
+        return 0, []
+    n_l, n_e = int(top[0]) + 1, int(top[1]) + 1
+    out = []
+    for lo in range(0, n_l, block):
+        rows = weights.where((F.col(label) >= lo) & (F.col(label) < lo + block)).select(
+            F.col(label).alias("l"), F.col(dim).alias("e"), F.col(w).cast("double").alias("w")).toPandas()
+        mat = np.zeros((min(block, n_l - lo), n_e), dtype=np.float64)
+        mat[rows.l.to_numpy() - lo, rows.e.to_numpy()] = rows.w.to_numpy()
+        out.append(mat)
+    return n_l, out
 
 
 def dense_scores(embeddings: DataFrame, weights: DataFrame, head: str = "linear", bias: np.ndarray | None = None,
-                 image: str = "vec_id", vec: str = "embedding", block: int | None = None,
-                 max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
+                 image: str = "vec_id", vec: str = "embedding", block: int = HEAD_BLOCK,
+                 top: int | None = None) -> DataFrame:
     """M1/M2: ``sigmoid(W x + b)`` (linear) or ``sigmoid(first half) *
     sigmoid(second half)`` (gated) for every image, as ``(image, scores
-    array<double>)``.
+    array<double>)``; the image id keeps its type.
 
     A Python step is used on purpose: the head is a dense matrix product,
-    done per Arrow batch with BLAS (``mapInPandas``); the weight matrix is
-    broadcast once per executor after a size check.  With ``block`` the
-    labels are scored ``block`` rows at a time (each block broadcast on its
-    own) and the pieces concatenated per image, so the bound holds for
-    any head size.
-    """
+    done per Arrow batch with BLAS (``mapInPandas``).  Weights are broadcast
+    in blocks of ``block`` labels and one map applies all of them, so the
+    embeddings are read once and nothing is shuffled, whatever the head's
+    size.  With ``top`` only the best ``top`` ``(idx, score)`` of an image
+    (ties by index) leave Python instead of the whole vector."""
     spark = embeddings.sparkSession
-    if block is not None:
-        n_l = weights.agg(F.max("l")).first()[0] + 1
-        parts = []
-        for lo in range(0, n_l, block):
-            wb = weights.where((F.col("l") >= lo) & (F.col("l") < lo + block)).withColumn("l", F.col("l") - lo)
-            parts.append(dense_scores(embeddings, wb, "linear", None if bias is None else bias[lo:lo + block],
-                                      image, vec, None, max_bytes).withColumn("_b", F.lit(lo)))
-        u = parts[0]
-        for p in parts[1:]:
-            u = u.unionByName(p)
-        g = u.groupBy("image").agg(F.sort_array(F.collect_list(F.struct("_b", "scores"))).alias("s"))
-        out = g.select("image", F.flatten(F.transform("s", lambda x: x["scores"])).alias("scores"))
-        if head == "gated":
-            half = F.size("scores") / 2
-            out = out.select("image", F.transform(F.slice("scores", 1, half.cast("int")),
-                                                  lambda a, i: a * F.get(F.col("scores"), (i + half).cast("int"))
-                                                  ).alias("scores"))
-        return out
-    mat = head_matrix(weights, max_bytes)
-    b = np.zeros(mat.shape[0]) if bias is None else np.asarray(bias, dtype=np.float64)
-    bc = spark.sparkContext.broadcast((mat, b))
+    n_l, mats = head_blocks(weights, block)
+    b = np.zeros(n_l) if bias is None else np.asarray(bias, dtype=np.float64)
+    sent = [spark.sparkContext.broadcast(m) for m in mats]
     gated = head == "gated"
-    schema = T.StructType([T.StructField("image", T.LongType()),
-                           T.StructField("scores", T.ArrayType(T.DoubleType()))])
+    src = embeddings.select(F.col(image).alias("image"), F.col(vec).alias("v"))
+    best = T.ArrayType(T.StructType([T.StructField("idx", T.IntegerType()), T.StructField("score", T.DoubleType())]))
+    schema = T.StructType([T.StructField("image", src.schema["image"].dataType),
+                           T.StructField("scores", T.ArrayType(T.DoubleType()) if top is None else best)])
 
     def run(batches):
-        w_mat, bias_v = bc.value
         for pdf in batches:
             if len(pdf) == 0:
                 continue
             x = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-            z = x @ w_mat.T + bias_v
+            z = np.hstack([x @ m.value.T for m in sent]) + b if sent else np.zeros((len(pdf), 0))
+            s = 1.0 / (1.0 + np.exp(-z))
             if gated:
                 c = z.shape[1] // 2
-                s = (1.0 / (1.0 + np.exp(-z[:, :c]))) * (1.0 / (1.0 + np.exp(-z[:, c:])))
+                s = s[:, :c] * s[:, c:]
+            if top is None:
+                out = list(s)
             else:
-                s = 1.0 / (1.0 + np.exp(-z))
-            yield pd.DataFrame({"image": pdf["image"].to_numpy(), "scores": list(s)})
+                order = np.argsort(-s, axis=1, kind="stable")[:, :top]
+                out = [[{"idx": int(i), "score": float(r[i])} for i in o] for r, o in zip(s, order)]
+            yield pd.DataFrame({"image": pdf["image"].to_numpy(), "scores": out})
 
-    src = embeddings.select(F.col(image).cast("long").alias("image"), F.col(vec).alias("v"))
     return src.mapInPandas(run, schema)
 
 
@@ -166,10 +154,9 @@ def label_arrays(vocab: DataFrame, model: str = "model", idx: str = "idx", tag:
 def attach_labels(rows: DataFrame, vocab: DataFrame, top: str = "top") -> DataFrame:
     """J9 + P7 row-locally: give every top-k entry its label text; entries
     whose index is outside the vocabulary are dropped.  The label arrays
-    are one row per model (bounded by the registry) and broadcast after a
-    size check."""
-    la = broadcast_if_small(label_arrays(vocab))
-    j = rows.join(la, "model", "inner")
+    are one row per model; adaptive execution broadcasts them by measured
+    size."""
+    j = rows.join(label_arrays(vocab), "model", "inner")
     lab = F.transform(top, lambda x: F.struct(x["idx"].alias("idx"), x["score"].alias("score"),
                                               F.get(F.col("labels"), x["idx"]).alias("tag")))
     return j.withColumn(top, F.filter(lab, lambda x: x["tag"].isNotNull())).drop("labels")
@@ -214,7 +201,7 @@ def tag_string(dedup: Column, threshold_micro: int) -> Column:
 def batch_tag(slices: DataFrame, vocab: DataFrame, threshold: float = DEFAULT_THRESHOLD, k: int = TOP_K,
               scores: str = "scores") -> DataFrame:
     """M4: vector -> top-k -> labels -> threshold -> tag string, one row per
-    (image, model); no shuffle (the label join is broadcast)."""
+    (image, model)."""
     thr = int(round(threshold * MICRO))
     r = slices.select("image", "model", topk(F.col(scores), k).alias("top"))
     r = attach_labels(r, vocab)
@@ -253,14 +240,14 @@ def label_index(vocab: DataFrame, requests: DataFrame) -> DataFrame:
     maps to its last index (dict built in list order); unknown tags give no
     row."""
     last = vocab.groupBy("model", "tag").agg(F.max("idx").alias("idx"))
-    return requests.join(broadcast_if_small(last), ["model", "tag"], "inner")
+    return requests.join(last, ["model", "tag"], "inner")
 
 
 def pad_labels(vocab: DataFrame, num_classes: DataFrame, n_placeholders: int = 3) -> DataFrame:
     """Append ``placeholder0..`` labels to a model's vocabulary only
     when that makes its size equal the model's class count."""
     sizes = vocab.groupBy("model").agg(F.count(F.lit(1)).alias("n"))
-    need = sizes.join(broadcast_if_small(num_classes), "model").where(F.col("n") + n_placeholders == F.col("num_classes"))
+    need = sizes.join(num_classes, "model").where(F.col("n") + n_placeholders == F.col("num_classes"))
     extra = need.select("model", "n", F.posexplode(F.array_repeat(F.lit(0), n_placeholders)).alias("i", "_z"))
     extra = extra.select("model", (F.col("n") + F.col("i")).cast("int").alias("idx"),
                          F.concat(F.lit("placeholder"), F.col("i").cast("string")).alias("tag"))

@@ -91,11 +91,19 @@ def q_keyword_clean(spark, sf):
     return c.where(~tx.is_blank("text")).select("name", tx.keyword_clean("text", "solo").alias("text"))
 
 
+@query("keyword_clean_summary")
+def q_keyword_clean_summary(spark, sf):
+    """P9 for T7: captions written and blank ones skipped (every seventh
+    document stands for an empty caption file)."""
+    c = _raw_caps(spark, sf).select(F.when(F.substring("name", -1, 1) == "7", F.lit(" \n")).otherwise(tx.pad_only("text")).alias("text"))
+    blank = tx.is_blank("text")
+    return c.agg(F.count_if(~blank).cast("bigint").alias("written"), F.count_if(blank).cast("bigint").alias("skipped"))
+
+
 @query("restore_names")
 def q_restore_names(spark, sf):
-    f = fx.file_names(spark, sf)
-    return f.select("page_id", F.concat("stem", "ext").alias("file"),
-                    F.concat(tx.restored_stem("stem"), "ext").alias("restored"))
+    from ..operators import files as fl
+    return fl.restore_names(fx.file_names(spark, sf).select(F.concat("stem", "ext").alias("file")))
 
 
 @query("inject_artist_year")
@@ -112,6 +120,14 @@ def q_uploader_year(spark, sf):
     return r.where(F.col("text").isNotNull())
 
 
+@query("uploader_year_summary")
+def q_uploader_year_summary(spark, sf):
+    """P9 for T10: posts that gave a caption and posts skipped."""
+    made = tx.uploader_year("raw").isNotNull()
+    return fx.raw_posts(spark, sf).agg(F.count_if(made).cast("bigint").alias("written"),
+                                       F.count_if(~made).cast("bigint").alias("skipped"))
+
+
 @query("post_header_body")
 def q_post_header_body(spark, sf):
     r = fx.raw_posts(spark, sf).select("event_id", tx.post_header_body("raw").alias("p"))
@@ -138,6 +154,14 @@ def q_src_captions_recursive(spark, sf):
     return rd.decode_captions(fx.caption_bytes(spark, sf), lenient=True).select("file", "name", "text")
 
 
+@query("src_multi")
+def q_src_multi(spark, sf):
+    """S3: caption sources in order, the first one named twice."""
+    s = fx.source_captions(spark, sf).select("source", F.concat("name", F.lit(".txt")).alias("file"), "name", "text")
+    named = [(n, s.where(F.col("source") == n)) for n in ("tagger2", "tagger1", "tagger2", "tagger3")]
+    return rd.stack_sources(named).select("source", "source_ord", "file", "name", "text")
+
+
 # ---------------------------------------------------------- dictionary jobs
 
 @query("live_tags")
@@ -150,23 +174,26 @@ def _caption_tag_rows(spark, sf):
     return c.select("name", F.posexplode(tx.split_caption("text")).alias("pos", "tag"))
 
 
+def _joined(t: DataFrame, value: str = "tag") -> DataFrame:
+    """Rows ``(name, pos, value)`` back as one text per name, in order."""
+    g = t.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("pos", value))).alias("s"))
+    return g.select("name", F.array_join(F.col(f"s.{value}"), " | ").alias("tags"))
+
+
 @query("known_tags")
 def q_known_tags(spark, sf):
-    t = _caption_tag_rows(spark, sf)
-    k = dic.known_tags(t, fx.dictionary(spark, sf))
-    return k.groupBy("name").agg(F.count(F.lit(1)).cast("bigint").alias("n_known"))
+    return _joined(dic.known_tags(_caption_tag_rows(spark, sf), fx.dictionary(spark, sf)))
 
 
 @query("drop_year_tags")
 def q_drop_year_tags(spark, sf):
-    t = _caption_tag_rows(spark, sf)
-    return dic.drop_year_tags(t).groupBy("name").agg(F.count(F.lit(1)).cast("bigint").alias("n_kept"))
+    return _joined(dic.drop_year_tags(_caption_tag_rows(spark, sf)))
 
 
 @query("drop_categories")
 def q_drop_categories(spark, sf):
-    d = fx.dictionary(spark, sf)
-    return dic.drop_categories(dic.live_tags(d)).select("name", "category")
+    live = dic.live_tags(fx.dictionary(spark, sf)).select(F.col("name").alias("tag"), "category")
+    return _joined(dic.drop_categories(_caption_tag_rows(spark, sf).join(live, "tag", "left")))
 
 
 @query("alias_map")
@@ -177,17 +204,14 @@ def q_alias_map(spark, sf):
 @query("canonical_tags")
 def q_canonical_tags(spark, sf):
     t = _caption_tag_rows(spark, sf)
-    c = dic.canonicalize(t, dic.alias_map(fx.alias_rows(spark, sf)))
-    return c.groupBy("name").agg(F.count_if(F.col("canon") != F.col("tag")).cast("bigint").alias("n_changed"),
-                                 F.max_by("canon", "pos").alias("last_canon"))
+    return _joined(dic.canonicalize(t, dic.alias_map(fx.alias_rows(spark, sf))), "canon")
 
 
 @query("tag_category")
 def q_tag_category(spark, sf):
     c = fx.captions(spark, sf)
     t = c.select("name", F.posexplode(tx.split_caption("text")).alias("pos", "tag"))
-    t = dic.with_category_code(t, fx.dictionary(spark, sf))
-    return t.groupBy("code").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+    return _joined(dic.with_category_code(t, fx.dictionary(spark, sf)), "code")
 
 
 @query("sanitize")
@@ -245,11 +269,15 @@ def q_inject_posts_summary(spark, sf):
 
 @query("src_post_meta")
 def q_src_post_meta(spark, sf):
-    p = fx.posts(spark, sf)
-    body = F.to_json(F.struct("artist", F.col("year").cast("int").alias("year"), "filename"))
-    js = p.select(F.concat(F.lit('{"'), F.col("post_id").cast("string"), F.lit('": '), body,
-                           F.lit(', "scraper": "v2", "n": 1}')).alias("text"))
-    return po.parse_post_meta(js)
+    return po.parse_post_meta(fx.post_meta(spark, sf)).select("post_no", "post_key", "artist", "year", "filename")
+
+
+@query("inject_post_meta")
+def q_inject_post_meta(spark, sf):
+    """S8 into J5: posts read from their JSON files, applied in file and
+    object order."""
+    p = po.parse_post_meta(fx.post_meta(spark, sf), keep=("file",))
+    return po.inject_posts(p, fx.captions(spark, sf), order=("file", "post_no"))
 
 
 # ------------------------------------------------------------------- scores
@@ -447,10 +475,10 @@ def q_review_by_model(spark, sf):
 
 @query("review_items")
 def q_review_items(spark, sf):
-    """Review set when no model output exists: union from the merged
-    captions."""
-    merged = mg.merge_captions(fx.source_captions(spark, sf))
-    r = rv.review_items(fx.image_files(spark, sf), None, merged)
+    """Review set when the models wrote nothing: the job falls back to the
+    merged captions."""
+    src = fx.source_captions(spark, sf)
+    r = rv.review_items(fx.image_files(spark, sf), _model_captions(spark, sf).where("model = 'tagger9'"), mg.merge_captions(src))
     return r.select("image", F.size("union").cast("bigint").alias("n_tags"), F.array_join("union", " | ").alias("tags"),
                     F.size("by_model").cast("bigint").alias("n_models"))
 
@@ -465,8 +493,19 @@ def q_apply_edits(spark, sf):
 
 @query("finalize")
 def q_finalize(spark, sf):
-    merged = mg.merge_captions(fx.source_captions(spark, sf))
-    return rv.finalize(merged, fx.image_files(spark, sf), "abo")
+    return _final(spark, sf).select("stem", "text", F.array_join("images", " | ").alias("images"))
+
+
+def _final(spark, sf):
+    """Captions of every document; two image files for every third stem."""
+    im = fx.image_files(spark, sf).select("doc_id", "file")
+    twin = im.where("doc_id % 3 = 0").select("doc_id", F.concat(fx.image_name(F.col("doc_id")), F.lit(".jpeg")).alias("file"))
+    return rv.finalize(mg.merge_captions(fx.source_captions(spark, sf)), im.unionByName(twin), "abo")
+
+
+@query("finalize_summary")
+def q_finalize_summary(spark, sf):
+    return rv.finalize_summary(_final(spark, sf))
 
 
 @query("work_list")
@@ -483,6 +522,7 @@ from ..operators import prune as pn  # noqa: E402
 from ..sources.scrape import ingest_scrape  # noqa: E402
 from . import curation as cu  # noqa: E402
 from . import stubs  # noqa: E402
+from ..session import staged  # noqa: E402
 
 CAPTION_TYPES = list(pr.CAPTION_TYPE_MAP)
 PRUNE_MODELS = [{"model": "team/gamma"}, {"model": "lab/delta"}]
@@ -508,8 +548,7 @@ ARTIST_TEMPLATE = "Artists behind the post of <UPLOADER> (<POSTER>):\n<BODY>"
 
 @query("artist_prompts")
 def q_artist_prompts(spark, sf):
-    r = fx.raw_posts(spark, sf).join(fx.table(spark, sf, "events").select("event_id", "event_type"), "event_id")
-    hb = r.select("event_id", "event_type", tx.post_header_body("raw").alias("p"))
+    hb = fx.raw_posts(spark, sf).select("event_id", "event_type", tx.post_header_body("raw").alias("p"))
     instr = F.when(F.col("event_type") == "click", F.lit(ARTIST_TEMPLATE)).otherwise(F.lit(pr.ARTIST_DEFAULT_INSTR))
     return hb.select("event_id", pr.artist_prompt(instr, F.col("p.uploader"), F.col("p.body")).alias("prompt"))
 
@@ -536,17 +575,9 @@ def q_parse_prune_reply(spark, sf):
     return t.select("conv_id", "turn", F.size("t").cast("bigint").alias("n_tags"), F.array_join("t", " | ").alias("tags"))
 
 
-def _artist_replies(spark, sf):
-    c = fx.table(spark, sf, "conversations").where(F.col("role") == "assistant")
-    w = fx.words(F.col("text"))
-    reply = F.concat(F.lit("prompt "), F.col("conv_id").cast("string"), F.lit("\n<|output|>\n"),
-                     F.array_join(w, ", "), F.lit(", "), F.coalesce(F.get(w, 0), F.lit("")))
-    return c.select("conv_id", "turn", reply.alias("reply"))
-
-
 @query("parse_artist_reply")
 def q_parse_artist_reply(spark, sf):
-    return _artist_replies(spark, sf).select("conv_id", "turn", rp.parse_artist_reply(F.col("reply")).alias("text"))
+    return fx.artist_replies(spark, sf).select("conv_id", "turn", rp.parse_artist_reply(F.col("reply")).alias("text"))
 
 
 @query("parse_tag_reply")
@@ -555,12 +586,11 @@ def q_parse_tag_reply(spark, sf):
 
 
 def _proposals(spark, sf):
-    """Prune replies paired with the caption of the document with the
-    same id."""
+    """Prune replies paired with the caption of the same turn."""
     r = fx.replies(spark, sf).select("conv_id", "turn", rp.parse_prune_reply(F.col("reply")).alias("proposed"))
-    c = fx.captions(spark, sf).select(F.col("doc_id").alias("conv_id"), pn.caption_pieces(F.col("text")).alias("tags"))
+    c = fx.turn_captions(spark, sf).select("conv_id", "turn", pn.caption_pieces(F.col("text")).alias("tags"))
     c = c.withColumn("tags_lower", F.transform("tags", F.lower))
-    return r.join(c, "conv_id", "inner")
+    return r.join(c, ["conv_id", "turn"], "inner")
 
 
 @query("guard_proposals")
@@ -599,7 +629,9 @@ def q_artist_tags(spark, sf):
 
 @query("apply_transform")
 def q_apply_transform(spark, sf):
-    return hk.apply_transform(fx.captions(spark, sf).select("name", "text"), str.upper)
+    """One caller function of either kind: on columns, then a Python one."""
+    c = hk.apply_transform(fx.captions(spark, sf).select("name", "text"), lambda t: F.replace(t, F.lit("e"), F.lit("E")))
+    return hk.apply_python_transform(c, lambda t: t.replace("a", "A"))
 
 
 @query("ingest_scrape")
@@ -626,14 +658,32 @@ def q_multi_model_stage(spark, sf):
 
 @query("batch_summary")
 def q_batch_summary(spark, sf):
-    return cu.batch_summary(_stage(spark, sf))
+    return cu.batch_summary(staged(_stage(spark, sf), "batch-summary"))
 
 
 @query("curation_run")
 def q_curation_run(spark, sf):
+    """C5 with caption models and prune models."""
+    return cu.curation_run(spark, fx.scrape_files(spark, sf), CAPTION_MODELS, "", PRUNE_MODELS, "", "abo",
+                           stubs.chat_stub).captions
+
+
+def _raw_run(spark, sf):
     return cu.curation_run(spark, fx.scrape_files(spark, sf), [], "", PRUNE_MODELS, "", "abo", stubs.chat_stub)
 
 
+@query("curation_run_raw")
+def q_curation_run_raw(spark, sf):
+    """C5 on the scraped captions, prune models only."""
+    return _raw_run(spark, sf).captions
+
+
+@query("curation_rejects")
+def q_curation_rejects(spark, sf):
+    """Every record of that run that gave no caption, and why."""
+    return _raw_run(spark, sf).rejects
+
+
 @query("model_configs")
 def q_model_configs(spark, sf):
     """S13 over model-list texts written per event: a JSON list (with an

@@ -40,7 +40,7 @@ def normalize_delimiters(x: str) -> str:
     return f"array_to_string({comma_pieces(x)}, ', ')"
 
 
-WORDS = "regexp_extract_all(lower(text), '[a-z]{3,}')"
+WORDS = r"regexp_extract_all(lower(text), '\p{L}+')"
 
 
 def image_name(x: str) -> str:
@@ -92,13 +92,13 @@ CTE["caption_tags"] = f"""caption_tags AS (
   FROM (SELECT name, {split_caption('text')} AS tags FROM captions) c,
        unnest(c.tags) WITH ORDINALITY AS u(tag, pos))"""
 CTE["posts"] = f"""posts AS (
-  SELECT doc_id * 2 AS post_id, {image_name('doc_id + 20')} AS filename,
+  SELECT doc_id * 3 AS post_id, {image_name('doc_id + 20')} AS filename,
          CASE WHEN doc_id % 10 = 0 THEN '' ELSE concat('Artist ', source) END AS artist,
          CAST(2000 + doc_id % 25 AS VARCHAR) AS year
   FROM documents
   UNION ALL
-  SELECT doc_id * 2 + 1, {image_name('doc_id + 20')}, concat('Studio ', lang), CAST(2000 + doc_id % 25 AS VARCHAR)
-  FROM documents WHERE lang = 'de')"""
+  SELECT doc_id * 3 + k, {image_name('doc_id + 20')}, concat('Studio (', lang, ')'), CAST(2000 + doc_id % 25 AS VARCHAR)
+  FROM documents, (VALUES (1), (2)) AS t(k) WHERE lang = 'de')"""
 CTE["raw_posts"] = """raw_posts AS (
   SELECT event_id, concat('post ', event_id, ',, ', event_type, ' no ', event_id, ', ', event_type, ' User', user_id, ', ',
          CASE WHEN event_id % 7 = 0 THEN 'n.d.' ELSE CAST(2000 + event_id % 25 AS VARCHAR) END, ', ', props, ', ',
@@ -115,8 +115,8 @@ CTE["replies"] = f"""replies AS (
   FROM conversations)"""
 CTE["file_names"] = """file_names AS (
   SELECT page_id,
-    CASE page_id % 4 WHEN 0 THEN concat('clip_frame_', page_id, '-up2x-', length(html))
-                     WHEN 1 THEN concat('a-b=', page_id, '-x4')
+    CASE page_id % 4 WHEN 0 THEN concat('clip_frame_', page_id // 8, '-up2x-', length(html))
+                     WHEN 1 THEN concat('a-b=', page_id // 8, '-x', length(html))
                      WHEN 2 THEN concat('plain-', page_id) ELSE concat('k=', page_id) END AS stem,
     CASE WHEN page_id % 2 = 0 THEN '.png' ELSE '.txt' END AS ext
   FROM pages)"""
@@ -190,9 +190,15 @@ _rs_frame = ("CASE WHEN strpos(substr(stem, strpos(stem, 'frame_')), '-') > 0 "
              "THEN substr(stem, 1, strpos(stem, 'frame_') + strpos(substr(stem, strpos(stem, 'frame_')), '-') - 2) ELSE stem END")
 _rs_eq = ("CASE WHEN strpos(substr(stem, strpos(stem, '=')), '-') > 0 "
           "THEN substr(stem, 1, strpos(stem, '=') + strpos(substr(stem, strpos(stem, '=')), '-') - 2) ELSE stem END")
-SQL["restore_names"] = with_("file_names") + f"""SELECT page_id, concat(stem, ext) AS file,
-  concat(CASE WHEN strpos(stem, 'frame_') > 0 THEN {_rs_frame} WHEN strpos(stem, '=') > 0 THEN {_rs_eq} ELSE stem END, ext) AS restored
-FROM file_names"""
+SQL["restore_names"] = with_("file_names") + f"""SELECT restored, max(source) AS source FROM (
+  SELECT concat(stem, ext) AS source,
+    concat(CASE WHEN strpos(stem, 'frame_') > 0 THEN {_rs_frame} WHEN strpos(stem, '=') > 0 THEN {_rs_eq} ELSE stem END, ext) AS restored
+  FROM file_names) GROUP BY restored"""
+
+_skip7 = f"CASE WHEN ends_with(name, '7') THEN ' ' || chr(10) ELSE {_pad} END"
+SQL["keyword_clean_summary"] = with_("raw_caps") + f"""SELECT
+  CAST(count(*) FILTER (WHERE {strip('p')} <> '') AS BIGINT) AS written,
+  CAST(count(*) FILTER (WHERE {strip('p')} = '') AS BIGINT) AS skipped FROM (SELECT {_skip7} AS p FROM raw_caps)"""
 
 
 def inject_sql(text: str, artist: str, year: str) -> str:
@@ -214,6 +220,9 @@ FROM (SELECT event_id, parts, coalesce(list_position(list_transform(parts, lambd
       FROM (SELECT event_id, list_filter(list_transform(string_split({_uy_after}, ', '), lambda p: {strip('p')}), lambda p: p <> '') AS parts
             FROM raw_posts))
 WHERE len(parts) >= 3 AND yi > 1"""
+SQL["uploader_year_summary"] = with_("raw_posts") + f"""SELECT
+  CAST((SELECT count(*) FROM ({SQL["uploader_year"][len(with_("raw_posts")):]})) AS BIGINT) AS written,
+  CAST((SELECT count(*) FROM raw_posts) - (SELECT count(*) FROM ({SQL["uploader_year"][len(with_("raw_posts")):]})) AS BIGINT) AS skipped"""
 
 _hb_rest = f"regexp_replace(substr(raw, strpos(raw, ',') + 1), '^[,\\t\\n\\x0B\\f\\r\\x{{85}}\\p{{Z}}]+', '')"
 _hb_header = f"regexp_replace({_hb_rest}, '\\d{{4}}-\\d{{2}}-\\d{{2}} \\d{{2}}:\\d{{2}}:\\d{{2}}.*$', '', 's')"
@@ -235,19 +244,20 @@ SQL["src_captions_recursive"] = with_("captions") + """SELECT concat(name, '.txt
 # ---------------------------------------------------------- dictionary jobs
 SQL["live_tags"] = with_("dictionary") + "SELECT name, category, post_count FROM dictionary WHERE post_count > 0"
 
-SQL["known_tags"] = with_("plain_tags", "live") + """SELECT name, CAST(count(*) AS BIGINT) AS n_known
+SQL["known_tags"] = with_("plain_tags", "live") + """SELECT name, string_agg(tag, ' | ' ORDER BY pos) AS tags
 FROM plain_tags WHERE tag IN (SELECT name FROM live) GROUP BY name"""
 
-SQL["drop_year_tags"] = with_("plain_tags") + """SELECT name, CAST(count(*) AS BIGINT) AS n_kept
+SQL["drop_year_tags"] = with_("plain_tags") + """SELECT name, string_agg(tag, ' | ' ORDER BY pos) AS tags
 FROM plain_tags WHERE NOT (length(tag) = 4 AND regexp_matches(tag, '\\d')) GROUP BY name"""
 
-SQL["drop_categories"] = with_("live") + "SELECT name, category FROM live WHERE category IS NULL OR category NOT IN (1, 3, 4, 6, 7)"
+SQL["drop_categories"] = with_("plain_tags", "live") + """SELECT t.name, string_agg(t.tag, ' | ' ORDER BY t.pos) AS tags
+FROM plain_tags t LEFT JOIN live l ON t.tag = l.name
+WHERE l.category IS NULL OR l.category NOT IN (1, 3, 4, 6, 7) GROUP BY t.name"""
 
 SQL["alias_map"] = with_("alias_map") + "SELECT antecedent_name, consequent_name FROM alias_map"
 
 SQL["canonical_tags"] = with_("plain_tags", "alias_map") + """SELECT t.name,
-  CAST(count(*) FILTER (WHERE coalesce(a.consequent_name, t.tag) <> t.tag) AS BIGINT) AS n_changed,
-  arg_max(coalesce(a.consequent_name, t.tag), t.pos) AS last_canon
+  string_agg(coalesce(a.consequent_name, t.tag), ' | ' ORDER BY t.pos) AS tags
 FROM plain_tags t LEFT JOIN alias_map a ON t.tag = a.antecedent_name GROUP BY t.name"""
 
 
@@ -258,9 +268,8 @@ def code_sql(tag: str, cat: str) -> str:
             f"WHEN starts_with({k}, 'rating:') THEN 'rate' ELSE 'gen' END END")
 
 
-SQL["tag_category"] = with_("caption_tags", "live") + f"""SELECT code, CAST(count(*) AS BIGINT) AS n FROM (
-  SELECT {code_sql('t.tag', 'l.category')} AS code FROM caption_tags t LEFT JOIN live l ON lower({strip('t.tag')}) = l.name)
-GROUP BY code"""
+SQL["tag_category"] = with_("caption_tags", "live") + f"""SELECT t.name, string_agg({code_sql('t.tag', 'l.category')}, ' | ' ORDER BY t.pos) AS tags
+FROM caption_tags t LEFT JOIN live l ON lower({strip('t.tag')}) = l.name GROUP BY t.name"""
 
 SQL["sanitize"] = with_("plain_tags", "alias_map", "live") + """, canon AS (
   SELECT t.name, t.pos, coalesce(a.consequent_name, t.tag) AS canon
@@ -295,6 +304,9 @@ SQL["merge_captions"] = with_("source_captions") + f""", mt AS (
 mf AS (SELECT name, tag, min(CAST(source_ord AS BIGINT) * 1000000000 + pos) AS k FROM mt GROUP BY name, tag)
 SELECT name, string_agg(tag, ', ' ORDER BY k) AS text FROM mf GROUP BY name"""
 
+SQL["src_multi"] = with_("source_captions") + """SELECT source, CAST(CASE source WHEN 'tagger2' THEN 0 WHEN 'tagger1' THEN 1 ELSE 2 END AS INTEGER) AS source_ord,
+  concat(name, '.txt') AS file, name, text FROM source_captions"""
+
 SQL["all_names"] = with_("source_captions") + "SELECT DISTINCT name FROM source_captions"
 
 _pieces_sp = f"list_filter(list_transform(string_split(text, ', '), lambda p: {strip('p')}), lambda p: p <> '')"
@@ -331,31 +343,37 @@ FROM captions c LEFT JOIN kcc ON c.name = kcc.name GROUP BY c.name"""
 
 # -------------------------------------------------------------------- posts
 _VALID_POST = f"{strip('artist')} <> '' AND {strip('year')} <> '' AND {strip('filename')} <> ''"
-CTE["folded_posts"] = f"""vp AS (
-  SELECT post_id, lower({strip('artist')}) AS a, lower({strip('year')}) AS y, {strip('filename')} AS filename
-  FROM posts WHERE {_VALID_POST}),
-vpr AS (SELECT *, row_number() OVER (PARTITION BY filename ORDER BY post_id) AS rn
-        FROM (SELECT filename, a, y, min(post_id) AS post_id FROM vp GROUP BY filename, a, y)),
-s0 AS (SELECT c.name, c.text AS t0, p1.a AS a1, p1.y AS y1, p2.a AS a2, p2.y AS y2, p3.a AS a3, p3.y AS y3
-       FROM captions c LEFT JOIN vpr p1 ON p1.filename = c.name AND p1.rn = 1
-                       LEFT JOIN vpr p2 ON p2.filename = c.name AND p2.rn = 2
-                       LEFT JOIN vpr p3 ON p3.filename = c.name AND p3.rn = 3),
-s1 AS (SELECT *, CASE WHEN a1 IS NULL THEN t0 ELSE {inject_sql('t0', 'a1', 'y1')} END AS t1 FROM s0),
-s2 AS (SELECT *, CASE WHEN a2 IS NULL THEN t1 ELSE {inject_sql('t1', 'a2', 'y2')} END AS t2 FROM s1),
-folded_posts AS (SELECT *, CASE WHEN a3 IS NULL THEN t2 ELSE {inject_sql('t2', 'a3', 'y3')} END AS t3 FROM s2)"""
-DEPS["folded_posts"] = ["captions", "posts"]
-
-SQL["inject_posts"] = with_("folded_posts") + """SELECT name, t3 AS text,
-  CAST(CAST(t1 <> t0 AS INTEGER) + CAST(t2 <> t1 AS INTEGER) + CAST(t3 <> t2 AS INTEGER) AS BIGINT) AS n_modified
-FROM folded_posts"""
-
-SQL["inject_posts_summary"] = with_("folded_posts") + f"""SELECT
-  CAST((SELECT coalesce(sum(CAST(t1 <> t0 AS INTEGER) + CAST(t2 <> t1 AS INTEGER) + CAST(t3 <> t2 AS INTEGER)), 0)
-        FROM folded_posts) AS BIGINT) AS modified,
+CTE["vp"] = f"""vp AS (
+  SELECT post_id, lower({strip('artist')}) AS a, lower({strip('year')}) AS y, {strip('filename')} AS filename,
+         row_number() OVER (PARTITION BY {strip('filename')} ORDER BY post_id) AS rn
+  FROM posts WHERE {_VALID_POST})"""
+# one post after the other: as many rounds as a caption has posts
+CTE["folded"] = f"""folded AS (
+  SELECT name, text, 0 AS rn, 0 AS n FROM captions
+  UNION ALL
+  SELECT name, new, rn, n + CAST(new <> old AS INTEGER)
+  FROM (SELECT f.name, f.text AS old, {inject_sql('f.text', 'p.a', 'p.y')} AS new, p.rn, f.n
+        FROM folded f JOIN vp p ON p.filename = f.name AND p.rn = f.rn + 1))"""
+CTE["last_fold"] = """last_fold AS (SELECT name, arg_max(text, rn) AS text, arg_max(n, rn) AS n FROM folded GROUP BY name)"""
+DEPS["vp"] = ["posts"]
+DEPS["folded"] = ["captions", "vp"]
+DEPS["last_fold"] = ["folded"]
+
+
+def recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+SQL["inject_posts"] = recursive(with_("last_fold")) + "SELECT name, text, CAST(n AS BIGINT) AS n_modified FROM last_fold"
+SQL["inject_post_meta"] = SQL["inject_posts"]
+
+SQL["inject_posts_summary"] = recursive(with_("last_fold")) + f"""SELECT
+  CAST((SELECT coalesce(sum(n), 0) FROM last_fold) AS BIGINT) AS modified,
   CAST((SELECT count(*) FROM vp WHERE filename NOT IN (SELECT name FROM captions)) AS BIGINT) AS missing,
   CAST((SELECT count(*) FROM posts WHERE NOT ({_VALID_POST})) AS BIGINT) AS skipped"""
 
-SQL["src_post_meta"] = with_("posts") + "SELECT CAST(post_id AS VARCHAR) AS post_key, artist, year, filename FROM posts"
+SQL["src_post_meta"] = with_("posts") + """SELECT CAST(post_id % 3 AS INTEGER) AS post_no, CAST(post_id AS VARCHAR) AS post_key,
+  artist, year, filename FROM posts"""
 
 # ------------------------------------------------------------------- scores
 _MODELS = "(VALUES ('m1', 0, 0, 39), ('m2', 1, 24, 63)) AS m(model, model_ord, lo, hi)"
@@ -467,11 +485,12 @@ CTE["fused"] = """fused AS (
          max(s) OVER (PARTITION BY image, tag) - min(s) OVER (PARTITION BY image, tag) AS den
   FROM (SELECT vec_id AS image, concat('tag_', label) AS tag, CAST(pos % 16 AS INTEGER) AS cell,
                CAST(sum(CAST(floor((v + 1) * 500000) AS BIGINT)) AS BIGINT) AS s, CAST(count(*) AS BIGINT) AS n_models
-        FROM emb_cells GROUP BY vec_id, label, pos % 16))"""
+        FROM (SELECT vec_id, label, pos, CASE WHEN vec_id % 11 = 0 THEN 0.25 ELSE v END AS v FROM emb_cells)
+        GROUP BY vec_id, label, pos % 16))"""
 DEPS["fused"] = ["emb_cells"]
 SQL["heat_fuse"] = with_("fused") + "SELECT image, tag, cell, n_models, num, den FROM fused"
 SQL["heat_mask"] = with_("fused") + f"""SELECT image, tag, cell,
-  CASE WHEN num * 1000000 >= {int(round(0.35 * 1_000_000))} * den THEN {int(0.6 * 255)} ELSE 0 END AS mask FROM fused"""
+  CASE WHEN den > 0 AND num * 1000000 >= {int(round(0.35 * 1_000_000))} * den THEN {int(0.6 * 255)} ELSE 0 END AS mask FROM fused"""
 SQL["patch_saliency"] = with_("emb_cells") + """, q AS (
   SELECT vec_id // 4 AS image, CAST(vec_id % 4 AS INTEGER) AS patch, pos, CAST(floor(v * 10000) AS BIGINT) AS q FROM emb_cells),
 wts AS (SELECT image, pos - 32 AS e, sum(q) AS wt FROM q WHERE pos >= 32 GROUP BY image, pos - 32),
@@ -548,8 +567,14 @@ SQL["finalize"] = with_("image_inv", "source_captions") + f""", mt AS (
 mf AS (SELECT name, tag, min(CAST(source_ord AS BIGINT) * 1000000000 + pos) AS k FROM mt GROUP BY name, tag),
 merged AS (SELECT name, string_agg(tag, ', ' ORDER BY k) AS text FROM mf GROUP BY name),
 c AS (SELECT name AS stem, CASE WHEN starts_with(text, 'abo') THEN text ELSE concat('abo, ', text) END AS text FROM merged),
-im AS (SELECT stem, file AS image FROM image_inv WHERE lower(ext) IN {_MODEL_EXTS})
-SELECT coalesce(c.stem, im.stem) AS stem, c.text, im.image FROM c FULL OUTER JOIN im ON c.stem = im.stem"""
+im AS (SELECT stem, string_agg(file, ' | ' ORDER BY file) AS images, count(*) AS n FROM (
+         SELECT stem, file FROM image_inv WHERE lower(ext) IN {_MODEL_EXTS}
+         UNION ALL SELECT stem, concat(stem, '.jpeg') FROM image_inv WHERE doc_id % 3 = 0) GROUP BY stem),
+fin AS (SELECT coalesce(c.stem, im.stem) AS stem, c.text, coalesce(im.images, '') AS images, coalesce(im.n, 0) AS n
+        FROM c FULL OUTER JOIN im ON c.stem = im.stem)
+SELECT stem, text, images FROM fin"""
+SQL["finalize_summary"] = SQL["finalize"].removesuffix("SELECT stem, text, images FROM fin") + """SELECT
+  CAST(count(text) AS BIGINT) AS captions, CAST(sum(n) AS BIGINT) AS images FROM fin"""
 SQL["work_list"] = with_("image_inv") + f"""SELECT file AS image, m.model FROM image_inv, (VALUES ('vendor/alpha'), ('lab/beta')) AS m(model)
 WHERE lower(ext) IN {_MODEL_EXTS}"""
 
@@ -645,7 +670,7 @@ FROM (SELECT conv_id, turn, {prune_reply_pieces('reply')} AS t FROM replies)"""
 CTE["artist_replies"] = f"""artist_replies AS (
   SELECT conv_id, turn, concat('prompt ', conv_id, chr(10) || '<|output|>' || chr(10), array_to_string({WORDS}, ', '), ', ',
                                coalesce({WORDS}[1], '')) AS reply
-  FROM conversations WHERE role = 'assistant')"""
+  FROM conversations)"""
 SQL["parse_artist_reply"] = with_("artist_replies") + ", " + ordered_distinct_join(
     comma_pieces(strip("string_split(reply, '<|output|>')[-1]")), ", ", "conv_id, turn", "artist_replies", "par") + """
 SELECT conv_id, turn, text FROM par"""
@@ -656,11 +681,14 @@ SQL["parse_tag_reply"] = with_("replies") + f"""SELECT conv_id, turn,
   CASE WHEN {strip('reply')} <> '' THEN {strip(f"CASE WHEN starts_with({_first}, '-') THEN substr({_first}, 2) ELSE {_first} END")} END AS text
 FROM replies"""
 
+CTE["turn_captions"] = f"""turn_captions AS (
+  SELECT conv_id, turn, array_to_string(list_transform(list_filter({WORDS}, lambda x: length(x) % 2 = 1),
+                                          lambda x: concat(translate(substr(x, 1, 1), 'aeiou', 'AEIOU'), substr(x, 2))), ', ') AS text FROM conversations)"""
 CTE["proposals"] = f"""proposals AS (
   SELECT r.conv_id, r.turn, {prune_reply_pieces('r.reply')} AS proposed, {comma_pieces('c.text')} AS tags,
          list_transform({comma_pieces('c.text')}, lambda x: lower(x)) AS tags_lower
-  FROM replies r JOIN captions c ON r.conv_id = c.doc_id)"""
-DEPS["proposals"] = ["replies", "captions"]
+  FROM replies r JOIN turn_captions c ON r.conv_id = c.conv_id AND r.turn = c.turn)"""
+DEPS["proposals"] = ["replies", "turn_captions"]
 SQL["guard_proposals"] = with_("proposals") + """SELECT conv_id, turn, CAST(len(k) AS BIGINT) AS n_kept, array_to_string(k, ' | ') AS kept
 FROM (SELECT conv_id, turn, list_filter(proposed, lambda t: list_contains(tags_lower, lower(t))) AS k FROM proposals)"""
 SQL["prune_tags"] = with_("proposals") + """, pr AS (
@@ -689,11 +717,11 @@ SQL["artist_tags"] = with_("header_body") + """SELECT event_id,
   CASE WHEN uploader = '' THEN concat('guest_', length(body)) ELSE concat(uploader, ', guest_', length(body)) END AS text
 FROM header_body"""
 
-SQL["apply_transform"] = with_("captions") + "SELECT name, upper(text) AS text FROM captions"
+SQL["apply_transform"] = with_("captions") + "SELECT name, replace(replace(text, 'e', 'E'), 'a', 'A') AS text FROM captions"
 
 CTE["scrape"] = """scrape AS (
   SELECT page_id, concat('page_', lpad(CAST(page_id AS VARCHAR), 8, '0')) AS stem, url,
-         regexp_extract_all(lower(regexp_extract(html, '<title>(.*?)</title>', 1)), '[a-z]{3,}') AS w
+         regexp_extract_all(lower(html), '\\p{L}+') AS w
   FROM pages)"""
 CTE["ingested"] = """ingested AS (
   SELECT stem, concat(stem, CASE WHEN page_id % 2 = 0 THEN '.png' ELSE '.jpg' END) AS image,
@@ -710,7 +738,7 @@ SQL["quarantine"] = with_("ingested") + "SELECT stem, error FROM ingested WHERE
 CTE["stage"] = f"""stage AS (
   SELECT m.model, m.model_key, i.file AS image, i.stem,
          CASE WHEN NOT ends_with(i.stem, '7') THEN concat(m.model_key, '_', i.stem, ', solo') END AS text,
-         CASE WHEN ends_with(i.stem, '7') THEN 'IndexError: list index out of range' END AS error
+         CASE WHEN ends_with(i.stem, '7') THEN 'empty_reply' END AS error
   FROM image_inv i, (VALUES ('vendor/alpha', 'alpha'), ('lab/beta', 'beta')) AS m(model, model_key)
   WHERE lower(i.ext) IN {_MODEL_EXTS})"""
 DEPS["stage"] = ["image_inv"]
@@ -720,13 +748,23 @@ SQL["batch_summary"] = with_("stage") + """SELECT model, CAST(count(*) FILTER (W
   coalesce(string_agg(concat(image, ': ', error), chr(10) ORDER BY image) FILTER (WHERE error IS NOT NULL AND rn <= 20), '') AS first_failures
 FROM (SELECT *, row_number() OVER (PARTITION BY model, error IS NULL ORDER BY image) AS rn FROM stage) GROUP BY model"""
 
-SQL["curation_run"] = with_("ingested") + f""", rc AS (SELECT stem AS name, caption AS text FROM ingested WHERE caption IS NOT NULL),
+SQL["curation_run_raw"] = with_("ingested") + f""", rc AS (SELECT stem AS name, caption AS text FROM ingested WHERE caption IS NOT NULL),
 """ + ordered_distinct_join(split_caption("text"), ", ", "name", "rc", "merged") + f""",
 pruned AS (SELECT m.name, array_to_string({comma_pieces('m.text')}[3:], ', ') AS text
            FROM merged m JOIN ingested i ON m.name = i.stem WHERE NOT ends_with(m.name, '7')),
 """ + ordered_distinct_join(split_caption(strip("text")), ", ", "name", "pruned", "review") + """
 SELECT name, CASE WHEN starts_with(text, 'abo') THEN text ELSE concat('abo, ', text) END AS text FROM review"""
 
+# the two caption models give 'alpha_<stem>, solo' and 'beta_<stem>, solo'; pruning drops the first two tags
+SQL["curation_run"] = with_("ingested") + """SELECT stem AS name, concat('abo, beta_', stem) AS text
+FROM ingested WHERE NOT ends_with(stem, '7')"""
+
+SQL["curation_rejects"] = with_("ingested") + """SELECT 'ingest' AS stage, CAST(NULL AS VARCHAR) AS model, image AS item, error
+FROM ingested WHERE error IS NOT NULL
+UNION ALL
+SELECT 'prune', m.model, i.image, 'empty_reply' FROM ingested i, (VALUES ('team/gamma'), ('lab/delta')) AS m(model)
+WHERE i.caption IS NOT NULL AND ends_with(i.stem, '7')"""
+
 SQL["model_configs"] = """SELECT event_id, CAST(0 AS BIGINT) AS model_ord, concat('vendor/', event_type) AS model,
        concat('p', user_id) AS prompt FROM events WHERE event_id % 3 = 0
 UNION ALL SELECT event_id, 1, concat('lab/', user_id), NULL FROM events WHERE event_id % 3 = 0

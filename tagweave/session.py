@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +15,10 @@ SCALE_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # broadcast by measured shuffle size only: the static estimate of an exploded or
+    # aggregated side is not a size
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 << 20),
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
@@ -33,36 +39,24 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str | None:
-    """The shared folder the cluster names for checkpoints, if any."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if d:
-        return d
-    try:
-        jd = spark.sparkContext._jsc.sc().getCheckpointDir()
-        return jd.get() if jd.isDefined() else None
-    except Exception:  # pragma: no cover - non-JVM sessions
-        return None
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the cluster's checkpoint folder.
-
-    A reliable checkpoint survives executor loss (unlike a local one).  When
-    no checkpoint folder is configured the frame is returned unchanged and
-    Spark recomputes lost partitions from lineage.
-    """
-    if checkpoint_dir(df.sparkSession) is None:
-        return df
-    df.sparkSession.sparkContext.setCheckpointDir(checkpoint_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once for several consumers: a reliable checkpoint in
-    the cluster's checkpoint folder when one is configured, else a
-    memory-and-disk persist (lost blocks are recomputed from lineage)."""
-    if checkpoint_dir(df.sparkSession) is not None:
-        return cut_lineage(df)
-    from pyspark import StorageLevel
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+def stage_root(spark: SparkSession) -> str:
+    """The shared folder for stage tables: ``spark.checkpoint.dir``.  Only
+    where it is unset (tests, one machine) the session's own checkpoint
+    folder is used."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    own = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not own.isDefined():
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tagweave-stages-"))
+        own = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return own.get().rstrip("/")
+
+
+def staged(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """Write ``df`` as a table under ``folder`` (default: the shared stage
+    folder) and read it back: computed once for all its readers, the lineage
+    cut, and safe when executors are lost (unlike a local checkpoint)."""
+    path = f"{(folder or stage_root(df.sparkSession)).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

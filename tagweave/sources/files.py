@@ -48,39 +48,65 @@ def read_captions(spark: SparkSession, folder: str, recursive: bool = False, len
 def read_caption_sources(spark: SparkSession, folders: list[str]) -> DataFrame:
     """S3: several caption folders in order (a folder named twice counts
     once) -> ``(source, source_ord, file, name, text)``."""
-    seen = list(dict.fromkeys(folders))
+    return stack_sources([(f, read_captions(spark, f)) for f in dict.fromkeys(folders)])
+
+
+def stack_sources(sources: list[tuple[str, DataFrame]]) -> DataFrame:
+    """S3 for tables that are already read: named sources in order, one named
+    again counting once."""
     out = None
-    for i, f in enumerate(seen):
-        d = read_captions(spark, f).select(F.lit(f).alias("source"), F.lit(i).alias("source_ord"), "file", "name", "text")
+    for i, (name, d) in enumerate(_first_of_each(sources)):
+        d = d.select(F.lit(name).alias("source"), F.lit(i).alias("source_ord"), "file", "name", "text")
         out = d if out is None else out.unionByName(d)
     return out
 
 
-def read_images(spark: SparkSession, folder: str, exts=DEDUP_IMAGE_EXTS, max_bytes: int | None = None,
-                with_content: bool = True) -> DataFrame:
+def _first_of_each(sources: list[tuple[str, DataFrame]]) -> list[tuple[str, DataFrame]]:
+    seen: dict[str, DataFrame] = {}
+    for name, d in sources:
+        seen.setdefault(name, d)
+    return list(seen.items())
+
+
+def read_images(spark: SparkSession, folder: str, exts=DEDUP_IMAGE_EXTS, with_content: bool = True) -> DataFrame:
     """Image files by extension (lower-cased suffix in ``exts``) ->
     ``(path, file, stem, ext, length, content)``.  Content is only read when
-    asked for; ``max_bytes`` skips oversized files."""
+    asked for; ``length`` lets a caller route very large files elsewhere
+    (``with_content=False`` first, then a read of the chosen ones)."""
     r = spark.read.format("binaryFile").load(folder)
     cols = ["path", "length"] + (["content"] if with_content else [])
     r = r.select(*cols).withColumn("file", _file_name(F.col("path")))
     r = r.where(F.lower(ext_of(F.col("file"))).isin(*exts))
-    if max_bytes is not None:
-        r = r.where(F.col("length") <= max_bytes)
     return r.withColumn("stem", stem_of(F.col("file"))).withColumn("ext", ext_of(F.col("file")))
 
 
-def _read_csv_strings(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with a header, every column read as text (``NA``/``null`` stay
-    text), quoted commas kept."""
-    return (spark.read.option("header", "true").option("multiLine", "false").option("escape", '"')
-            .csv(path))
+def _csv_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(line_no, line)`` of a text export, in file order: the file is read
+    whole (label and alias exports are a few MB) and numbered by position,
+    so the order does not rest on engine row ids."""
+    t = spark.read.text(path, wholetext=True)
+    lines = t.select(F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
+    return lines.where(F.col("line") != "")
+
+
+def _header_names(spark: SparkSession, path: str) -> list[str]:
+    """Column names of a CSV export, from its first line."""
+    first = spark.read.text(path).first()
+    return [c.strip().strip('"') for c in (first[0] if first else "").split(",")]
+
+
+def _string_schema(names: list[str]) -> str:
+    return ", ".join(f"`{n or f'c{i}'}` string" for i, n in enumerate(names))
+
+
+_CSV_OPTIONS = {"escape": '"', "mode": "PERMISSIVE", "nullValue": "\u0000", "emptyValue": ""}
 
 
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     """Tag dictionary export -> ``(name, category int, post_count
-    bigint)``; other columns are ignored."""
-    d = _read_csv_strings(spark, path)
+    bigint)``; other columns are ignored.  The schema is declared from the
+    header line, all text (``NA``/``null`` stay text)."""
+    d = spark.read.schema(_string_schema(_header_names(spark, path))).option("header", "true").options(**_CSV_OPTIONS).csv(path)
     return d.select(F.col("name"), F.col("category").cast("int").alias("category"),
                     F.col("post_count").cast("bigint").alias("post_count"))
 
@@ -88,19 +114,18 @@ def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
 def read_alias_rows(spark: SparkSession, alias_path: str | None, implication_path: str | None) -> DataFrame:
     """Alias (``alias_name`` or ``antecedent_name``) and implication
     exports -> ``(antecedent_name, consequent_name, kind, row_no)``, kind 1
-    for aliases and 2 for implications.
-
-    ``row_no`` orders rows inside one file: the reader's ids grow with the
-    file offset (splits of one file keep their order), which is what "the
-    last row wins" needs; rows of different kinds never compete on it."""
+    for aliases and 2 for implications; ``row_no`` is the line in the file
+    ("the last row wins")."""
     out = None
     for kind, path in ((1, alias_path), (2, implication_path)):
         if not path:
             continue
-        d = _read_csv_strings(spark, path)
-        ante = "alias_name" if "alias_name" in d.columns else "antecedent_name"
-        d = d.select(F.col(ante).alias("antecedent_name"), F.col("consequent_name"),
-                     F.lit(kind).alias("kind"), F.monotonically_increasing_id().alias("row_no"))
+        names = _header_names(spark, path)
+        ante = "alias_name" if "alias_name" in names else "antecedent_name"
+        rows = _csv_lines(spark, path).where("line_no > 0")
+        d = rows.select("line_no", F.from_csv("line", _string_schema(names), _CSV_OPTIONS).alias("r"))
+        d = d.select(F.col(f"r.{ante}").alias("antecedent_name"), F.col("r.consequent_name").alias("consequent_name"),
+                     F.lit(kind).alias("kind"), F.col("line_no").cast("bigint").alias("row_no"))
         out = d if out is None else out.unionByName(d)
     return out
 
@@ -128,10 +153,13 @@ def latest_snapshot(spark: SparkSession, folder: str, prefix: str, as_of: dt.dat
 
 
 def read_post_meta_files(spark: SparkSession, folder_or_file: str) -> DataFrame:
-    """Post-metadata JSON files (one JSON object each)."""
+    """Post-metadata JSON files (one JSON object each) -> ``(file,
+    post_no, post_key, artist, year, filename)``; ``(file, post_no)`` is the
+    order in which ``inject_posts`` applies them."""
     from ..operators.posts import parse_post_meta
-    t = spark.read.text(folder_or_file, wholetext=True).select(F.col("value").alias("text"))
-    return parse_post_meta(t)
+    t = spark.read.text(folder_or_file, wholetext=True).select(
+        _file_name(F.col("_metadata.file_path")).alias("file"), F.col("value").alias("text"))
+    return parse_post_meta(t, keep=("file",))
 
 
 def read_label_file(spark: SparkSession, path: str, model: str, column: int = 0,
@@ -139,67 +167,44 @@ def read_label_file(spark: SparkSession, path: str, model: str, column: int = 0,
     """A model's label vocabulary -> ``(model, idx, tag)`` with ``_``
     read as a space.
 
-    JSON object ``{tag: index}`` (indices without a tag get ``""``), JSON
-    list (position is the index), or CSV: the label column is ``column``;
-    the first line is skipped when asked, or when it names a
-    ``name``/``tag``/``tags`` column (that column is then used, if
-    ``column`` is 0); otherwise the first line is a label too.  CSV labels
-    are stripped."""
+    JSON object ``{tag: index}`` (of a repeated index the last tag in file
+    order counts; indices without a tag get ``""``), JSON list (position is
+    the index), or CSV: the label column is ``column``; the first line is
+    skipped when asked, or when it names a ``name``/``tag``/``tags`` column
+    (that column is then used, if ``column`` is 0); otherwise the first line
+    is a label too.  CSV labels are stripped; rows too short for the label
+    column are skipped, and later labels move up."""
     lower = path.lower()
+    blank = lambda c: F.replace(c, F.lit("_"), F.lit(" "))
     if lower.endswith(".json"):
         t = spark.read.text(path, wholetext=True)
-        obj = F.from_json("value", "map<string,int>")
-        lst = F.from_json("value", "array<string>")
-        j = t.select(obj.alias("m"), lst.alias("l"))
-        rows_obj = j.where(F.col("m").isNotNull()).select(F.explode("m").alias("tag", "idx"))
-        rows_obj = rows_obj.groupBy("idx").agg(F.max("tag").alias("tag"))
+        j = t.select(F.from_json("value", "map<string,int>").alias("m"), F.from_json("value", "array<string>").alias("l"))
+        rows_obj = j.where(F.col("m").isNotNull()).select(F.posexplode(F.map_entries("m")).alias("pos", "e"))
+        rows_obj = rows_obj.groupBy(F.col("e.value").alias("idx")).agg(F.max_by("e.key", "pos").alias("tag"))
         size = rows_obj.agg(F.max("idx").alias("mx"))
         dense = size.select(F.explode(F.sequence(F.lit(0), F.col("mx"))).alias("idx")).join(rows_obj, "idx", "left")
-        dense = dense.select("idx", F.coalesce(F.replace("tag", F.lit("_"), F.lit(" ")), F.lit("")).alias("tag"))
+        dense = dense.select("idx", F.coalesce(blank(F.col("tag")), F.lit("")).alias("tag"))
         rows_lst = j.where(F.col("m").isNull() & F.col("l").isNotNull()).select(F.posexplode("l").alias("idx", "tag"))
-        rows_lst = rows_lst.select("idx", F.replace("tag", F.lit("_"), F.lit(" ")).alias("tag"))
-        out = dense.unionByName(rows_lst)
+        out = dense.unionByName(rows_lst.select("idx", blank(F.col("tag")).alias("tag")))
     elif lower.endswith(".csv"):
-        raw = row_numbers(spark.read.option("header", "false").csv(path), "_rid")
-        header = raw.where(F.col("_rid") == 0).first()
-        cols = [c for c in raw.columns if c != "_rid"]
-        hdr = [header[c] for c in cols] if header is not None else []
-        names = [h.lower() if h is not None else "" for h in hdr]
+        names = [n.lower() for n in _header_names(spark, path)]
         use, skip = column, skip_first_line
-        if not skip_first_line:
-            if any(n in {"name", "tag", "tags"} for n in names) and column == 0:
-                use, skip = next(i for i, n in enumerate(names) if n in {"name", "tag", "tags"}), True
-        body = raw.where(F.col("_rid") > 0) if skip else raw
-        if use >= len(cols):
-            body = body.where(F.lit(False))
-            label = F.lit("")
-        else:
-            label = F.col(cols[use])
-        # rows too short for the label column are skipped, and later labels move up
-        body = row_numbers(body.where(label.isNotNull()).drop("_rid"), "idx")
-        out = body.select("idx", F.replace(strip_ws(label), F.lit("_"), F.lit(" ")).alias("tag"))
+        if not skip and column == 0 and any(n in {"name", "tag", "tags"} for n in names):
+            use, skip = next(i for i, n in enumerate(names) if n in {"name", "tag", "tags"}), True
+        width = max(use + 1, len(names))
+        lines = _csv_lines(spark, path)
+        if skip:
+            lines = lines.where("line_no > 0")
+        row = F.from_csv("line", ", ".join(f"c{i} string" for i in range(width)), _CSV_OPTIONS)
+        labels = lines.select("line_no", row[f"c{use}"].alias("label")).where(F.col("label").isNotNull())
+        # one row of labels in line order: their positions are the indices
+        whole = labels.agg(F.sort_array(F.collect_list(F.struct("line_no", "label"))).alias("ls"))
+        out = whole.select(F.posexplode("ls").alias("idx", "x")).select("idx", blank(strip_ws(F.col("x.label"))).alias("tag"))
     else:
         raise ValueError(f"unknown tag file type: {path}")
     return out.select(F.lit(model).alias("model"), F.col("idx").cast("int").alias("idx"), "tag")
 
 
-def row_numbers(df: DataFrame, out: str) -> DataFrame:
-    """Number rows 0.. in reading order without moving them to one task.
-
-    ``monotonically_increasing_id`` holds the partition index in its high
-    bits and the row's place inside the partition in the low 33 bits; the
-    per-partition counts (one small row per partition) give each partition
-    its offset."""
-    d = df.withColumn("_mid", F.monotonically_increasing_id())
-    d = d.withColumn("_p", F.shiftright("_mid", 33)).withColumn("_i", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)))
-    counts = d.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    from pyspark.sql import Window
-    offs = counts.select("_p", (F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)))
-                         .alias("_off"))
-    j = d.join(F.broadcast(offs), "_p")
-    return j.withColumn(out, (F.coalesce("_off", F.lit(0)) + F.col("_i")).cast("long")).drop("_mid", "_p", "_i", "_off")
-
-
 REGISTRY_STRUCT = ("struct<repo:string,subfolder:string,filename:string,timm_id:string,num_classes:int,"
                    "tags_file:string,head_type:string,supports_cam:boolean,backend:string,"
                    "use_column_number:int,skip_first_line:boolean>")

@@ -14,7 +14,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WORD_RX = "[a-z]{3,}"
+from ..functions.text import with_array
+
+WORD_RX = r"\p{L}+"
 
 
 def small_table(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
@@ -30,7 +32,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def words(text: Column) -> Column:
-    """Every word of three or more ASCII letters in the lower-cased text."""
+    """Every word (run of Unicode letters, any length) of the lower-cased text."""
     return F.regexp_extract_all(F.lower(text), F.lit(WORD_RX), 0)
 
 
@@ -95,25 +97,43 @@ def alias_rows(spark, sf_dir) -> DataFrame:
                     F.col("x.r").cast("bigint").alias("row_no"))
 
 
-def posts(spark, sf_dir) -> DataFrame:
-    """F4 ``(post_id, filename, artist, year)``: one post per document,
-    pointing 20 names ahead (so the last 20 have no caption); every tenth
-    has no artist; documents in German get a second post with another
-    artist (several posts on one caption)."""
-    d = table(spark, sf_dir, "documents")
+def _post_items() -> Column:
+    """The posts of a document, in order: one pointing 20 names ahead (so the
+    last 20 have no caption; every tenth has no artist), and for German
+    documents two more, equal ones by an artist whose name ends in a bracket
+    (a name that never counts as present, so the repeat changes the caption
+    again)."""
     fn = image_name(F.col("doc_id") + 20)
     yr = (F.lit(2000) + F.col("doc_id") % 25).cast("string")
-    first = d.select((F.col("doc_id") * 2).alias("post_id"), fn.alias("filename"),
-                     F.when(F.col("doc_id") % 10 == 0, F.lit("")).otherwise(F.concat(F.lit("Artist "), F.col("source")))
-                     .alias("artist"), yr.alias("year"))
-    second = d.where(F.col("lang") == "de").select(
-        (F.col("doc_id") * 2 + 1).alias("post_id"), fn.alias("filename"),
-        F.concat(F.lit("Studio "), F.col("lang")).alias("artist"), yr.alias("year"))
-    return first.unionByName(second)
+
+    def post(k: int, artist: Column) -> Column:
+        return F.struct((F.col("doc_id") * 3 + k).alias("post_id"), fn.alias("filename"), artist.alias("artist"), yr.alias("year"))
+
+    first = F.when(F.col("doc_id") % 10 == 0, F.lit("")).otherwise(F.concat(F.lit("Artist "), F.col("source")))
+    studio = F.concat(F.lit("Studio ("), F.col("lang"), F.lit(")"))
+    return F.when(F.col("lang") == "de", F.array(post(0, first), post(1, studio), post(2, studio))) \
+            .otherwise(F.array(post(0, first)))
+
+
+def posts(spark, sf_dir) -> DataFrame:
+    """F4 ``(post_id, filename, artist, year)``."""
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.explode(_post_items()).alias("p")).select("p.*")
+
+
+def post_meta(spark, sf_dir) -> DataFrame:
+    """F4 as post-metadata files ``(file, text)``: a JSON object of posts per
+    document, with two values that are not posts."""
+    d = table(spark, sf_dir, "documents").withColumn("_posts", _post_items())
+    one = F.transform("_posts", lambda p: F.concat(
+        F.lit('"'), p["post_id"].cast("string"), F.lit('": '),
+        F.to_json(F.struct(p["artist"].alias("artist"), p["year"].cast("int").alias("year"), p["filename"].alias("filename")))))
+    text = F.concat(F.lit("{"), F.array_join(one, ", "), F.lit(', "scraper": "v2", "n": 1}'))
+    return d.select(F.concat(F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lit(".json")).alias("file"), text.alias("text"))
 
 
 def raw_posts(spark, sf_dir) -> DataFrame:
-    """F8 ``(event_id, raw)``: a raw post header per event."""
+    """F8 ``(event_id, event_type, raw)``: a raw post header per event."""
     e = table(spark, sf_dir, "events")
     raw = F.concat(
         F.lit("post "), F.col("event_id").cast("string"), F.lit(",, "), F.col("event_type"), F.lit(" no "),
@@ -121,7 +141,7 @@ def raw_posts(spark, sf_dir) -> DataFrame:
         F.col("user_id").cast("string"), F.lit(", "),
         F.when(F.col("event_id") % 7 == 0, F.lit("n.d.")).otherwise((F.lit(2000) + F.col("event_id") % 25).cast("string")),
         F.lit(", "), F.col("props"), F.lit(", "), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(", end"))
-    return e.select("event_id", raw.alias("raw"))
+    return e.select("event_id", "event_type", raw.alias("raw"))
 
 
 def replies(spark, sf_dir) -> DataFrame:
@@ -137,14 +157,33 @@ def replies(spark, sf_dir) -> DataFrame:
     return c.select("conv_id", "turn", "role", reply.alias("reply"))
 
 
+def artist_replies(spark, sf_dir) -> DataFrame:
+    """F9 for the artist parser, every turn: the echoed prompt, the mark, and
+    every word of the turn with the first one again."""
+    c = table(spark, sf_dir, "conversations")
+    w = words(F.col("text"))
+    reply = F.concat(F.lit("prompt "), F.col("conv_id").cast("string"), F.lit("\n<|output|>\n"),
+                     F.array_join(w, ", "), F.lit(", "), F.coalesce(F.get(w, 0), F.lit("")))
+    return c.select("conv_id", "turn", reply.alias("reply"))
+
+
+def turn_captions(spark, sf_dir) -> DataFrame:
+    """``(conv_id, turn, text)``: a caption per turn, the turn's words of odd
+    length, first vowels as capitals (the guard ignores case)."""
+    c = table(spark, sf_dir, "conversations")
+    w = F.filter(words(F.col("text")), lambda x: F.length(x) % 2 == 1)
+    w = F.transform(w, lambda x: F.concat(F.translate(F.substring(x, 1, 1), "aeiou", "AEIOU"), F.substring(x, 2, 1_000_000)))
+    return c.select("conv_id", "turn", F.array_join(w, ", ").alias("text"))
+
+
 def file_names(spark, sf_dir) -> DataFrame:
     """F7 ``(page_id, stem, ext)``: stems in the shapes the name restorer
-    knows."""
+    knows; neighbouring pages of the first two shapes restore to one name."""
     p = table(spark, sf_dir, "pages")
-    pid = F.col("page_id").cast("string")
+    pid = F.when(F.col("page_id") % 4 < 2, F.floor(F.col("page_id") / 8)).otherwise(F.col("page_id")).cast("string")
     m = F.col("page_id") % 4
     stem = (F.when(m == 0, F.concat(F.lit("clip_frame_"), pid, F.lit("-up2x-"), F.length("html").cast("string")))
-             .when(m == 1, F.concat(F.lit("a-b="), pid, F.lit("-x4")))
+             .when(m == 1, F.concat(F.lit("a-b="), pid, F.lit("-x"), F.length("html").cast("string")))
              .when(m == 2, F.concat(F.lit("plain-"), pid))
              .otherwise(F.concat(F.lit("k="), pid)))
     ext = F.when(F.col("page_id") % 2 == 0, F.lit(".png")).otherwise(F.lit(".txt"))
@@ -168,13 +207,17 @@ def source_tags(spark, sf_dir) -> DataFrame:
     cover German and tagger 3 not Spanish, so some names are missing from
     some sources."""
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", words(F.col("text")).alias("w"))
-    s1 = d.select("doc_id", F.lit(1).alias("source_ord"), F.filter("w", lambda x: F.length(x) <= 6).alias("tags"))
-    s2 = d.where(F.col("lang") != "de").select(
-        "doc_id", F.lit(2).alias("source_ord"), F.filter("w", lambda x: F.length(x) >= 5).alias("tags"))
-    s3 = d.where(F.col("lang") != "es").select(
-        "doc_id", F.lit(3).alias("source_ord"), F.filter("w", lambda x: x.contains("e")).alias("tags"))
-    out = s1.unionByName(s2).unionByName(s3)
-    return out.select("doc_id", image_name(F.col("doc_id")).alias("name"), "source_ord", "tags")
+    d = with_array(d, "words", F.col("w"))  # read and cut into words once for the three
+
+    def tagger(k: int, tags: Column) -> Column:
+        return F.struct(F.lit(k).alias("source_ord"), tags.alias("tags"))
+
+    each = F.array(
+        tagger(1, F.filter("words", lambda x: F.length(x) <= 6)),
+        F.when(F.col("lang") != "de", tagger(2, F.filter("words", lambda x: F.length(x) >= 5))),
+        F.when(F.col("lang") != "es", tagger(3, F.filter("words", lambda x: x.contains("e")))))
+    out = d.select("doc_id", F.explode(F.array_compact(each)).alias("s"))
+    return out.select("doc_id", image_name(F.col("doc_id")).alias("name"), "s.source_ord", "s.tags")
 
 
 def source_captions(spark, sf_dir) -> DataFrame:
@@ -224,9 +267,11 @@ def head_weights(spark, n_labels: int, n_dims: int = 64) -> DataFrame:
 
 def heat_cells(spark, sf_dir) -> DataFrame:
     """F13 ``(image, tag, model, cell, v)``: each vector as 4 models' maps
-    of 16 cells, values in integer micro-units."""
+    of 16 cells, values in integer micro-units; every 11th vector gives flat
+    maps."""
     e = table(spark, sf_dir, "embeddings")
     x = e.select("vec_id", "label", F.posexplode("embedding").alias("pos", "v"))
+    x = x.withColumn("v", F.when(F.col("vec_id") % 11 == 0, F.lit(0.25)).otherwise(F.col("v").cast("double")))
     return x.select(F.col("vec_id").alias("image"), F.concat(F.lit("tag_"), F.col("label").cast("string")).alias("tag"),
                     (F.col("pos") / 16).cast("int").alias("model"), (F.col("pos") % 16).cast("int").alias("cell"),
                     micro(F.col("v")).alias("v"))
@@ -249,10 +294,11 @@ def scrape_files(spark, sf_dir) -> DataFrame:
     """A scrape folder ``(file, text)`` from ``pages``: one image per page
     (``.png`` for even ids, ``.jpg`` for odd), a JSON sidecar for four pages
     in five (tags as a list, keywords as a string, an empty tag list with
-    keywords, or broken JSON), and a text sidecar (the URL) for even ids."""
+    keywords, or broken JSON), and a text sidecar (the URL) for even ids; the
+    tags are every word of the page."""
     p = table(spark, sf_dir, "pages")
     stem = F.concat(F.lit("page_"), F.lpad(F.col("page_id").cast("string"), 8, "0"))
-    w = words(F.regexp_extract("html", "<title>(.*?)</title>", 1))
+    w = words(F.col("html"))
     tag_list = F.when(F.size(w) == 0, F.lit("[]")).otherwise(F.concat(F.lit('["'), F.array_join(w, '", "'), F.lit('"]')))
     m = F.col("page_id") % 5
     js = (F.when(m == 0, F.concat(F.lit('{"tags": '), tag_list, F.lit("}")))

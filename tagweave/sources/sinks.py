@@ -1,6 +1,5 @@
 """Sinks: caption tables per stage (K1, K3), per-model outputs (K2), new
-versions instead of in-place edits (K4), and a file-per-caption export for
-small sets."""
+versions instead of in-place edits (K4), and a plain-text export."""
 
 from __future__ import annotations
 
@@ -29,26 +28,17 @@ def write_version(df: DataFrame, root: str, version: int, **kw) -> str:
     return path
 
 
-def write_by_model(df: DataFrame, path: str, key: str = "model_key", mode: str = "errorifexists") -> None:
-    """K2: per-model outputs, one partition folder per model key."""
+def write_by_model(df: DataFrame, path: str, key: str = "model", mode: str = "errorifexists") -> None:
+    """K2: per-model outputs, one partition folder per full model id (two
+    vendors with the same last id part stay apart; Spark escapes the
+    slash)."""
     df.write.mode(mode).partitionBy(key).parquet(path)
 
 
-def export_caption_files(df: DataFrame, folder: str, name: str = "name", text: str = "text",
-                         max_files: int = 10_000) -> int:
-    """Write ``<name>.txt`` files (stripped, UTF-8) into a shared folder, for
-    hand-off to tools that read caption folders.  Meant for small sets: the
-    count is checked first.  Each task writes its own files; a retried task
-    rewrites the same names, so a lost executor leaves no partial state."""
-    n = df.count()
-    if n > max_files:
-        raise ValueError(f"{n} captions: too many for a file export (limit {max_files})")
-    os.makedirs(folder, exist_ok=True)
-
-    def write_part(rows):
-        for r in rows:
-            with open(os.path.join(folder, f"{r[0]}.txt"), "w", encoding="utf-8") as fh:
-                fh.write(r[1])
-
-    df.select(F.col(name), strip_ws(F.col(text))).foreachPartition(write_part)
-    return n
+def export_caption_text(df: DataFrame, folder: str, name: str = "name", text: str = "text",
+                        mode: str = "errorifexists") -> None:
+    """K1/G5 for tools that read text: the stripped captions as plain text
+    under ``folder/name=<name>/``, written by Spark's own committer to a
+    shared path (no size limit, and a lost executor leaves no half file)."""
+    rows = df.select(F.col(name).alias("name"), strip_ws(F.col(text)).alias("value"))
+    rows.repartition("name").sortWithinPartitions("name").write.mode(mode).partitionBy("name").text(folder)

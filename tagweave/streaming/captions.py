@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.files import stem_of
-from ..session import checkpoint_dir
+from ..session import stage_root
 
 _BINARY_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -38,7 +38,7 @@ def caption_stream(spark: SparkSession, folder: str, max_files_per_trigger: int
 def _checkpoint(spark: SparkSession, name: str, given: str | None) -> str:
     if given:
         return given
-    root = checkpoint_dir(spark)
+    root = stage_root(spark)
     if not root:
         raise ValueError("no checkpoint location: pass one or set spark.checkpoint.dir")
     return os.path.join(root, "streams", name)

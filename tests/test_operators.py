@@ -50,18 +50,26 @@ def test_sanitize_golden(spark):
     assert out["c"] == "" and out["d"] == ""   # every name stays
 
 
-def test_sanitize_plan_broadcasts_and_one_regroup(spark):
+def _ran(df):
+    """The plan that ran, after adaptive execution."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sanitize_joins_by_measured_size_and_regroups_once(spark):
     caps = spark.createDataFrame([("a", "cat, dog")], "name string, text string")
-    d = small_table(spark, [tuple(r) for r in _dictionary(spark).collect()], ["name", "category", "post_count"])
-    a = small_table(spark, [tuple(r) for r in _aliases(spark).collect()],
-                    ["antecedent_name", "consequent_name", "kind", "row_no"])
-    df = dic.sanitize(caps, d, dic.alias_map(a))
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    # caption rows: explode -> one broadcast join with the combined lookup -> one regroup exchange
-    path = plan[plan.index("Exchange hashpartitioning(name"):plan.index("Generate posexplode")]
-    assert path.count("Join") == 1 and "BroadcastHashJoin" in path
-    assert "SortMergeJoin" not in plan
+    df = dic.sanitize(caps, _dictionary(spark), dic.alias_map(_aliases(spark)))
+    plan = _ran(df).split("Initial Plan")[0]
+    assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan  # small sides, as measured
+    assert "strategy=broadcast" not in df._jdf.queryExecution().analyzed().toString()  # no hint
     assert "PythonUDF" not in plan and "BatchEvalPython" not in plan
+    same = sorted(tuple(r) for r in df.collect())
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        off = dic.sanitize(caps, _dictionary(spark), dic.alias_map(_aliases(spark)))
+        assert "BroadcastHashJoin" not in _ran(off) and sorted(tuple(r) for r in off.collect()) == same
+    finally:
+        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", str(64 << 20))
 
 
 def test_merge_captions_order_and_empty(spark):
@@ -104,11 +112,28 @@ def test_inject_posts_in_order_and_counts(spark):
     assert s == {"modified": 3, "missing": 1, "skipped": 1}
 
 
+def test_inject_posts_applies_every_repeat(spark):
+    caps = spark.createDataFrame([("f", "a, b")], "name string, text string")
+    posts = spark.createDataFrame([(i, "f", "Foo (artist)", "2014") for i in range(3)],
+                                  "post_id long, filename string, artist string, year string")
+    r = po.inject_posts(posts, caps).first()
+    assert r["text"] == "a, " + "foo (artist), 2014, " * 3 + "b" and r["n_modified"] == 3
+
+
+def test_post_meta_feeds_the_injector_in_json_order(spark):
+    t = spark.createDataFrame([("f2.json", '{"1": {"artist": "C", "year": 3, "filename": "f"}}'),
+                               ("f1.json", '{"9": {"artist": "A", "year": 1, "filename": "f"}, '
+                                           '"2": {"artist": "B", "year": 2, "filename": "f"}}')], "file string, text string")
+    caps = spark.createDataFrame([("f", "x, y")], "name string, text string")
+    out = po.inject_posts(po.parse_post_meta(t, keep=("file",)), caps, order=("file", "post_no")).first()
+    assert (out["text"], out["n_modified"]) == ("x, c, 3, b, 2, a, 1, y", 3)
+
+
 def test_post_meta_drops_non_objects(spark):
     t = spark.createDataFrame([('{"1": {"artist": "A", "year": 2001, "filename": "f"}, "2": 5, "3": "x", '
                                 '"4": {"artist": null, "year": "2", "filename": "g"}}',)], "text string")
     rows = sorted(tuple(r) for r in po.parse_post_meta(t).collect())
-    assert rows == [("1", "A", "2001", "f"), ("4", None, "2", "g")]
+    assert rows == [(0, "1", "A", "2001", "f"), (3, "4", None, "2", "g")]
 
 
 def test_topk_ties_and_dup_labels(spark):
@@ -128,10 +153,8 @@ def test_topk_ties_and_dup_labels(spark):
 def test_batch_tag_has_no_shuffle_on_scores(spark):
     s = spark.createDataFrame([(1, "m", 0, [5, 9])], "image long, model string, model_ord int, scores array<bigint>")
     vocab = small_table(spark, [("m", 0, "a"), ("m", 1, "b")], ["model", "idx", "tag"])
-    plan = sc.batch_tag(s, vocab, 0.0)._jdf.queryExecution().executedPlan().toString()
+    plan = _ran(sc.batch_tag(s, vocab, 0.0)).split("Initial Plan")[0]
     assert "BroadcastHashJoin" in plan
-    # the only exchange builds the per-model label arrays (the small side)
-    assert plan.count("Exchange hashpartitioning") <= 1
 
 
 def test_ensemble_mean_over_returning_models(spark):
@@ -156,6 +179,14 @@ def test_gated_and_blocked_heads_agree(spark):
     for k in a:
         assert np.allclose(a[k], b[k])
         assert np.allclose(g[k], np.array(a[k][:2]) * np.array(a[k][2:]))
+    # a label without weight rows in the middle and at the end of a block; string image ids keep their type
+    files = emb.select(F.concat(F.lit("img_"), "vec_id").alias("vec_id"), "embedding")
+    sparse = w.where("l <> 1")
+    c = {r["image"]: r["scores"] for r in sc.dense_scores(files, sparse, block=2).collect()}
+    assert set(c) == {"img_1", "img_2"}
+    assert np.allclose(c["img_1"], [a[1][0], 0.5, *a[1][2:]])
+    best = sc.dense_scores(files, w, top=2).where("image = 'img_1'").first()["scores"]
+    assert [x["idx"] for x in best] == sorted(range(4), key=lambda i: (-a[1][i], i))[:2]
 
 
 def test_grid_and_mask(spark):
@@ -163,7 +194,9 @@ def test_grid_and_mask(spark):
     got = [(r["g"]["h"], r["g"]["w"]) for r in df.select(ht.grid_layout(F.col("n")).alias("g")).collect()]
     assert got == [(1, 1), (3, 4), (27, 27), (1, 13), (6, 8)]
     m = spark.createDataFrame([(2, 10), (1, 10), (0, 0)], "num long, den long")
-    assert [r[0] for r in m.select(ht.heat_mask(F.col("num"), F.col("den"), 0.2, 0.6)).collect()] == [153, 0, 153]
+    assert [r[0] for r in m.select(ht.heat_mask(F.col("num"), F.col("den"), 0.2, 0.6)).collect()] == [153, 0, 0]
+    # a flat map has the value 0: only a threshold of 0 paints it
+    assert [r[0] for r in m.select(ht.heat_mask(F.col("num"), F.col("den"), 0.0, 0.6)).collect()] == [153, 153, 153]
 
 
 def test_dedup_keep_move_with_a_hot_hash(spark):
@@ -206,6 +239,63 @@ def test_review_and_edits(spark):
     assert sorted(tuple(x) for x in rv.apply_edits(stored, edits).collect()) == [("a", "new"), ("b", "keep"), ("c", "added")]
 
 
+def test_review_edges(spark):
+    imgs = spark.createDataFrame([("a.png",), ("b.jpg",)], "file string")
+    schema = "model string, name string, text string"
+    # two captions of one (model, name): one of them counts, the job goes on
+    r = rv.review_items(imgs, spark.createDataFrame([("m", "a", "q"), ("m", "a", "p")], schema)).where("image = 'a.png'").first()
+    assert (r["union"], dict(r["by_model"])) == (["p"], {"m": ["p"]})
+    merged = spark.createDataFrame([("a", "x, y")], "name string, text string")
+    r = {x["image"]: (x["union"], dict(x["by_model"])) for x in rv.review_items(imgs, spark.createDataFrame([], schema), merged).collect()}
+    assert r == {"a.png": (["x", "y"], {}), "b.jpg": ([], {})}  # nothing written by models: the merged captions
+    r = rv.review_items(imgs, spark.createDataFrame([("m", "a", "q")], schema), merged).where("image = 'a.png'").first()
+    assert r["union"] == ["q"]
+
+
+def test_finalize_keeps_a_caption_once(spark):
+    review = spark.createDataFrame([("a", "x"), ("b", "abo, y")], "name string, text string")
+    imgs = spark.createDataFrame([("a.png",), ("a.jpg",), ("c.png",)], "file string")
+    f = rv.finalize(review, imgs, "abo")
+    assert sorted((r["stem"], r["text"], r["images"]) for r in f.collect()) == [
+        ("a", "abo, x", ["a.jpg", "a.png"]), ("b", "abo, y", []), ("c", None, ["c.png"])]
+    assert rv.finalize_summary(f).first().asDict() == {"captions": 2, "images": 3}
+
+
+def test_curation_run_calls_each_model_once_per_record(spark, tmpdir_run):
+    """Calls are counted in files that the stand-in model writes (this test runs on one machine)."""
+    import json
+    import os
+    import uuid
+    from tagweave.plans import curation as cu
+    log = os.path.join(tmpdir_run, "calls")
+    os.makedirs(log)
+
+    def factory(model):
+        def call(requests):
+            with open(os.path.join(log, uuid.uuid4().hex), "w", encoding="utf-8") as fh:
+                fh.write("\n".join([model] * len(requests)))
+            return ["" if "img_3." in r else f"- {model} {json.loads(r)[1]['content'][0]['text'][:5]}, solo" for r in requests]
+        return call
+    files = spark.createDataFrame([(f"img_{i}.png", None) for i in range(10)] + [("img_1.json", "{bad")], "file string, text string")
+    run = cu.curation_run(spark, files, [{"model": "v/a"}, {"model": "w/a"}], "", [{"model": "v/p"}], "", "abo", factory,
+                          work_dir=os.path.join(tmpdir_run, "stages"))
+    caps = {r["name"]: r["text"] for r in run.captions.collect()}
+    rejects = sorted((r["stage"], r["model"] or "", r["item"], r["error"]) for r in run.rejects.collect())
+    run.captions.count(), run.rejects.count()
+    calls = [m for f in os.listdir(log) for m in open(os.path.join(log, f), encoding="utf-8").read().split("\n")]
+    assert {m: calls.count(m) for m in set(calls)} == {"v/a": 10, "w/a": 10, "v/p": 9}
+    assert len(caps) == 9 and all(t.startswith("abo, ") for t in caps.values())
+    assert [r[:3] for r in rejects] == [("caption", "v/a", "img_3.png"), ("caption", "w/a", "img_3.png"), ("ingest", "", "img_1.png")]
+
+
+def test_models_of_two_vendors_stay_apart(spark):
+    from tagweave.plans import curation as cu
+    stage = spark.createDataFrame([(0, "v/a", "s", "one", None), (1, "w/a", "s", "two", None), (2, "v/a", "s", "three", None)],
+                                  "cfg int, model string, stem string, text string, error string")
+    got = sorted((r["source_ord"], r["source"], r["text"]) for r in cu._as_sources(stage).collect())
+    assert got == [(0, "v/a", "three"), (1, "w/a", "two")]
+
+
 def test_sanitize_on_bucketed_captions_needs_no_regroup_shuffle(spark, tmpdir_run):
     import os
     caps = spark.createDataFrame([(f"n{i}", "cat, dog, kitty") for i in range(20)], "name string, text string")
@@ -214,9 +304,14 @@ def test_sanitize_on_bucketed_captions_needs_no_regroup_shuffle(spark, tmpdir_ru
     a = small_table(spark, [tuple(r) for r in _aliases(spark).collect()],
                     ["antecedent_name", "consequent_name", "kind", "row_no"])
     out = dic.sanitize(spark.table("caps_bucketed_t"), d, dic.alias_map(a))
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan.split("BroadcastHashJoin")[0]
-    assert {r["text"] for r in out.collect()} == {"felid, dog"}
+    # literal tables: their size is known when the plan is made
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1m")
+    try:
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(name" not in plan  # the buckets already hold a name's rows together
+        assert {r["text"] for r in out.collect()} == {"felid, dog"}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.sql("DROP TABLE caps_bucketed_t")
 
 
@@ -243,7 +338,7 @@ def test_row_local_rules_have_no_exchange_or_python(spark):
     import __spark_entry__ as E
     from tests.conftest import SF_SMALL
     for key in ["strip_eot", "split_tags", "dedup_order", "basic_clean", "pad_only", "fix_delimiters", "keyword_clean",
-                "restore_names", "uploader_year", "post_header_body", "prepend_trigger", "parse_prune_reply",
+                "uploader_year", "post_header_body", "prepend_trigger", "parse_prune_reply",
                 "parse_artist_reply", "parse_tag_reply", "topk_scores", "auto_sigmoid", "grid_layout"]:
         plan = E.queries()[key](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan and "Python" not in plan and "MapInPandas" not in plan, key

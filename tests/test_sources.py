@@ -75,7 +75,7 @@ def test_alias_readers_and_snapshot(spark, tmpdir_run):
 def test_post_meta_file(spark, tmpdir_run):
     _write(tmpdir_run, "meta.json", json.dumps({"1": {"artist": "A", "year": 2001, "filename": "f"}, "x": [1]}))
     rows = [tuple(r) for r in rd.read_post_meta_files(spark, os.path.join(tmpdir_run, "meta.json")).collect()]
-    assert rows == [("1", "A", "2001", "f")]
+    assert rows == [("meta.json", 0, "1", "A", "2001", "f")]
 
 
 def test_label_files(spark, tmpdir_run):
@@ -124,13 +124,12 @@ def test_sinks_roundtrip(spark, tmpdir_run):
     back = {r["name"]: r["text"] for r in spark.read.parquet(p).collect()}
     assert back == {"a": "x, y", "b": "z"}
     out = os.path.join(tmpdir_run, "export")
-    assert sinks.export_caption_files(df, out) == 2
-    with open(os.path.join(out, "a.txt"), encoding="utf-8") as fh:
-        assert fh.read() == "x, y"
-    bm = spark.createDataFrame([("alpha", "a", "t1"), ("beta", "a", "t2")], "model_key string, name string, text string")
+    sinks.export_caption_text(df, out)
+    assert {r["name"]: r["value"] for r in spark.read.text(out).collect()} == {"a": "x, y", "b": "z"}
+    bm = spark.createDataFrame([("v/alpha", "a", "t1"), ("w/alpha", "a", "t2")], "model string, name string, text string")
     sinks.write_by_model(bm, os.path.join(tmpdir_run, "bymodel"))
-    parts = sorted(x for x in os.listdir(os.path.join(tmpdir_run, "bymodel")) if x.startswith("model_key="))
-    assert parts == ["model_key=alpha", "model_key=beta"]
+    parts = sorted(x for x in os.listdir(os.path.join(tmpdir_run, "bymodel")) if x.startswith("model="))
+    assert parts == ["model=v%2Falpha", "model=w%2Falpha"]  # same last part, two vendors
 
 
 def test_hooks_isolate_failures(spark):
@@ -147,8 +146,12 @@ def test_hooks_isolate_failures(spark):
     assert good.count() == 2 and bad.count() == 1
     t = hk.apply_transform(df, lambda c: F.upper(c), "prompt")
     assert {x["prompt"] for x in t.collect()} == {"OK", "BOOM", "FINE"}
-    t = hk.apply_transform(df, lambda s: s[::-1], "prompt")
-    assert {x["prompt"] for x in t.collect()} == {"ko", "moob", "enif"}
+    t = hk.apply_python_transform(df, lambda s: s[1:3], "prompt")
+    assert {x["prompt"] for x in t.collect()} == {"k", "oo", "in"}
+    short = hk.model_hook(df, lambda ps: [p.upper() for p in ps][:1], keep=["k"])  # too few replies to a batch
+    assert {x["k"]: x["reply"] for x in short.collect()} == {"a": "OK", "b": "BOOM", "c": "FINE"}
+    none = hk.model_hook(df, lambda ps: [], keep=["k"])
+    assert all("0 replies to 1 prompts" in x["error"] for x in none.collect())
 
 
 def test_batch_equals_stream(spark, tmpdir_run):
@@ -191,9 +194,19 @@ def test_model_hook_dispatches_by_model(spark):
     assert r == {("m1", "m1:a", False), ("m2", "m2:b", False), ("m1", "m1:c", False), ("m2", None, True)}
 
 
-def test_row_numbers_across_partitions(spark):
-    df = spark.range(0, 1000, 1, 7)
-    got = [(r["id"], r["n"]) for r in rd.row_numbers(df, "n").collect()]
-    assert sorted(got) == [(i, i) for i in range(1000)]
-    plan = rd.row_numbers(df, "n")._jdf.queryExecution().executedPlan().toString()
-    assert "SinglePartition" not in plan.split("BroadcastExchange")[0]  # rows never gather in one task
+def test_label_and_alias_files_follow_file_order(spark, tmpdir_run):
+    path = os.path.join(tmpdir_run, "order")
+    _write(path, "l.json", '{"zeta": 1, "alpha": 1, "b_c": 0}')
+    got = {r["idx"]: r["tag"] for r in rd.read_label_file(spark, os.path.join(path, "l.json"), "m").collect()}
+    assert got == {0: "b c", 1: "alpha"}  # the last tag of a repeated index, not the greatest
+    _write(path, "a.csv", "id,antecedent_name,consequent_name\n1,x,late\n2,\"q,r\",s\n3,x,early\n")
+    rows = rd.read_alias_rows(spark, os.path.join(path, "a.csv"), None).collect()
+    assert sorted((r["row_no"], r["antecedent_name"], r["consequent_name"]) for r in rows) == [
+        (1, "x", "late"), (2, "q,r", "s"), (3, "x", "early")]
+    assert {r[0]: r[1] for r in dic.alias_map(rd.read_alias_rows(spark, os.path.join(path, "a.csv"), None)).collect()}["x"] == "early"
+
+
+def test_stack_sources_counts_a_source_once(spark):
+    a, b = (spark.createDataFrame([(f"{k}.txt", k, k)], "file string, name string, text string") for k in "ab")
+    got = sorted((r["source"], r["source_ord"], r["name"]) for r in rd.stack_sources([("s1", a), ("s2", b), ("s1", b)]).collect())
+    assert got == [("s1", 0, "a"), ("s2", 1, "b")]
