@@ -215,6 +215,9 @@ def email(key: bytes, text: str, undo: bool = False) -> str | None:
 def secret(key: bytes, text: str, undo: bool = False) -> str | None:
     if not any(c.isdigit() for c in text):
         return None
+    head = re.match(r"AKIA|gh[pousr]_|", text)[0]  # a key type's fixed prefix is part of its format
+    if head:
+        return head + _mixed(key, head, text[len(head):], undo=undo)
     for alphabet in ("0123456789abcdef", "0123456789ABCDEF"):
         if set(text) <= set(alphabet):
             return _mixed(key, "hex", text, alphabet, undo)
@@ -239,7 +242,8 @@ _HINT = re.compile(r"[0-9@]")
 
 
 def find(text: str) -> list[tuple[int, int, str]]:
-    """Non-overlapping (start, end, kind), in order; kinds without a hint character can't occur."""
+    """(start, end, kind) of everything that looks like a kind, by start and then by kind (values that
+    overlap an earlier valid one are passed over when replacing)."""
     if not _HINT.search(text):
         return []
     every = sorted((m.start(), rank, m.end(), k) for rank, (k, p) in enumerate(_PATTERNS.items())

@@ -15,7 +15,7 @@ model in the function (``max_terms`` rows); no shuffle.
 
 Defined results: null or empty text has no terms and scores sigmoid(b); labels with null id or label
 are ignored, repeated ones count once (the largest); without labels of both kinds every score is the
-share of label 1 (0 with none); repeated rows are each scored; other columns are ignored.
+share of label 1 (practically 0 with none); repeated rows are each scored; other columns are ignored.
 """
 
 from __future__ import annotations
