@@ -11,10 +11,13 @@ no rows are filtered away to keep things small.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import with_array
+from ..session import stage_root
 
 WORD_RX = r"\p{L}+"
 
@@ -63,7 +66,22 @@ def plain_captions(spark, sf_dir) -> DataFrame:
     return d.select(image_name(F.col("doc_id")).alias("name"), text.alias("text"), "doc_id")
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
 def dictionary(spark, sf_dir) -> DataFrame:
+    """F2 as the stored table it is in real use: written once per session and
+    table folder, then read from Parquet (``post_count > 0`` is pushed to
+    its scan)."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        path = f"{stage_root(spark)}/dictionary-{uuid.uuid4().hex}"
+        _corpus_dictionary(spark, sf_dir).write.parquet(path)
+        _STORED[key] = path
+    return spark.read.schema("name string, category int, post_count bigint").parquet(_STORED[key])
+
+
+def _corpus_dictionary(spark, sf_dir) -> DataFrame:
     """F2 ``(name, category, post_count)``: every word of the corpus with a
     category from its spelling and ``post_count = occurrences - 1`` (words
     seen once are dead entries).  Two year-shaped names are added so that
