@@ -12,9 +12,13 @@ counted over all documents in 2^18 hash buckets of words, a table of fixed size.
 3. In a band bucket every member is compared with a leader, drawn by hash in one of eight orders, so
    a member of a large group meets several leaders, and pairs grow with the members, not their square.
 4. Candidates are verified by exact weighted Jaccard similarity on the texts; links form classes.
-5. What leaders leave open: two members of a bucket in different classes, and not yet compared, are
-   compared too, unless the triangle inequality of the weighted Jaccard distance over the bucket's
-   leader rules a link out.  So no link that shares a bucket between two classes is lost.
+5. Members outside the class of their bucket's hub (the member most similar to the leaders it met) are
+   compared with the hub.
+6. What is open after that, two members of a bucket in different classes and not yet compared, is
+   compared too, unless a bound rules the link out: the triangle inequality of the weighted Jaccard
+   distance over the leader, or the weight of shingles that no other open text holds (a text with more
+   than a fifth of its weight in such shingles has no link at all).  So no link that shares a bucket
+   between two classes is lost, and heavily edited copies of one text don't meet pair by pair.
 
 Scale: text is read three times and shuffled once (to fetch the candidates' texts); hot buckets are met
 in aggregates with map-side combine and in plain equi-joins that adaptive execution splits.
@@ -147,14 +151,16 @@ def _signer(idf):
             texts, null = byte_texts(batch.column(1)), batch.column(1).is_null().to_pylist()
             digest = np.frombuffer(b"".join(hashlib.md5(t).digest() for t in texts), np.int64).reshape(-1, 2)
             bands: list = []
+            total = np.zeros(len(texts))
             for lo, hi in text_chunks(texts):
                 doc, sh, weight = shingles(texts[lo:hi], idf.value)
+                total[lo:hi] = np.bincount(doc, weight, hi - lo)
                 keys = _band_keys(samples(doc, sh, weight, hi - lo))
                 some = np.bincount(doc, minlength=hi - lo) > 0
                 bands += [k if s else [] for k, s in zip(keys, some)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(digest[:, 0], mask=np.array(null)), pa.array(digest[:, 1], mask=np.array(null)),
-                 pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "k1", "k2", "bands"])
+                 pa.array(total), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "k1", "k2", "weight", "bands"])
     return run
 
 
@@ -202,28 +208,37 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     spark = docs.sparkSession
     idf = spark.sparkContext.broadcast(bucket_idf(docs))
     base = text_frame(docs)
-    signed = staged(base.mapInArrow(_signer(idf), "doc_id long, k1 long, k2 long, bands array<long>"), "neardup-signed")
+    signed = staged(base.mapInArrow(_signer(idf), "doc_id long, k1 long, k2 long, weight double, bands array<long>"), "neardup-signed")
     same = signed.where("doc_id is not null and k1 is not null")
-    first = same.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"))
+    # written tables: a join with them deals out both sides anew, so adaptive execution can split a hot key
+    first = staged(same.groupBy("k1", "k2").agg(F.min("doc_id").alias("node")), "neardup-copies")
     members = staged(same.join(first, ["k1", "k2"]), "neardup-members")
     nodes = members.where("doc_id = node").select("node", F.posexplode("bands").alias("band", "key")).distinct()
 
     order = F.xxhash64("node", F.col("band") % ORDERS)
-    leaders = nodes.groupBy("key").agg(F.count("*").alias("n"), F.min_by("node", order).alias("leader")).where("n > 1")
-    met = staged(nodes.join(leaders, "key").select("key", "node", "leader"), "neardup-buckets")
-    pairs = met.where("node != leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+    leaders = staged(nodes.groupBy("key").agg(F.count("*").alias("n"), F.min_by("node", order).alias("leader")).where("n > 1"),
+                     "neardup-leaders")
+    met = staged(nodes.join(leaders, "key").select("key", "n", "node", "leader"), "neardup-buckets")
     wanted = met.select(F.col("node").alias("doc_id")).distinct()
     texts = staged(base.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(
         F.col("doc_id").alias("id"), "text"), "neardup-texts")
 
-    sims = staged(_verified(pairs, texts, idf), "neardup-sims")
-    links = sims.where(F.col("sim") >= threshold).select("a", "b")
-    label = components(links)
-    open_pairs = staged(_undecided(met, sims, label, threshold), "neardup-open")
+    sims = staged(_verified(_pairs(met, "leader"), texts, idf), "neardup-sims")
+    link = F.col("sim") >= threshold
+    label = components(sims.where(link))
+
+    hubs = staged(_hub_pairs(met, sims, label), "neardup-hubs")
+    more = staged(_verified(hubs, texts, idf), "neardup-sims")
+    sims = sims.unionByName(more)
+    if not more.where(link).isEmpty():
+        label = components(sims.where(link))
+
+    weights = members.where("doc_id = node").groupBy("node").agg(F.max("weight").alias("weight"))
+    open_pairs = staged(_undecided(met, sims, label, threshold, texts, weights, idf), "neardup-open")
     if not open_pairs.isEmpty():
-        more = staged(_verified(open_pairs, texts, idf).where(F.col("sim") >= threshold).select("a", "b"), "neardup-more")
-        if not more.isEmpty():
-            label = components(links.unionByName(more))
+        rest = staged(_verified(open_pairs, texts, idf).where(link), "neardup-sims")
+        if not rest.isEmpty():
+            label = components(sims.where(link).unionByName(rest))
 
     label = label.select(F.col("id").alias("node"), "class_id")
     found = members.select("doc_id", "node").distinct().join(label, "node", "left").select(
@@ -231,24 +246,71 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return base.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
-def _undecided(met: DataFrame, sims: DataFrame, label: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of one bucket, in different classes, neither the leader, that the triangle inequality over
-    their similarities to the leader leaves possible and that were not compared yet."""
+def _pairs(rows: DataFrame, other: str) -> DataFrame:
+    """Distinct (a, b), a < b, of ``node`` and ``other``."""
+    return rows.where(F.col("node") != F.col(other)).select(
+        F.least("node", other).alias("a"), F.greatest("node", other).alias("b")).distinct()
+
+
+def _classed(rows: DataFrame, label: DataFrame, node: str, out: str) -> DataFrame:
+    own = label.select(F.col("id").alias(node), F.col("class_id").alias(out))
+    return rows.join(own, node, "left").withColumn(out, F.coalesce(out, node))
+
+
+def _hub_pairs(met: DataFrame, sims: DataFrame, label: DataFrame) -> DataFrame:
+    """(a, b): every member of a bucket of three or more with the bucket's hub, where their classes differ."""
+    both = sims.select(F.col("a").alias("node"), "sim").unionByName(sims.select(F.col("b").alias("node"), "sim"))
+    central = staged(both.groupBy("node").agg(F.avg("sim").alias("mean")), "neardup-central")
+    rows = met.where("n > 2").select("key", "node").join(central, "node")
+    hub = staged(rows.groupBy("key").agg(F.max_by("node", "mean").alias("hub")), "neardup-hub")
+    found = _classed(_classed(met.where("n > 2").join(hub, "key"), label, "node", "class_id"), label, "hub", "hub_class")
+    return _pairs(found.where("class_id != hub_class"), "hub").join(sims.select("a", "b"), ["a", "b"], "left_anti")
+
+
+def _share_rows(idf):
+    """Map (id, text): every shingle with its share of the text's weight."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch.column(0).to_numpy(), byte_texts(batch.column(1))
+            for lo, hi in text_chunks(texts):
+                doc, sh, weight = shingles(texts[lo:hi], idf.value)
+                total = np.bincount(doc, weight, hi - lo)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(sh.view(np.int64)), pa.array(ids[lo:hi][doc]), pa.array((weight / total[doc]).astype(np.float32))],
+                    names=["shingle", "node", "share"])
+    return run
+
+
+def _undecided(met: DataFrame, sims: DataFrame, label: DataFrame, threshold: float, texts: DataFrame,
+               weights: DataFrame, idf) -> DataFrame:
+    """Pairs of one bucket, in different classes, neither the leader and not compared yet, that no bound
+    rules out.  With W a text's weight and u the share of it in shingles no other open text holds, the
+    common weight is at most the smaller W (1 - u), and a similarity of t needs t / (1 + t) (W + W')."""
     low, high = F.least("node", "leader"), F.greatest("node", "leader")
-    known = met.where("node != leader").select("key", "node", "leader", low.alias("a"), high.alias("b")).join(sims, ["a", "b"]) \
-        .select("key", "node", "leader", "sim")
-    own = label.select(F.col("id").alias("node"), "class_id")
-    lead = label.select(F.col("id").alias("leader"), F.col("class_id").alias("lead_class"))
-    rows = known.join(own, "node", "left").join(lead, "leader", "left").select(
-        "key", "node", "sim", F.coalesce("class_id", "node").alias("class_id"),
-        F.coalesce("lead_class", "leader").alias("lead_class"))
-    rows = rows.withColumn("apart", F.col("class_id") != F.col("lead_class"))
-    f = rows.where("apart").select("key", F.col("node").alias("f"), F.col("sim").alias("f_sim"), F.col("class_id").alias("f_class"))
-    m = rows.select("key", F.col("node").alias("m"), F.col("sim").alias("m_sim"), F.col("class_id").alias("m_class"),
-                    F.col("apart").alias("m_apart"))
+    known = met.where("n > 2 and node != leader").select("key", "node", "leader", low.alias("a"), high.alias("b")) \
+        .join(sims, ["a", "b"]).select("key", "node", "leader", "sim")
+    rows = _classed(_classed(known, label, "node", "class_id"), label, "leader", "lead_class").select(
+        "key", "node", "sim", "class_id", (F.col("class_id") != F.col("lead_class")).alias("apart"))
+    rows = staged(rows, "neardup-rows")
+    # a bucket with one class left, or one member besides the leader, has nothing open
+    some = staged(rows.groupBy("key").agg(F.count("*").alias("m"), F.count_if("apart").alias("k")).where("m > 1 and k > 0")
+                  .select("key"), "neardup-keys")
+    rows = staged(rows.join(some, "key"), "neardup-rows")
+    here = texts.join(rows.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
+    alone = here.mapInArrow(_share_rows(idf), "shingle long, node long, share float").groupBy("shingle").agg(
+        F.count("*").alias("c"), F.max("node").alias("node"), F.max("share").alias("share")).where("c = 1") \
+        .groupBy("node").agg(F.sum("share").alias("alone"))
+    own = weights.join(alone, "node", "left").select(
+        "node", "weight", (F.col("weight") * (1 - F.coalesce("alone", F.lit(0.0)))).alias("common"))
+    rows = rows.join(own, "node").where(F.col("common") >= F.col("weight") * (threshold - 1e-4))
+    f = rows.where("apart").select("key", *[F.col(c).alias("f_" + c) for c in ("node", "sim", "class_id", "weight", "common")])
+    m = rows.select("key", *[F.col(c).alias("m_" + c) for c in ("node", "sim", "class_id", "weight", "common", "apart")])
     near = F.abs(F.col("f_sim") - F.col("m_sim")) <= 1 - threshold + 1e-6
-    pairs = f.join(m, "key").where((F.col("f_class") != F.col("m_class")) & near & (~F.col("m_apart") | (F.col("f") < F.col("m")))) \
-        .select(F.least("f", "m").alias("a"), F.greatest("f", "m").alias("b")).distinct()
+    need = (threshold / (1 + threshold) - 1e-4) * (F.col("f_weight") + F.col("m_weight"))
+    pairs = f.join(m, "key").where(
+        (F.col("f_class_id") != F.col("m_class_id")) & near & (F.least("f_common", "m_common") >= need)
+        & (~F.col("m_apart") | (F.col("f_node") < F.col("m_node")))) \
+        .select(F.least("f_node", "m_node").alias("a"), F.greatest("f_node", "m_node").alias("b")).distinct()
     return pairs.join(sims.select("a", "b"), ["a", "b"], "left_anti")
 
 
