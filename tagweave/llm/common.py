@@ -1,4 +1,5 @@
-"""Helpers the text operators share: stage tables, Arrow text chunks, vectorised word hashing.
+"""Helpers the text operators share: Arrow text chunks and vectorised word hashing (stage tables come
+from ``tagweave.session``).
 
 Inside a task, texts are handled as UTF-8 bytes in chunks of bounded size, so a
 task's Python memory follows the chunk (or one document), not the partition.
@@ -6,39 +7,16 @@ task's Python memory follows the chunk (or one document), not the partition.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 1 << 20
-
+from ..session import staged as staged
 
-# ---------------------------------------------------------------- stage tables
-
-def stage_root(spark: SparkSession) -> str:
-    """The shared folder for stage tables: ``spark.checkpoint.dir``; only where it is unset
-    (tests, single machine) the session's own checkpoint folder is used."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    own = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if own.isDefined():
-        return own.get().rstrip("/")
-    import tempfile
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tagweave-stages-"))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: computed once, the lineage
-    cut, and safe when executors are lost (unlike a local checkpoint)."""
-    path = f"{stage_root(df.sparkSession)}/tagweave-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+CHUNK_BYTES = 1 << 20
 
 
 def unchanged_schema(df: DataFrame, extra: str) -> str:
