@@ -149,10 +149,11 @@ def keyed(docs: DataFrame) -> DataFrame:
 def duplicate_spans(texts: DataFrame) -> DataFrame:
     """``texts``: (doc, text).  (doc, first, last): word spans whose windows all start earlier too."""
     found = texts.mapInArrow(_piece_rows, "anchor long, context long, doc long, first int, n int")
-    again = found.groupBy("anchor").count().where("count > 1").select("anchor")
+    # written tables: a join with them deals out both sides anew, so adaptive execution can split a hot anchor
+    again = staged(found.groupBy("anchor").count().where("count > 1").select("anchor"), "substring-anchors")
     shared = staged(found.join(again, "anchor"), "substring-pieces")
 
-    contexts = shared.groupBy("anchor", "context").agg(F.min(_place()).alias("source"))
+    contexts = staged(shared.groupBy("anchor", "context").agg(F.min(_place()).alias("source")), "substring-contexts")
     placed = shared.join(contexts, ["anchor", "context"])
     copied = placed.where(_place() > F.col("source")).select(
         "doc", "first", (F.col("first") + F.col("n") + (WINDOW - 2)).alias("last"))
