@@ -16,9 +16,10 @@ counted over all documents in 2^18 hash buckets of words, a table of fixed size.
    compared with the hub.
 6. What is open after that, two members of a bucket in different classes and not yet compared, is
    compared too, unless a bound rules the link out: the triangle inequality of the weighted Jaccard
-   distance over the leader, or the weight of shingles that no other open text holds (a text with more
-   than a fifth of its weight in such shingles has no link at all).  So no link that shares a bucket
-   between two classes is lost, and heavily edited copies of one text don't meet pair by pair.
+   distance over the leader, and a bound on the common weight from the shingles that no other open text
+   holds and from bitmaps of hashed shingles (what one text has and the other lacks).  The bounds never
+   rule out a link, so none that shares a bucket between two classes is lost, and they are tested inside
+   the join, so differently edited copies of one text don't become pairs.
 
 Scale: text is read three times and shuffled once (to fetch the candidates' texts); hot buckets are met
 in aggregates with map-side combine and in plain equi-joins that adaptive execution splits.
@@ -151,16 +152,14 @@ def _signer(idf):
             texts, null = byte_texts(batch.column(1)), batch.column(1).is_null().to_pylist()
             digest = np.frombuffer(b"".join(hashlib.md5(t).digest() for t in texts), np.int64).reshape(-1, 2)
             bands: list = []
-            total = np.zeros(len(texts))
             for lo, hi in text_chunks(texts):
                 doc, sh, weight = shingles(texts[lo:hi], idf.value)
-                total[lo:hi] = np.bincount(doc, weight, hi - lo)
                 keys = _band_keys(samples(doc, sh, weight, hi - lo))
                 some = np.bincount(doc, minlength=hi - lo) > 0
                 bands += [k if s else [] for k, s in zip(keys, some)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(digest[:, 0], mask=np.array(null)), pa.array(digest[:, 1], mask=np.array(null)),
-                 pa.array(total), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "k1", "k2", "weight", "bands"])
+                 pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "k1", "k2", "bands"])
     return run
 
 
@@ -208,7 +207,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     spark = docs.sparkSession
     idf = spark.sparkContext.broadcast(bucket_idf(docs))
     base = text_frame(docs)
-    signed = staged(base.mapInArrow(_signer(idf), "doc_id long, k1 long, k2 long, weight double, bands array<long>"), "neardup-signed")
+    signed = staged(base.mapInArrow(_signer(idf), "doc_id long, k1 long, k2 long, bands array<long>"), "neardup-signed")
     same = signed.where("doc_id is not null and k1 is not null")
     # written tables: a join with them deals out both sides anew, so adaptive execution can split a hot key
     first = staged(same.groupBy("k1", "k2").agg(F.min("doc_id").alias("node")), "neardup-copies")
@@ -233,8 +232,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     if not more.where(link).isEmpty():
         label = components(sims.where(link))
 
-    weights = members.where("doc_id = node").groupBy("node").agg(F.max("weight").alias("weight"))
-    open_pairs = staged(_undecided(met, sims, label, threshold, texts, weights, idf), "neardup-open")
+    open_pairs = staged(_undecided(met, sims, label, threshold, texts, idf), "neardup-open")
     if not open_pairs.isEmpty():
         rest = staged(_verified(open_pairs, texts, idf).where(link), "neardup-sims")
         if not rest.isEmpty():
@@ -267,6 +265,9 @@ def _hub_pairs(met: DataFrame, sims: DataFrame, label: DataFrame) -> DataFrame:
     return _pairs(found.where("class_id != hub_class"), "hub").join(sims.select("a", "b"), ["a", "b"], "left_anti")
 
 
+BITS = 1024
+
+
 def _share_rows(idf):
     """Map (id, text): every shingle with its share of the text's weight."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,11 +282,39 @@ def _share_rows(idf):
     return run
 
 
-def _undecided(met: DataFrame, sims: DataFrame, label: DataFrame, threshold: float, texts: DataFrame,
-               weights: DataFrame, idf) -> DataFrame:
+def _bitmap_rows(idf):
+    """Map (id, text): total weight, least weight of a shingle, and the bitmap of the shingles."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, rows = byte_texts(batch.column(1)), []
+            for lo, hi in text_chunks(texts):
+                doc, sh, weight = shingles(texts[lo:hi], idf.value)
+                on = np.zeros((hi - lo, BITS), bool)
+                on[doc, (mix(sh) >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64)] = True
+                bits = np.packbits(on, axis=1).view(np.int64)
+                least = np.full(hi - lo, np.inf)
+                np.minimum.at(least, doc, weight)
+                total = np.bincount(doc, weight, hi - lo)
+                rows += zip(total.tolist(), least.tolist(), bits.tolist())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(
+                    (pa.float64(), pa.float64(), pa.list_(pa.int64()))))], names=["node", "weight", "least", "bits"])
+    return run
+
+
+def _common_bound(x: str, y: str):
+    """At most so much weight of x stands in y as well: without x's shingles that stand nowhere else
+    (``alone`` in weight, ``lone`` in number) and at least ``least`` for each further bit that y lacks."""
+    lacks = F.lit(0)
+    for k in range(BITS // 64):
+        lacks = lacks + F.bit_count(F.get(f"{x}_bits", F.lit(k)).bitwiseAND(F.bitwise_not(F.get(f"{y}_bits", F.lit(k)))))
+    more = F.greatest(lacks - F.col(f"{x}_lone"), F.lit(0))
+    return F.col(f"{x}_weight") - F.col(f"{x}_alone") - more * F.col(f"{x}_least")
+
+
+def _undecided(met: DataFrame, sims: DataFrame, label: DataFrame, threshold: float, texts: DataFrame, idf) -> DataFrame:
     """Pairs of one bucket, in different classes, neither the leader and not compared yet, that no bound
-    rules out.  With W a text's weight and u the share of it in shingles no other open text holds, the
-    common weight is at most the smaller W (1 - u), and a similarity of t needs t / (1 + t) (W + W')."""
+    rules out.  A similarity of t needs a common weight of t / (1 + t) times both weights."""
     low, high = F.least("node", "leader"), F.greatest("node", "leader")
     known = met.where("n > 2 and node != leader").select("key", "node", "leader", low.alias("a"), high.alias("b")) \
         .join(sims, ["a", "b"]).select("key", "node", "leader", "sim")
@@ -299,17 +328,20 @@ def _undecided(met: DataFrame, sims: DataFrame, label: DataFrame, threshold: flo
     here = texts.join(rows.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
     alone = here.mapInArrow(_share_rows(idf), "shingle long, node long, share float").groupBy("shingle").agg(
         F.count("*").alias("c"), F.max("node").alias("node"), F.max("share").alias("share")).where("c = 1") \
-        .groupBy("node").agg(F.sum("share").alias("alone"))
-    own = weights.join(alone, "node", "left").select(
-        "node", "weight", (F.col("weight") * (1 - F.coalesce("alone", F.lit(0.0)))).alias("common"))
-    rows = rows.join(own, "node").where(F.col("common") >= F.col("weight") * (threshold - 1e-4))
-    f = rows.where("apart").select("key", *[F.col(c).alias("f_" + c) for c in ("node", "sim", "class_id", "weight", "common")])
-    m = rows.select("key", *[F.col(c).alias("m_" + c) for c in ("node", "sim", "class_id", "weight", "common", "apart")])
+        .groupBy("node").agg(F.sum("share").alias("share"), F.count("*").alias("lone"))
+    own = here.mapInArrow(_bitmap_rows(idf), "node long, weight double, least double, bits array<long>") \
+        .join(alone, "node", "left").withColumn("alone", F.col("weight") * F.coalesce("share", F.lit(0.0))) \
+        .withColumn("lone", F.coalesce("lone", F.lit(0))).where(F.col("weight") - F.col("alone") >= F.col("weight") * (threshold - 1e-4))
+    own = staged(own.drop("share"), "neardup-bounds")
+    rows = rows.join(own, "node")
+    names = ["node", "sim", "class_id", "apart", "weight", "alone", "lone", "least", "bits"]
+    f, m = (rows.select("key", *[F.col(c).alias(f"{x}_{c}") for c in names]) for x in "fm")
     near = F.abs(F.col("f_sim") - F.col("m_sim")) <= 1 - threshold + 1e-6
     need = (threshold / (1 + threshold) - 1e-4) * (F.col("f_weight") + F.col("m_weight"))
-    pairs = f.join(m, "key").where(
-        (F.col("f_class_id") != F.col("m_class_id")) & near & (F.least("f_common", "m_common") >= need)
-        & (~F.col("m_apart") | (F.col("f_node") < F.col("m_node")))) \
+    pairs = f.where("f_apart").join(m, (f["key"] == m["key"]) & (F.col("f_class_id") != F.col("m_class_id")) & near
+                                    & (~F.col("m_apart") | (F.col("f_node") < F.col("m_node")))
+                                    & (F.least("f_weight", "m_weight") >= need)
+                                    & (_common_bound("f", "m") >= need) & (_common_bound("m", "f") >= need)) \
         .select(F.least("f_node", "m_node").alias("a"), F.greatest("f_node", "m_node").alias("b")).distinct()
     return pairs.join(sims.select("a", "b"), ["a", "b"], "left_anti")
 

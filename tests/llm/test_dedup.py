@@ -226,13 +226,62 @@ def test_classes_equal_brute_force(spark):
 
 
 def test_open_pairs_of_a_bucket_are_closed(spark):
-    """a and c are each near b only: if the leader is a, the link b - c must still be found."""
-    met = spark.createDataFrame([(1, 10, 10), (1, 11, 10), (1, 12, 10), (2, 20, 20), (2, 21, 20), (2, 22, 20)],
-                                "key long, node long, leader long")
-    sims = spark.createDataFrame([(10, 11, 0.82), (10, 12, 0.70), (20, 21, 0.9), (20, 22, 0.1)], "a long, b long, sim double")
-    label = spark.createDataFrame([(10, 10), (11, 10), (20, 20), (21, 20)], "id long, class_id long")
-    got = {tuple(r) for r in nd._undecided(met, sims, label, 0.8).collect()}
-    assert got == {(11, 12)}  # 21 - 22 is ruled out: 0.9 and 0.1 to the leader
+    """11 and 12 are both open; 21 - 22 is ruled out by the triangle, 31 - 32 by what stands in 32 alone."""
+    met = spark.createDataFrame([(k, 3, n, 10 * k) for k in (1, 2, 3) for n in (10 * k, 10 * k + 1, 10 * k + 2)],
+                                "key long, n long, node long, leader long")
+    sims = spark.createDataFrame([(10, 11, 0.82), (10, 12, 0.70), (20, 21, 0.9), (20, 22, 0.1), (30, 31, 0.82), (30, 32, 0.7)],
+                                 "a long, b long, sim double")
+    label = spark.createDataFrame([(10, 10), (11, 10), (20, 20), (21, 20), (30, 30), (31, 30)], "id long, class_id long")
+    common = " ".join(f"w{i}" for i in range(40))
+    own = " ".join(f"own{i}" for i in range(30))
+    texts = spark.createDataFrame([(n, f"{common} {own}" if n == 32 else common) for n in (10, 11, 12, 20, 21, 22, 30, 31, 32)],
+                                  "id long, text string")
+    idf = spark.sparkContext.broadcast(np.ones(1 << nd.DF_BITS, np.float32))
+    got = {tuple(r) for r in nd._undecided(met, sims, label, 0.8, texts, idf).collect()}
+    assert got == {(11, 12)}
+
+
+def test_bounds_never_rule_out_a_link(spark):
+    """Every pair of edited copies in one open bucket: all links are left, most other pairs are not."""
+    rng = random.Random(2)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for i in range(60):
+        w = list(base)
+        for k in rng.sample(range(200), rng.choice([1, 2, 4, 6, 9])):
+            w[k] = f"x{i}_{k}"
+        texts.append(" ".join(w))
+    n = len(texts)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    idf = spark.sparkContext.broadcast(nd.bucket_idf(df))
+    raw = [t.encode() for t in texts]
+    i, j = np.triu_indices(n, 1)
+    sim = dict(zip(zip(i.tolist(), j.tolist()), nd.similarities([raw[a] for a in i], [raw[b] for b in j], idf.value)))
+    met = spark.createDataFrame([(1, n + 1, a, 1000) for a in range(n)], "key long, n long, node long, leader long")
+    sims = spark.createDataFrame([(a, 1000, 0.75) for a in range(n)], "a long, b long, sim double")
+    got = {tuple(r) for r in nd._undecided(met, sims, spark.createDataFrame([], "id long, class_id long"), 0.8, df, idf).collect()}
+    links = {p for p, s in sim.items() if s >= 0.8}
+    assert links <= got and len(links) > 50
+    far = {p for p, s in sim.items() if s < 0.7}
+    assert len(far) > 300 and len(far & got) < 0.05 * len(far)
+
+
+def test_large_group_of_copies_edited_to_any_degree(spark):
+    """Copies of one text with 0 to 60 % of the words replaced: every link is kept, and far fewer pairs
+    than the group's square are compared."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(150):
+        w = list(base)
+        for k in rng.sample(range(120), int(rng.random() * 0.6 * 120 * rng.random())):
+            w[k] = f"x{i}_{k}"
+        texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    w = weighted(texts)
+    want = union([(a, b) for a in range(150) for b in range(a) if jaccard(w[a], w[b]) >= 0.805], range(150))
+    got = {r["doc_id"]: r["class_id"] for r in nd.classes(df).collect()}
+    assert all(got[a] == got[b] for a in range(150) for b in range(a) if want[a] == want[b])
 
 
 def test_near_duplicate_edges(spark, edge, empty):
