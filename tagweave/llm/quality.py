@@ -9,7 +9,7 @@ Features are means over a document's words of hashed one-hot terms: the word its
 Means keep short and long texts on one scale.
 
 Fit: at most ``max_rows`` labelled documents (a documented bound, chosen by hash of the id, so it does
-not depend on the order of the input) come to the driver as hashed counts.  Scoring: a map over all
+not depend on the order of the input) meet in one task as hashed means.  Scoring: a map over all
 documents with the weights (2^18 floats, 1 MB) in the function; no shuffle.
 
 Defined results: null or empty text has no features and gets the score 0 (tail probabilities from the
@@ -153,12 +153,28 @@ def sampled(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
     return text_frame(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("text", "rating")
 
 
+def _fitted(bits: int):
+    """The whole (bounded) sample in one task: fit, and return the model as one row."""
+    def run(t: pa.Table) -> pa.Table:
+        rows = sorted(((y, np.frombuffer(i, np.int32), np.frombuffer(v, np.float32)) for y, i, v in zip(
+            *(t.column(c).to_pylist() for c in ("rating", "ids", "means")))), key=lambda r: (r[0], len(r[1]), r[1].tobytes()))
+        m = fit_rows(rows, bits)
+        return pa.table({"weights": [m.weights.tobytes()], "thresholds": [m.thresholds.tolist()], "grades": [m.grades]},
+                        schema=pa.schema([("weights", pa.binary()), ("thresholds", pa.list_(pa.float64())),
+                                          ("grades", pa.list_(pa.float64()))]))
+    return run
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, bits: int = BITS) -> CumulativeLink:
-    """``labels``: (doc_id, rating).  The bounded sample's hashed means come to the driver."""
+    """``labels``: (doc_id, rating).  The bounded sample's hashed means meet in one task, which fits; only
+    the model (1 MB) comes to the driver."""
     rows = sampled(docs, labels, max_rows).mapInArrow(
-        _counts("rating", bits), "rating double, ids binary, means binary").collect()
-    return fit_rows(sorted(((r[0], np.frombuffer(r[1], np.int32), np.frombuffer(r[2], np.float32)) for r in rows),
-                           key=lambda r: (r[0], len(r[1]), r[1].tobytes())), bits)
+        _counts("rating", bits), "rating double, ids binary, means binary")
+    got = rows.groupBy(F.lit(1).alias("all")).applyInArrow(
+        _fitted(bits), "weights binary, thresholds array<double>, grades array<double>").first()
+    if got is None:
+        return fit_rows([], bits)
+    return CumulativeLink(np.frombuffer(got[0], np.float32), np.array(got[1], dtype=np.float64), list(got[2]))
 
 
 def scores(docs: DataFrame, model: CumulativeLink, select_from: float, *keep: str) -> DataFrame:
