@@ -4,14 +4,15 @@ score = sigmoid(b + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j), x_i = 1 where
 pairwise part, in its linear-time form, learns interactions (an insult together with a group mention)
 that additive weights miss.
 
-Terms are lower-cased words and their leading 5 to 8 bytes, hashed to 40 bits.  Counts of every term
-over the bounded training sample are taken in Spark; the ``max_terms`` terms whose occurrence differs
-most between the labels (two-proportion z) get parameters, all others weigh nothing, so a long clean
-text does not add up noise.
+Terms are lower-cased words and their leading 5 to 8 bytes, hashed into a table of 2^18 buckets.  Every
+bucket that the bounded training sample holds takes part in the fit with a weight and a factor row,
+whatever its own (marginal) effect, so an interaction of terms that say nothing alone can be learnt.
 
-Fit: at most ``max_rows`` labelled documents (a documented bound, by hash of the id); only their
-presence bits over the chosen terms come to the driver.  Scoring: a map over all documents with the
-model in the function (``max_terms`` rows); no shuffle.
+Fit: at most ``max_rows`` labelled documents (a documented bound, by hash of the id) meet in one task as
+lists of buckets; sparse mini-batches, proximal steps.  A step is measured in units of the term's own
+noise (the spread its gradient would have by chance), and what stays under a few of those units is
+drawn to 0: rare terms can't learn the sample by heart, and a long clean text does not add up noise.
+Scoring: a map over all documents with the model in the function (at most 2^18 rows); no shuffle.
 
 Defined results: null or empty text has no terms and scores sigmoid(b); labels with null id or label
 are ignored, repeated ones count once (the largest); without labels of both kinds every score is the
@@ -30,7 +31,8 @@ from pyspark.sql import functions as F
 from .common import LOWER, byte_texts, mix, powers, text_chunks, text_frame, words
 
 MAX_ROWS = 20_000
-MAX_TERMS = 2048
+BITS = 18
+HASH_BITS = 40
 FACTORS = 8
 PREFIXES = (5, 6, 7, 8)
 HELD_OUT = 2
@@ -56,34 +58,27 @@ def terms(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return (key >> np.uint64(40)).astype(np.int64), (key & np.uint64((1 << 40) - 1)).astype(np.int64)
 
 
-def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Map (text, label): per chunk, how many documents of each label hold a term."""
-    for batch in batches:
-        texts, label = byte_texts(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False)
-        for lo, hi in text_chunks(texts):
-            doc, term = terms(texts[lo:hi])
-            found, at = np.unique(term, return_inverse=True)
-            bad = np.bincount(at, label[lo:hi][doc], len(found)).astype(np.int64)
-            all_ = np.bincount(at, minlength=len(found)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(bad), pa.array(all_)],
-                                             names=["term", "n_bad", "n"])
-
-
 class FactorizationMachine:
-    def __init__(self, terms: np.ndarray, bias: float, linear: np.ndarray, factors: np.ndarray):
-        self.terms, self.bias, self.linear, self.factors = terms, bias, linear, factors
-        self.hint = np.zeros(1 << 20, bool)
-        self.hint[terms >> 20] = True
+    """``terms``: the sorted buckets (of 2^``bits``) that have parameters; all others weigh nothing."""
+
+    def __init__(self, terms: np.ndarray, bias: float, linear: np.ndarray, factors: np.ndarray, bits: int = BITS):
+        self.terms, self.bias, self.linear, self.factors, self.bits = terms, bias, linear, factors, bits
+        self.place = np.full(1 << bits, -1, np.int32)
+        self.place[terms] = np.arange(len(terms))
 
     def known(self, doc: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(document, index of the model's term) of those that have parameters."""
-        if not len(self.terms):
-            return doc[:0], term[:0]
-        maybe = np.flatnonzero(self.hint[term >> 20])
-        doc, term = doc[maybe], term[maybe]
-        at = np.minimum(np.searchsorted(self.terms, term), len(self.terms) - 1)
-        hit = self.terms[at] == term
-        return doc[hit], at[hit]
+        """Distinct (document, index of the model's bucket) of the terms that have parameters; the input is sorted."""
+        at = self.place[term >> (HASH_BITS - self.bits)]
+        hit = np.flatnonzero(at >= 0)
+        doc, at = doc[hit], at[hit]
+        new = np.ones(len(at), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (at[1:] != at[:-1])
+        return doc[new], at[new]
+
+    def trimmed(self) -> FactorizationMachine:
+        """The same scores without the rows that are all 0."""
+        kept = np.flatnonzero((self.linear != 0) | self.factors.any(1))
+        return FactorizationMachine(self.terms[kept], self.bias, self.linear[kept], self.factors[kept], self.bits)
 
     def margin(self, doc: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
         out = self.bias + np.bincount(doc, self.linear[at], n)
@@ -99,37 +94,84 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(out, -40, 40)))
 
 
+class _Batch:
+    """Rows of the sample in both orders: by row (``col``, from ``start``) and by column (``row``, from ``first``)."""
+
+    def __init__(self, rows: np.ndarray, present: list[np.ndarray]):
+        count = np.array([len(present[i]) for i in rows])
+        self.rows, self.has = rows, np.flatnonzero(count)
+        self.col = np.concatenate([present[i] for i in rows]).astype(np.int32)
+        self.start = (np.cumsum(count) - count)[self.has]
+        order = np.argsort(self.col, kind="stable")
+        self.row = np.repeat(np.arange(len(rows), dtype=np.int32), count)[order]
+        self.used, self.first = np.unique(self.col[order], return_index=True)
+
+    def by_row(self, x: np.ndarray) -> np.ndarray:
+        """Sums over each row's terms of ``x``, one entry per (row, term)."""
+        out = np.zeros((len(self.rows), *x.shape[1:]), np.float32)
+        if len(self.has):
+            out[self.has] = np.add.reduceat(x, self.start)
+        return out
+
+    def by_column(self, x: np.ndarray) -> np.ndarray:
+        """Sums over the rows that hold each of ``used``, of ``x`` per row."""
+        return np.add.reduceat(x[self.row], self.first)
+
+
 def fit_rows(vocabulary: np.ndarray, present: list[np.ndarray], label: np.ndarray, factors: int = FACTORS,
-             epochs: int = 40, rate: float = 0.02, decay: float = 1e-3, seed: int = 7) -> FactorizationMachine:
-    """Logistic loss by mini-batch Adam over presence bits of the (bounded) sample."""
+             epochs: int = 20, rate: float = 0.02, linear_noise: float = 2.5, factor_noise: float = 2.0,
+             batches: int = 8, seed: int = 7, bits: int = BITS) -> FactorizationMachine:
+    """Logistic loss over the (bounded) sample by proximal mini-batch steps; ``present`` holds indexes of
+    ``vocabulary``.  Weights are drawn to 0 by ``linear_noise`` standard deviations of their gradient under
+    chance (an L1 penalty), factor rows by ``factor_noise`` of theirs (a group penalty)."""
     share = float(label.mean()) if len(label) else 0.0
-    if not 0 < share < 1 or not len(vocabulary):
+    n, m, k = len(label), len(vocabulary), factors
+    if not 0 < share < 1 or not m:
         bias = 40.0 * np.sign(share - 0.5) if share in (0.0, 1.0) else np.log(share / (1 - share))
-        return FactorizationMachine(np.zeros(0, np.int64), float(bias), np.zeros(0), np.zeros((0, factors)))
+        return FactorizationMachine(np.zeros(0, np.int64), float(bias), np.zeros(0), np.zeros((0, k)), bits)
     rng = np.random.default_rng(seed)
-    m = len(vocabulary)
-    bits = np.zeros((len(label), m), np.uint8)
-    for i, p in enumerate(present):
-        bits[i, p] = 1
-    p = [np.array([np.log(share / (1 - share))]), np.zeros(m), rng.normal(0, 0.02, (m, factors))]
-    mom, var, t = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p], 0
+    size = -(-n // batches)
+    order = rng.permutation(n)
+    parts = [_Batch(order[lo:lo + size], present) for lo in range(0, n, size)]
+    parts = [p for p in parts if len(p.col)]
+    freq = np.bincount(np.concatenate([p.col for p in parts]), minlength=m) / n
+    noise = np.sqrt(np.maximum(freq, 1 / n) * share * (1 - share) / size).astype(np.float32)
+    chance = (size / n) ** 0.5  # the spread of a gradient over the whole sample, in units of a batch's
+    bias, w, v = np.log(share / (1 - share)), np.zeros(m, np.float32), rng.normal(0, 0.02, (m, k)).astype(np.float32)
+    mom_b = var_b = 0.0
+    mom_w, mom_v, var_v, t = np.zeros_like(w), np.zeros_like(v), np.zeros_like(v), 0
     for _ in range(epochs):
-        order = rng.permutation(len(label))
-        for lo in range(0, len(order), 512):
-            rows = order[lo:lo + 512]
-            x = bits[rows].astype(np.float32)
-            b, w, v = p
-            xv = x @ v
-            z = b[0] + x @ w + 0.5 * ((xv ** 2).sum(1) - x @ (v ** 2).sum(1))
-            d = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - label[rows]) / len(rows)
-            g = [np.array([d.sum()]), x.T @ d + decay * w / m ** 0.5,
-                 x.T @ (d[:, None] * xv) - v * (x.T @ d)[:, None] + decay * v]
+        for at in rng.permutation(len(parts)):
+            p = parts[at]
+            z = bias + p.by_row(w[p.col])
+            paired = v is not None
+            if paired:
+                own = v[p.col]
+                s = p.by_row(own)
+                z += 0.5 * ((s ** 2).sum(1) - p.by_row((own ** 2).sum(1)))
+            d = ((1 / (1 + np.exp(-np.clip(z, -40, 40))) - label[p.rows]) / len(p.rows)).astype(np.float32)
+            g = p.by_column(d)
             t += 1
-            for k in range(3):
-                mom[k] = 0.9 * mom[k] + 0.1 * g[k]
-                var[k] = 0.999 * var[k] + 0.001 * g[k] ** 2
-                p[k] = p[k] - rate * (mom[k] / (1 - 0.9 ** t)) / (np.sqrt(var[k] / (1 - 0.999 ** t)) + 1e-8)
-    return FactorizationMachine(vocabulary, float(p[0][0]), p[1], p[2])
+            left = 1 - 0.9 ** t
+            mom_b, var_b = 0.9 * mom_b + 0.1 * d.sum(), 0.999 * var_b + 0.001 * d.sum() ** 2
+            bias -= rate * (mom_b / left) / (np.sqrt(var_b / (1 - 0.999 ** t)) + 1e-8)
+            mom_w *= 0.9
+            mom_w[p.used] += 0.1 * g
+            step = w - rate * mom_w / left / noise
+            w = np.sign(step) * np.maximum(0, np.abs(step) - rate * linear_noise * chance)
+            if paired:
+                mom_v *= 0.9
+                var_v *= 0.99
+                g = p.by_column(d[:, None] * s) - v[p.used] * g[:, None]
+                mom_v[p.used] += 0.1 * g
+                var_v[p.used] += 0.01 * g * g
+                v = v - rate * mom_v / left / (np.sqrt(var_v / (1 - 0.99 ** t)) + 1e-8)
+                long = np.sqrt((v ** 2).sum(1, keepdims=True))
+                v *= np.maximum(0, 1 - rate * factor_noise * chance * k ** 0.5 / np.maximum(long, 1e-9))
+                if not v.any():
+                    v = None  # no interaction is left, and the gradient of factors that are all 0 is 0
+    v = np.zeros((m, k), np.float32) if v is None else v
+    return FactorizationMachine(vocabulary, float(bias), w.astype(np.float64), v.astype(np.float64), bits)
 
 
 def held_out(doc_id):
@@ -147,30 +189,46 @@ def sampled(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
     return text_frame(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("text", "label")
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_terms: int = MAX_TERMS) -> FactorizationMachine:
-    rows = sampled(docs, labels, max_rows)
-    n, n_bad = rows.agg(F.count("label"), F.sum("label")).first()
-    n_bad = n_bad or 0.0
-    if not 0 < n_bad < n:
-        return fit_rows(np.zeros(0, np.int64), [], np.array([n_bad / n if n else 0.0]))
-    share = n_bad / n
-    z = (F.col("n_bad") - F.col("n") * share) / F.sqrt(F.col("n") * (share * (1 - share)))
-    top = rows.mapInArrow(_term_counts, "term long, n_bad long, n long").groupBy("term") \
-        .agg(F.sum("n_bad").alias("n_bad"), F.sum("n").alias("n")).where("n >= 3") \
-        .orderBy(F.abs(z).desc(), "term").limit(max_terms).select("term").collect()
-    vocabulary = np.array(sorted(r[0] for r in top), dtype=np.int64)
-    chooser = FactorizationMachine(vocabulary, 0.0, np.zeros(len(vocabulary)), np.zeros((len(vocabulary), 0)))
-
-    def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _presence(bits: int):
+    """Map (text, label): label and the buckets present, as binary."""
+    every = FactorizationMachine(np.arange(1 << bits), 0.0, np.zeros(0), np.zeros((0, 0)), bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, out = byte_texts(batch.column(0)), []
             for lo, hi in text_chunks(texts):
-                doc, at = chooser.known(*terms(texts[lo:hi]))
+                doc, at = every.known(*terms(texts[lo:hi]))
                 cut = np.searchsorted(doc, np.arange(hi - lo + 1))
-                out += [at[cut[i]:cut[i + 1]].astype(np.int16).tobytes() for i in range(hi - lo)]
+                out += [at[cut[i]:cut[i + 1]].astype(np.int32).tobytes() for i in range(hi - lo)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.binary())], names=["label", "at"])
-    got = sorted(((r[0], bytes(r[1])) for r in rows.mapInArrow(presence, "label double, at binary").collect()))
-    return fit_rows(vocabulary, [np.frombuffer(b, np.int16) for _, b in got], np.array([y for y, _ in got]))
+    return run
+
+
+def _fitted(bits: int):
+    """The whole (bounded) sample in one task: fit, and return the model as one row."""
+    def run(t: pa.Table) -> pa.Table:
+        rows = sorted(zip(t.column("label").to_pylist(), t.column("at").to_pylist()))
+        present = [np.frombuffer(b, np.int32) for _, b in rows]
+        used = np.flatnonzero(np.bincount(np.concatenate(present), minlength=1 << bits))
+        place = np.zeros(1 << bits, np.int32)
+        place[used] = np.arange(len(used))
+        m = fit_rows(used, [place[p] for p in present], np.array([y for y, _ in rows]), bits=bits).trimmed()
+        return pa.table({"terms": [m.terms.astype(np.int64).tobytes()], "bias": [m.bias], "linear": [m.linear.tobytes()],
+                         "factors": [m.factors.tobytes()]},
+                        schema=pa.schema([("terms", pa.binary()), ("bias", pa.float64()), ("linear", pa.binary()),
+                                          ("factors", pa.binary())]))
+    return run
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, bits: int = BITS) -> FactorizationMachine:
+    """The bounded sample's buckets meet in one task, which fits; only the model comes to the driver."""
+    got = sampled(docs, labels, max_rows).mapInArrow(_presence(bits), "label double, at binary") \
+        .groupBy(F.lit(1).alias("all")) \
+        .applyInArrow(_fitted(bits), "terms binary, bias double, linear binary, factors binary").first()
+    if got is None:
+        return fit_rows(np.zeros(0, np.int64), [], np.zeros(0), bits=bits)
+    return FactorizationMachine(np.frombuffer(got[0], np.int64), got[1], np.frombuffer(got[2], np.float64),
+                                np.frombuffer(got[3], np.float64).reshape(-1, FACTORS), bits)
 
 
 def scores(docs: DataFrame, model: FactorizationMachine) -> DataFrame:

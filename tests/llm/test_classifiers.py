@@ -100,6 +100,26 @@ def test_fm_learns_an_interaction():
     assert (((m.margin(doc, at, len(x)) > 0) == (y == 1)).mean()) > 0.95
 
 
+def test_fit_learns_an_interaction_without_marginal_effect(spark):
+    """fit() itself: two terms that say nothing alone, among far more chance terms than a cut by own effect would keep."""
+    rng = np.random.default_rng(11)
+    rows, n = [], 0
+    for i in range(10_000):
+        if n < 3000 and zlib.crc32(str(i).encode()) % 4 != 2:
+            a, b = n & 1, n >> 1 & 1  # every combination equally often
+            n += 1
+        else:
+            a, b = rng.integers(0, 2, 2)
+        noise = [f"n{x}" for x in rng.choice(4000, 10, replace=False)]
+        rows.append((i, " ".join(["alpha"] * a + ["omega"] * b + noise), int(a ^ b)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    learnt = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2][:3000]
+    model = tx.fit(docs, spark.createDataFrame([(r[0], r[2]) for r in learnt], "doc_id long, toxic int"))
+    rest = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 == 2]
+    right = (model.score([r[1].encode() for r in rest]) > 0.5) == np.array([r[2] == 1 for r in rest])
+    assert right.mean() > 0.95
+
+
 def test_toxicity_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
