@@ -8,8 +8,9 @@ match), the automaton reports each window's end, and word offsets are mapped bac
 original text.
 
 Scale: a map over documents, no shuffle.  The automaton's items are broadcast only up to
-``max_bytes`` of text; a larger benchmark is hashed by item into parts of that size, documents are
-scanned once per part and the parts' findings are merged per document.
+``max_bytes`` of text; a larger benchmark is hashed by item into parts of that size, the documents' own
+texts are scanned once per part, each part's findings are written and its broadcast released before the
+next one, and the findings are united per document: the results do not depend on the parts.
 
 Defined results: null or empty text has no words and is clean; items with null id or without words
 take no part; repeated items count once per id; repeated documents are each returned; other columns
@@ -61,24 +62,25 @@ def build(items: list[tuple[int, bytes]], window: int):
     return (auto if owners else None), symbols
 
 
-def sent_parts(benchmark: DataFrame, max_bytes: int) -> list[tuple]:
-    """The items as broadcasts of at most about ``max_bytes`` of text each, every one with a name."""
-    spark = benchmark.sparkSession
+def item_parts(benchmark: DataFrame, max_bytes: int) -> list[DataFrame]:
+    """The items in parts of about ``max_bytes`` of text each."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"),
                              F.col("text").cast("string").alias("text")).where(
         F.col("item_id").isNotNull() & F.col("text").isNotNull())
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = -(-total // max_bytes) or 1
-    out = []
-    for part in range(parts):
-        own = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part)
-        out.append((uuid.uuid4().hex, spark.sparkContext.broadcast([(r[0], r[1].encode()) for r in own.collect()])))
-    return out
+    return [items] if parts == 1 else [items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == i) for i in range(parts)]
 
 
-def built(sent: tuple, window: int) -> tuple:
+def sent(items: DataFrame) -> tuple:
+    """One part as a broadcast with a name."""
+    rows = [(r[0], r[1].encode()) for r in items.collect()]
+    return uuid.uuid4().hex, items.sparkSession.sparkContext.broadcast(rows)
+
+
+def built(part: tuple, window: int) -> tuple:
     """The automaton of one broadcast, built once per Python worker."""
-    name, items = sent
+    name, items = part
     if name not in _BUILT:
         _BUILT.clear()
         _BUILT[name] = build(items.value, window)
@@ -110,9 +112,9 @@ def scan(auto, symbols: dict[bytes, str], ws: list[bytes]) -> tuple[set[int], li
     return ids, [tuple(r) for r in runs]
 
 
-def _findings(sent, window: int):
+def _findings(part, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto, symbols = built(sent, window)
+        auto, symbols = built(part, window)
         for batch in batches:
             n, ids, hits, spans = [], [], [], []
             for text in byte_texts(batch.column(1)):
@@ -135,34 +137,42 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                   max_bytes: int = MAX_BYTES) -> DataFrame:
     """One row per document: doc_id, n_words, item_ids (sorted strings), hits (runs of word
     indexes, from 0), spans (the same runs as byte offsets in the original text)."""
-    parts = sent_parts(benchmark, max_bytes)
-    schema = f"doc_id long, n_words long, {FOUND}"
+    parts = item_parts(benchmark, max_bytes)
     if len(parts) == 1:
-        return text_frame(docs).mapInArrow(_findings(parts[0], window), schema)
+        return text_frame(docs).mapInArrow(_findings(sent(parts[0]), window), f"doc_id long, n_words long, {FOUND}")
     # beyond the bound: scan part by part, each row under a key of its own, and unite the runs
     rows = staged(text_frame(docs).withColumn("row", F.monotonically_increasing_id()), "decontaminate-docs")
-    every = None
-    for part in parts:
-        one = rows.select("row", "text").mapInArrow(_findings(part, window), schema)
-        every = one if every is None else every.unionByName(one)
-    joined = every.groupBy(F.col("doc_id").alias("row")).agg(
-        F.max("n_words").alias("n_words"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"),
-        _united("hits", "first", "last", 1), _united("spans", "start", "end", 0))
+    joined = _united(rows.select("row", "text"), parts, window)
     return rows.select("row", "doc_id").join(joined, "row").select("doc_id", "n_words", "item_ids", "hits", "spans")
 
 
-def _united(name: str, lo: str, hi: str, step: int):
-    """Overlapping runs of all parts as one sorted list of runs."""
-    runs = F.array_sort(F.flatten(F.collect_list(name)))
-    empty = F.array().cast(f"array<struct<{lo}:int,{hi}:int>>")
+def _united(rows: DataFrame, parts: list[DataFrame], window: int) -> DataFrame:
+    """(row, n_words, item_ids, hits, spans) of ``rows`` (row, text) over all parts: runs that overlap or follow
+    one another are one run, as within a part."""
+    every = None
+    for items in parts:
+        part = sent(items)
+        one = staged(rows.mapInArrow(_findings(part, window), f"doc_id long, n_words long, {FOUND}"), "decontaminate-part")
+        part[1].destroy()
+        every = one if every is None else every.unionByName(one)
+    run = F.transform(F.arrays_zip("hits", "spans"), lambda x: F.struct(
+        x["hits"]["first"].alias("first"), x["hits"]["last"].alias("last"),
+        x["spans"]["start"].alias("start"), x["spans"]["end"].alias("end")))
 
     def add(acc, r):
         last = F.element_at(acc, -1)
-        meets = (F.size(acc) > 0) & (r[lo] <= F.get(acc, F.size(acc) - 1)[hi] + step)
+        meets = (F.size(acc) > 0) & (r["first"] <= F.get(acc, F.size(acc) - 1)["last"] + 1)
         return F.when(meets, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(
-            last[lo].alias(lo), F.greatest(last[hi], r[hi]).alias(hi))))).otherwise(F.concat(acc, F.array(r)))
-    return F.aggregate(runs, empty, add).alias(name)
+            last["first"].alias("first"), F.greatest(last["last"], r["last"]).alias("last"),
+            last["start"].alias("start"), F.greatest(last["end"], r["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(r)))
+    none = F.array().cast("array<struct<first:int,last:int,start:int,end:int>>")
+    return every.withColumn("runs", run).groupBy(F.col("doc_id").alias("row")).agg(
+        F.max("n_words").alias("n_words"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"),
+        F.aggregate(F.array_sort(F.flatten(F.collect_list("runs"))), none, add).alias("runs")).select(
+        "row", "n_words", "item_ids",
+        F.transform("runs", lambda x: F.struct(x["first"].alias("first"), x["last"].alias("last"))).alias("hits"),
+        F.transform("runs", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("spans"))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -173,30 +183,44 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
         F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_share: float = 0.5) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_share: float = 0.5,
+          max_bytes: int = MAX_BYTES) -> DataFrame:
     """``docs`` without benchmark text: found spans are cut out of the text; a document of which more
     than ``max_share`` of the words were hit goes.  All columns are kept as they were.
 
-    The cut runs beside the scan in one map over documents, so no join by id is needed.
+    With one part the cut runs beside the scan in one map over documents.  With more, the runs of all
+    parts are found in the uncut text and united by a key of the row, then cut and judged once.
     """
-    flag = unchanged_schema(docs, "hit_share")
+    flag, key, runs = (unchanged_schema(docs, c) for c in ("hit_share", "clean_row", "clean_runs"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{flag}` double"
-    out = docs
-    for part in sent_parts(benchmark, MAX_BYTES):
-        out = out.select(*docs.columns).mapInArrow(_cutter(part, window, docs.columns.index("text"), flag), schema) \
-            .where(F.col(flag) <= max_share)
-    return out.select(*docs.columns)
-
-
-def _cutter(sent, window: int, at: int, flag: str):
+    at = docs.columns.index("text")
+    parts = item_parts(benchmark, max_bytes)
+    if len(parts) == 1:
+        out = docs.mapInArrow(_cutter(at, flag, sent(parts[0]), window), schema)
+    else:
+        rows = staged(docs.withColumn(key, F.monotonically_increasing_id()), "decontaminate-docs")
+        found = _united(rows.select(F.col(key).alias("row"), F.col("text").cast("string").alias("text")), parts, window) \
+            .where(F.size("hits") > 0).select(F.col("row").alias(key), F.col("hits").alias(runs))
+        out = rows.join(found, key, "left").select(*docs.columns, runs).mapInArrow(_cutter(at, flag), schema)
+    return out.where(F.col(flag) <= max_share).select(*docs.columns)
+
+
+def _cutter(at: int, flag: str, part=None, window: int = WINDOW):
+    """Map: texts without their runs, and the share of words cut.  The runs are those of ``part``, or without one
+    those in the last column."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto, symbols = built(sent, window)
+        auto, symbols = built(part, window) if part else (None, {})
         for batch in batches:
             texts, share = batch.column(at).to_pylist(), []
+            given = None if part else batch.column(batch.num_columns - 1).to_pylist()
             for i, text in enumerate(texts):
                 raw = (text or "").encode()
-                ws = fold_words(raw)
-                _, runs = scan(auto, symbols, ws)
+                if part:
+                    ws = fold_words(raw)
+                    _, runs = scan(auto, symbols, ws)
+                else:
+                    runs = [(r["first"], r["last"]) for r in given[i] or ()]
+                    ws = fold_words(raw) if runs else []
                 share.append(sum(b - a + 1 for a, b in runs) / len(ws) if runs else 0.0)
                 if runs:
                     off, kept, last = word_offsets(raw), [], 0
@@ -204,7 +228,8 @@ def _cutter(sent, window: int, at: int, flag: str):
                         kept.append(raw[last:off[a][0]])
                         last = off[b][1]
                     texts[i] = b"".join([*kept, raw[last:]]).decode()
-            columns = [pa.array(texts, pa.string()) if k == at else c for k, c in enumerate(batch.columns)]
+            n = batch.num_columns - (0 if part else 1)
+            columns = [pa.array(texts, pa.string()) if k == at else c for k, c in enumerate(batch.columns[:n])]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(share, pa.float64())],
-                                             names=[*batch.schema.names, flag])
+                                             names=[*batch.schema.names[:n], flag])
     return run

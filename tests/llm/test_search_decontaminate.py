@@ -133,3 +133,23 @@ def test_clean_keeps_columns_and_edges(spark, edge, empty, benchmark):
     mostly = spark.createDataFrame([(1, ITEMS[0][1]), (2, "clean text")], "doc_id long, text string")
     b = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert [r["doc_id"] for r in dc.clean(mostly, b).collect()] == [2]
+
+
+def test_clean_does_not_depend_on_the_parts(spark, edge, benchmark):
+    """Overlapping and adjoining hits of several parts, words that meet only after a cut, and the share over all parts."""
+    items = [(1, "a b c d"), (2, "c d e f"), (3, "g h"), (4, "p q r s"), (5, "x y"), (6, "k l")]
+    docs = [(1, "0 1 2 3 4 5 6 a b c d e f 7 8"),  # a part-2 hit overlaps one of part 1
+            (2, "0 1 2 3 4 5 6 7 a b c d, g h 8"),  # adjoining runs are one
+            (3, "0 1 2 3 p q x y r s 4 5 6 7"),  # p q r s stand together only after a cut
+            (4, "a b c d 0 p q r s 1"),  # 40% by each of two items: goes
+            (5, None), (6, "clean"), (6, "clean"), (None, "0 1 2 3 k l")]
+    d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("row", F.lit("x"))
+    b = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(map(str, dc.clean(d, b, 4).collect()))
+    assert len(dc.item_parts(b, 1)) > 5 and len(want) == 7
+    for max_bytes in (1, 12):
+        assert sorted(map(str, dc.clean(d, b, 4, max_bytes=max_bytes).collect())) == want
+        one, many = (sorted(map(str, dc.contamination(d, b, 4, m).collect())) for m in (1 << 20, max_bytes))
+        assert one == many
+    out = dc.clean(edge, benchmark, max_bytes=1 << 13)
+    assert out.columns == edge.columns and sorted(map(str, out.collect())) == sorted(map(str, dc.clean(edge, benchmark).collect()))
