@@ -1,6 +1,7 @@
 """Operators 4, 5 and 8 against brute force, on skewed groups and edge rows."""
 
 import hashlib
+import itertools
 import random
 import re
 from collections import defaultdict
@@ -109,6 +110,23 @@ def test_boilerplate_lines(spark, monkeypatch):
         assert (rep[d]["n_lines"], rep[d]["n_removed"]) == (full(s), full(s) - full(k))
 
 
+def test_lines_of_all_lengths_are_linked(spark):
+    """By the registered defaults: a short line's variants, lines of 23 and 24 characters, lines of 1 to 3."""
+    pairs = [("All rights reserved.", "All right reserved."), ("x" * 23, "x" * 24), ("Contents", "Contents:")]
+    rows = [(i, pairs[j][i % 2]) for i in range(12) for j in range(3)]
+    rows = [(d, "\n".join([t for e, t in rows if e == d] + [f"{chr(0x4E00 + 9 * d) * 9} own"])) for d in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, ld.clean(df).select("doc_id", "text").collect())) == sorted(brute_lines(rows, 2, 1, 10))
+    rep = {r["doc_id"]: r for r in ld.report(df).collect()}
+    assert [rep[d]["n_links"] for d in range(12)] == [3] * 12 and [rep[d]["n_removed"] for d in range(12)] == [0] + [3] * 11
+    short = sorted({"".join(x) for n in (1, 2, 3, 4) for x in itertools.product("aé😀", repeat=n)} | {"bbbb", "bbb", "cbbbb", "b"})
+    want = {(i, j) for j in range(len(short)) for i in range(j) if edit(short[i], short[j]) <= 2}
+    lines = ld.distinct_lines(spark.createDataFrame([(1, "\n".join(short))], "doc_id long, text string"), ld.MIN_CHARS)
+    at = {r["id"]: short.index(r["line"]) for r in lines.collect()}
+    got = [tuple(sorted((at[a], at[b]))) for a, b in ld.edit_links(lines).collect()]
+    assert set(got) == want and len(got) == len(set(got))
+
+
 def test_line_dedup_edges(spark, edge, empty):
     assert ld.clean(edge).columns == edge.columns
     assert ld.clean(edge).count() == edge.count() == ld.report(edge).count()
