@@ -8,7 +8,8 @@ pseudonyms in every document and different values stay different; without the ke
 Scale: a map over documents, no shuffle, no state beside a small per-worker cache.
 
 Defined results: null text stays null, text without personal data is returned unchanged, values that
-fail their check (a number without Luhn digit, 30 February) are left, overlapping finds go to the
+fail their check (a number without Luhn digit, 30 February) are left, of a run of numbers or blocks that
+fails as a whole the valid cards and IBANs inside are replaced, overlapping finds go to the
 earlier start, then the kind listed first; repeated rows give the same pseudonyms; all input columns
 are kept.
 """
@@ -18,6 +19,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+from bisect import bisect
 from collections.abc import Iterator
 from functools import lru_cache
 from math import isqrt
@@ -228,7 +230,8 @@ def secret(key: bytes, text: str, undo: bool = False) -> str | None:
 KINDS = {
     "email": (r"(?<![\w.+%-])\w[\w.+%-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", email),
     "secret": (r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,}|[0-9A-F]{32,}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36})(?![A-Za-z0-9])"
-               r"|(?i:(?<=token = \")|(?<=secret = \")|(?<=password = \")|(?<=api_key = \"))[^\s\"]{8,}(?=\")", secret),
+               r"|(?i:token|secret|password|api[_-]?key)[\"']?[ \t]*[:=][ \t]*(?P<quote>[\"'])(?P<value>(?:(?!(?P=quote))\S){8,})(?=(?P=quote))",
+               secret),
     "iban": (r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)", iban),
     "ip": (r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)", ip),
     "date": (r"(?<![\w./-])(?:\d{4}([-/.])\d{2}\1\d{2}|\d{2}([-/.])\d{2}\2\d{4})(?!\w|[./-]\d)", date),
@@ -241,13 +244,66 @@ _PATTERNS = {k: re.compile(p) for k, (p, _) in KINDS.items()}
 _HINT = re.compile(r"[0-9@]")
 
 
+_RUN = re.compile(r"(?<!\w)\d+(?:[ -]\d+)*(?!\w)")
+# how cards are grouped; a part of a longer run of numbers must look like one of them
+_GROUPS = {(4, 4, 4, 4), (4, 4, 4, 4, 1), (4, 4, 4, 4, 2), (4, 4, 4, 4, 3), (4, 6, 5), (4, 6, 4), (4, 3, 3, 3), (4, 4, 4, 1),
+           (4, 4, 4, 2), (4, 4, 4, 3), (6, 13), *((n,) for n in range(13, 20))}
+
+
+def _is_card(text: str) -> bool:
+    d = _digits(text)
+    return luhn_ok(d) and len(set(d)) > 1
+
+
+def _cards(text: str) -> Iterator[tuple[int, int]]:
+    """Valid cards: the pattern's matches and, in runs of numbers, the parts grouped like a card; of those that
+    overlap the longest, then the first."""
+    found = [m.span() for m in _PATTERNS["card"].finditer(text)]
+    for run in _RUN.finditer(text):
+        if run.end() - run.start() < 13:
+            continue
+        parts = [(run.start() + m.start(), run.start() + m.end()) for m in re.finditer(r"\d+", run[0])]
+        size = [b - a for a, b in parts]
+        found += [(parts[i][0], parts[i + n - 1][1]) for i in range(len(parts)) for n in range(1, 6)
+                  if tuple(size[i:i + n]) in _GROUPS and i + n <= len(parts)]
+    taken: list[tuple[int, int]] = []
+    for a, b in sorted((x for x in set(found) if _is_card(text[x[0]:x[1]])),
+                       key=lambda x: (-len(_digits(text[x[0]:x[1]])), x)):
+        at = bisect(taken, (a, b))
+        if (not at or taken[at - 1][1] <= a) and (at == len(taken) or b <= taken[at][0]):
+            taken.insert(at, (a, b))
+    return iter(taken)
+
+
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """The longest valid beginning of each match that ends at a blank; the search goes on after it (or, without
+    one, after the match's first block)."""
+    at = 0
+    while m := _PATTERNS["iban"].search(text, at):
+        a, b = m.span()
+        ends = [b, *(i for i in range(b - 1, a, -1) if text[i] == " ")]
+        end = next((e for e in ends if iban(b"", text[a:e]) is not None), None)
+        if end is not None:
+            yield a, end
+        at = end if end is not None else ends[-1]
+
+
+def _secrets(text: str) -> Iterator[tuple[int, int]]:
+    for m in _PATTERNS["secret"].finditer(text):
+        yield m.span("value") if m["value"] else m.span()
+
+
+_FINDERS = {"card": _cards, "iban": _ibans, "secret": _secrets}
+
+
 def find(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of everything that looks like a kind, by start and then by kind (values that
     overlap an earlier valid one are passed over when replacing)."""
     if not _HINT.search(text):
         return []
-    every = sorted((m.start(), rank, m.end(), k) for rank, (k, p) in enumerate(_PATTERNS.items())
-                   if k != "email" or "@" in text for m in p.finditer(text))
+    every = sorted((a, rank, b, k) for rank, (k, p) in enumerate(_PATTERNS.items())
+                   if k != "email" or "@" in text
+                   for a, b in (_FINDERS[k](text) if k in _FINDERS else (m.span() for m in p.finditer(text))))
     return [(a, b, k) for a, _, b, k in every]
 
 

@@ -63,6 +63,26 @@ def test_clean_text_is_left_alone():
         assert pii.pseudonymise(t, KEY) == (t, []), t
 
 
+CONTEXTS = {
+    "card": ["%s 12/27", "%s 123", "%s 7", "12 %s", "2024 05 12 %s 08", "no 3-%s", "%s %s"],
+    "iban": ["%s EUR", "%s PAYMENT DUE", "%s %s", "pay %s BIC COBADEFF"],
+    "secret": ['token = "%s"', "token: '%s'", 'PASSWORD="%s"', '{"api_key": "%s"}', "secret ='%s'", 'apikey:"%s"'],
+}
+
+
+@pytest.mark.parametrize("kind,value", [("card", "4111 1111 1111 1111"), ("card", "4111111111111111"), ("card", "3782 822463 10005"),
+                                        ("iban", "BE68 5390 0754 7034"), ("iban", "DE89370400440532013000"), ("secret", "hunter2hunter2")])
+def test_values_beside_other_numbers_and_words(kind, value):
+    new = {"card": pii.card, "iban": pii.iban, "secret": pii.secret}[kind](KEY, value)
+    for context in CONTEXTS[kind]:
+        text = context.replace("%s", value)
+        out, kinds = pii.pseudonymise(text, KEY)
+        assert value not in out and set(kinds) == {kind}, text
+        whole = pii._digits(text)
+        if kind != "card" or not any(pii.luhn_ok(whole[i:j]) for i in range(len(whole)) for j in range(i + 17, len(whole) + 1)):
+            assert out == context.replace("%s", new), text
+
+
 def test_documents(spark, edge, empty, docs):
     out = pii.pseudonyms(edge, KEY)
     assert out.columns[:len(edge.columns)] == edge.columns and out.count() == edge.count()
