@@ -1,5 +1,8 @@
 """Tag dictionary jobs: canonical names, known tags, year and category
-rules, category codes, and the sanitise job (C1) built from them."""
+rules, category codes, and the sanitise job (C1) built from them.
+
+The dictionary is a stored table (name is its key): the lookups measure it
+and read it, and do not write it again."""
 
 from __future__ import annotations
 
@@ -8,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.categories import UNWANTED_CATEGORY_IDS, category_code, is_year_like, is_year_pattern, lookup_key
+from .lookup import lookup
 
 
 def live_tags(dictionary: DataFrame) -> DataFrame:
@@ -27,16 +31,16 @@ def alias_map(alias_rows: DataFrame) -> DataFrame:
 
 
 def canonicalize(df: DataFrame, amap: DataFrame, tag: str = "tag", out: str = "canon") -> DataFrame:
-    """Replace a tag by its consequent, one hop only."""
+    """Replace a tag by its consequent, one hop only (a bounded lookup)."""
     m = amap.select(F.col("antecedent_name").alias("_ante"), F.col("consequent_name").alias("_cons"))
-    return (df.join(m, F.col(tag) == F.col("_ante"), "left")
+    return (lookup(df, m, F.col(tag), "_ante")
               .withColumn(out, F.coalesce("_cons", F.col(tag))).drop("_ante", "_cons"))
 
 
 def known_tags(df: DataFrame, dictionary: DataFrame, tag: str = "tag") -> DataFrame:
     """P2/J2 alone: rows whose tag is a live dictionary name (semi join)."""
     live = live_tags(dictionary).select(F.col("name").alias("_name"))
-    return df.join(live, F.col(tag) == F.col("_name"), "left_semi")
+    return lookup(df, live, F.col(tag), "_name", "left_semi", stored=True)
 
 
 def drop_year_tags(df: DataFrame, tag: str = "tag", rule: str = "observed") -> DataFrame:
@@ -58,7 +62,7 @@ def with_category_code(df: DataFrame, dictionary: DataFrame, tag: str = "tag", o
     says the tags are already stripped (saves a pass per tag)."""
     cats = live_tags(dictionary).select(F.col("name").alias("_k"), F.col("category").alias("_cat"))
     key = F.lower(F.col(tag)) if stripped else lookup_key(F.col(tag))
-    j = df.join(cats, key == F.col("_k"), "left")
+    j = lookup(df, cats, key, "_k", stored=True)
     return j.withColumn(out, category_code(F.col(tag), F.col("_cat"))).drop("_k", "_cat")
 
 
@@ -74,14 +78,15 @@ def sanitize(captions: DataFrame, dictionary: DataFrame, amap: DataFrame,
     the alias map and the live dictionary, each read once, by two left
     joins -> the dropped tags turn NULL -> one regroup by name.
     ``collect_list`` combines map-side, so the shuffle carries about one row
-    per caption.  The joins carry no hint: adaptive execution broadcasts a
-    side once its measured size allows it, and splits a hot tag otherwise.
+    per caption.  Both lookups are bounded ones (``lookup``): measured, then
+    broadcast, so no tag row is shuffled before the regroup; beyond the
+    bound, hot tags are looked up apart from the shuffled rest.
     """
     tags = F.array_distinct(tx.split_caption(F.col(text)))
     t = captions.select(F.col(name).alias("name"), F.posexplode_outer(tags).alias("pos", "tag"))
     t = canonicalize(t, amap)
     live = live_tags(dictionary).select(F.col("name").alias("_name"), F.col("category").alias("_cat"))
-    t = t.join(live, F.col("canon") == F.col("_name"), "left")
+    t = lookup(t, live, F.col("canon"), "_name", stored=True)
     canon = F.col("canon")
     year = is_year_like(canon) if year_rule == "observed" else is_year_pattern(canon)
     keep = F.col("_name").isNotNull() & ~year & (F.col("_cat").isNull() | ~F.col("_cat").isin(*UNWANTED_CATEGORY_IDS))

@@ -53,13 +53,21 @@ def _call_isolated(call, prompts):
 
 
 def model_hook(df: DataFrame, call, prompt: str = "prompt", keep: Iterable[str] = (),
-               by: str | None = None) -> DataFrame:
+               by: str | None = None, store: str | None = None) -> DataFrame:
     """X2 + X3: send every prompt to a caller's batch function
     (``list[str] -> list[str]``) inside ``mapInPandas``; returns the kept
     columns with ``reply`` and ``error``.  With ``by``, ``call`` is a
     factory ``key -> batch function`` and each row goes to the function of
     its ``by`` value (one pass for many models).  Failures are isolated per
-    record: the error text lands in ``error`` and the job goes on."""
+    record: the error text lands in ``error`` and the job goes on.
+
+    Without a store this is a plan: a retried task, or a second action,
+    calls again, and a batch that fails is sent a second time record by
+    record.  With ``store`` (a shared folder) the calls are made now, each
+    request once, and their answers kept there (``replies``)."""
+    if store:
+        from .replies import resumable_hook
+        return resumable_hook(df, call, store, prompt, keep, by)
     keep = list(keep)
     fields = [f for f in df.schema.fields if f.name in keep]
     schema = T.StructType(fields + [T.StructField("reply", T.StringType()), T.StructField("error", T.StringType())])

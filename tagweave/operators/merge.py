@@ -32,18 +32,21 @@ def merge_priority(sources: DataFrame, dictionary: DataFrame, name: str = "name"
                    source_ord: str = "source_ord") -> DataFrame:
     """A2 + G2: raw text split on ``", "`` (no marker strip), pieces
     stripped, empties dropped, repeats removed keeping the first, then
-    sorted by the category code as text and the first position."""
-    pieces = F.array_distinct(tx.stripped_pieces(F.col(text), tx.DELIM))  # only first occurrences count
-    t = sources.select(F.col(name).alias("name"), F.col(source_ord).alias("o"),
-                       F.posexplode_outer(pieces).alias("pos", "tag"))
+    sorted by the category code as text and the first position.
+
+    Repeats go before anything is looked up: one shuffle by name gathers a
+    name's lists in source order, and only its distinct tags are exploded.
+    The lookup is a bounded one and the rows are dealt by name already, so
+    the regroup needs no second shuffle."""
+    pieces = F.array_distinct(tx.stripped_pieces(F.col(text), tx.DELIM))
+    t = sources.select(F.col(name).alias("name"), F.struct(F.col(source_ord).alias("o"), pieces.alias("tags")).alias("s"))
+    g = t.groupBy("name").agg(F.sort_array(F.collect_list("s")).alias("s"))
+    tags = F.array_distinct(F.flatten(F.transform(F.filter("s", lambda x: x["tags"].isNotNull()), lambda x: x["tags"])))
+    t = g.select("name", F.posexplode_outer(tags).alias("pos", "tag"))
     t = with_category_code(t, dictionary, "tag", "code", stripped=True)
-    item = F.when(F.col("tag").isNotNull(), F.struct("tag", "o", "pos", "code"))
-    g = t.groupBy("name").agg(F.collect_list(item).alias("s"))
-    firsts = tx.first_per_key(F.col("s"), "tag")  # first occurrence of each tag
-    ordered = F.transform(F.sort_array(F.transform(firsts, lambda x: F.struct(x["code"].alias("code"), x["o"].alias("o"),
-                                                                                x["pos"].alias("pos"), x["tag"].alias("tag")))),
-                          lambda x: x["tag"])
-    return g.select(F.col("name").alias(name), tx.join_tags(ordered).alias(text))
+    item = F.when(F.col("tag").isNotNull(), F.struct("code", "pos", "tag"))
+    g = t.groupBy("name").agg(F.sort_array(F.collect_list(item)).alias("s"))
+    return g.select(F.col("name").alias(name), tx.join_tags(F.transform("s", lambda x: x["tag"])).alias(text))
 
 
 def save_order(tagged: DataFrame, name: str = "name") -> DataFrame:

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .lookup import lookup
+
 # Labels kept per image and model, and the default threshold.
 TOP_K = 250
 DEFAULT_THRESHOLD = 0.2
@@ -153,10 +155,11 @@ def label_arrays(vocab: DataFrame, model: str = "model", idx: str = "idx", tag:
 
 def attach_labels(rows: DataFrame, vocab: DataFrame, top: str = "top") -> DataFrame:
     """J9 + P7 row-locally: give every top-k entry its label text; entries
-    whose index is outside the vocabulary are dropped.  The label arrays
-    are one row per model; adaptive execution broadcasts them by measured
-    size."""
-    j = rows.join(label_arrays(vocab), "model", "inner")
+    whose index is outside the vocabulary are dropped.  The label arrays,
+    one row per model, are written and measured first and then broadcast
+    (a bounded lookup), so the images are never shuffled by model."""
+    labels = label_arrays(vocab).withColumnRenamed("model", "_model")
+    j = lookup(rows, labels, F.col("model"), "_model", "inner").drop("_model")
     lab = F.transform(top, lambda x: F.struct(x["idx"].alias("idx"), x["score"].alias("score"),
                                               F.get(F.col("labels"), x["idx"]).alias("tag")))
     return j.withColumn(top, F.filter(lab, lambda x: x["tag"].isNotNull())).drop("labels")

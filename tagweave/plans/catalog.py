@@ -7,6 +7,7 @@ column names match the oracle SQL in ``plans.oracle``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -282,7 +283,10 @@ def q_inject_post_meta(spark, sf):
 
 # ------------------------------------------------------------------- scores
 from ..operators import heat as ht  # noqa: E402
+from ..operators import score_store as ss  # noqa: E402
 from ..operators import scores as sc  # noqa: E402
+from ..session import stage_root  # noqa: E402
+from . import stubs  # noqa: E402
 
 # Query parameters: the operators default to the reference's k = 250 and
 # threshold 0.2; the fixture models have 40 labels and scores in
@@ -337,11 +341,30 @@ def q_ensemble_tag_string(spark, sf):
     return sc.ensemble_tag_string(_ensemble(spark, sf), THR)
 
 
+_SCORES: dict[tuple[str, str], str] = {}
+
+
+def _stored_scores(spark, sf) -> str:
+    """The ensemble's score table, written once per session and table folder."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _SCORES:
+        path = f"{stage_root(spark)}/scores-{uuid.uuid4().hex}"
+        ss.write_scores(_ensemble(spark, sf), path)
+        _SCORES[key] = path
+    return _SCORES[key]
+
+
 @query("score_threshold")
 def q_score_threshold(spark, sf):
-    e = _ensemble(spark, sf)
-    return e.where(sc.above(F.col("sum_micro"), F.col("n_models"), THR_RETHRESHOLD)).select(
-        "image", "tag", "sum_micro", "n_models")
+    """Another threshold over the stored scores; no model is scored again."""
+    d = ss.read_scores(spark, _stored_scores(spark, sf), THR_RETHRESHOLD)
+    return d.select("image", "tag", "sum_micro", "n_models")
+
+
+@query("rethreshold_tag_string")
+def q_rethreshold_tag_string(spark, sf):
+    """C9 + G3: the tag strings at another threshold, from the stored scores; images that keep no tag have no row."""
+    return sc.ensemble_tag_string(ss.read_scores(spark, _stored_scores(spark, sf), THR_RETHRESHOLD), THR_RETHRESHOLD)
 
 
 @query("label_index")
@@ -416,8 +439,10 @@ def q_patch_saliency(spark, sf):
 
 
 # -------------------------------------------------------------- files, review
+from ..operators import digests as dg  # noqa: E402
 from ..operators import files as fl  # noqa: E402
 from ..operators import review as rv  # noqa: E402
+from ..sources import caption_folder as cf  # noqa: E402
 
 STAGE_MODELS = ["vendor/alpha", "lab/beta"]
 
@@ -450,6 +475,26 @@ def q_pair_files(spark, sf):
     return fl.pair_files(fx.captions(spark, sf), fx.image_files(spark, sf))
 
 
+def _caption_folder(spark, sf) -> str:
+    """K1/K3: the captions as one text file each, by the data source."""
+    spark.dataSource.register(cf.CaptionFolder)
+    folder = f"{stage_root(spark)}/captions-{uuid.uuid4().hex}"
+    fx.captions(spark, sf).select("name", "text").write.format("caption_folder").mode("append").save(folder)
+    return folder
+
+
+@query("sink_captions")
+def q_sink_captions(spark, sf):
+    """K1, read back through the data source."""
+    return spark.read.format("caption_folder").load(_caption_folder(spark, sf)).select("file", "name", "text")
+
+
+@query("dedup_files")
+def q_dedup_files(spark, sf):
+    """A6/W3 over real files: digests read in pieces, of lengths that occur twice."""
+    return dg.keep_move(dg.file_digests(dg.file_inventory(spark, _caption_folder(spark, sf), (".txt",))))
+
+
 @query("ensure_images")
 def q_ensure_images(spark, sf):
     return fl.ensure_images(fx.captions(spark, sf), _own_images(spark, sf), fx.image_files(spark, sf))
@@ -521,7 +566,6 @@ from ..operators import hooks as hk  # noqa: E402
 from ..operators import prune as pn  # noqa: E402
 from ..sources.scrape import ingest_scrape  # noqa: E402
 from . import curation as cu  # noqa: E402
-from . import stubs  # noqa: E402
 from ..session import staged  # noqa: E402
 
 CAPTION_TYPES = list(pr.CAPTION_TYPE_MAP)
@@ -645,10 +689,10 @@ def q_quarantine(spark, sf):
     return bad.select("stem", "error")
 
 
-def _stage(spark, sf):
+def _stage(spark, sf, call_for=stubs.chat_stub, store=None):
     im = fl.image_files(fx.image_files(spark, sf), fl.MODEL_IMAGE_EXTS)
     items = im.select(F.col("file").alias("image"), F.lit(None).cast("string").alias("tag_text"))
-    return cu.model_stage(items, CAPTION_MODELS, cu.GENERATE, "", stubs.chat_stub)
+    return cu.model_stage(items, CAPTION_MODELS, cu.GENERATE, "", call_for, store)
 
 
 @query("multi_model_stage")
@@ -656,6 +700,14 @@ def q_multi_model_stage(spark, sf):
     return _stage(spark, sf).select("model", "model_key", "image", "stem", "text", "error")
 
 
+@query("multi_model_resumed")
+def q_multi_model_resumed(spark, sf):
+    """C4 over a reply store, run a second time: every answer comes from the store."""
+    store = f"{stage_root(spark)}/replies-{uuid.uuid4().hex}"
+    _stage(spark, sf, stubs.chat_stub, store).select("text").write.format("noop").mode("overwrite").save()
+    return _stage(spark, sf, stubs.no_calls, store).select("model", "model_key", "image", "stem", "text", "error")
+
+
 @query("batch_summary")
 def q_batch_summary(spark, sf):
     return cu.batch_summary(staged(_stage(spark, sf), "batch-summary"))

@@ -53,14 +53,15 @@ def parse_model_list(text_col) -> "F.Column":
 
 
 def model_stage(items: DataFrame, cfgs: list[dict], mode: str, prompt_fallback: str,
-                call_for: Callable[[str], Callable[[list[str]], list[str]]]) -> DataFrame:
+                call_for: Callable[[str], Callable[[list[str]], list[str]]], store: str | None = None) -> DataFrame:
     """C4: every configured model over every image of ``items(image,
     tag_text)``: request (T15) -> model (X2) -> first-line parse (T18).
     One pass: the image x model work list (J12) is expanded row-locally and
     one ``mapInPandas`` sends each row to its model.  Returns ``(cfg, model,
     model_key, image, stem, text, error)``, ``cfg`` the model's place in the
     configuration; a row with an error is a failed record (no caption
-    written), the rest go on."""
+    written), the rest go on.  With ``store`` the stage can be stopped and
+    rerun: requests that the store answers are not sent again."""
     runs = [(i, c["model"], c.get("prompt", prompt_fallback) or "") for i, c in enumerate(cfgs) if c.get("model")]
     if not runs:
         return None
@@ -70,7 +71,7 @@ def model_stage(items: DataFrame, cfgs: list[dict], mode: str, prompt_fallback:
     req = pr.chat_requests(work, mode, F.col("extra"), keep=("cfg", "model"))
     ok, bad = req.where(F.col("error").isNull()), req.where(F.col("error").isNotNull())
     r = hk.model_hook(ok.select("cfg", "model", "image", F.col("request").alias("prompt")), call_for, "prompt",
-                      keep=["cfg", "model", "image"], by="model")
+                      keep=["cfg", "model", "image"], by="model", store=store)
     parsed = r.select("cfg", "model", "image", parse_tag_reply(F.col("reply")).alias("text"), "error")
     parsed = parsed.withColumn("error", F.coalesce("error", F.when(F.col("text").isNull(), F.lit(EMPTY_REPLY))))
     allr = parsed.unionByName(bad.select("cfg", "model", "image", F.lit(None).cast("string").alias("text"), "error"))
@@ -135,14 +136,19 @@ def curation_run(spark: SparkSession, scrape_files: DataFrame, caption_cfgs: lis
     under ``work_dir`` (default: the shared stage folder) and every reader of
     its captions and failures reads that table, so each record is sent to
     its model once, with or without a checkpoint folder.  What is returned
-    is lazy over those tables."""
+    is lazy over those tables.
+
+    With a ``work_dir`` the models' answers are kept in its ``replies``
+    folder as they come, so a rerun after a failure asks only what is
+    missing there."""
+    store = f"{work_dir.rstrip('/')}/replies" if work_dir else None
     raw = staged(ingest_scrape(scrape_files), "ingested", work_dir)
     images = raw.select("stem", "image")
     rejects = raw.where(F.col("error").isNotNull()).select(
         F.lit("ingest").alias("stage"), F.lit(None).cast("string").alias("model"), F.col("image").alias("item"), "error")
     if call_for is not None and any(c.get("model") for c in caption_cfgs):
         st = staged(model_stage(images.select("image", F.lit(None).cast("string").alias("tag_text")), caption_cfgs,
-                                GENERATE, caption_prompt, call_for), "captioned", work_dir)
+                                GENERATE, caption_prompt, call_for, store), "captioned", work_dir)
         sources, rejects = _as_sources(st), rejects.unionByName(_failed(st, "caption"))
     else:
         sources = raw.where(F.col("caption").isNotNull()).select(
@@ -153,7 +159,7 @@ def curation_run(spark: SparkSession, scrape_files: DataFrame, caption_cfgs: lis
         with_img = fl.ensure_images(merged, None, images.select(F.col("image").alias("file")))
         items = with_img.where(F.col("image").isNotNull()).join(merged.select(F.col("name").alias("stem"), "text"), "stem")
         items = items.select("image", F.col("text").alias("tag_text"))
-        st = staged(model_stage(items, prune_cfgs, FILTER, prune_prompt, call_for), "pruned", work_dir)
+        st = staged(model_stage(items, prune_cfgs, FILTER, prune_prompt, call_for, store), "pruned", work_dir)
         rejects = rejects.unionByName(_failed(st, "prune"))
         merged = mg.merge_captions(_as_sources(st))
     return CurationRun(merged.select("name", tx.prepend_trigger(F.col("text"), trigger).alias("text")), rejects)

@@ -427,6 +427,9 @@ SQL["ensemble_scores"] = with_("slices", "vocab") + _ENS + """
 SELECT image, tag, sum_micro, n_models FROM ens WHERE sum_micro > 500000 * n_models"""
 SQL["score_threshold"] = with_("slices", "vocab") + _ENS + """
 SELECT image, tag, sum_micro, n_models FROM ens WHERE sum_micro > 550000 * n_models"""
+SQL["rethreshold_tag_string"] = with_("slices", "vocab") + _ENS + """
+SELECT image, string_agg(tag, ', ' ORDER BY first_model, first_rank) AS text
+FROM ens WHERE sum_micro > 550000 * n_models GROUP BY image"""
 SQL["ensemble_tag_string"] = with_("slices", "vocab") + _ENS + """
 SELECT image, coalesce(string_agg(tag, ', ' ORDER BY first_model, first_rank) FILTER (WHERE sum_micro > 500000 * n_models), '') AS text
 FROM ens GROUP BY image"""
@@ -520,6 +523,12 @@ def _rank(ext: str, exts: list[str]) -> str:
 
 SQL["src_images"] = with_("image_inv") + f"""SELECT file, CAST(strlen(content) AS BIGINT) AS n_bytes
 FROM image_inv WHERE lower(ext) IN {_DEDUP_EXTS}"""
+_FILES = with_("captions") + f""", files AS (
+  SELECT concat(name, '.txt') AS file, name, {strip('text')} AS text FROM captions WHERE text IS NOT NULL)
+"""
+SQL["sink_captions"] = _FILES + "SELECT file, name, text FROM files"
+SQL["dedup_files"] = _FILES + """SELECT file, CAST(strlen(text) AS BIGINT) AS n_bytes,
+  CASE WHEN row_number() OVER (PARTITION BY md5(text) ORDER BY file) = 1 THEN 'keep' ELSE 'move' END AS action FROM files"""
 SQL["dedup_groups"] = with_("image_inv") + f"""SELECT md5(content) AS h, min(file) AS keep, CAST(count(*) - 1 AS BIGINT) AS extra
 FROM image_inv WHERE lower(ext) IN {_DEDUP_EXTS} GROUP BY md5(content)"""
 SQL["dedup_keep_move"] = with_("image_inv") + f"""SELECT file, h, CASE WHEN rn = 1 THEN 'keep' ELSE 'move' END AS action
@@ -743,6 +752,7 @@ CTE["stage"] = f"""stage AS (
   WHERE lower(i.ext) IN {_MODEL_EXTS})"""
 DEPS["stage"] = ["image_inv"]
 SQL["multi_model_stage"] = with_("stage") + "SELECT model, model_key, image, stem, text, error FROM stage"
+SQL["multi_model_resumed"] = SQL["multi_model_stage"]
 SQL["batch_summary"] = with_("stage") + """SELECT model, CAST(count(*) FILTER (WHERE error IS NULL) AS BIGINT) AS processed,
   CAST(count(*) FILTER (WHERE error IS NOT NULL) AS BIGINT) AS failed,
   coalesce(string_agg(concat(image, ': ', error), chr(10) ORDER BY image) FILTER (WHERE error IS NOT NULL AND rn <= 20), '') AS first_failures

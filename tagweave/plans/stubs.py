@@ -52,3 +52,10 @@ def chat_stub(model_id: str):
                 out.append("- " + ", ".join(tags[2:]) + "\n(pruned)")
         return out
     return call
+
+
+def no_calls(model):
+    """A model that must not be asked: for stages whose answers are all stored."""
+    def call(prompts):
+        raise RuntimeError(f"{model} was asked {len(prompts)} requests that are answered already")
+    return call

@@ -40,14 +40,16 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def stage_root(spark: SparkSession) -> str:
-    """The shared folder for stage tables: ``spark.checkpoint.dir``.  Only
-    where it is unset (tests, one machine) the session's own checkpoint
-    folder is used."""
+    """The shared folder for stage tables: ``spark.checkpoint.dir``, or the
+    session's checkpoint folder.  A machine-local one is made only for a
+    local master (tests, one machine); a cluster must name a shared one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
     own = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not own.isDefined():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tagweave-stages-"))
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
     return own.get().rstrip("/")

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip_ws
 from ..operators.files import DEDUP_IMAGE_EXTS, ext_of, stem_of
+from .paths import list_files
+from .records import read_records
 
 REPLACEMENT_CHAR = "�"
 
@@ -38,10 +40,13 @@ def read_captions(spark: SparkSession, folder: str, recursive: bool = False, len
     """Every ``.txt`` (suffix compared without case) of a folder ->
     ``(file, name, text)``, decoded by ``decode_captions``.  Reading through
     ``binaryFile`` keeps one row per file, and the glob keeps images out of
-    the scan."""
+    the scan; captions of no bytes, which Spark's file sources leave out,
+    come from a listing."""
     r = (spark.read.format("binaryFile").option("pathGlobFilter", "*.[tT][xX][tT]")
          .option("recursiveFileLookup", str(recursive).lower()).load(folder))
     r = r.select("content", _file_name(F.col("path")).alias("file"))
+    blank = list_files(spark, folder, recursive=recursive).where("length = 0")
+    r = r.unionByName(blank.select(F.lit(b"").alias("content"), "file"))
     return decode_captions(r.where(F.lower("file").endswith(".txt")), lenient)
 
 
@@ -80,15 +85,6 @@ def read_images(spark: SparkSession, folder: str, exts=DEDUP_IMAGE_EXTS, with_co
     return r.withColumn("stem", stem_of(F.col("file"))).withColumn("ext", ext_of(F.col("file")))
 
 
-def _csv_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``(line_no, line)`` of a text export, in file order: the file is read
-    whole (label and alias exports are a few MB) and numbered by position,
-    so the order does not rest on engine row ids."""
-    t = spark.read.text(path, wholetext=True)
-    lines = t.select(F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
-    return lines.where(F.col("line") != "")
-
-
 def _header_names(spark: SparkSession, path: str) -> list[str]:
     """Column names of a CSV export, from its first line."""
     first = spark.read.text(path).first()
@@ -102,11 +98,18 @@ def _string_schema(names: list[str]) -> str:
 _CSV_OPTIONS = {"escape": '"', "mode": "PERMISSIVE", "nullValue": "\u0000", "emptyValue": ""}
 
 
+def _rows(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    """``(record_no, r)``: the records after the header, ``r`` a struct of text fields."""
+    return read_records(spark, path).where("record_no > 0").select(
+        "record_no", F.from_csv("record", _string_schema(names), _CSV_OPTIONS).alias("r"))
+
+
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     """Tag dictionary export -> ``(name, category int, post_count
     bigint)``; other columns are ignored.  The schema is declared from the
-    header line, all text (``NA``/``null`` stay text)."""
-    d = spark.read.schema(_string_schema(_header_names(spark, path))).option("header", "true").options(**_CSV_OPTIONS).csv(path)
+    header line, all text (``NA``/``null`` stay text); quoted line breaks
+    belong to their field."""
+    d = _rows(spark, path, _header_names(spark, path)).select("r.*")
     return d.select(F.col("name"), F.col("category").cast("int").alias("category"),
                     F.col("post_count").cast("bigint").alias("post_count"))
 
@@ -114,18 +117,17 @@ def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
 def read_alias_rows(spark: SparkSession, alias_path: str | None, implication_path: str | None) -> DataFrame:
     """Alias (``alias_name`` or ``antecedent_name``) and implication
     exports -> ``(antecedent_name, consequent_name, kind, row_no)``, kind 1
-    for aliases and 2 for implications; ``row_no`` is the line in the file
-    ("the last row wins")."""
+    for aliases and 2 for implications; ``row_no`` is the record's number in
+    the file ("the last row wins")."""
     out = None
     for kind, path in ((1, alias_path), (2, implication_path)):
         if not path:
             continue
         names = _header_names(spark, path)
         ante = "alias_name" if "alias_name" in names else "antecedent_name"
-        rows = _csv_lines(spark, path).where("line_no > 0")
-        d = rows.select("line_no", F.from_csv("line", _string_schema(names), _CSV_OPTIONS).alias("r"))
+        d = _rows(spark, path, names)
         d = d.select(F.col(f"r.{ante}").alias("antecedent_name"), F.col("r.consequent_name").alias("consequent_name"),
-                     F.lit(kind).alias("kind"), F.col("line_no").cast("bigint").alias("row_no"))
+                     F.lit(kind).alias("kind"), F.col("record_no").cast("bigint").alias("row_no"))
         out = d if out is None else out.unionByName(d)
     return out
 
@@ -192,13 +194,13 @@ def read_label_file(spark: SparkSession, path: str, model: str, column: int = 0,
         if not skip and column == 0 and any(n in {"name", "tag", "tags"} for n in names):
             use, skip = next(i for i, n in enumerate(names) if n in {"name", "tag", "tags"}), True
         width = max(use + 1, len(names))
-        lines = _csv_lines(spark, path)
+        lines = read_records(spark, path)
         if skip:
-            lines = lines.where("line_no > 0")
-        row = F.from_csv("line", ", ".join(f"c{i} string" for i in range(width)), _CSV_OPTIONS)
-        labels = lines.select("line_no", row[f"c{use}"].alias("label")).where(F.col("label").isNotNull())
-        # one row of labels in line order: their positions are the indices
-        whole = labels.agg(F.sort_array(F.collect_list(F.struct("line_no", "label"))).alias("ls"))
+            lines = lines.where("record_no > 0")
+        row = F.from_csv("record", ", ".join(f"c{i} string" for i in range(width)), _CSV_OPTIONS)
+        labels = lines.select("record_no", row[f"c{use}"].alias("label")).where(F.col("label").isNotNull())
+        # one row of labels in file order: their positions are the indices
+        whole = labels.agg(F.sort_array(F.collect_list(F.struct("record_no", "label"))).alias("ls"))
         out = whole.select(F.posexplode("ls").alias("idx", "x")).select("idx", blank(strip_ws(F.col("x.label"))).alias("tag"))
     else:
         raise ValueError(f"unknown tag file type: {path}")

@@ -24,7 +24,8 @@ _BINARY_SCHEMA = "path string, modificationTime timestamp, length bigint, conten
 
 def caption_stream(spark: SparkSession, folder: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """New ``.txt`` files of a folder as a stream of ``(file, name, text)``
-    (valid UTF-8 only, as in the batch reader)."""
+    (valid UTF-8 only, as in the batch reader).  A file of no bytes never
+    comes: Spark's file streams leave it out."""
     r = (spark.readStream.format("binaryFile").schema(_BINARY_SCHEMA)
          .option("pathGlobFilter", "*.[tT][xX][tT]"))
     if max_files_per_trigger:
