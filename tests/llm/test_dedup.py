@@ -69,11 +69,16 @@ def test_edit_links_lose_no_pair(spark, t):
     assert set(got) == want and len(got) == len(set(got))
 
 
-def brute_lines(rows, t, min_chars, min_docs):
-    """(doc_id, text) -> text after the operator, by the docstring's rules."""
+def brute_lines(rows, min_docs):
+    """[(doc_id, text after the operator)] and each line's number of links, by the docstring's rules."""
     distinct = sorted({x for _, s in rows for x in (s or "").split("\n") if x})
-    cls = union([(a, b) for i, a in enumerate(distinct) for b in distinct[:i]
-                 if min(len(a), len(b)) >= min_chars and edit(a, b) <= t], distinct)
+    letters = {x: sum(c.isalpha() for c in x) for x in distinct}
+    links = [(a, b) for i, a in enumerate(distinct) for b in distinct[:i]
+             if min(letters[a], letters[b]) >= 8 and edit(a, b) <= (1 if min(len(a), len(b)) < 16 else 2)]
+    cls, degree = union(links, distinct), defaultdict(int)
+    for pair in links:
+        for x in pair:
+            degree[x] += 1
     place, docs_of = {}, defaultdict(set)
     for d, s in rows:
         for no, x in enumerate((s or "").split("\n")):
@@ -84,9 +89,9 @@ def brute_lines(rows, t, min_chars, min_docs):
     out = []
     for d, s in rows:
         keep = [x for no, x in enumerate((s or "").split("\n"))
-                if not x or len(docs_of[cls[x]]) < min_docs or place[cls[x]] == (d is None, d or 0, no)]
+                if not x or letters[x] < 16 or len(docs_of[cls[x]]) < min_docs or place[cls[x]] == (d is None, d or 0, no)]
         out.append((d, None if s is None else "\n".join(keep)))
-    return out
+    return out, degree
 
 
 def test_boilerplate_lines(spark, monkeypatch):
@@ -98,33 +103,59 @@ def test_boilerplate_lines(spark, monkeypatch):
         rows.append((d, "\n".join([own, foot % d, "", "short", "short", "tail of " + str(d)][:rng.randint(1, 6)])))
     rows += [(50, None), (51, ""), (52, "\n\n"), (None, foot % 3)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("gone", F.lit("x")).withColumn("no", F.lit(1))
-    monkeypatch.setattr(ld.line_classes, "__defaults__", (2, 24, 5))
+    monkeypatch.setattr(ld.line_classes, "__defaults__", (2, 8, 16, 5, 1e-6))
     out = ld.clean(df)
     assert out.columns == df.columns and {(r["gone"], r["no"]) for r in out.collect()} == {("x", 1)}
     got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
-    assert got == sorted(brute_lines(rows, 2, 24, 5), key=str)
+    kept, _ = brute_lines(rows, 5)
+    assert got == sorted(kept, key=str)
     rep = {r["doc_id"]: r for r in ld.report(df).collect()}
     full = lambda t: len([x for x in (t or "").split("\n") if x])
     assert len(rep) == len(rows)
-    for (d, s), (_, k) in zip(rows, brute_lines(rows, 2, 24, 5)):
+    for (d, s), (_, k) in zip(rows, kept):
         assert (rep[d]["n_lines"], rep[d]["n_removed"]) == (full(s), full(s) - full(k))
 
 
-def test_lines_of_all_lengths_are_linked(spark):
-    """By the registered defaults: a short line's variants, lines of 23 and 24 characters, lines of 1 to 3."""
-    pairs = [("All rights reserved.", "All right reserved."), ("x" * 23, "x" * 24), ("Contents", "Contents:")]
-    rows = [(i, pairs[j][i % 2]) for i in range(12) for j in range(3)]
-    rows = [(d, "\n".join([t for e, t in rows if e == d] + [f"{chr(0x4E00 + 9 * d) * 9} own"])) for d in range(12)]
+def test_link_rule_by_length_and_letters(spark):
+    """By the registered defaults, against brute force: variants of lines about the rule's bounds."""
+    rng = random.Random(11)
+    bases = ["All rights reserved.", "abcdefgh", "Contents", "a b c d e f g h", "x" * 15, "y" * 16, "12345678901234567 abc",
+             "2019-01-01 12:00", "Total amount due", "été où çà là", "return value;", "},", "No"]
+    lines = sorted(set(bases) | {v for base in bases if len(base) > 3 for v in variants(rng, base, 14, 3, "aé1 ")})
+    rows = [(d, "\n".join(rng.sample(lines, 60) + [f"{chr(0x4E00 + 9 * d) * 20} own"])) for d in range(14)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(map(tuple, ld.clean(df).select("doc_id", "text").collect())) == sorted(brute_lines(rows, 2, 1, 10))
+    kept, degree = brute_lines(rows, 10)
+    assert sorted(map(tuple, ld.clean(df).select("doc_id", "text").collect())) == sorted(kept)
     rep = {r["doc_id"]: r for r in ld.report(df).collect()}
-    assert [rep[d]["n_links"] for d in range(12)] == [3] * 12 and [rep[d]["n_removed"] for d in range(12)] == [0] + [3] * 11
-    short = sorted({"".join(x) for n in (1, 2, 3, 4) for x in itertools.product("aé😀", repeat=n)} | {"bbbb", "bbb", "cbbbb", "b"})
-    want = {(i, j) for j in range(len(short)) for i in range(j) if edit(short[i], short[j]) <= 2}
-    lines = ld.distinct_lines(spark.createDataFrame([(1, "\n".join(short))], "doc_id long, text string"), ld.MIN_CHARS)
-    at = {r["id"]: short.index(r["line"]) for r in lines.collect()}
-    got = [tuple(sorted((at[a], at[b]))) for a, b in ld.edit_links(lines).collect()]
-    assert set(got) == want and len(got) == len(set(got))
+    assert {d: rep[d]["n_links"] for d, _ in rows} == {d: sum(degree[x] for x in t.split("\n")) for d, t in rows}
+    assert sum(r["n_removed"] for r in rep.values()) > 20 and sum(degree.values()) > 200
+
+
+def test_code_tables_and_lists_keep_their_lines(spark):
+    rng = random.Random(2)
+    ordinary = ["}", "{", "else:", "No", "Yes", "42", "2019", "cat", "Male", "Female", "Total", "return None", "import os", "end;",
+                "| 1 | 2 | 3 |", "2019-01-01,12.50,7", "- milk", "* bread", "0.25", "---", "x = 1", "})();", "N/A", "Mon Tue Wed"]
+    foot = "Subscribe to our newsletter for more stories"
+    rows = [(d, "\n".join([f"Heading of document {chr(0x4E00 + d) * 8}"] + rng.choices(ordinary, k=12) + [foot + "." * (d % 3)]))
+            for d in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"].split("\n") for r in ld.clean(df).collect()}
+    for d, t in rows:
+        lines = t.split("\n")
+        assert got[d] == (lines if d == 0 else lines[:-1])
+
+
+def test_short_lines_make_few_candidates(spark):
+    """Candidates follow the lines, not their square: one character, numbers, dates, words, cells."""
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    short = {chr(0x4E00 + i) for i in range(5000)} | {str(i) for i in range(20_000)} | {f"{i},{i}.50" for i in range(5000)} \
+        | {f"2019-{i % 12 + 1:02d}-{i % 28 + 1:02d} {i:05d}" for i in range(5000)} | {word(rng.randint(1, 7)) for _ in range(8000)} \
+        | {word(rng.randint(9, 15)) for _ in range(9000)}
+    df = spark.createDataFrame([(1, "\n".join(sorted(short)))], "doc_id long, text string")
+    lines = ld.distinct_lines(df, ld.LINK_LETTERS)
+    n = ld.candidates(lines.where(F.col("n") >= ld.LONG), 2).count() + ld.candidates(lines.where(F.col("n") <= ld.LONG), 1, ld.LONG).count()
+    assert len(short) > 45_000 and n < len(short) / 10
 
 
 def test_line_dedup_edges(spark, edge, empty):
@@ -135,8 +166,9 @@ def test_line_dedup_edges(spark, edge, empty):
 
 
 def test_line_dedup_stays_in_the_jvm(spark, docs):
-    plan = ld.edit_links(ld.distinct_lines(docs, 24))._jdf.queryExecution().executedPlan().toString()
-    assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)
+    for df in (ld.line_links(ld.distinct_lines(docs, 8)), ld.report(docs), ld.clean(docs)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)
 
 
 def test_components(spark):
