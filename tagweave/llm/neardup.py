@@ -39,6 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.lookup import lookup
 from .common import byte_texts, grams, mix, staged, text_chunks, text_frame, words
 from .components import components
 
@@ -218,8 +219,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     leaders = staged(nodes.groupBy("key").agg(F.count("*").alias("n"), F.min_by("node", order).alias("leader")).where("n > 1"),
                      "neardup-leaders")
     met = staged(nodes.join(leaders, "key").select("key", "n", "node", "leader"), "neardup-buckets")
-    wanted = met.select(F.col("node").alias("doc_id")).distinct()
-    texts = staged(base.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(
+    wanted = met.select(F.col("node").alias("wanted_id")).distinct()
+    texts = staged(lookup(base, wanted, F.col("doc_id"), "wanted_id", "left_semi").dropDuplicates(["doc_id"]).select(
         F.col("doc_id").alias("id"), "text"), "neardup-texts")
 
     sims = staged(_verified(_pairs(met, "leader"), texts, idf), "neardup-sims")
@@ -358,11 +359,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     key = "_gone_id"
     while key in docs.columns:
         key = "_" + key
+    # the documents that go are looked up under a measured bound, so that whole texts are not shuffled for them
     gone = found.where("doc_id != class_id").select(F.col("doc_id").alias(key)).distinct()
     twice = found.where("doc_id is not null").groupBy(F.col("doc_id").alias(key)).count().where("count > 1").select(key)
     here = F.col("doc_id").cast("long") == F.col(key)
+    rest = lookup(docs, gone, F.col("doc_id").cast("long"), key).where(F.col(key).isNull()).drop(key)
     if twice.isEmpty():
-        return docs.join(gone, here, "left_anti").select(*docs.columns)
-    rest = docs.join(gone, here, "left_anti")
+        return rest.select(*docs.columns)
     again = rest.join(twice, here, "left_semi").dropDuplicates(["doc_id", "text"])
     return rest.join(twice, here, "left_anti").unionByName(again).select(*docs.columns)
