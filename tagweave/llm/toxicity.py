@@ -5,13 +5,17 @@ pairwise part, in its linear-time form, learns interactions (an insult together
 that additive weights miss.
 
 Terms are lower-cased words and their leading 5 to 8 bytes, hashed into a table of 2^18 buckets.  Every
-bucket that the bounded training sample holds takes part in the fit with a weight and a factor row,
-whatever its own (marginal) effect, so an interaction of terms that say nothing alone can be learnt.
+bucket that the bounded training sample holds takes part in the fit with a weight, and factors do not
+depend on its own (marginal) effect, so an interaction of terms that say nothing alone can be learnt.
 
 Fit: at most ``max_rows`` labelled documents (a documented bound, by hash of the id) meet in one task as
-lists of buckets; sparse mini-batches, proximal steps.  A step is measured in units of the term's own
-noise (the spread its gradient would have by chance), and what stays under a few of those units is
-drawn to 0: rare terms can't learn the sample by heart, and a long clean text does not add up noise.
+lists of buckets.  The weights come first, by sparse mini-batches and proximal steps: a step is measured in
+units of the term's own noise (the spread its gradient would have by chance), and what stays under a few of
+those units is drawn to 0, so rare terms can't learn the sample by heart, and a long clean text does not add
+up noise.  Factors that start at random drown in the hundreds of terms of a whole text; so they start from the
+pairs of terms in which the weights err beyond chance, among the ``PAIR_TERMS`` terms of the largest variance
+in the sample (the share of texts with the term times that without; rarer terms meet too seldom to tell), and
+are then learnt together with the weights.
 Scoring: a map over all documents with the model in the function (at most 2^18 rows); no shuffle.
 
 Defined results: null or empty text has no terms and scores sigmoid(b); labels with null id or label
@@ -34,6 +38,7 @@ MAX_ROWS = 20_000
 BITS = 18
 HASH_BITS = 40
 FACTORS = 8
+PAIR_TERMS = 4096
 PREFIXES = (5, 6, 7, 8)
 HELD_OUT = 2
 
@@ -118,12 +123,64 @@ class _Batch:
         return np.add.reduceat(x[self.row], self.first)
 
 
+def _interactions(present: list[np.ndarray], residual: np.ndarray, m: int, pair_terms: int, least_z: float,
+                  block: int = 2000) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of columns whose joint residual goes beyond what either column alone tells and beyond chance:
+    (columns, i, j, weight), i and j being indexes of ``columns``.  Of the ``pair_terms`` columns of the
+    largest variance all pairs are weighed, in matrix products over blocks of rows."""
+    n = len(present)
+    freq = np.bincount(np.concatenate(present), minlength=m) / n
+    cols = np.sort(np.argsort(-freq * (1 - freq), kind="stable")[:pair_terms])
+    cols = cols[freq[cols] * (1 - freq[cols]) > 0]
+    place = np.full(m, -1, np.int32)
+    place[cols] = np.arange(len(cols))
+    joint, both = (np.zeros((len(cols), len(cols)), np.float32) for _ in range(2))
+    square = np.zeros(len(cols))
+    for lo in range(0, n, block):
+        x = np.zeros((min(block, n - lo), len(cols)), np.float32)
+        for row, p in enumerate(present[lo:lo + block]):
+            at = place[p]
+            x[row, at[at >= 0]] = 1
+        r = residual[lo:lo + block, None].astype(np.float32)
+        joint += x.T @ (r * x)
+        both += x.T @ x
+        square += (r * r * x).sum(0)
+    own = np.maximum(both.diagonal(), 1)
+    alone, spread = np.abs(joint.diagonal()) / own, square / own
+    found = []
+    for i in range(len(cols)):  # a row of the upper triangle at a time
+        j = slice(i + 1, len(cols))
+        var = both[i, j] * np.maximum(spread[i], spread[j]) + 1e-9
+        more = np.abs(joint[i, j]) - both[i, j] * np.maximum(alone[i], alone[j])
+        at = np.flatnonzero(more > least_z * np.sqrt(var))
+        found.append(np.stack([np.full(len(at), i), at + i + 1, np.sign(joint[i, j][at]) * more[at] / (var[at] + 1)]))
+    i, j, weight = np.concatenate(found, axis=1) if found else np.zeros((3, 0))
+    return cols, i.astype(int), j.astype(int), np.clip(weight, -2, 2)
+
+
+def _start(cols: np.ndarray, i: np.ndarray, j: np.ndarray, weight: np.ndarray, factors: int) -> tuple[np.ndarray, np.ndarray]:
+    """(columns, factor rows) whose products approximate the pairs' weights: the largest eigenvectors of their
+    matrix; its diagonal, which a factorisation machine does not use, is raised until no eigenvalue is negative."""
+    used, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+    if not len(used):
+        return np.zeros(0, np.int64), np.zeros((0, factors))
+    pairs = np.zeros((len(used), len(used)))
+    pairs[at[:len(i)], at[len(i):]] = pairs[at[len(i):], at[:len(i)]] = weight
+    np.fill_diagonal(pairs, np.abs(pairs).sum(1))
+    value, vector = np.linalg.eigh(pairs)
+    top = np.argsort(-value, kind="stable")[:factors]
+    out = np.zeros((len(used), factors))
+    out[:, :len(top)] = vector[:, top] * np.sqrt(np.maximum(value[top], 0))
+    return cols[used], out
+
+
 def fit_rows(vocabulary: np.ndarray, present: list[np.ndarray], label: np.ndarray, factors: int = FACTORS,
-             epochs: int = 20, rate: float = 0.02, linear_noise: float = 2.5, factor_noise: float = 2.0,
-             batches: int = 8, seed: int = 7, bits: int = BITS) -> FactorizationMachine:
+             epochs: int = 20, rate: float = 0.02, linear_noise: float = 2.5, pair_terms: int = PAIR_TERMS,
+             least_z: float = 7.0, batches: int = 8, seed: int = 7, bits: int = BITS) -> FactorizationMachine:
     """Logistic loss over the (bounded) sample by proximal mini-batch steps; ``present`` holds indexes of
-    ``vocabulary``.  Weights are drawn to 0 by ``linear_noise`` standard deviations of their gradient under
-    chance (an L1 penalty), factor rows by ``factor_noise`` of theirs (a group penalty)."""
+    ``vocabulary``.  First the weights, drawn to 0 by ``linear_noise`` standard deviations of their gradient
+    under chance (an L1 penalty); then weights and factors together, the factors from the pairs in which the
+    first fit errs by more than ``least_z`` deviations."""
     share = float(label.mean()) if len(label) else 0.0
     n, m, k = len(label), len(vocabulary), factors
     if not 0 < share < 1 or not m:
@@ -137,40 +194,46 @@ def fit_rows(vocabulary: np.ndarray, present: list[np.ndarray], label: np.ndarra
     freq = np.bincount(np.concatenate([p.col for p in parts]), minlength=m) / n
     noise = np.sqrt(np.maximum(freq, 1 / n) * share * (1 - share) / size).astype(np.float32)
     chance = (size / n) ** 0.5  # the spread of a gradient over the whole sample, in units of a batch's
-    bias, w, v = np.log(share / (1 - share)), np.zeros(m, np.float32), rng.normal(0, 0.02, (m, k)).astype(np.float32)
-    mom_b = var_b = 0.0
-    mom_w, mom_v, var_v, t = np.zeros_like(w), np.zeros_like(v), np.zeros_like(v), 0
-    for _ in range(epochs):
-        for at in rng.permutation(len(parts)):
-            p = parts[at]
-            z = bias + p.by_row(w[p.col])
-            paired = v is not None
-            if paired:
-                own = v[p.col]
-                s = p.by_row(own)
-                z += 0.5 * ((s ** 2).sum(1) - p.by_row((own ** 2).sum(1)))
-            d = ((1 / (1 + np.exp(-np.clip(z, -40, 40))) - label[p.rows]) / len(p.rows)).astype(np.float32)
-            g = p.by_column(d)
-            t += 1
-            left = 1 - 0.9 ** t
-            mom_b, var_b = 0.9 * mom_b + 0.1 * d.sum(), 0.999 * var_b + 0.001 * d.sum() ** 2
-            bias -= rate * (mom_b / left) / (np.sqrt(var_b / (1 - 0.999 ** t)) + 1e-8)
-            mom_w *= 0.9
-            mom_w[p.used] += 0.1 * g
-            step = w - rate * mom_w / left / noise
-            w = np.sign(step) * np.maximum(0, np.abs(step) - rate * linear_noise * chance)
-            if paired:
-                mom_v *= 0.9
-                var_v *= 0.99
-                g = p.by_column(d[:, None] * s) - v[p.used] * g[:, None]
-                mom_v[p.used] += 0.1 * g
-                var_v[p.used] += 0.01 * g * g
-                v = v - rate * mom_v / left / (np.sqrt(var_v / (1 - 0.99 ** t)) + 1e-8)
-                long = np.sqrt((v ** 2).sum(1, keepdims=True))
-                v *= np.maximum(0, 1 - rate * factor_noise * chance * k ** 0.5 / np.maximum(long, 1e-9))
-                if not v.any():
-                    v = None  # no interaction is left, and the gradient of factors that are all 0 is 0
-    v = np.zeros((m, k), np.float32) if v is None else v
+    bias, w, v = np.log(share / (1 - share)), np.zeros(m, np.float32), np.zeros((m, k), np.float32)
+    paired = np.zeros(0, np.int64)
+
+    def margins(p: _Batch) -> tuple[np.ndarray, np.ndarray]:
+        own = v[p.col]
+        s = p.by_row(own)
+        return bias + p.by_row(w[p.col]) + 0.5 * ((s ** 2).sum(1) - p.by_row((own ** 2).sum(1))), s
+
+    for stage in ("weights", "factors"):
+        if stage == "factors":
+            residual = np.zeros(n)
+            residual[:] = label - share
+            for p in parts:
+                residual[p.rows] = label[p.rows] - 1 / (1 + np.exp(-np.clip(margins(p)[0], -40, 40)))
+            paired, start = _start(*_interactions(present, residual, m, pair_terms, least_z), k)
+            if not len(paired):
+                break
+            v[paired] = start
+        mom_b = var_b = 0.0
+        mom_w, mom_v, var_v, t = np.zeros_like(w), np.zeros((len(paired), k)), np.zeros((len(paired), k)), 0
+        for _ in range(epochs):
+            for at in rng.permutation(len(parts)):
+                p = parts[at]
+                z, s = margins(p) if len(paired) else (bias + p.by_row(w[p.col]), None)
+                d = ((1 / (1 + np.exp(-np.clip(z, -40, 40))) - label[p.rows]) / len(p.rows)).astype(np.float32)
+                g = p.by_column(d)
+                t += 1
+                left = 1 - 0.9 ** t
+                mom_b, var_b = 0.9 * mom_b + 0.1 * d.sum(), 0.999 * var_b + 0.001 * d.sum() ** 2
+                bias -= rate * (mom_b / left) / (np.sqrt(var_b / (1 - 0.999 ** t)) + 1e-8)
+                mom_w *= 0.9
+                mom_w[p.used] += 0.1 * g
+                step = w - rate * mom_w / left / noise
+                w = np.sign(step) * np.maximum(0, np.abs(step) - rate * linear_noise * chance)
+                if len(paired):
+                    full = np.zeros((m, k), np.float32)
+                    full[p.used] = p.by_column(d[:, None] * s) - v[p.used] * g[:, None]
+                    g = full[paired]
+                    mom_v, var_v = 0.9 * mom_v + 0.1 * g, 0.99 * var_v + 0.01 * g * g
+                    v[paired] -= rate * mom_v / left / (np.sqrt(var_v / (1 - 0.99 ** t)) + 1e-8)
     return FactorizationMachine(vocabulary, float(bias), w.astype(np.float64), v.astype(np.float64), bits)
 
 

@@ -120,6 +120,20 @@ def test_fit_learns_an_interaction_without_marginal_effect(spark):
     assert right.mean() > 0.95
 
 
+def test_interaction_is_found_in_whole_texts(spark):
+    """Two words planted in the documents of sf0.1, each in half of them: their exclusive or is learnt by factors alone."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("text is not null")
+    bit = [F.xxhash64("doc_id", F.lit(i)) % 2 == 0 for i in (1, 2)]
+    planted = docs.select("doc_id", F.concat("text", *[F.when(b, F.lit(w)).otherwise("") for b, w in zip(bit, (" zalpha", " zomega"))])
+                          .alias("text"), (bit[0] != bit[1]).cast("int").alias("toxic"))
+    model = tx.fit(planted, planted, 4000)
+    assert model.factors.any(1).sum() >= 2
+    test = tx.scores(planted, model).join(planted.where(tx.held_out(F.col("doc_id"))), "doc_id")
+    assert test.agg(F.avg(((F.col("score") >= 0.5) == (F.col("toxic") == 1)).cast("double"))).first()[0] > 0.97
+    flat = tx.FactorizationMachine(model.terms, model.bias, model.linear, 0 * model.factors, model.bits)
+    assert len(set(flat.score([b"the zalpha", b"the zomega", b"zalpha zomega"]) > 0.5)) == 1  # weights alone can't tell
+
+
 def test_toxicity_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
