@@ -9,12 +9,18 @@ ensemble, which averages over models, regroups by (image, tag).
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import stage_root
+from ..sources.paths import open_path
 from .lookup import lookup
 
 # Labels kept per image and model, and the default threshold.
@@ -57,30 +63,61 @@ def auto_sigmoid(vec: Column) -> Column:
 
 # -------------------------------------------------------------------- heads
 
-HEAD_BLOCK = 1024  # labels scored per pass: bounds the broadcast block
-
-
-def head_blocks(weights: DataFrame, block: int = HEAD_BLOCK, label: str = "l", dim: str = "e",
-                w: str = "w") -> tuple[int, list[np.ndarray]]:
-    """A head's weights ``(label, dim, w)`` as dense blocks of ``block``
-    labels; labels without weight rows are zero rows.  One block is fetched
-    at a time (block x dims doubles), so no step holds more than the head
-    itself, which is a model parameter and not data."""
-    top = weights.agg(F.max(label), F.max(dim)).first()
-    if top[0] is None:
-        return 0, []
-    n_l, n_e = int(top[0]) + 1, int(top[1]) + 1
-    out = []
-    for lo in range(0, n_l, block):
-        rows = weights.where((F.col(label) >= lo) & (F.col(label) < lo + block)).select(
-            F.col(label).alias("l"), F.col(dim).alias("e"), F.col(w).cast("double").alias("w")).toPandas()
-        mat = np.zeros((min(block, n_l - lo), n_e), dtype=np.float64)
-        mat[rows.l.to_numpy() - lo, rows.e.to_numpy()] = rows.w.to_numpy()
-        out.append(mat)
-    return n_l, out
-
-
-def dense_scores(embeddings: DataFrame, weights: DataFrame, head: str = "linear", bias: np.ndarray | None = None,
+HEAD_BLOCK = 1024  # labels of a stored block
+BLOCK_BYTES = 64 << 20  # a block's dense size; wide heads get fewer labels a block
+KEPT_BYTES = 256 << 20  # blocks a task keeps in memory (``Head.keep``); it reads the others again for every batch
+
+
+class Head:
+    """A head's weights as a stored table of dense blocks, one folder ``block=<n>`` each, which tasks read.
+    A block without a folder is all zeros."""
+
+    def __init__(self, folder: str, n_labels: int, n_dims: int, block: int, keep: int = KEPT_BYTES):
+        self.folder, self.n_labels, self.n_dims, self.block, self.keep = folder, n_labels, n_dims, block, keep
+
+    def read(self, n: int) -> np.ndarray:
+        """Block ``n``: its labels x dims."""
+        rows = min(self.block, self.n_labels - n * self.block)
+        files, at = open_path(f"{self.folder}/block={n}")
+        if files.get_file_info(at).type == pafs.FileType.NotFound:
+            return np.zeros((rows, self.n_dims))
+        got = pq.read_table(at, columns=["mat"], filesystem=files, partitioning=None)
+        return np.frombuffer(got.column("mat")[0].as_py(), np.float64).reshape(rows, self.n_dims)
+
+    def blocks(self, kept: dict[int, np.ndarray]):
+        """The blocks in order; ``kept`` holds the first ``keep`` bytes of them between calls."""
+        for n in range(-(-self.n_labels // self.block)):
+            mat = kept[n] if n in kept else self.read(n)
+            if n not in kept and sum(m.nbytes for m in kept.values()) + mat.nbytes <= self.keep:
+                kept[n] = mat
+            yield mat
+
+
+def store_head(weights: DataFrame, block: int = HEAD_BLOCK, label: str = "l", dim: str = "e", w: str = "w",
+               folder: str | None = None) -> Head:
+    """Write a head's weights ``(label, dim, w)`` as dense blocks of ``block`` labels (fewer where a block would
+    pass ``BLOCK_BYTES``) under ``folder`` (default: the shared stage folder).  Spark groups the weights by block
+    and every block is built in its own task; the driver sees the head's two sizes only.  Labels without weight
+    rows are zero rows; rows with a null are ignored; repeated places count with their largest weight."""
+    rows = weights.select(F.col(label).cast("long").alias("l"), F.col(dim).cast("long").alias("e"),
+                          F.col(w).cast("double").alias("w")).dropna()
+    top = rows.agg(F.max("l"), F.max("e")).first()
+    n_l, n_e = (0, 0) if top[0] is None else (int(top[0]) + 1, int(top[1]) + 1)
+    block = max(1, min(block, BLOCK_BYTES // (8 * max(n_e, 1))))
+    path = f"{(folder or stage_root(weights.sparkSession)).rstrip('/')}/head-{uuid.uuid4().hex}"
+
+    def dense(key, pdf):
+        pdf = pdf.sort_values("w")
+        mat = np.zeros((min(block, n_l - key[0] * block), n_e))
+        mat[pdf["l"].to_numpy() - key[0] * block, pdf["e"].to_numpy()] = pdf["w"].to_numpy()
+        return pd.DataFrame({"block": [key[0]], "mat": [mat.tobytes()]})
+
+    rows.groupBy(F.floor(F.col("l") / block).alias("block")).applyInPandas(dense, "block long, mat binary") \
+        .write.partitionBy("block").parquet(path)
+    return Head(path, n_l, n_e, block)
+
+
+def dense_scores(embeddings: DataFrame, weights: DataFrame | Head, head: str = "linear", bias: np.ndarray | None = None,
                  image: str = "vec_id", vec: str = "embedding", block: int = HEAD_BLOCK,
                  top: int | None = None) -> DataFrame:
     """M1/M2: ``sigmoid(W x + b)`` (linear) or ``sigmoid(first half) *
@@ -88,15 +125,15 @@ def dense_scores(embeddings: DataFrame, weights: DataFrame, head: str = "linear"
     array<double>)``; the image id keeps its type.
 
     A Python step is used on purpose: the head is a dense matrix product,
-    done per Arrow batch with BLAS (``mapInPandas``).  Weights are broadcast
-    in blocks of ``block`` labels and one map applies all of them, so the
-    embeddings are read once and nothing is shuffled, whatever the head's
-    size.  With ``top`` only the best ``top`` ``(idx, score)`` of an image
-    (ties by index) leave Python instead of the whole vector."""
-    spark = embeddings.sparkSession
-    n_l, mats = head_blocks(weights, block)
-    b = np.zeros(n_l) if bias is None else np.asarray(bias, dtype=np.float64)
-    sent = [spark.sparkContext.broadcast(m) for m in mats]
+    done per Arrow batch with BLAS (``mapInPandas``).  The weights are a
+    stored table of dense blocks (``store_head``; a stored ``Head`` may be
+    passed to use it again) that tasks read themselves, so the embeddings are
+    read once, nothing is shuffled but the weights, and a task holds
+    ``KEPT_BYTES`` of weights at most.  With ``top`` only the best ``top``
+    ``(idx, score)`` of an image (ties by index) leave Python instead of the
+    whole vector."""
+    stored = weights if isinstance(weights, Head) else store_head(weights, block)
+    b = np.zeros(stored.n_labels) if bias is None else np.asarray(bias, dtype=np.float64)
     gated = head == "gated"
     src = embeddings.select(F.col(image).alias("image"), F.col(vec).alias("v"))
     best = T.ArrayType(T.StructType([T.StructField("idx", T.IntegerType()), T.StructField("score", T.DoubleType())]))
@@ -104,11 +141,12 @@ def dense_scores(embeddings: DataFrame, weights: DataFrame, head: str = "linear"
                            T.StructField("scores", T.ArrayType(T.DoubleType()) if top is None else best)])
 
     def run(batches):
+        kept: dict[int, np.ndarray] = {}
         for pdf in batches:
             if len(pdf) == 0:
                 continue
             x = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-            z = np.hstack([x @ m.value.T for m in sent]) + b if sent else np.zeros((len(pdf), 0))
+            z = np.hstack([np.zeros((len(pdf), 0)), *(x @ m.T for m in stored.blocks(kept))]) + b
             s = 1.0 / (1.0 + np.exp(-z))
             if gated:
                 c = z.shape[1] // 2

@@ -188,6 +188,31 @@ def test_gated_and_blocked_heads_agree(spark):
     assert [x["idx"] for x in best] == sorted(range(4), key=lambda i: (-a[1][i], i))[:2]
 
 
+def test_stored_head_is_read_by_tasks(spark, tmp_path, monkeypatch):
+    """Blocks are files that tasks read; a stored head serves again, no block need stay in memory, nothing is broadcast."""
+    import numpy as np
+    from tagweave.operators import scores as sc
+    rng = np.random.default_rng(5)
+    mat = rng.normal(size=(23, 4))
+    mat[10:15] = 0  # the third block of five has no rows
+    rows = [(l, e, float(mat[l, e])) for l in range(23) for e in range(4) if mat[l, e]]
+    w = spark.createDataFrame([*rows, (None, 1, 2.0), (3, 1, None), (3, 2, -99.0)], "l int, e int, w double")
+    stored = sc.store_head(w, block=5, folder=str(tmp_path))
+    assert (stored.n_labels, stored.n_dims, stored.block) == (23, 4, 5)
+    assert sorted(p.name for p in next(tmp_path.iterdir()).glob("block=*")) == [f"block={n}" for n in (0, 1, 3, 4)]
+    assert np.array_equal(np.vstack(list(stored.blocks({}))), mat)
+    x = rng.normal(size=(40, 4))
+    emb = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    want = 1 / (1 + np.exp(-(x @ mat.T)))
+    for stored.keep in (0, 320, sc.KEPT_BYTES):  # none, two and all of the blocks stay in memory
+        got = {r["image"]: r["scores"] for r in sc.dense_scores(emb, stored).collect()}
+        assert np.allclose([got[i] for i in range(40)], want)
+    assert "Exchange" not in sc.dense_scores(emb, stored)._jdf.queryExecution().toString()
+    monkeypatch.setattr(sc, "BLOCK_BYTES", 64)  # two labels of four dims
+    assert sc.store_head(w).block == 2
+    assert sc.dense_scores(emb, w.limit(0)).first()["scores"] == []
+
+
 def test_grid_and_mask(spark):
     df = spark.createDataFrame([(n,) for n in [1, 12, 729, 13, 48]], "n int")
     got = [(r["g"]["h"], r["g"]["w"]) for r in df.select(ht.grid_layout(F.col("n")).alias("g")).collect()]
