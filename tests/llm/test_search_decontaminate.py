@@ -29,38 +29,84 @@ def brute_topk(rows, every, k):
     return out
 
 
-@pytest.mark.parametrize("shard_rows,block_rows", [(8192, 2048), (40, 3)])
-def test_topk_equals_brute_force(spark, shard_rows, block_rows):
+@pytest.mark.parametrize("shard_rows,block_rows,group_roots", [(8192, 2048, 1024), (40, 3, 4), (7, 50, 1000)])
+def test_topk_equals_brute_force(spark, shard_rows, block_rows, group_roots):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.normal(0, 0.3, 6).astype(np.float32)]) for i in range(300)]
     rows += [(1000 + i, rows[0][1]) for i in range(150)]  # a third of the rows is one vector: ties go to small ids
     rows += [(2000, None), (None, [0.1] * 6), (2001, [0.1, None] * 3), (2002, [float("nan")] * 6), (2003, []), (2020, [0.5, 0.5])]
+    rows += [(2 ** 63 - 1, [0.9] * 6), (-(2 ** 63), [-0.9] * 6), (2021, [0.25, 0.5])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("clash"))
     v = topk.quantised(df)
-    got = topk.top_k(v, v.where("vec_id % 20 = 0"), 20, shard_rows, block_rows, pilot_every=2)
-    assert {tuple(r) for r in got.collect()} == brute_topk(rows, 20, 20)
+    got = topk.top_k(v, v.where("vec_id % 20 = 0"), 20, shard_rows, block_rows, group_roots)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(brute_topk(rows, 20, 20))
 
 
-def test_topk_prunes_and_stays_exact():
+def clustered():
     rng = np.random.default_rng(0)
     centres = rng.normal(0, 40, (30, 16))
-    x = np.floor(np.concatenate([c + rng.normal(0, 2, (200, 16)) for c in centres])).astype(np.int64)
+    return np.floor(np.concatenate([c + rng.normal(0, 2, (200, 16)) for c in centres])).astype(np.int64)
+
+
+def test_topk_tree_nodes_hold_their_rows():
+    x = clustered()
     tree = topk.BallTree.unpack(topk.BallTree(np.arange(len(x)), x).pack())
-    assert all((((tree.rows[a:b] - c) ** 2).sum(axis=1) <= r * r + 1e-6).all()
-               for (a, b), c, r in zip(tree.spans, tree.centre, tree.radius))
-    q = x[::97]
-    ids = np.full(len(q), -1)
-    scored = 0
-    real = topk.np.lexsort
-    at, vec, score = topk.search(tree, ids, q, np.full(len(q), np.iinfo(np.int64).min), 5)
+    for (a, b, left, right), c, r in zip(tree.nodes, tree.centre, tree.radius):
+        assert (((tree.rows[a:b] - c) ** 2).sum(axis=1) <= r * r + 1e-6).all()
+        if left >= 0:
+            assert tree.nodes[left][0] == a and tree.nodes[left][1] == tree.nodes[right][0] and tree.nodes[right][1] == b
+        else:
+            assert b - a <= topk.LEAF_ROWS
+    assert (x[tree.ids] == tree.rows).all()
+
+
+def test_topk_cuts_subtrees_and_stays_exact():
+    x = clustered()
+    tree = topk.BallTree(np.arange(len(x)), x)
+    q, leaves = x[::97], int((tree.nodes[:, 2] < 0).sum())
+    ids, none = np.full(len(q), -1), np.full(len(q), topk.NO_FLOOR)
+    scored = np.zeros(len(q), int)
+    at, vec, score = topk.search(tree, ids, q, none, 5, scored)
     for i in range(len(q)):
         s = x @ q[i]
-        want = real((np.arange(len(x)), -s))[:5]
+        want = np.lexsort((np.arange(len(x)), -s))[:5]
         assert list(vec[at == i]) == list(want) and list(score[at == i]) == list(s[want])
-    # a shared k-th score leaves only what reaches it
+    assert 1 <= scored.min() and scored.mean() < leaves / 5
+    # a shared k-th score cuts more and leaves only what reaches it
     floor = np.array([score[at == i].min() for i in range(len(q))])
-    at2, vec2, _ = topk.search(tree, ids, q, floor + 1, 5)
-    assert len(at2) < len(at) and scored == 0
+    again = np.zeros(len(q), int)
+    at2, vec2, _ = topk.search(tree, ids, q, floor + 1, 5, again)
+    assert len(at2) < len(at) and (again <= scored).all()
+    # a floor above every bound cuts the root: no leaf is scored
+    top = topk.bounds(q.astype(float), tree.centre[:1], tree.radius[:1])[:, 0]
+    over = np.zeros(len(q), int)
+    assert topk.search(tree, ids, q, np.ceil(top).astype(np.int64) + 1, 5, over).shape[1] == 0 and over.sum() == 0
+
+
+def test_topk_sends_queries_only_to_shards_that_can_reach_their_floor():
+    x = clustered()
+    planes = topk.fit_planes(x[::7].astype(float), 5)
+    region = topk.region_of(x.astype(float), *planes)
+    assert region.min() >= 0 and region.max() < 32 and len(set(region.tolist())) > 16
+    trees = {g: topk.BallTree(np.flatnonzero(region == g), x[region == g]) for g in set(region.tolist())}
+    roots = [{"region": g, "piece": 0, "centre": t.centre[0].tobytes(), "radius": float(t.radius[0])} for g, t in trees.items()]
+    q = x[::97]
+    ids = np.arange(len(q))
+    best = np.sort(x @ q.T, axis=0)[-5]
+
+    def routed(pilot):
+        row = {"dim": 16, "block": 0, "ids": ids.tobytes(), "rows": q.tobytes(), "roots": roots,
+               "floors": [{"query_id": int(i), "kth": int(b)} for i, b in zip(ids, best)]}
+        batch = topk.pa.RecordBatch.from_pylist([row])
+        return [(r["region"], i) for b in topk._router(pilot)(iter([batch])) for r in b.to_pylist()
+                for i in np.frombuffer(r["ids"], np.int64).tolist()]
+
+    first, rest = routed(True), routed(False)
+    assert sorted(i for _, i in first) == ids.tolist() and not set(first) & set(rest)
+    assert len(rest) < len(q) * len(roots) / 2
+    score = x @ q.T
+    needed = {(region[v], i) for i in ids.tolist() for v in np.flatnonzero(score[:, i] >= best[i])}
+    assert needed <= set(first) | set(rest)
 
 
 def test_topk_exact_beyond_doubles(spark):
