@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -10,6 +10,11 @@ from ..functions.categories import save_rank
 from .dictionary import with_category_code
 
 
+def merged_text(lists: str) -> Column:
+    """One caption from a sorted array of (source, tags): all tags in order, repeats removed keeping the first."""
+    return tx.join_tags(F.array_distinct(F.flatten(F.transform(lists, lambda x: x["tags"]))))
+
+
 def merge_captions(sources: DataFrame, name: str = "name", text: str = "text",
                    source_ord: str = "source_ord") -> DataFrame:
     """Per name, the tags of every source that has the name (marker
@@ -19,8 +24,7 @@ def merge_captions(sources: DataFrame, name: str = "name", text: str = "text",
     t = sources.select(F.col(name).alias("name"),
                        F.struct(F.col(source_ord).alias("o"), tx.split_caption(F.col(text)).alias("tags")).alias("s"))
     g = t.groupBy("name").agg(F.sort_array(F.collect_list("s")).alias("s"))
-    merged = F.array_distinct(F.flatten(F.transform("s", lambda x: x["tags"])))
-    return g.select(F.col("name").alias(name), tx.join_tags(merged).alias(text))
+    return g.select(F.col("name").alias(name), merged_text("s").alias(text))
 
 
 def all_names(sources: DataFrame, name: str = "name") -> DataFrame:
