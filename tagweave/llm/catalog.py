@@ -44,7 +44,7 @@ def op7_packing(spark, sf_dir):
 
 
 def op8_substring_dedup(spark, sf_dir):
-    return substring.report(_table(spark, sf_dir, "documents")).drop("spans")
+    return substring.report(_table(spark, sf_dir, "documents")).drop("spans", "factors")
 
 
 def op9_licenses(spark, sf_dir):

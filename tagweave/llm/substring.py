@@ -1,18 +1,21 @@
-"""Substring de-duplication by relative parsing: passages of ``window`` words that stand earlier go.
+"""Substring de-duplication: documents are parsed into factors copied from earlier text, long ones go.
 
-Every document is factored against an index of the whole corpus that is spread over reference blocks by
-hash:
+The reference is the whole corpus, spread over blocks by hash.  No block's text is compared with another's:
+longest matches are found through hashes, as a passage that a third of all documents hold would
+otherwise meet its copies text by text.
 
 1. A window of 20 words has one anchor: the 8-word gram of least hash in it (leftmost on ties), the same
    wherever the window stands.  Consecutive windows of one anchor form a piece with its context, the
    words from the first window's start to the last one's end.  Pieces tile a document's windows.
 2. The blocks index pieces by anchor; anchors that stand once in the corpus are dropped.
-3. A piece whose anchor and whole context stand earlier is copied from there: all its windows are
-   duplicates, and such neighbouring pieces make one long factor.
-4. A factor's ends are where the contexts of one anchor differ.  There, and only there (the first piece
-   of each different context of an anchor), windows are compared one by one: 128-bit window hashes,
+3. A piece whose anchor and whole context stand earlier is copied from the earliest such place: all its
+   windows are duplicates.
+4. A match ends where the contexts of one anchor differ.  There, and only there (the first piece
+   of each different context of an anchor), windows are checked one by one: 128-bit window hashes,
    earliest place.
-5. A document's duplicate windows, as word spans, are cut from it.
+5. A document's copied pieces and windows, from left to right, are parsed into factors: a factor takes the
+   next windows for as long as their source goes on at the same offset of the same document.  Every
+   factor is at least a window long; its words are cut.
 
 Windows are judged on the input: a word goes if a window that covers it also starts earlier, in a
 smaller doc_id or earlier in the document.
@@ -146,35 +149,56 @@ def keyed(docs: DataFrame) -> DataFrame:
     return staged(ordered.select(F.monotonically_increasing_id().alias("doc"), "doc_id", "text"), "substring-docs")
 
 
+def _copied(rows: DataFrame, last) -> DataFrame:
+    """(doc, first, last, source, source_first) of rows that start after their ``place``."""
+    word = F.pmod(F.col("place"), F.lit(2 ** 31).cast("decimal(11,0)"))
+    found = rows.where(_place() > F.col("place")).select("doc", "first", last.cast("int").alias("last"), "place", word.alias("word"))
+    return found.select("doc", "first", "last", F.expr("(place - word) div 2147483648").alias("source"),
+                        F.col("word").cast("int").alias("source_first"))
+
+
 def duplicate_spans(texts: DataFrame) -> DataFrame:
-    """``texts``: (doc, text).  (doc, first, last): word spans whose windows all start earlier too."""
+    """``texts``: (doc, text).  (doc, first, last, source, source_first): word spans whose windows all start
+    earlier too, and the earliest place of the same words."""
     found = texts.mapInArrow(_piece_rows, "anchor long, context long, doc long, first int, n int")
     # written tables: a join with them deals out both sides anew, so adaptive execution can split a hot anchor
     again = staged(found.groupBy("anchor").count().where("count > 1").select("anchor"), "substring-anchors")
     shared = staged(found.join(again, "anchor"), "substring-pieces")
 
-    contexts = staged(shared.groupBy("anchor", "context").agg(F.min(_place()).alias("source")), "substring-contexts")
+    contexts = staged(shared.groupBy("anchor", "context").agg(F.min(_place()).alias("place")), "substring-contexts")
     placed = shared.join(contexts, ["anchor", "context"])
-    copied = placed.where(_place() > F.col("source")).select(
-        "doc", "first", (F.col("first") + F.col("n") + (WINDOW - 2)).alias("last"))
+    copied = _copied(placed, F.col("first") + F.col("n") + (WINDOW - 2))
 
-    differing = shared.groupBy("anchor").agg(F.min("context").alias("lo"), F.max("context").alias("hi")).where("lo != hi")
-    ends = placed.where(_place() == F.col("source")).join(differing, "anchor", "left_semi")
+    differing = staged(shared.groupBy("anchor").agg(F.min("context").alias("lo"), F.max("context").alias("hi"))
+                       .where("lo != hi").select("anchor"), "substring-differing")
+    ends = placed.where(_place() == F.col("place")).join(differing, "anchor", "left_semi")
     runs = ends.groupBy("doc").agg(F.collect_list(F.struct("first", "n")).alias("runs"))
     windows = staged(texts.join(runs, "doc").select("doc", "text", "runs").mapInArrow(
         _window_rows, "h1 long, h2 long, doc long, first int"), "substring-windows")
-    earliest = windows.groupBy("h1", "h2").agg(F.min(_place()).alias("source"), F.count("*").alias("n")).where("n > 1")
-    single = windows.join(earliest, ["h1", "h2"]).where(_place() > F.col("source")).select(
-        "doc", "first", (F.col("first") + (WINDOW - 1)).alias("last"))
-    return copied.unionByName(single)
+    earliest = windows.groupBy("h1", "h2").agg(F.min(_place()).alias("place"), F.count("*").alias("n")).where("n > 1")
+    return copied.unionByName(_copied(windows.join(earliest, ["h1", "h2"]), F.col("first") + (WINDOW - 1)))
+
+
+def factors(spans: list[dict], window: int = WINDOW) -> list[dict]:
+    """Spans of one document to factors: the next windows join the factor if they continue its source."""
+    out: list[dict] = []
+    for s in sorted(spans, key=lambda s: s["first"]):
+        f = out[-1] if out else None
+        if f and s["first"] <= f["last"] - window + 2 and s["source"] == f["source"] \
+                and s["source_first"] - s["first"] == f["source_first"] - f["first"]:
+            f["last"] = max(f["last"], s["last"])
+        else:
+            out.append(dict(s))
+    return out
 
 
 def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        total, removed, digest, kept = [], [], [], []
+        total, removed, digest, spanned, copied = [], [], [], [], []
         for text, spans in zip(byte_texts(batch.column(1)), batch.column(2).to_pylist()):
             ws = text.split()
-            merged = merge([(s["first"], s["last"]) for s in spans or ()])
+            parsed = factors(spans or [])
+            merged = merge([(f["first"], f["last"]) for f in parsed])
             left, at = [], 0
             for a, b in merged:
                 left += ws[at:a]
@@ -183,11 +207,14 @@ def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total.append(len(ws))
             removed.append(len(ws) - len(left))
             digest.append(hashlib.sha256(b" ".join(left)).hexdigest())
-            kept.append([{"first": a, "last": b} for a, b in merged])
+            spanned.append([{"first": a, "last": b} for a, b in merged])
+            copied.append(parsed)
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string()),
-             pa.array(kept, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))],
-            names=["doc_id", "n_words", "n_removed", "kept_sha256", "spans"])
+             pa.array(spanned, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))),
+             pa.array(copied, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("source", pa.int64()),
+                                                  ("source_first", pa.int32())])))],
+            names=["doc_id", "n_words", "n_removed", "kept_sha256", "spans", "factors"])
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -201,10 +228,11 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and the removed word spans of every document."""
+    """doc_id, n_words, n_removed, kept_sha256, the removed word spans of every document and the factors they
+    are made of; ``source`` is a doc_id (a row number in (doc_id, text) order where ids are null or repeat)."""
     rows = keyed(docs)
     spans = duplicate_spans(rows.select("doc", "text")).groupBy("doc").agg(
-        F.collect_set(F.struct("first", "last")).alias("spans"))
+        F.collect_list(F.struct("first", "last", "source", "source_first")).alias("spans"))
     return rows.join(spans, "doc", "left").select("doc_id", "text", "spans").mapInArrow(
-        _cut_rows, "doc_id long, n_words long, n_removed long, kept_sha256 string, "
-                   "spans array<struct<first:int,last:int>>")
+        _cut_rows, "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<first:int,last:int>>, "
+                   "factors array<struct<first:int,last:int,source:long,source_first:int>>")

@@ -388,6 +388,32 @@ def test_substring_equals_brute_force(spark, seed):
     assert got == brute_substring(rows)
 
 
+@pytest.mark.parametrize("seed", [0, 4])
+def test_substring_factors_copy_earlier_words(spark, seed):
+    rows = passages(seed)
+    text = {d: re.findall(r"[^\x20\x09-\x0D]+", t or "") for d, t in rows}
+    got = sb.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    seen = 0
+    for r in got:
+        for f in r["factors"]:
+            own, source, n = text[r["doc_id"]], text[f["source"]], f["last"] - f["first"] + 1
+            assert n >= sb.WINDOW and (f["source"], f["source_first"]) < (r["doc_id"], f["first"])
+            assert own[f["first"]:f["last"] + 1] == source[f["source_first"]:f["source_first"] + n]
+            seen += 1
+        covered = {i for f in r["factors"] for i in range(f["first"], f["last"] + 1)}
+        assert covered == {i for s in r["spans"] for i in range(s["first"], s["last"] + 1)} and len(covered) == r["n_removed"]
+    assert seen
+
+
+def test_substring_one_copied_passage_is_one_factor(spark):
+    words = [f"p{i}" for i in range(500)]
+    rows = [(1, " ".join(["a", "b", *words, "c"])), (2, " ".join(["x", *words[50:450], "y", "z"])),
+            (3, " ".join([*words[:100], "gap", *words[100:300]]))]
+    got = {r["doc_id"]: [tuple(f) for f in r["factors"]] for r in sb.report(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: [], 2: [(1, 400, 1, 52)], 3: [(0, 99, 1, 2), (101, 300, 1, 102)]}
+
+
 def test_hot_passage(spark):
     """A third of all documents holds one passage: every copy but the first goes."""
     rng = random.Random(9)
