@@ -175,7 +175,8 @@ def duplicate_spans(texts: DataFrame) -> DataFrame:
     runs = ends.groupBy("doc").agg(F.collect_list(F.struct("first", "n")).alias("runs"))
     windows = staged(texts.join(runs, "doc").select("doc", "text", "runs").mapInArrow(
         _window_rows, "h1 long, h2 long, doc long, first int"), "substring-windows")
-    earliest = windows.groupBy("h1", "h2").agg(F.min(_place()).alias("place"), F.count("*").alias("n")).where("n > 1")
+    earliest = staged(windows.groupBy("h1", "h2").agg(F.min(_place()).alias("place"), F.count("*").alias("n"))
+                      .where("n > 1").select("h1", "h2", "place"), "substring-earliest")
     return copied.unionByName(_copied(windows.join(earliest, ["h1", "h2"]), F.col("first") + (WINDOW - 1)))
 
 
