@@ -3,7 +3,9 @@
 The automaton accepts every word sequence that occurs in any template (a licence sentence or a
 phrase).  A text is streamed word by word: the automaton's state and the length of the longest match
 ending at each word are the matching statistics.  Long matches (``min_match`` words or more) are
-chained per label, and the share of a template's words so covered marks a template label; phrases
+chained per template (a paragraph of a licence), and the share of a template's words so covered marks a
+template label.  Licences borrow each other's wording, so where spans overlap the better covered template
+stands: a span is dropped if more than half of its words lie in spans of a larger share.  Phrases
 are found by their state in the suffix-link tree.
 
 Scale: a map over documents, no shuffle; the automaton is built once per Python worker from the
@@ -22,40 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import byte_texts, fold_words, text_frame
+from .license_texts import PARAGRAPHS as TEMPLATES
 
 # Phrases of the base labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-# Opening or key sentences of public licence texts, by label.
-TEMPLATES = {
-    "mit": [
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
-        "associated documentation files, to deal in the Software without restriction, including without "
-        "limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies "
-        "of the Software",
-        "Released under the MIT License.",
-    ],
-    "apache": [
-        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
-        "compliance with the License. You may obtain a copy of the License at",
-        "Unless required by applicable law or agreed to in writing, software distributed under the License is "
-        "distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
-    ],
-    "gpl": [
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
-        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
-        "option) any later version.",
-    ],
-    "bsd": [
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
-        "that the following conditions are met",
-        "Redistributions of source code must retain the above copyright notice, this list of conditions and the "
-        "following disclaimer.",
-    ],
-    "cc-by": ["This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "cc-by-nc": ["Licensed under CC BY-NC 4.0."],
-}
 MIN_MATCH = 4
 MIN_COVER = 0.6
 
@@ -200,7 +173,17 @@ class Scanner:
                     chain = []
                 if lo is not None:
                     chain.append((lo, hi, at))
-        return sorted(spans), best
+        return sorted(_better(spans, len(words))), best
+
+
+def _better(spans: list[tuple[int, int, str, float]], n: int) -> list[tuple[int, int, str, float]]:
+    """The spans of which at most half the words lie in spans of a larger share."""
+    if len(spans) < 2:
+        return spans
+    high = np.zeros(n)
+    for a, b, _, share in spans:
+        np.maximum(high[a:b], share, out=high[a:b])
+    return [s for s in spans if (high[s[0]:s[1]] > s[3] + 1e-9).mean() <= 0.5]
 
 
 _BUILT: dict[tuple, Scanner] = {}

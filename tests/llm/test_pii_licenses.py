@@ -153,5 +153,27 @@ def test_templates(spark):
     assert got[5]["labels"] == "bsd" and got[5]["spans"][0]["first"] == 5000
 
 
+def test_every_licence_paragraph_is_found_under_its_own_label(spark):
+    """Each paragraph alone, in capitals and broken over lines, between words of no licence; no relative's label."""
+    own = [(label, t) for label, ts in li.TEMPLATES.items() for t in ts]
+    rows = [(i, "zebra quilt " * 50 + "\n * ".join(t.upper().split(" ")) + " quilt zebra" * 50) for i, (_, t) in enumerate(own)]
+    got = {r["doc_id"]: r for r in li.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (label, t) in enumerate(own):
+        assert {s["label"] for s in got[i]["spans"]} == {label}, t
+        assert got[i]["score"] == 1.0 and [s["first"] for s in got[i]["spans"] if s["cover"] == 1.0][0] == 100
+    assert len(li.TEMPLATES) >= 15
+
+
+def test_whole_licence_gets_the_labels_of_its_paragraphs(spark):
+    mit = "Copyright 2020 A. Person\n\n" + "\n\n".join(li.TEMPLATES["mit"][:2] + li.TEMPLATES["as-is"][:1])
+    bsd = "\n".join(li.TEMPLATES["bsd"] + li.TEMPLATES["as-is"][1:2])
+    plain = ("The software of the library is free to use for any person, and a copy of the work is distributed under the "
+             "terms of the house. You may not use this room without permission, provided that the following day is free.")
+    rows = [(1, mit), (2, bsd), (3, plain), (4, plain + "\n" + "\n".join(li.TEMPLATES["lgpl"]))]
+    got = {r["doc_id"]: r for r in li.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[1]["labels"], got[2]["labels"], got[3]["labels"]) == ("as-is,mit", "as-is,bsd", "")
+    assert {s["label"] for s in got[4]["spans"]} == {"lgpl"} and got[4]["base_labels"] == "gpl"
+
+
 def test_license_edges(edge, empty):
     assert li.scan(edge).count() == edge.count() and li.scan(empty).count() == 0
