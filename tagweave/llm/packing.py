@@ -6,9 +6,9 @@
 3. Inside a bucket with boundary b, a batch takes ``budget // b`` sequences (at least one), padded to b.
 
 Batch numbers come from global positions without ordering a bucket in one task: rows are spread over
-hashed groups (in proportion to a bucket's size, about four per shuffle partition in all), each group
-is numbered by itself, and the groups' offsets are prefix sums over the small table of group counts.
-Every batch but a bucket's last is full.
+hashed groups of about ``group_rows``, each group is numbered by itself, and the groups' offsets are prefix
+sums over the small table of group counts.  Every batch but a bucket's last is full.  The packing
+follows the rows and the parameters alone, not the cluster's settings.
 
 Defined results: null or empty text (no tokens) makes no sequence; a document of exactly max_len
 tokens is one sequence; equal lengths share a bucket; boundaries among equally good choices are the
@@ -27,6 +27,7 @@ from .common import staged
 MAX_LEN = 2048
 BUCKETS = 12
 BUDGET = 65_536
+GROUP_ROWS = 8192
 
 
 def boundaries(lengths: np.ndarray, counts: np.ndarray, n_buckets: int) -> list[int]:
@@ -64,7 +65,8 @@ def sequences(lengths: DataFrame, max_len: int) -> DataFrame:
         F.least(F.lit(max_len).cast("long"), F.col("n_tokens") - F.col("piece") * max_len).cast("int").alias("length"))
 
 
-def pack(lengths: DataFrame, max_len: int = MAX_LEN, n_buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
+def pack(lengths: DataFrame, max_len: int = MAX_LEN, n_buckets: int = BUCKETS, budget: int = BUDGET,
+         group_rows: int = GROUP_ROWS) -> DataFrame:
     """``lengths``: (doc_id, tie, n_tokens).  One row per sequence with its bucket and batch."""
     spark = lengths.sparkSession
     lengths = staged(lengths, "packing-lengths")  # counted twice: the texts are read once
@@ -77,24 +79,22 @@ def pack(lengths: DataFrame, max_len: int = MAX_LEN, n_buckets: int = BUCKETS, b
     if not bounds:
         return spark.createDataFrame([], schema)
 
-    total = int(count.sum())
-    groups = 4 * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     bucket = F.coalesce(*[F.when(F.col("length") <= b, F.lit(b)) for b in bounds])
     in_bucket = np.diff(np.concatenate(([0], np.cumsum(count)[np.searchsorted(size, bounds)])))
-    spread = {b: max(1, round(groups * int(c) / total)) for b, c in zip(bounds, in_bucket)}
+    spread = {b: -(-int(c) // group_rows) for b, c in zip(bounds, in_bucket)}
     n_groups = F.coalesce(*[F.when(F.col("bucket") == b, F.lit(s)) for b, s in spread.items()])
     rows = rows.withColumn("bucket", bucket).withColumn(
         "grp", F.pmod(F.xxhash64("doc_id", "tie", "piece"), n_groups).cast("int"))
 
-    # one row per (bucket, group): at most `groups` + n_buckets rows
+    # one row per (bucket, group): a row for every `group_rows` sequences
     sizes = rows.groupBy("bucket", "grp").count()
     offsets = sizes.withColumn("offset", F.sum("count").over(
         Window.partitionBy("bucket").orderBy("grp").rowsBetween(Window.unboundedPreceding, -1))) \
         .select("bucket", "grp", F.coalesce("offset", F.lit(0)).alias("offset"))
     place = Window.partitionBy("bucket", "grp").orderBy("doc_id", "tie", "piece")
     per_batch = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("bucket"))).cast("long")
-    # the bound on `offsets` comes from the shuffle setting, not from the data
-    return rows.withColumn("at", F.row_number().over(place)).join(F.broadcast(offsets), ["bucket", "grp"]) \
+    # rows are dealt by (bucket, grp) already: this join moves the offsets alone
+    return rows.withColumn("at", F.row_number().over(place)).join(offsets, ["bucket", "grp"]) \
         .withColumn("pos", F.col("offset") + F.col("at") - 1) \
         .select("doc_id", "piece", "start", "length", "bucket",
                 F.floor(F.col("pos") / per_batch).cast("long").alias("batch"),

@@ -62,6 +62,21 @@ def test_pack(spark):
     assert sorted({r["bucket"] for r in rows}) == pk.boundaries(size, count, 5)
 
 
+def test_packing_follows_the_rows_not_the_shuffle_setting(spark, docs):
+    key = "spark.sql.shuffle.partitions"
+    old, seen = spark.conf.get(key), []
+    try:
+        for n in ("3", "17"):
+            spark.conf.set(key, n)
+            rows = pk.pack(pk.word_lengths(docs.repartition(int(n))), group_rows=50).collect()
+            seen.append(sorted(map(tuple, rows), key=str))
+    finally:
+        spark.conf.set(key, old)
+    assert seen[0] == seen[1] and len(seen[0]) >= docs.where("text is not null and text != ''").count() * 0.9
+    slots = {(r[4], r[5], r[6]) for r in seen[0]}
+    assert len(slots) == len(seen[0])  # no slot of a batch is given twice
+
+
 def test_small_budget_and_ties(spark):
     df = spark.createDataFrame([(1, 5, 10), (1, 5, 10), (None, 1, 3), (2, 0, 0)], "doc_id long, tie long, n_tokens long")
     rows = pk.pack(df, max_len=8, n_buckets=3, budget=1).collect()
