@@ -1,8 +1,7 @@
 """Line de-duplication: a segment-partition edit join, in DataFrame functions only.
 
-Link rule: two lines are linked if both hold ``LINK_LETTERS`` (8) letters or more and their edit distance is 1 or
-less, or ``THRESHOLD`` (2) or less where the shorter has ``LONG`` (16) characters or more.  All other lines (brackets,
-numbers, single words, table cells) are linked to nothing but their own copies.
+Link rule: two lines, whatever they hold, are linked if their edit distance is 1 or less, or ``THRESHOLD`` (2) or less
+where the shorter has ``LONG`` (16) characters or more.
 
 A line is cut into t + 1 segments; by the pigeonhole principle a line with at most t edits holds one of them
 unchanged.  So every line is indexed under (length, segment number, segment), and probes, for each length
@@ -13,8 +12,13 @@ the join, so variants of one line that differ by whole words don't become pairs.
 bit-parallel edit distance on the band of 2t + 1 diagonals: one integer per number of errors, one bit per
 diagonal, moved over the longer line's characters.
 
+Lines of few letters (under ``LINK_LETTERS``, 8: numbers, dates, brackets, table cells) share segments and letter
+counts with most of their kind, so pairs with such a line are found apart: the short ones by their one-character
+deletions, which meet for linked lines alone; the long ones by segments again, with digits and signs counted
+instead of letters.
+
 Links form classes (connected components of distinct lines).  A class that stands in ``MIN_DOCS`` (10) documents or
-more, and in a share of ``MIN_SHARE`` (one in a million) of them, is boilerplate: every line of it with
+more, whatever their number in all, is boilerplate: every line of it with
 ``CUT_LETTERS`` (16) letters or more goes, but for the corpus's first.  Shorter lines, such as code, table and
 list entries, always stay.
 
@@ -43,7 +47,6 @@ LONG = 16
 LINK_LETTERS = 8
 CUT_LETTERS = 16
 MIN_DOCS = 10
-MIN_SHARE = 1e-6
 
 
 def has_letters(line: str, n: int) -> Column:
@@ -59,15 +62,16 @@ def segment(length: Column, i: Column, parts: int) -> tuple[Column, Column]:
 
 
 LETTERS = "etaoinshrdlcumwfgypb"  # 20 letters of 2 bits, frequent ones first
+SIGNS = "0123456789 .,-:/|=*_"  # 20 signs, for lines of few letters
 
 
-def with_counts(lines: DataFrame) -> DataFrame:
+def with_counts(lines: DataFrame, letters: str = LETTERS) -> DataFrame:
     """``lines`` with ``counts``: how often each of 20 letters stands in ``line``, modulo 4, packed into a long.
     The letters are removed one after the other, frequent ones first, so the text soon gets short."""
-    rest = [f"rest_{k}" for k in range(len(LETTERS) + 1)]
+    rest = [f"rest_{k}" for k in range(len(letters) + 1)]
     df = lines.withColumn(rest[0], F.col("line"))
     counts = F.lit(0).cast("long")
-    for k, c in enumerate(LETTERS):
+    for k, c in enumerate(letters):
         df = df.withColumn(rest[k + 1], F.replace(F.col(rest[k]), F.lit(c), F.lit("")))
         n = (F.octet_length(rest[k]) - F.octet_length(rest[k + 1])).cast("long")
         counts = counts.bitwiseOR(F.shiftleft(n.bitwiseAND(F.lit(3)), 2 * k))
@@ -170,10 +174,34 @@ def edit_links(lines: DataFrame, t: int = THRESHOLD, below: int | None = None) -
     return chars.where(within(F.col("chars.a"), F.col("chars.b"), t)).select("a", "b")
 
 
-def line_links(lines: DataFrame, t: int = THRESHOLD) -> DataFrame:
-    """(a, b) of all pairs of ``lines`` (of enough letters) by the link rule."""
-    long = edit_links(lines.where(F.col("n") >= LONG), t)
-    return long.unionByName(edit_links(lines.where(F.col("n") <= LONG), 1, below=LONG))
+def deletion_links(lines: DataFrame) -> DataFrame:
+    """(a, b) of all pairs of ``lines`` (id, line, n) within one edit, once each.  Lines of one length are so if the
+    same text is left of both without the character at one place; a shorter line is so if it is what is left of a
+    longer one.  Nothing else meets, and what meets at one place differs in that character alone, so a key has no
+    more lines than there are characters."""
+    rest = lines.select("id", "n", F.posexplode(F.expr(
+        "transform(sequence(1, n), i -> concat(substring(line, 1, i - 1), substring(line, i + 1)))")).alias("at", "rest"))
+    a, b = rest.alias("a"), rest.alias("b")
+    swapped = a.join(b, (F.col("a.n") == F.col("b.n")) & (F.col("a.at") == F.col("b.at")) & (F.col("a.rest") == F.col("b.rest"))
+                     & (F.col("a.id") < F.col("b.id")))
+    left = rest.select("id", "rest").distinct().alias("b")
+    added = lines.alias("a").join(left, F.col("a.line") == F.col("b.rest"))
+    return swapped.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).unionByName(
+        added.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")))
+
+
+def line_links(lines: DataFrame, t: int = THRESHOLD, few: DataFrame | None = None) -> DataFrame:
+    """(a, b) of all pairs of ``lines`` (as ``distinct_lines`` gives them) by the link rule, once each; ``few``: their
+    ``few_letter_lines``, where these were taken from the documents already."""
+    lettered = lines.where(~F.col("few"))
+    long = edit_links(lettered.where(F.col("n") >= LONG), t)
+    short = edit_links(lettered.where(F.col("n") <= LONG), 1, below=LONG)
+    few = staged(few_letter_lines(lines, t) if few is None else few, "few-letters")
+    long_few = edit_links(with_counts(few.where(F.col("n") >= LONG), SIGNS), t)
+    short_few = deletion_links(few.where(F.col("n") <= LONG)).join(
+        few.where(F.col("n") < LONG).select(F.col("id").alias("a")), "a", "left_semi")
+    # pairs of two lines of 8 letters or little more are found by both ways
+    return long.unionByName(short).unionByName(long_few).unionByName(short_few).distinct()
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -186,18 +214,32 @@ def occurrences(docs: DataFrame) -> DataFrame:
         .withColumn("id", F.xxhash64("line")).withColumn("n", F.char_length("line"))
 
 
-def distinct_lines(docs: DataFrame, letters: int) -> DataFrame:
-    """(id, line, n, counts) of the distinct lines of ``letters`` letters or more."""
-    lines = with_counts(occurrences(docs).where(has_letters("line", letters)).select("id", "line", "n"))
-    return lines.groupBy("id").agg(F.min("line").alias("line"), F.min("n").alias("n"), F.min("counts").alias("counts"))
+def few_letter_lines(lines: DataFrame, t: int = THRESHOLD) -> DataFrame:
+    """(id, line, n) of the lines that can be in a pair with one of few letters: t edits make t letters more at most."""
+    return lines.where(~has_letters("line", LINK_LETTERS + t)).groupBy("id").agg(
+        F.min("line").alias("line"), F.min("n").alias("n"))
+
+
+def distinct_lines(docs: DataFrame, letters: int = 0) -> DataFrame:
+    """(id, line, n, counts, few) of the distinct lines (of ``letters`` letters or more, where given); ``few``: does it
+    hold under ``LINK_LETTERS`` letters?"""
+    lines = occurrences(docs)
+    if letters > 0:
+        lines = lines.where(has_letters("line", letters))
+    lines = with_counts(lines.select("id", "line", "n", (~has_letters("line", LINK_LETTERS)).alias("few")))
+    return lines.groupBy("id").agg(F.min("line").alias("line"), *[F.min(c).alias(c) for c in ("n", "counts", "few")])
 
 
-def line_classes(docs: DataFrame, threshold: int = THRESHOLD, letters: int = LINK_LETTERS, cut_letters: int = CUT_LETTERS,
-                 min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
+def line_classes(docs: DataFrame, threshold: int = THRESHOLD, letters: int = 0, cut_letters: int = CUT_LETTERS,
+                 min_docs: int = MIN_DOCS, min_share: float = 1e-6) -> DataFrame:
     """(doc_id, row, no, class_id, degree, removed): every line that is not empty, with the class of its
-    text, the number of other texts linked to its own, and whether it goes as boilerplate."""
+    text, the number of other texts linked to its own, and whether it goes as boilerplate.  By default all lines are
+    linked, and nothing follows the number of documents; a caller may ask for a least number of ``letters`` in linked
+    lines, or for a share of the documents that boilerplate must reach besides."""
     seen = occurrences(docs).withColumn("lettered", has_letters("line", cut_letters)).drop("line", "n")
-    links = staged(line_links(distinct_lines(docs, letters), threshold), "line-links")
+    # the lines of few letters are taken before the shuffle, which spares a second one of all lines
+    few = few_letter_lines(occurrences(docs).where(has_letters("line", letters)) if letters > 0 else occurrences(docs), threshold)
+    links = staged(line_links(distinct_lines(docs, letters), threshold, few), "line-links")
     degree = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count("*").alias("degree"))
     linked = staged(components(links).join(degree, "id").withColumnRenamed("id", "linked_id"), "line-classes")
     placed = staged(lookup(seen, linked, F.col("id"), "linked_id", stored=True).select(

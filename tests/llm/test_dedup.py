@@ -69,12 +69,12 @@ def test_edit_links_lose_no_pair(spark, t):
     assert set(got) == want and len(got) == len(set(got))
 
 
-def brute_lines(rows, min_docs):
+def brute_lines(rows, min_docs, least=8):
     """[(doc_id, text after the operator)] and each line's number of links, by the docstring's rules."""
     distinct = sorted({x for _, s in rows for x in (s or "").split("\n") if x})
     letters = {x: sum(c.isalpha() for c in x) for x in distinct}
     links = [(a, b) for i, a in enumerate(distinct) for b in distinct[:i]
-             if min(letters[a], letters[b]) >= 8 and edit(a, b) <= (1 if min(len(a), len(b)) < 16 else 2)]
+             if min(letters[a], letters[b]) >= least and edit(a, b) <= (1 if min(len(a), len(b)) < 16 else 2)]
     cls, degree = union(links, distinct), defaultdict(int)
     for pair in links:
         for x in pair:
@@ -124,13 +124,35 @@ def test_link_rule_by_length_and_letters(spark):
     lines = sorted(set(bases) | {v for base in bases if len(base) > 3 for v in variants(rng, base, 14, 3, "aé1 ")})
     rows = [(d, "\n".join(rng.sample(lines, 60) + [f"{chr(0x4E00 + 9 * d) * 20} own"])) for d in range(14)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    kept, degree = brute_lines(rows, 10)
+    kept, degree = brute_lines(rows, 10, 0)
     assert sorted(map(tuple, ld.clean(df).select("doc_id", "text").collect())) == sorted(kept)
     rep = {r["doc_id"]: r for r in ld.report(df).collect()}
     assert {d: rep[d]["n_links"] for d, _ in rows} == {d: sum(degree[x] for x in t.split("\n")) for d, t in rows}
     assert sum(r["n_removed"] for r in rep.values()) > 20 and sum(degree.values()) > 200
 
 
+def test_lines_of_few_letters_lose_no_link(spark):
+    """Characters, words, numbers, dates and rules of signs, against brute force; classes by all links."""
+    rng = random.Random(21)
+    lines = set("aé1\U0001F600}中文字") | {"ab", "ac", "é1", "}}", "aab", "aaab", "No", "Not"} | {str(i) for i in range(95, 125)} \
+        | {f"2019-01-{i:02d} 12:00:0{i % 3}" for i in range(1, 20)} | {"=" * k for k in range(12, 22)} | {"1" * 14 + "abcdefg", "1" * 14 + "abcdefgh"}
+    for base in ("abcdefg", "12,50 | 7", "| 1 | 2 | 3 | 40 | 5", "123456789012345", "abcdefgh", "1234567890123 abcdefgh"):
+        lines |= variants(rng, base, 10, 3, "a1 ") | {base}
+    lines = sorted(lines)
+    want = {frozenset((a, b)) for i, a in enumerate(lines) for b in lines[:i] if edit(a, b) <= (1 if min(len(a), len(b)) < 16 else 2)}
+    rows = [(d, "\n".join(lines[d::3])) for d in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = ld.distinct_lines(df)
+    text = {r["id"]: r["line"] for r in found.collect()}
+    got = [frozenset((text[r["a"]], text[r["b"]])) for r in ld.line_links(found).collect()]
+    assert set(got) == want and len(got) == len(want)
+    cls = union([tuple(p) for p in want], lines)
+    of = {}
+    for r in ld.line_classes(df).collect():
+        of.setdefault(r["class_id"], set()).add(cls[rows[r["doc_id"]][1].split("\n")[r["no"]]])
+    assert all(len(x) == 1 for x in of.values()) and len(of) == len(set(cls.values()))
+
+
 def test_code_tables_and_lists_keep_their_lines(spark):
     rng = random.Random(2)
     ordinary = ["}", "{", "else:", "No", "Yes", "42", "2019", "cat", "Male", "Female", "Total", "return None", "import os", "end;",
