@@ -231,7 +231,7 @@ def distinct_lines(docs: DataFrame, letters: int = 0) -> DataFrame:
 
 
 def line_classes(docs: DataFrame, threshold: int = THRESHOLD, letters: int = 0, cut_letters: int = CUT_LETTERS,
-                 min_docs: int = MIN_DOCS, min_share: float = 1e-6) -> DataFrame:
+                 min_docs: int = MIN_DOCS, min_share: float = 0.0) -> DataFrame:
     """(doc_id, row, no, class_id, degree, removed): every line that is not empty, with the class of its
     text, the number of other texts linked to its own, and whether it goes as boilerplate.  By default all lines are
     linked, and nothing follows the number of documents; a caller may ask for a least number of ``letters`` in linked
@@ -249,7 +249,7 @@ def line_classes(docs: DataFrame, threshold: int = THRESHOLD, letters: int = 0,
     order = F.coalesce("doc_id", F.lit(2 ** 63 - 1)).cast("decimal(20,0)")
     by_doc = placed.groupBy("class_id", "doc_id").agg(F.min("no").alias("no"))
     place = (order * F.lit(2 ** 31).cast("decimal(11,0)") + F.col("no")).cast("decimal(38,0)")
-    least = max(min_docs, int(min_share * docs.count()) + 1)
+    least = max(min_docs, int(min_share * docs.count()) + 1) if min_share else min_docs
     common = staged(by_doc.groupBy(F.col("class_id").alias("common_id")).agg(
         F.count("*").alias("n_docs"), F.min(place).alias("first")).where(F.col("n_docs") >= least), "line-common")
     return lookup(placed, common, F.col("class_id"), "common_id", stored=True).select(

@@ -153,6 +153,14 @@ def test_lines_of_few_letters_lose_no_link(spark):
     assert all(len(x) == 1 for x in of.values()) and len(of) == len(set(cls.values()))
 
 
+def test_boilerplate_does_not_follow_the_number_of_documents(spark, monkeypatch):
+    """A line in 10 documents is boilerplate however many documents there are (told here, not made)."""
+    foot = "Subscribe to our newsletter for more stories"
+    df = spark.createDataFrame([(d, f"{foot}\n{d} {chr(0x4E00 + d) * 9}") for d in range(10)], "doc_id long, text string")
+    monkeypatch.setattr(type(df), "count", lambda self: 50_000_000)
+    assert sum(r["removed"] for r in ld.line_classes(df).collect()) == 9
+
+
 def test_code_tables_and_lists_keep_their_lines(spark):
     rng = random.Random(2)
     ordinary = ["}", "{", "else:", "No", "Yes", "42", "2019", "cat", "Male", "Female", "Total", "return None", "import os", "end;",
