@@ -23,7 +23,12 @@ def lookup_key(tag) -> Column:
 def category_code(tag, category_id) -> Column:
     """The code of a tag given its dictionary category id (NULL when
     the tag is not in the dictionary)."""
-    t = lookup_key(tag)
+    return code_of_key(lookup_key(tag), category_id)
+
+
+def code_of_key(key, category_id) -> Column:
+    """T12 for a tag whose ``lookup_key`` is at hand (worked out once per tag)."""
+    t = col(key)
     cid = col(category_id)
     expr = None
     for k, v in CATEGORY_ID_CODES.items():

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.categories import UNWANTED_CATEGORY_IDS, category_code, is_year_like, is_year_pattern, lookup_key
+from ..functions.categories import UNWANTED_CATEGORY_IDS, code_of_key, is_year_like, is_year_pattern, lookup_key
 from .lookup import lookup
 
 
@@ -61,9 +61,9 @@ def with_category_code(df: DataFrame, dictionary: DataFrame, tag: str = "tag", o
     lower-cased, stripped tag, then the text heuristics).  ``stripped``
     says the tags are already stripped (saves a pass per tag)."""
     cats = live_tags(dictionary).select(F.col("name").alias("_k"), F.col("category").alias("_cat"))
-    key = F.lower(F.col(tag)) if stripped else lookup_key(F.col(tag))
-    j = lookup(df, cats, key, "_k", stored=True)
-    return j.withColumn(out, category_code(F.col(tag), F.col("_cat"))).drop("_k", "_cat")
+    keyed = df.withColumn("_key_of", F.lower(F.col(tag)) if stripped else lookup_key(F.col(tag)))
+    j = lookup(keyed, cats, F.col("_key_of"), "_k", stored=True)
+    return j.withColumn(out, code_of_key(F.col("_key_of"), F.col("_cat"))).drop("_k", "_cat", "_key_of")
 
 
 def sanitize(captions: DataFrame, dictionary: DataFrame, amap: DataFrame,
@@ -80,7 +80,7 @@ def sanitize(captions: DataFrame, dictionary: DataFrame, amap: DataFrame,
     ``collect_list`` combines map-side, so the shuffle carries about one row
     per caption.  Both lookups are bounded ones (``lookup``): measured, then
     broadcast, so no tag row is shuffled before the regroup; beyond the
-    bound, hot tags are looked up apart from the shuffled rest.
+    bound, only rare tags are shuffled (the frequent ones are broadcast).
     """
     tags = F.array_distinct(tx.split_caption(F.col(text)))
     t = captions.select(F.col(name).alias("name"), F.posexplode_outer(tags).alias("pos", "tag"))

@@ -1,9 +1,10 @@
 """Bounded lookup: join a large table of facts with a table of unique keys.
 
 The small side is measured before any fact row moves.  Within a stated bound it is broadcast, so the facts
-are joined where they are read, with no exchange.  Beyond the bound the facts are shuffled by the key, but
-not those of the hottest keys (null among them): a key that more than ``share`` of the facts carry is looked
-up in the broadcast rows of those keys alone, at most ``1 / share`` of them."""
+are joined where they are read, with no exchange.  Beyond the bound the facts are written once, and their distinct keys are counted and
+looked up, once each; the most frequent ones (null and unknown ones among them) are broadcast with what was found, as
+many as the bound holds, and any key that more than ``share`` of the facts carry, at most ``1 / share`` of them.
+Only facts of the other, rare keys are shuffled: a small part where few keys carry most facts, as words do."""
 
 from __future__ import annotations
 
@@ -33,15 +34,37 @@ def lookup(facts: DataFrame, small: DataFrame, key: Column, small_key: str, how:
     table = small if stored else staged(small, "lookup")
     if table_bytes(table) <= bound:
         return facts.join(F.broadcast(table), key == F.col(small_key), how)
-    return _beyond(facts, table, key, small_key, how, share)
-
-
-def _beyond(facts: DataFrame, table: DataFrame, key: Column, small_key: str, how: str, share: float) -> DataFrame:
-    counts = staged(facts.groupBy(key.alias("_hot_key")).agg(F.count(F.lit(1)).alias("_n")), "lookup-keys")
-    total = counts.agg(F.sum("_n")).first()[0] or 0
-    hot = counts.where(F.col("_n") > total * share).select("_hot_key", F.lit(True).alias("_hot"))
-    marked = facts.join(F.broadcast(hot), key.eqNullSafe(F.col("_hot_key")), "left").drop("_hot_key")
-    of_hot = table.join(F.broadcast(hot), F.col(small_key) == F.col("_hot_key"), "left_semi")
-    first = marked.where(F.col("_hot")).drop("_hot").join(F.broadcast(of_hot), key == F.col(small_key), how)
-    rest = marked.where(F.col("_hot").isNull()).drop("_hot").join(table, key == F.col(small_key), how)
-    return first.unionByName(rest)
+    return _beyond(facts, table, key, small_key, how, bound, share)
+
+
+def _cut(keys: DataFrame, bound: int) -> int | None:
+    """Least step of frequency (eighths of a power of two) whose keys and all more frequent ones fit into ``bound``."""
+    size = F.octet_length(F.to_json(F.struct("*"))) + ROW_BYTES
+    steps = keys.groupBy("_step").agg(F.sum(size.cast("long")).alias("b")).collect()  # some hundred rows at most
+    least, total = None, 0
+    for r in sorted(steps, reverse=True):
+        total += r["b"]
+        if total > bound:
+            break
+        least = r["_step"]
+    return least
+
+
+def _beyond(facts: DataFrame, table: DataFrame, key: Column, small_key: str, how: str, bound: int, share: float) -> DataFrame:
+    facts = staged(facts, "lookup-facts")  # read three times below, made once
+    counts = facts.groupBy(key.alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.withColumn("_step", F.floor(F.log2("_n") * 8).cast("int"))
+    keys = staged(counts.join(table, F.col("_key") == F.col(small_key), "left"), "lookup-keys")
+    total = keys.agg(F.sum("_n")).first()[0] or 0
+    least = _cut(keys, bound)
+    often = F.col("_n") > total * share
+    hot = often if least is None else often | (F.col("_step") >= least)
+    found = keys.where(hot).drop("_n", "_step").withColumn("_hot", F.lit(True))
+    met = facts.join(F.broadcast(found), key.eqNullSafe(F.col("_key")), "left")
+    first = met.where(F.col("_hot"))
+    if how != "left":
+        first = first.where(F.col(small_key).isNotNull())
+    first = first.drop("_hot", "_key", *(table.columns if how == "left_semi" else []))
+    rest = met.where(F.col("_hot").isNull()).drop("_hot", "_key", *table.columns)
+    # a null key is in no table, so a left join keeps its facts wherever it is counted
+    return first.unionByName(rest.join(table, key == F.col(small_key), how))

@@ -73,6 +73,30 @@ def test_no_fact_row_moves_before_a_lookup(spark, key):
         assert "BuildRight" in final and "BuildLeft" not in final
 
 
+def test_lookup_beyond_its_bound_makes_facts_once_and_moves_rare_keys_only(spark, monkeypatch):
+    from tagweave.operators import lookup as lk
+    rng = random.Random(8)
+    keys = [k for i in range(40) for k in [f"k{i}"] * (1600 // (i + 1))] + [None] * 300 + ["unknown"] * 500
+    rng.shuffle(keys)
+    facts = spark.createDataFrame(list(enumerate(keys)), "id long, k string")
+    small = spark.createDataFrame([(f"k{i}", i) for i in range(0, 60, 2)], "name string, v int")
+    written = {}
+    plain = lk.staged
+    monkeypatch.setattr(lk, "staged", lambda df, name: written.setdefault(name, []).append(plain(df, name)) or written[name][-1])
+    for how in ("left", "inner", "left_semi"):
+        want = Counter(map(tuple, facts.join(small, facts.k == small.name, how).collect()))
+        for bound in (200, 900, 1500):
+            written.clear()
+            got = lookup(facts, small, F.col("k"), "name", how, bound=bound, share=1.0, stored=True)
+            assert Counter(map(tuple, got.collect())) == want
+            assert [len(written[n]) for n in ("lookup-facts", "lookup-keys")] == [1, 1]
+            found = written["lookup-keys"][0]
+            hot = found.where(F.col("_step") >= lk._cut(found, bound))
+            assert 0 < table_bytes(hot) <= bound
+    # the widest bound holds the keys of most facts: a fifth at most would be shuffled
+    assert hot.agg(F.sum("_n")).first()[0] > 0.8 * len(keys)
+
+
 # ---------------------------------------------------------------- stored scores
 
 def _ensemble(spark):
