@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import dictionary as dic
+from ..operators.lookup import lookup
 from ..sources import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -193,8 +194,9 @@ def q_drop_year_tags(spark, sf):
 
 @query("drop_categories")
 def q_drop_categories(spark, sf):
-    live = dic.live_tags(fx.dictionary(spark, sf)).select(F.col("name").alias("tag"), "category")
-    return _joined(dic.drop_categories(_caption_tag_rows(spark, sf).join(live, "tag", "left")))
+    live = dic.live_tags(fx.dictionary(spark, sf)).select(F.col("name").alias("_name"), "category")
+    t = lookup(_caption_tag_rows(spark, sf), live, F.col("tag"), "_name", stored=True)
+    return _joined(dic.drop_categories(t))
 
 
 @query("alias_map")
