@@ -171,8 +171,18 @@ def q_live_tags(spark, sf):
     return dic.live_tags(fx.dictionary(spark, sf)).select("name", "category", "post_count")
 
 
+PIECE_BYTES = 8 << 20  # of captions in a task that explodes and regroups their tags
+
+
+def _dealt_by_name(spark, sf, c: DataFrame) -> DataFrame:
+    """Captions dealt by name before their tags become rows, in pieces by the measured size of the texts: the regroup
+    by name then stays in the task, and its rows in memory (as whole texts they are a tenth of that)."""
+    size = fx.table(spark, sf, "documents").agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return c.repartition(max(spark.sparkContext.defaultParallelism, size // PIECE_BYTES), "name")
+
+
 def _caption_tag_rows(spark, sf):
-    c = fx.plain_captions(spark, sf)
+    c = _dealt_by_name(spark, sf, fx.plain_captions(spark, sf).select("name", "text"))
     return c.select("name", F.posexplode(tx.split_caption("text")).alias("pos", "tag"))
 
 

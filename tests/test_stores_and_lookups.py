@@ -97,6 +97,16 @@ def test_lookup_beyond_its_bound_makes_facts_once_and_moves_rare_keys_only(spark
     assert hot.agg(F.sum("_n")).first()[0] > 0.8 * len(keys)
 
 
+@pytest.mark.parametrize("key", ["drop_categories", "drop_year_tags", "known_tags", "canonical_tags"])
+def test_captions_are_dealt_by_name_before_their_tags_are_rows(spark, key):
+    """One exchange, of whole captions: below the explode, by name."""
+    final = executed(catalog.QUERIES[key](spark, SF_SMALL)).split("== Initial Plan ==")[0]
+    at = [i for i, line in enumerate(final.splitlines()) if "Exchange hashpartitioning" in line]
+    made = [i for i, line in enumerate(final.splitlines()) if "Generate posexplode" in line]
+    assert len(at) == 1 and made and at[0] > made[0] and "SortMergeJoin" not in final
+    assert "(name#" in final.splitlines()[at[0]]
+
+
 # ---------------------------------------------------------------- stored scores
 
 def _ensemble(spark):
