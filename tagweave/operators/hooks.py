@@ -6,10 +6,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+PART_BYTES = 1 << 20
+
 
 def apply_transform(df: DataFrame, fn: Callable[[Column], Column], col: str = "text", out: str | None = None) -> DataFrame:
     """A caller's caption transform written on columns (runs in the JVM)."""
@@ -52,11 +56,34 @@ def _call_isolated(call, prompts):
         return replies, errors
 
 
+def _parts(prompts: pa.Array, limit: int = PART_BYTES) -> list[tuple[int, int]]:
+    """(first row, rows) of consecutive parts of a batch, of ``limit`` bytes of prompts at most (or one longer prompt)."""
+    parts, lo, size = [], 0, 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(prompts), 0).to_pylist()):
+        if i > lo and size + n > limit:
+            parts.append((lo, i - lo))
+            lo, size = i, 0
+        size += n
+    return parts + [(lo, len(prompts) - lo)] if len(prompts) else parts
+
+
+def _rows_by(keys: pa.Array | None, n: int) -> dict:
+    """Row numbers of each key, in order of appearance; a null key has no function."""
+    if keys is None:
+        return {None: range(n)}
+    out: dict = {}
+    for i, k in enumerate(keys.to_pylist()):
+        if k is not None:
+            out.setdefault(k, []).append(i)
+    return out
+
+
 def model_hook(df: DataFrame, call, prompt: str = "prompt", keep: Iterable[str] = (),
                by: str | None = None, store: str | None = None) -> DataFrame:
     """X2 + X3: send every prompt to a caller's batch function
-    (``list[str] -> list[str]``) inside ``mapInPandas``; returns the kept
-    columns with ``reply`` and ``error``.  With ``by``, ``call`` is a
+    (``list[str] -> list[str]``) inside ``mapInArrow``, a part of ``PART_BYTES`` of prompts at a
+    time, so that a task holds the Arrow batch and one part's prompts and
+    replies, whatever the length of the texts; returns the kept columns with ``reply`` and ``error``.  With ``by``, ``call`` is a
     factory ``key -> batch function`` and each row goes to the function of
     its ``by`` value (one pass for many models).  Failures are isolated per
     record: the error text lands in ``error`` and the job goes on.
@@ -75,26 +102,25 @@ def model_hook(df: DataFrame, call, prompt: str = "prompt", keep: Iterable[str]
 
     def run(batches):
         funcs = {}
-        for pdf in batches:
-            replies = pd.Series([None] * len(pdf), index=pdf.index, dtype=object)
-            errors = pd.Series([None] * len(pdf), index=pdf.index, dtype=object)
-            groups = [(None, pdf)] if by is None else pdf.groupby(by, sort=False)
-            for key, part in groups:
-                if by is None:
-                    fn = call
-                elif key in funcs:
-                    fn = funcs[key]
-                else:
-                    fn = funcs[key] = call(key)
-                r, e = _call_isolated(fn, part[prompt].tolist())
-                replies.loc[part.index] = r
-                errors.loc[part.index] = e
-            out = pdf[keep].copy() if keep else pd.DataFrame(index=pdf.index)
-            out["reply"] = replies.to_numpy()
-            out["error"] = errors.to_numpy()
-            yield out
-
-    return df.select(*cols).mapInPandas(run, schema)
+        for batch in batches:
+            for lo, n in _parts(batch.column(prompt)):
+                part = batch.slice(lo, n)
+                prompts = part.column(prompt).to_pylist()
+                replies, errors = [None] * n, [None] * n
+                for key, at in _rows_by(part.column(by) if by else None, n).items():
+                    if by is None:
+                        fn = call
+                    elif key in funcs:
+                        fn = funcs[key]
+                    else:
+                        fn = funcs[key] = call(key)
+                    for i, r, e in zip(at, *_call_isolated(fn, [prompts[i] for i in at])):
+                        replies[i], errors[i] = r, e
+                text = batch.column(prompt).type
+                yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in fields], pa.array(replies, text), pa.array(errors, text)],
+                                                 names=schema.fieldNames())
+
+    return df.select(*cols).mapInArrow(run, schema)
 
 
 def split_quarantine(df: DataFrame, error: str = "error") -> tuple[DataFrame, DataFrame]:

@@ -183,6 +183,18 @@ def test_batch_equals_stream(spark, tmpdir_run):
     assert got_san == want_san
 
 
+def test_model_hook_calls_parts_of_bounded_size(spark):
+    df = spark.createDataFrame([(i, "mab"[i % 3], ("x%03d" % i) * 20_000) for i in range(60)], "k int, model string, prompt string").coalesce(1)
+
+    def call(ps):
+        return [f"{len(ps)} {sum(map(len, ps))} {p[:4]}" for p in ps]
+
+    for by, fn in ((None, call), ("model", lambda key: call)):
+        got = [(r["k"], r["reply"].split(), r["error"]) for r in hk.model_hook(df, fn, keep=["k"], by=by).collect()]
+        assert [(k, r[2], e) for k, r, e in got] == [(i, "x%03d" % i, None) for i in range(60)]
+        assert max(int(r[1]) for _, r, _ in got) <= hk.PART_BYTES and max(int(r[0]) for _, r, _ in got) > 1
+
+
 def test_model_hook_dispatches_by_model(spark):
     df = spark.createDataFrame([("m1", "a"), ("m2", "b"), ("m1", "c"), ("m2", "bad")], "model string, prompt string")
 
