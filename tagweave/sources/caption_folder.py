@@ -25,7 +25,7 @@ from pyarrow import fs as pafs
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from ..functions.text import WHITE_SPACE
-from .paths import open_path, put
+from .paths import listed, open_path, put
 
 _EDGES = "".join(WHITE_SPACE)
 
@@ -68,12 +68,11 @@ class _Reader(DataSourceReader):
 
     def read(self, partition: _Bucket) -> Iterator[tuple]:
         files, folder = open_path(self.folder)
-        for info in files.get_file_info(pafs.FileSelector(folder)):
-            name = info.base_name
-            if info.type != pafs.FileType.File or not name.lower().endswith(".txt") or name.startswith(".") \
+        for path, name, _ in listed(files, folder):
+            if not name.lower().endswith(".txt") or name.startswith(".") \
                     or zlib.crc32(name.encode()) % self.count != partition.at:
                 continue
-            with files.open_input_stream(info.path) as f:
+            with files.open_input_stream(path) as f:
                 data = f.read()
             try:
                 yield name, name[:-4], data.decode("utf-8", "ignore" if self.lenient else "strict")

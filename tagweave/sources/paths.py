@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyarrow import fs as pafs
@@ -32,6 +34,28 @@ def put(files: pafs.FileSystem, path: str, data: bytes) -> None:
     files.move(part, path)
 
 
+def listed(files: pafs.FileSystem, folder: str, recursive: bool = False) -> Iterator[tuple[str, str, int]]:
+    """(path, name, length) of a folder's files, one after the other: a local folder is never held whole; other
+    stores give their listing at once."""
+    if not isinstance(files, pafs.LocalFileSystem):
+        for i in files.get_file_info(pafs.FileSelector(folder, recursive=recursive)):
+            if i.type == pafs.FileType.File:
+                yield i.path, i.base_name, i.size
+        return
+    folders = [folder.rstrip("/") or "/"]
+    while folders:
+        with os.scandir(folders.pop()) as entries:
+            for e in entries:
+                try:
+                    size = e.stat().st_size if e.is_file() else None
+                except FileNotFoundError:  # moved since it was listed
+                    continue
+                if size is not None:
+                    yield e.path, e.name, size
+                elif recursive and e.is_dir():
+                    folders.append(e.path)
+
+
 def list_files(spark: SparkSession, *folders: str, recursive: bool = False) -> DataFrame:
     """(path, file, length) of the files of folders, each listed by a task; hidden ones (``.`` or ``_`` first) are left
     out.  Unlike Spark's own file sources this shows files of no bytes."""
@@ -40,9 +64,8 @@ def list_files(spark: SparkSession, *folders: str, recursive: bool = False) -> D
             for folder in pdf["folder"]:
                 files, at = open_path(folder)
                 scheme = folder.split("://")[0] + "://" if "://" in folder and not folder.startswith("file:") else ""
-                found = [(scheme + i.path, i.base_name, i.size) for i in files.get_file_info(
-                    pafs.FileSelector(at, recursive=recursive)) if i.type == pafs.FileType.File and i.base_name[0] not in "._"]
-                for lo in range(0, len(found), 10_000):
-                    yield pd.DataFrame(found[lo:lo + 10_000], columns=["path", "file", "length"])
+                found = ((scheme + path, name, size) for path, name, size in listed(files, at, recursive) if name[0] not in "._")
+                while part := list(islice(found, 10_000)):
+                    yield pd.DataFrame(part, columns=["path", "file", "length"])
     return spark.createDataFrame([(f,) for f in folders], "folder string").repartition(max(1, len(folders))) \
         .mapInPandas(run, "path string, file string, length bigint")

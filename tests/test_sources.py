@@ -195,6 +195,20 @@ def test_model_hook_calls_parts_of_bounded_size(spark):
         assert max(int(r[1]) for _, r, _ in got) <= hk.PART_BYTES and max(int(r[0]) for _, r, _ in got) > 1
 
 
+def test_a_local_folder_is_listed_one_file_after_the_other(tmpdir_run, monkeypatch):
+    from tagweave.sources import paths
+    os.mkdir(f"{tmpdir_run}/sub")
+    for i in range(30):
+        with open(f"{tmpdir_run}/{'sub/' if i % 3 == 0 else ''}f{i}.txt", "w") as f:
+            f.write("x" * i)
+    files, at = paths.open_path(tmpdir_run)
+    want = {r: {(i.path, i.base_name, i.size) for i in files.get_file_info(paths.pafs.FileSelector(at, recursive=r))
+                if i.type == paths.pafs.FileType.File} for r in (False, True)}
+    for r in (False, True):
+        found = paths.listed(files, at, r)
+        assert iter(found) is found and set(found) == want[r] and len(want[r]) == (30 if r else 20)
+
+
 def test_model_hook_dispatches_by_model(spark):
     df = spark.createDataFrame([("m1", "a"), ("m2", "b"), ("m1", "c"), ("m2", "bad")], "model string, prompt string")
 
