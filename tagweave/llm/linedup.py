@@ -63,28 +63,34 @@ def segment(length: Column, i: Column, parts: int) -> tuple[Column, Column]:
 
 LETTERS = "etaoinshrdlcumwfgypb"  # 20 letters of 2 bits, frequent ones first
 SIGNS = "0123456789 .,-:/|=*_"  # 20 signs, for lines of few letters
+STEP = 4
 
 
 def with_counts(lines: DataFrame, letters: str = LETTERS) -> DataFrame:
     """``lines`` with ``counts``: how often each of 20 letters stands in ``line``, modulo 4, packed into a long.
-    The letters are removed one after the other, frequent ones first, so the text soon gets short."""
-    rest = [f"rest_{k}" for k in range(len(letters) + 1)]
-    df = lines.withColumn(rest[0], F.col("line"))
-    counts = F.lit(0).cast("long")
-    for k, c in enumerate(letters):
-        df = df.withColumn(rest[k + 1], F.replace(F.col(rest[k]), F.lit(c), F.lit("")))
-        n = (F.octet_length(rest[k]) - F.octet_length(rest[k + 1])).cast("long")
-        counts = counts.bitwiseOR(F.shiftleft(n.bitwiseAND(F.lit(3)), 2 * k))
-    return df.withColumn("counts", counts).drop(*rest)
+    The letters are removed one after the other, frequent ones first, so the text soon gets short.  A step removes
+    ``STEP`` of them and carries the rest alone, as the driver plans all steps anew for each use of the lines."""
+    own = [F.col(c) for c in lines.columns]
+    df = lines.withColumns({"rest": F.col("line"), "counts": F.lit(0).cast("long")})
+    for first in range(0, len(letters), STEP):
+        rest, counts = F.col("rest"), F.col("counts")
+        for k, c in enumerate(letters[first:first + STEP], first):
+            less = F.replace(rest, F.lit(c), F.lit(""))
+            n = (F.octet_length(rest) - F.octet_length(less)).cast("long")
+            counts, rest = counts.bitwiseOR(F.shiftleft(n.bitwiseAND(F.lit(3)), 2 * k)), less
+        df = df.select(*own, rest.alias("rest"), counts.alias("counts"))
+    return df.drop("rest")
+
+
+FIELDS = sum(1 << 2 * k for k in range(len(LETTERS)))  # the low bit of each count
 
 
 def counts_apart(a: Column, b: Column) -> Column:
-    """At least so much the counts differ in all; t edits change them by 2t at most."""
-    total = F.lit(0).cast("long")
-    for k in range(len(LETTERS)):
-        d = (F.shiftright(a, 2 * k) - F.shiftright(b, 2 * k)).bitwiseAND(F.lit(3))
-        total = total + F.least(d, 4 - d)
-    return total
+    """At least so much the counts differ in all; t edits change them by 2t at most.  Modulo 4, two counts are 1 apart
+    if their low bits differ, else 2 if their high bits do: two bit counts for all letters."""
+    x = a.bitwiseXOR(b)
+    two = F.shiftright(x, 1).bitwiseAND(F.bitwise_not(x)).bitwiseAND(F.lit(FIELDS))
+    return F.bit_count(x.bitwiseAND(F.lit(FIELDS))) + 2 * F.bit_count(two)
 
 
 def _keyed(lines: DataFrame, places: list[tuple[int, int, int]], t: int) -> DataFrame:
@@ -196,12 +202,14 @@ def line_links(lines: DataFrame, t: int = THRESHOLD, few: DataFrame | None = Non
     lettered = lines.where(~F.col("few"))
     long = edit_links(lettered.where(F.col("n") >= LONG), t)
     short = edit_links(lettered.where(F.col("n") <= LONG), 1, below=LONG)
-    few = staged(few_letter_lines(lines, t) if few is None else few, "few-letters")
-    long_few = edit_links(with_counts(few.where(F.col("n") >= LONG), SIGNS), t)
+    few = staged(with_counts(few_letter_lines(lines, t) if few is None else few, SIGNS), "few-letters")
+    long_few = edit_links(few.where(F.col("n") >= LONG), t)
     short_few = deletion_links(few.where(F.col("n") <= LONG)).join(
         few.where(F.col("n") < LONG).select(F.col("id").alias("a")), "a", "left_semi")
+    # written apart: the driver plans a query anew after each of its shuffles, so one of all four ways fills its memory
+    of_few = staged(long_few.unionByName(short_few), "few-links")
     # pairs of two lines of 8 letters or little more are found by both ways
-    return long.unionByName(short).unionByName(long_few).unionByName(short_few).distinct()
+    return long.unionByName(short).unionByName(of_few).distinct()
 
 
 def occurrences(docs: DataFrame) -> DataFrame:

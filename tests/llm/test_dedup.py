@@ -201,6 +201,23 @@ def test_line_dedup_stays_in_the_jvm(spark, docs):
         assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)
 
 
+def test_line_links_are_planned_in_small_queries(spark, docs):
+    """The driver plans a query anew after each of its shuffles: its memory follows the plan, whatever the input."""
+    links = ld.line_links(ld.distinct_lines(docs))
+    assert len(links._jdf.queryExecution().executedPlan().toString()) < 80_000  # 157,709 in one query
+
+
+def test_counts_of_letters(spark):
+    rng = random.Random(6)
+    lines = ["", "é", "eeeee"] + ["".join(rng.choices("etaoinshrdlcumwfgypb xéE", k=rng.randint(1, 90))) for _ in range(120)]
+    got = [r["counts"] for r in ld.with_counts(spark.createDataFrame([(x,) for x in lines], "line string")).collect()]
+    assert got == [sum(x.count(c) % 4 << 2 * k for k, c in enumerate(ld.LETTERS)) for x in lines]
+    pairs = [(a, b) for a in got for b in got[:20]] + [(0, 2 ** 40 - 1), (2 ** 40 - 1, 0)]
+    far = [sum(min(d, 4 - d) for d in (((a >> 2 * k) - (b >> 2 * k)) % 4 for k in range(20))) for a, b in pairs]
+    df = spark.createDataFrame(pairs, "a long, b long").select(ld.counts_apart(F.col("a"), F.col("b")).alias("d"))
+    assert [r["d"] for r in df.collect()] == far
+
+
 def test_components(spark):
     rng = random.Random(0)
     pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(i, i + 1) for i in range(500, 560)] \
